@@ -11,7 +11,7 @@ from tabloom.operators.models import AdaBoost, learners, predict, prediction_his
 from tabloom.operators.split import hash_split
 from tabloom.plans.catalog import register
 from tabloom.plans.leaderboard import cross_validate, fit_and_rank, score
-from tabloom.sources.tables import f_class, table
+from tabloom.sources.tables import f_class, table, with_fixtures
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 FEATS = ["x1", "x2", "x3"]
@@ -120,7 +120,7 @@ def adaboost_regression(spark, sf):
 @register("leaderboard_classification")
 def leaderboard_classification(spark, sf):
     board, _ = fit_and_rank(f_class(spark, sf), FEATS, "y", "classification", KEY,
-                            ["Logistic Regression", "Decision Tree", "Gaussian NB", "Random Forest"])
+                            ["Logistic Regression", "Decision Tree", "Gaussian NB", "Linear SVC"])
     return board.drop("fit_time")
 
 
@@ -182,3 +182,31 @@ def importance_linear(spark, sf):
     train, _ = _fclass_parts(spark, sf)
     fitted = learners("classification")["Logistic Regression"].fit(train, FEATS, "y")
     return round_doubles(E.feature_importance(fitted.last_stage, FEATS, spark), 6)
+
+
+@register("smote", with_fixtures("""SELECT y, (SELECT max(n) FROM (SELECT count(*) AS n FROM f_class GROUP BY y)) AS "count"
+FROM f_class GROUP BY y""", "f_class"))
+def smote_counts(spark, sf):
+    from tabloom.operators.resample import smote
+    out = smote(f_class(spark, sf), FEATS, "y", KEY)
+    return out.groupBy("y").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("smote_rows")
+def smote_rows(spark, sf):
+    from tabloom.operators.resample import smote
+    return round_doubles(smote(f_class(spark, sf), FEATS, "y", KEY), 6)
+
+
+@register("smoteenn")
+def smoteenn_counts(spark, sf):
+    from tabloom.operators.resample import smoteenn
+    out = smoteenn(f_class(spark, sf), FEATS, "y", KEY)
+    return out.groupBy("y").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("leaderboard_smote")
+def leaderboard_smote(spark, sf):
+    board, _ = fit_and_rank(f_class(spark, sf), FEATS, "y", "classification", KEY,
+                            ["Logistic Regression", "Gaussian NB"], resample="SMOTE")
+    return board.drop("fit_time")

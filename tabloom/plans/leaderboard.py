@@ -88,6 +88,8 @@ def fit_and_rank(df: DataFrame, features: list[str], label: str, problem: str, k
         if resample and problem == "classification":
             from tabloom.operators.resample import smote, smoteenn
             train = (smote if resample == "SMOTE" else smoteenn)(train, features, label, key_cols)
+            key_cols = key_cols + ["synthetic_id"]
+            test = test.withColumn("synthetic_id", F.lit(0).cast("bigint"))
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
         test = test.persist(StorageLevel.MEMORY_AND_DISK)
     try:
