@@ -108,6 +108,18 @@ def norm_ppf(p: Column) -> Column:
             .otherwise(central))
 
 
+def hash_unit(*cols) -> Column:
+    """Deterministic uniform number in (0, 1) from a hash of ``cols``."""
+    return (F.pmod(F.xxhash64(*cols), F.lit(2 ** 52)).cast("double") + 0.5) / F.lit(float(2 ** 52))
+
+
+def gauss(*cols) -> Column:
+    """Deterministic standard normal deviate from a hash of ``cols`` (Box-Muller, small codegen)."""
+    u1 = hash_unit(F.lit(1), *cols)
+    u2 = hash_unit(F.lit(2), *cols)
+    return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
+
+
 NORM_PPF_SQL = """CASE WHEN {p} < 0.02425 THEN
   (((((-7.784894002430293e-03 * sqrt(-2 * ln({p})) + -3.223964580411365e-01) * sqrt(-2 * ln({p})) + -2.400758277161838e+00) * sqrt(-2 * ln({p})) + -2.549732539343734e+00) * sqrt(-2 * ln({p})) + 4.374664141464968e+00) * sqrt(-2 * ln({p})) + 2.938163982698783e+00)
   / ((((7.784695709041462e-03 * sqrt(-2 * ln({p})) + 3.224671290700398e-01) * sqrt(-2 * ln({p})) + 2.445134137142996e+00) * sqrt(-2 * ln({p})) + 3.754408661907416e+00) * sqrt(-2 * ln({p})) + 1)
