@@ -1,16 +1,52 @@
 """Running sums and row numbers without a single-partition window.
 
 ``Window.orderBy(x)`` with no ``partitionBy`` pulls every row into one task.
-These helpers range-partition on the order key instead, compute running
-sums inside each range partition, and add the totals of the earlier
-partitions (a table with one row per partition and group) back with a join.
-A hot group is split over many range partitions, so no task holds it whole.
+Here rows are cut into ordered buckets by range bounds of the first order
+column (approximate quantiles, collected once as literals), running sums
+are computed inside each ``(bucket, group)``, and the totals of the earlier
+buckets of the same group (a table of buckets x groups) are added back with
+a join.  The bucket is a pure function of the row, so every branch of the
+plan and every recomputation after an executor loss agree on it, and a hot
+group is spread over all buckets.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _order_key(df: DataFrame, col: str):
+    """A double that never decreases as ``col`` increases in Spark's sort order."""
+    dt = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        raw = F.encode(c, "UTF-8") if isinstance(dt, T.StringType) else c
+        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dt, T.BooleanType):
+        return c.cast("int").cast("double")
+    return c.cast("double")
+
+
+def order_buckets(df: DataFrame, col: str, n: int, name: str = "_bk") -> DataFrame:
+    """Append ``name``: an ordered bucket 0..n-1 of ``col`` (nulls first as -1, NaN last)."""
+    keyed = df.withColumn("_ok", _order_key(df, col))
+    probs = [i / n for i in range(1, n)]
+    bounds = []
+    if probs:
+        r = keyed.where(F.col("_ok").isNotNull() & ~F.isnan("_ok")).agg(
+            F.percentile_approx("_ok", probs, 10_000).alias("b")).collect()[0]["b"]
+        bounds = sorted(set(r or []))
+    splits = [float("-inf")] + bounds + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol="_ok", outputCol="_bkd", handleInvalid="keep").transform(keyed)
+    return b.withColumn(name, F.when(F.col("_ok").isNull(), F.lit(-1)).otherwise(F.col("_bkd").cast("int"))) \
+            .drop("_ok", "_bkd")
 
 
 def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: dict[str, str],
@@ -23,31 +59,31 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: dict[str, str]
     of the strictly earlier rows.
     """
     group_cols = list(group_cols)
-    keys = group_cols + list(order_cols)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    bucketed = order_buckets(df, order_cols[0], n)
 
-    frame = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols)
+    frame = Window.partitionBy("_bk", *group_cols).orderBy(*order_cols)
     frame = frame.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged
+    local = bucketed
     for out, src in value_cols.items():
         local = local.withColumn(f"_loc_{out}", F.sum(F.col(src)).over(frame))
 
-    totals = ranged.groupBy("_pid", *group_cols).agg(
+    totals = bucketed.groupBy("_bk", *group_cols).agg(
         *[F.sum(F.col(src)).alias(f"_tot_{out}") for out, src in value_cols.items()])
-    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group_cols).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_pid", *group_cols,
+        "_bk", *group_cols,
         *[F.coalesce(F.sum(f"_tot_{out}").over(before), F.lit(0)).alias(f"_off_{out}") for out in value_cols])
 
-    joined = local.join(offsets, on=["_pid", *group_cols], how="inner")
+    cond = [local["_bk"] == offsets["_bk"]] + [local[g].eqNullSafe(offsets[g]) for g in group_cols]
+    joined = local.join(offsets, on=cond, how="inner")
     outs = []
     for out, src in value_cols.items():
         running = F.col(f"_off_{out}") + F.col(f"_loc_{out}")
         if not inclusive:
-            running = running - F.col(src)
+            running = running - local[src]
         outs.append(running.alias(out))
-    keep = [c for c in df.columns if c not in value_cols]
+    keep = [local[c] for c in df.columns if c not in value_cols]
     return joined.select(*keep, *outs)
 
 
