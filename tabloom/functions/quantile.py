@@ -1,37 +1,136 @@
-"""Exact quantiles with linear interpolation (pandas' default rule).
+"""Exact quantiles with linear interpolation (pandas' default rule), in bounded memory.
 
-All profile and transform operators get their quantiles here, so the
-strategy can change in one place.  ``percentile`` is Spark's exact
-aggregate; it keeps one counter per distinct value of a group, so the
-values are pre-counted with a map-side-combined ``groupBy(value)`` first,
-and the per-group state then holds one entry per distinct value.
+Spark's exact ``percentile`` aggregate keeps every distinct value of a group
+in one buffer, which a hot group of a continuous column cannot afford.
+Here each needed order statistic is found by bracket refinement:
+
+1. count, min and max per group (one pass);
+2. while a bracket holds more than ``max_sort`` values: an approximate
+   quantile grid of the values inside it (``percentile_approx``) narrows it
+   to the grid steps around the target rank, and one counting pass fixes
+   the exact number of values below the new bracket;
+3. the few values left in each bracket are ranked with a window, and the
+   value at the target rank is read off.
+
+Every pass is an aggregate or a join with a table of brackets (groups x
+ranks rows), so the work is distributed and the result is exact; columns
+are unpivoted so one pass serves all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.exprs import clean_num
+from tabloom.session import cut_lineage
+
+MAX_SORT = 1_000_000   # values per (group, rank) that may be ranked in one task
+GRID = 1_000           # grid points per refinement round
+ACCURACY = 10_000      # percentile_approx accuracy (rank error <= 1/ACCURACY of the bracket)
+MAX_ROUNDS = 8
+
+
+def _long(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    args = []
+    for c in cols:
+        args += [F.lit(c), clean_num(c, df.schema[c].dataType)]
+    return (df.select(*by, F.stack(F.lit(len(cols)), *args).alias("_c", "_v"))
+            .where(F.col("_v").isNotNull()))
+
 
+def order_statistics(long: DataFrame, keys: list[str], ranks: DataFrame, max_sort: int = MAX_SORT) -> DataFrame:
+    """Exact values at 0-based ranks.
 
-def quantile_table(df: DataFrame, cols: list[str], probs: list[float], by: list[str] = ()) -> DataFrame:
+    ``long`` has ``keys`` and a double ``_v``; ``ranks`` has ``keys``, ``_r``
+    (0-based rank), ``_n``, ``_lo`` and ``_hi`` (count, min, max of the group).
+    Returns ``keys, _r, _val``.
+    """
+    br = ranks.select(*keys, "_r", "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"),
+                      F.col("_n").alias("_inside"))
+    step = 1.0 / GRID
+    probs = [i * step for i in range(1, GRID)]
+    for _ in range(MAX_ROUNDS):
+        big = br.where(F.col("_inside") > max_sort)
+        if big.limit(1).count() == 0:
+            break
+        small = br.where(F.col("_inside") <= max_sort)
+        inside = long.join(big.select(*keys, "_r", "_lo", "_hi"), keys) \
+                     .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        grid = inside.groupBy(*keys, "_r").agg(F.percentile_approx("_v", probs, ACCURACY).alias("_g"))
+        cand = big.join(grid, [*keys, "_r"])
+        k = F.floor((F.col("_r") - F.col("_below")).cast("double") / F.col("_inside") * GRID).cast("int")
+        new_lo = F.when(k - 1 >= 1, F.element_at("_g", k - 1)).otherwise(F.col("_lo"))
+        new_hi = F.when(k + 2 <= GRID - 1, F.element_at("_g", k + 2)).otherwise(F.col("_hi"))
+        cand = cand.select(*keys, "_r", "_lo", "_hi", "_below", "_inside",
+                           F.greatest(new_lo, F.col("_lo")).alias("_nlo"), F.least(new_hi, F.col("_hi")).alias("_nhi"))
+        counted = long.join(cand.select(*keys, "_r", "_lo", "_hi", "_nlo", "_nhi"), keys) \
+                      .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))) \
+                      .groupBy(*keys, "_r").agg(
+                          F.count_if(F.col("_v") < F.col("_nlo")).alias("_add"),
+                          F.count_if((F.col("_v") >= F.col("_nlo")) & (F.col("_v") <= F.col("_nhi"))).alias("_nin"))
+        upd = cand.join(counted, [*keys, "_r"])
+        ok = (F.col("_r") >= F.col("_below") + F.col("_add")) & \
+             (F.col("_r") < F.col("_below") + F.col("_add") + F.col("_nin"))
+        refined = upd.select(
+            *keys, "_r",
+            F.when(ok, F.col("_nlo")).otherwise(F.col("_lo")).alias("_lo"),
+            F.when(ok, F.col("_nhi")).otherwise(F.col("_hi")).alias("_hi"),
+            F.when(ok, F.col("_below") + F.col("_add")).otherwise(F.col("_below")).alias("_below"),
+            F.when(ok, F.col("_nin")).otherwise(F.col("_inside")).alias("_inside"))
+        # cut lineage so a round does not recompute the earlier ones (reliable checkpoint)
+        br = cut_lineage(small.unionByName(refined))
+    sel = long.join(br, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    w = Window.partitionBy(*keys, "_r").orderBy("_v")
+    sel = sel.withColumn("_rn", F.row_number().over(w))
+    return sel.where(F.col("_rn") == F.col("_r") - F.col("_below") + 1).select(*keys, "_r", F.col("_v").alias("_val"))
+
+
+def quantile_table(df: DataFrame, cols: list[str], probs: list[float], by: list[str] = (),
+                   max_sort: int = MAX_SORT) -> DataFrame:
     """One row per group of ``by``; column ``c`` holds ``array<double>`` of the quantiles of ``c``.
 
-    Nulls and NaN are skipped.  A group without values gives null.
+    Nulls and NaN are skipped; a group without values gives null.
     """
     by = list(by)
-    probs_lit = F.array(*[F.lit(float(p)) for p in probs])
-    if len(cols) == 1:
-        c = cols[0]
-        counted = (df.select(*by, clean_num(c, df.schema[c].dataType).alias("_v"))
-                   .where(F.col("_v").isNotNull())
-                   .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
-        return counted.groupBy(*by).agg(F.percentile(F.col("_v"), probs_lit, F.col("_n")).alias(c))
-    aggs = [F.percentile(clean_num(c, df.schema[c].dataType), probs_lit).alias(c) for c in cols]
-    if by:
-        return df.groupBy(*by).agg(*aggs)
-    return df.agg(*aggs)
+    spark = df.sparkSession
+    keys = by + ["_c"]
+    long = _long(df, cols, by)
+    stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    max_n = stats.agg(F.max("_n")).collect()[0][0] or 0
+    if max_n <= max_sort:
+        # every group is small enough for Spark's exact aggregate (buffer <= max_sort values)
+        counted = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
+        plit = F.array(*[F.lit(float(p)) for p in probs])
+        arr = counted.groupBy(*keys).agg(F.percentile(F.col("_v"), plit, F.col("_w")).alias("_a"))
+        return _wide(spark, arr, cols, by)
+    parr = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    targets = stats.select(*keys, "_n", "_lo", "_hi", F.explode(parr).alias("t"))
+    pos = F.col("t.p") * (F.col("_n") - 1)
+    targets = targets.select(*keys, "_n", "_lo", "_hi", F.col("t.pi").alias("_pi"),
+                             F.floor(pos).cast("bigint").alias("_r0"),
+                             F.least(F.floor(pos).cast("bigint") + 1, F.col("_n") - 1).alias("_r1"),
+                             (pos - F.floor(pos)).alias("_frac"))
+    ranks = targets.select(*keys, "_n", "_lo", "_hi", F.explode(F.array("_r0", "_r1")).alias("_r")).distinct()
+    vals = order_statistics(long, keys, ranks, max_sort)
+    v0 = vals.select(*keys, F.col("_r").alias("_r0"), F.col("_val").alias("_v0"))
+    v1 = vals.select(*keys, F.col("_r").alias("_r1"), F.col("_val").alias("_v1"))
+    q = targets.join(v0, [*keys, "_r0"]).join(v1, [*keys, "_r1"]) \
+               .select(*keys, "_pi", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac")).alias("_q"))
+    arr = q.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pi", "_q"))).alias("_a")) \
+           .select(*keys, F.transform("_a", lambda s: s["_q"]).alias("_a"))
+    return _wide(spark, arr, cols, by)
+
+
+def _wide(spark, arr: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """``(by, _c, _a)`` to one row per group with one array column per source column."""
+    wide = arr.groupBy(*by).pivot("_c", cols).agg(F.first("_a"))
+    if not by:
+        # keep exactly one row, also for an empty input
+        one = spark.range(1).select(F.lit(1).alias("_one"))
+        wide = one.join(wide.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    return wide.select(*by, *[F.col(c) if c in wide.columns else F.lit(None).cast("array<double>").alias(c)
+                              for c in cols])
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:

@@ -219,7 +219,8 @@ class AdaBoost:
 
 def _logreg(df, label):
     n = df.count()
-    return LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=200)
+    # scikit-learn's defaults: C = 1 (L2), 100 iterations, tolerance 1e-4
+    return LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-4)
 
 
 def _gbt_cls():

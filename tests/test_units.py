@@ -223,3 +223,19 @@ def test_casts(spark):
     assert out == [1234.5, None, None]
     ints = [r["t_int"] for r in C.to_int(spark.createDataFrame([(" 12 ",), ("",)], "t string"), ["t"]).collect()]
     assert ints == [12, None]
+
+
+@pytest.mark.parametrize("max_sort", [40, 10_000_000])
+def test_exact_quantiles_both_paths(spark, sf, max_sort):
+    from tabloom.functions.quantile import quantile_table
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "value", "user_id")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {r["event_type"]: (r["value"], r["user_id"])
+           for r in quantile_table(e, ["value", "user_id"], probs, ["event_type"], max_sort=max_sort).collect()}
+    pdf = e.toPandas()
+    for t, g in pdf.groupby("event_type"):
+        for i, c in enumerate(["value", "user_id"]):
+            exp = np.quantile(g[c].to_numpy(dtype=float), probs)
+            assert got[t][i] == pytest.approx(list(exp), rel=1e-12, abs=1e-9)
+    whole = quantile_table(e, ["value"], probs, max_sort=max_sort).collect()[0]["value"]
+    assert whole == pytest.approx(list(np.quantile(pdf["value"].to_numpy(), probs)), rel=1e-12)
