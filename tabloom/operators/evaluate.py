@@ -140,6 +140,37 @@ def pr_curve(df: DataFrame, y: str, score: str, positive=1) -> DataFrame:
                       (F.col("tp") / F.lit(p)).alias("recall"))
 
 
+def _ovr_long(df: DataFrame, y: str, prob_cols: dict) -> DataFrame:
+    """One row per (row, class): the class's score and whether the row belongs to it."""
+    pairs = []
+    for c, col in prob_cols.items():
+        pairs += [F.lit(str(c)), F.struct(F.col(col).cast("double").alias("s"),
+                                          (F.col(y) == F.lit(c)).cast("int").alias("t"))]
+    return df.select(F.stack(F.lit(len(prob_cols)), *pairs).alias("cls", "v")).select("cls", "v.s", "v.t")
+
+
+def curves_ovr(df: DataFrame, y: str, prob_cols: dict, kind: str = "roc") -> DataFrame:
+    """One-vs-rest ROC or PR curve of every class plus the micro average (all class scores pooled).
+
+    Long form ``(curve, threshold, ...)``; ``curve`` is the class label or ``'micro'``.
+    """
+    long = _ovr_long(df, y, prob_cols)
+    pooled = long.withColumn("cls", F.lit("micro"))
+    both = long.unionByName(pooled)
+    sc = both.groupBy("cls", F.col("s").alias("score")).agg(F.sum("t").cast("long").alias("pos"),
+                                                          F.sum(1 - F.col("t")).cast("long").alias("neg"))
+    tot = sc.groupBy("cls").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    cum = prefix_sums(sc.withColumn("_neg_score", -F.col("score")), ["_neg_score"], {"tp": "pos", "fp": "neg"},
+                      ["cls"])
+    cum = cum.join(tot, "cls")
+    if kind == "roc":
+        return cum.select(F.col("cls").alias("curve"), F.col("score").alias("threshold"),
+                          (F.col("tp") / F.col("P")).alias("tpr"), (F.col("fp") / F.col("N")).alias("fpr"))
+    return cum.select(F.col("cls").alias("curve"), F.col("score").alias("threshold"),
+                      (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+                      (F.col("tp") / F.col("P")).alias("recall"))
+
+
 def ks_statistic(df: DataFrame, y: str, score: str, positive=1) -> DataFrame:
     """Largest gap between the two classes' cumulative score shares, and where it is."""
     sc = _score_counts(df, y, score, positive)

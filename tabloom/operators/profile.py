@@ -88,6 +88,19 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return spark.createDataFrame(rows, DESCRIBE_SCHEMA)
 
 
+def describe_column(df: DataFrame, col: str, nbins: int = 10) -> dict[str, DataFrame]:
+    """Everything about one column: summary row, distinct/missing, distribution and correlations."""
+    out = {"summary": describe(df, [col]), "column": column_list(df.select(col))}
+    if is_numeric(df.schema[col].dataType):
+        out["histogram"] = histogram(df, col, nbins)
+        others = [c for c in numeric_columns(df) if c != col]
+        if others:
+            out["correlations"] = corr_with(df, col, others)
+    else:
+        out["counts"] = count_values(df, col)
+    return out
+
+
 def column_list(df: DataFrame) -> DataFrame:
     """Per column: dtype, number of distinct non-null values, number missing."""
     cols = df.columns

@@ -161,3 +161,39 @@ UNION ALL SELECT 'y3', CASE WHEN count(DISTINCT y3) <= 2 THEN 'roc_auc' ELSE 'f1
 def choose_scoring(spark, sf):
     d = f_class(spark, sf)
     return spark.createDataFrame([(t, E.choose_scoring(d, t)) for t in ("y", "y3")], "target string, scoring string")
+
+
+def _three_class(spark, sf):
+    # a rule-made probability for each of the three classes of y3 (rows sum to one)
+    d = f_class(spark, sf)
+    a, b, c = F.col("x1") + 0.1, F.col("x2") + 0.1, F.col("x3") + 0.1
+    t = a + b + c
+    return d.select("y3", (a / t).alias("p0"), (b / t).alias("p1"), (c / t).alias("p2"))
+
+
+_OVR_SQL = """q AS (SELECT y3, x1 + 0.1 AS a, x2 + 0.1 AS b, x3 + 0.1 AS c FROM f_class),
+p AS (SELECT y3, a / (a + b + c) AS p0, b / (a + b + c) AS p1, c / (a + b + c) AS p2 FROM q),
+l AS (SELECT '0' AS cls, p0 AS s, CASE WHEN y3 = 0 THEN 1 ELSE 0 END AS t FROM p
+      UNION ALL SELECT '1', p1, CASE WHEN y3 = 1 THEN 1 ELSE 0 END FROM p
+      UNION ALL SELECT '2', p2, CASE WHEN y3 = 2 THEN 1 ELSE 0 END FROM p),
+b AS (SELECT * FROM l UNION ALL SELECT 'micro', s, t FROM l),
+sc AS (SELECT cls, s AS score, sum(t) AS pos, sum(1 - t) AS neg FROM b GROUP BY cls, s),
+tot AS (SELECT cls, CAST(sum(pos) AS DOUBLE) AS P, CAST(sum(neg) AS DOUBLE) AS N FROM sc GROUP BY cls),
+c AS (SELECT cls, score, sum(pos) OVER (PARTITION BY cls ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+        sum(neg) OVER (PARTITION BY cls ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp FROM sc)
+"""
+
+
+@register("roc_curve_ovr", _cte(_OVR_SQL + f"""SELECT c.cls AS curve, round(score, {D}) AS threshold,
+  round(tp / P, {D}) AS tpr, round(fp / N, {D}) AS fpr FROM c JOIN tot ON c.cls = tot.cls""", "f_class"))
+def roc_curve_ovr(spark, sf):
+    d = _three_class(spark, sf)
+    return round_doubles(E.curves_ovr(d, "y3", {0: "p0", 1: "p1", 2: "p2"}, "roc"), D)
+
+
+@register("pr_curve_ovr", _cte(_OVR_SQL + f"""SELECT c.cls AS curve, round(score, {D}) AS threshold,
+  round(tp / (tp + fp), {D}) AS precision, round(tp / P, {D}) AS recall FROM c JOIN tot ON c.cls = tot.cls""",
+                              "f_class"))
+def pr_curve_ovr(spark, sf):
+    d = _three_class(spark, sf)
+    return round_doubles(E.curves_ovr(d, "y3", {0: "p0", 1: "p1", 2: "p2"}, "pr"), D)

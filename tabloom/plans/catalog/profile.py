@@ -243,3 +243,9 @@ SELECT 'l_quantity' AS feature, round(a * c / (a * c - b * b), {R}) AS vif FROM
 UNION ALL SELECT 'l_tax', round(a * c / (a * c - b * b), {R}) FROM g""")
 def vif_centered_two(spark, sf):
     return round_doubles(P.vif(table(spark, sf, "lineitem"), ["l_quantity", "l_tax"], centered=True), R)
+
+
+@register("describe_column_acctbal", _describe_sql("customer", [("c_acctbal", "double", True)]))
+def describe_column_acctbal(spark, sf):
+    parts = P.describe_column(table(spark, sf, "customer"), "c_acctbal")
+    return round_doubles(parts["summary"], R)
