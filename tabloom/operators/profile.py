@@ -203,38 +203,35 @@ def kde(df: DataFrame, col: str, grid_points: int = 50, bandwidth: float | None
 
 
 def box_stats(df: DataFrame, col: str, by: list[str] = (), whisker: float = 1.5) -> DataFrame:
-    """Quartiles, fences, whisker ends (most extreme values inside the fences) and outlier count per group."""
+    """Quartiles, fences, whisker ends (most extreme values inside the fences) and outlier count per group.
+
+    The quartile table (one row per group) is computed once and joined to the
+    values once; the quartiles ride through the final aggregate.
+    """
     by = list(by)
     q = quantile_table(df, [col], [0.25, 0.5, 0.75], by)
     q = q.select(*by, F.col(col)[0].alias("q1"), F.col(col)[1].alias("median"), F.col(col)[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("lower_fence", F.col("q1") - whisker * F.col("iqr")) \
          .withColumn("upper_fence", F.col("q3") + whisker * F.col("iqr"))
+    stat_cols = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
     v = clean_num(col, df.schema[col].dataType)
     data = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
     if by:
-        cond = [data[b].eqNullSafe(q[b]) for b in by]
-        j = data.join(q, on=cond, how="inner").select(*[data[b] for b in by], "_v", "lower_fence", "upper_fence")
+        qr = q.select(*[F.col(b).alias(f"_q_{b}") for b in by], *stat_cols)
+        cond = [data[b].eqNullSafe(qr[f"_q_{b}"]) for b in by]
+        j = data.join(qr, on=cond, how="inner").drop(*[f"_q_{b}" for b in by])
     else:
-        # whole-table fences are two numbers: inline them instead of joining
+        # whole-table fences are a few numbers: inline them instead of joining
         row = q.collect()[0]
-        lf, uf = row["lower_fence"], row["upper_fence"]
-        j = data.withColumn("lower_fence", F.lit(lf)).withColumn("upper_fence", F.lit(uf))
+        j = data.withColumns({k: F.lit(row[k]) for k in stat_cols})
     inside = (F.col("_v") >= F.col("lower_fence")) & (F.col("_v") <= F.col("upper_fence"))
-    ext = j.groupBy(*by).agg(
+    return j.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
+        *[F.first(k).alias(k) for k in stat_cols],
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"))
-    if by:
-        cond = [q[b].eqNullSafe(ext[b]) for b in by]
-        return q.join(ext, on=cond, how="inner").select(*[q[b] for b in by], "n", "q1", "median", "q3", "iqr",
-                                                        "lower_fence", "upper_fence", "whisker_low",
-                                                        "whisker_high", "n_outliers")
-    row = q.collect()[0]
-    return ext.select("n", *[F.lit(row[k]).alias(k) for k in ("q1", "median", "q3", "iqr", "lower_fence",
-                                                              "upper_fence")],
-                      "whisker_low", "whisker_high", "n_outliers")
 
 
 def count_values(df: DataFrame, x: str, color: str | None = None) -> DataFrame:
