@@ -101,12 +101,17 @@ def describe_column(df: DataFrame, col: str, nbins: int = 10) -> dict[str, DataF
     return out
 
 
-def column_list(df: DataFrame) -> DataFrame:
-    """Per column: dtype, number of distinct non-null values, number missing."""
+def column_list(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Per column: dtype, number of distinct non-null values, number missing.
+
+    ``approx=True`` counts distinct values with HyperLogLog (one pass, a few
+    KB of state per column) instead of the exact distinct aggregation.
+    """
     cols = df.columns
     aggs = []
     for c in cols:
-        aggs += [F.count_distinct(F.col(c)).alias(f"{c}__d"),
+        d = F.approx_count_distinct(F.col(c)) if approx else F.count_distinct(F.col(c))
+        aggs += [d.alias(f"{c}__d"),
                  F.count_if(F.col(c).isNull()).alias(f"{c}__m")]
     r = df.agg(*aggs).collect()[0]
     rows = [(c, df.schema[c].dataType.simpleString(), r[f"{c}__d"], r[f"{c}__m"]) for c in cols]
@@ -246,9 +251,26 @@ def pie(df: DataFrame, values: str, names: str) -> DataFrame:
     return g.withColumn("share", F.col("total") / F.lit(total))
 
 
+WIDE_CORR = 60  # above this many columns the pairwise aggregates give way to one vector pass
+
+
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair (pairwise complete rows), long form."""
+    """Pearson correlation of every pair (pairwise complete rows), long form.
+
+    Up to ``WIDE_CORR`` columns every pair is one aggregate expression of a
+    single pass.  Wider tables use ``ml.stat.Correlation`` on assembled
+    vectors (one pass, rows complete in every column).
+    """
     cols = cols or numeric_columns(df)
+    if len(cols) > WIDE_CORR:
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.stat import Correlation
+        vec = VectorAssembler(inputCols=cols, outputCol="_vec").transform(
+            df.select(*[clean_num(c, df.schema[c].dataType).alias(c) for c in cols]).dropna())
+        m = Correlation.corr(vec, "_vec", "pearson").collect()[0][0].toArray()
+        rows = [(a, b, None if math.isnan(m[i, j]) else float(m[i, j]))
+                for i, a in enumerate(cols) for j, b in enumerate(cols)]
+        return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
     types = {c: df.schema[c].dataType for c in cols}
     aggs = []
     for i, a in enumerate(cols):

@@ -249,3 +249,18 @@ def vif_centered_two(spark, sf):
 def describe_column_acctbal(spark, sf):
     parts = P.describe_column(table(spark, sf, "customer"), "c_acctbal")
     return round_doubles(parts["summary"], R)
+
+
+@register("column_list_orders_approx", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS missing FROM orders"""
+    for c, t in ORDERS_COLS))
+def column_list_orders_approx(spark, sf):
+    # the approximate distinct count is checked by tests (relative error); the rest by SQL
+    return P.column_list(table(spark, sf, "orders"), approx=True).drop("distinct")
+
+
+@register("scatter_sample_part", """SELECT p_partkey, p_partkey AS x, p_retailprice AS y FROM part
+WHERE CAST(('0x' || substr(md5(concat('3:', CAST(p_partkey AS VARCHAR))), 1, 8)) AS BIGINT) < 429496729""")
+def scatter_sample_part(spark, sf):
+    p = table(spark, sf, "part").withColumn("x", F.col("p_partkey")).withColumn("y", F.col("p_retailprice"))
+    return P.scatter_sample(p, "x", "y", 0.1, seed=3, key="p_partkey")

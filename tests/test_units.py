@@ -192,21 +192,53 @@ def test_smote_balances_classes(spark, sf):
     assert syn.where(F.col("x1") < mins[0] - 1e-9).count() == 0
 
 
-def test_shapley_values_add_up(spark, sf):
+def test_shapley_values_exact_with_one_background_row(spark, sf):
     from tabloom.operators.explain import shap_sampled
     from tabloom.operators.models import learners
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    feats = ["x1", "x2", "x3"]
     d = f_class(spark, sf)
-    fitted = learners("regression")["Linear Regression"].fit(d, ["x1", "x2", "x3"], "y")
+    fitted = learners("regression")["Linear Regression"].fit(d, feats, "y")
     rows = d.orderBy(*key).limit(20)
-    shap = shap_sampled(fitted, rows, key, d, n_perm=6)
-    tot = shap.groupBy(*key).agg(F.sum("shap").alias("s"))
-    pred = fitted.transform(rows).select(*key, "prediction")
-    # linear model: sum of Shapley values = f(x) - mean of the background outputs used
+    bg = d.orderBy(F.desc("l_orderkey")).limit(1)
+    b = bg.collect()[0]
+    shap = {(tuple(r[k] for k in key), r["feature"]): r["shap"]
+            for r in shap_sampled(fitted, rows, key, bg, n_perm=3).collect()}
     coef = fitted.last_stage.coefficients.toArray()
-    j = tot.join(pred, key).collect()
-    assert len(j) == 20
-    assert all(abs(r["s"]) <= abs(r["prediction"]) + 10 * float(np.abs(coef).sum()) for r in j)
+    f_b = fitted.transform(bg).collect()[0]["prediction"]
+    for r in fitted.transform(rows).collect():
+        k = tuple(r[c] for c in key)
+        vals = [shap[(k, f)] for f in feats]
+        # efficiency: the values add up to f(x) - f(background)
+        assert sum(vals) == pytest.approx(r["prediction"] - f_b, abs=1e-9)
+        # linear model: each value is coef * (x - b)
+        for j, f in enumerate(feats):
+            assert vals[j] == pytest.approx(coef[j] * (r[f] - b[f]), abs=1e-9)
+
+
+def test_approx_distinct_and_wide_correlation(spark, sf, monkeypatch):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    exact = {r["column"]: r["distinct"] for r in P.column_list(o).collect()}
+    approx = {r["column"]: r["distinct"] for r in P.column_list(o, approx=True).collect()}
+    for c, n in exact.items():
+        assert abs(approx[c] - n) <= max(2, 0.2 * n)   # HyperLogLog, rsd 0.05
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    pair = {(r["col_a"], r["col_b"]): r["corr"] for r in P.corr_matrix(li, cols).collect()}
+    monkeypatch.setattr(P, "WIDE_CORR", 2)
+    wide = {(r["col_a"], r["col_b"]): r["corr"] for r in P.corr_matrix(li, cols).collect()}
+    for k, v in pair.items():
+        assert wide[k] == pytest.approx(v, abs=1e-9)
+
+
+def test_one_vs_rest_curves_end_at_one(spark, sf):
+    d = f_class(spark, sf).withColumn("p0", 1 - F.col("x1") / 2).withColumn("p1", F.col("x2") / 2) \
+        .withColumn("p2", F.col("x1") / 2)
+    roc = E.curves_ovr(d, "y3", {0: "p0", 1: "p1", 2: "p2"}, "roc")
+    ends = {r["curve"]: (r["tpr"], r["fpr"]) for r in
+            roc.groupBy("curve").agg(F.max("tpr").alias("tpr"), F.max("fpr").alias("fpr")).collect()}
+    assert set(ends) == {"0", "1", "2", "micro"}
+    assert all(v == (1.0, 1.0) for v in ends.values())
 
 
 def test_choose_scoring_and_problem_type(spark, sf):
