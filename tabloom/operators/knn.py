@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.operators.models import Fitted
+from tabloom.session import cut_lineage
 
 BLOCK_ROWS = 20_000     # rows per block on each side
-CHUNK_CELLS = 8_000_000  # distance-matrix cells (x dims for L1/Lp) per NumPy chunk
+CHUNK_CELLS = 4_000_000  # distance-matrix cells per NumPy chunk
 
 
 def _vec(df: DataFrame, features: list[str]):
@@ -29,70 +30,169 @@ def _vec(df: DataFrame, features: list[str]):
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
+def _distances(a: np.ndarray, rv: np.ndarray, metric: str, p: float) -> np.ndarray:
+    """Distances of a chunk of queries to all references, summed dimension by dimension.
+
+    The left-to-right sum gives the same doubles as Spark's ``aggregate`` over
+    ``zip_with`` and as DuckDB's ``list_distance``, so ties are real ties.
+    """
+    acc = np.zeros((a.shape[0], rv.shape[0]))
+    for j in range(a.shape[1]):
+        diff = a[:, j, None] - rv[None, :, j]
+        if metric == "euclidean":
+            acc += diff * diff
+        elif metric == "manhattan":
+            acc += np.abs(diff)
+        else:
+            acc += np.abs(diff) ** p
+    if metric == "euclidean":
+        return np.sqrt(acc)
+    if metric == "manhattan":
+        return acc
+    return acc ** (1.0 / p)
+
+
 def _topk_fn(k: int, metric: str, p: float, exclude_self: bool):
+    """Per cogroup: the ``k`` best references of each query by ``(distance, reference key)``."""
     def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"qkey": pd.Series([], dtype="int64"), "rkey": pd.Series([], dtype="int64"),
+                              "dist": pd.Series([], dtype="float64")})
         if q.empty or r.empty:
-            return pd.DataFrame({"qkey": pd.Series([], dtype="int64"), "rkey": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
+            return empty
         qv = np.stack(q["v"].to_numpy()).astype(np.float64)
         rv = np.stack(r["v"].to_numpy()).astype(np.float64)
         qk = q["qkey"].to_numpy()
         rk = r["rkey"].to_numpy()
         kk = min(k + (1 if exclude_self else 0), len(rk))
+        chunk = max(1, CHUNK_CELLS // max(len(rk), 1))
         outs = []
-        r_sq = (rv * rv).sum(axis=1)
-        width = len(rk) * (1 if metric == "euclidean" else qv.shape[1])
-        chunk = max(1, CHUNK_CELLS // max(width, 1))
         for s in range(0, len(qk), chunk):
-            a = qv[s:s + chunk]
-            if metric == "euclidean":
-                d2 = (a * a).sum(axis=1)[:, None] + r_sq[None, :] - 2.0 * a @ rv.T
-                d = np.sqrt(np.maximum(d2, 0.0))
-            elif metric == "manhattan":
-                d = np.abs(a[:, None, :] - rv[None, :, :]).sum(axis=2)
-            else:
-                d = (np.abs(a[:, None, :] - rv[None, :, :]) ** p).sum(axis=2) ** (1.0 / p)
+            d = _distances(qv[s:s + chunk], rv, metric, p)
             if exclude_self:
                 d = np.where(qk[s:s + chunk, None] == rk[None, :], np.inf, d)
-            idx = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else \
-                np.tile(np.arange(d.shape[1]), (d.shape[0], 1))
-            rows = np.repeat(np.arange(d.shape[0]), idx.shape[1])
-            cols = idx.ravel()
+            # every element up to the kk-th smallest distance (ties included), then exact order
+            thr = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+            rows, cols = np.nonzero(d <= thr[:, None])
             dist = d[rows, cols]
-            keep = np.isfinite(dist)
+            order = np.lexsort((rk[cols], dist, rows))
+            rows, cols, dist = rows[order], cols[order], dist[order]
+            starts = np.searchsorted(rows, np.arange(d.shape[0]))
+            pos = np.arange(len(rows)) - starts[rows]
+            keep = (pos < kk) & np.isfinite(dist)
             outs.append(pd.DataFrame({"qkey": qk[s:s + chunk][rows[keep]], "rkey": rk[cols[keep]],
                                       "dist": dist[keep]}))
-        return pd.concat(outs, ignore_index=True)
+        return pd.concat(outs, ignore_index=True) if outs else empty
     return fn
 
 
-def _exact_euclid(df: DataFrame, features: list[str], qv, rv) -> "F.Column":
-    return F.sqrt(F.aggregate(F.zip_with(qv, rv, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y))
+GRID_MAX_DIMS = 8        # grid pruning pays off only for low-dimensional features
+GRID_ROWS_PER_CELL = 512  # target reference rows per grid cell
+OFFSETS = [-1, 0, 1]
+
+
+def _blocked_candidates(q: DataFrame, r: DataFrame, k: int, metric: str, p: float, exclude_self: bool,
+                        block_rows: int) -> DataFrame:
+    """Every query block against every reference block: top-k per query per block (brute force)."""
+    nq, nr = q.count(), r.count()
+    bq, br = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows))
+    q_rep = q.withColumn("qb", F.pmod(F.xxhash64("qkey"), F.lit(bq)).cast("int")) \
+             .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1))))
+    r_rep = r.withColumn("rb", F.pmod(F.xxhash64("rkey"), F.lit(br)).cast("int")) \
+             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+    return (q_rep.groupBy("qb", "rb").cogroup(r_rep.groupBy("qb", "rb"))
+            .applyInPandas(_topk_fn(k, metric, p, exclude_self), "qkey bigint, rkey bigint, dist double"))
+
+
+def _grid_candidates(q: DataFrame, r: DataFrame, k: int, metric: str, p: float, exclude_self: bool,
+                     block_rows: int, dims: int):
+    """Exact candidates from the 3x3 neighbouring cells of a grid on the two widest dimensions.
+
+    Returns ``(candidates, resolved)``: ``resolved`` lists the queries whose
+    k-th candidate lies within the cell width ``w``.  Every point outside
+    the 3x3 block is at least ``w`` away (any Lp norm), so those k are exact.
+    Dense cells are split into hash sub-blocks on both sides, so no group
+    holds more than ``block_rows`` rows of either side.
+    Returns ``None`` when the data give no usable grid.
+    """
+    st = r.agg(F.count(F.lit(1)).alias("n"),
+               *[F.min(F.col("v")[j]).alias(f"lo{j}") for j in range(dims)],
+               *[F.max(F.col("v")[j]).alias(f"hi{j}") for j in range(dims)]).collect()[0]
+    spans = sorted(((st[f"hi{j}"] - st[f"lo{j}"], j) for j in range(dims)
+                    if st[f"hi{j}"] is not None and st[f"hi{j}"] > st[f"lo{j}"]), reverse=True)[:2]
+    if not spans or not st["n"]:
+        return None
+    per_cell = max(8 * k, GRID_ROWS_PER_CELL)
+    cells = max(1.0, st["n"] / per_cell)
+    area = 1.0
+    for span, _ in spans:
+        area *= span
+    w = (area / cells) ** (1.0 / len(spans))
+    axes = [j for _, j in spans]
+
+    def cell(j):
+        return F.floor((F.col("v")[j] - F.lit(st[f"lo{j}"])) / F.lit(w)).cast("bigint")
+
+    qc = q.select("qkey", "v", *[cell(j).alias(f"c{i}") for i, j in enumerate(axes)])
+    shifts = F.array(*[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(combo)])
+                       for combo in _combos(len(axes))])
+    rc = r.select("rkey", "v", *[cell(j).alias(f"b{i}") for i, j in enumerate(axes)], F.explode(shifts).alias("s"))
+    rc = rc.select("rkey", "v", *[(F.col(f"b{i}") + F.col(f"s.o{i}")).alias(f"c{i}") for i in range(len(axes))])
+    ck = [f"c{i}" for i in range(len(axes))]
+    sizes = (qc.groupBy(*ck).agg(F.count(F.lit(1)).alias("nq"))
+             .join(rc.groupBy(*ck).agg(F.count(F.lit(1)).alias("nr")), ck)
+             .select(*ck, F.ceil(F.col("nq") / block_rows).cast("int").alias("bq"),
+                     F.ceil(F.col("nr") / block_rows).cast("int").alias("br")))
+    q_rep = qc.join(sizes, ck).withColumn("qs", F.pmod(F.xxhash64("qkey"), F.col("bq")).cast("int")) \
+              .withColumn("rs", F.explode(F.sequence(F.lit(0), F.col("br") - 1))).select("qkey", "v", *ck, "qs", "rs")
+    r_rep = rc.join(sizes, ck).withColumn("rs", F.pmod(F.xxhash64("rkey"), F.col("br")).cast("int")) \
+              .withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("bq") - 1))).select("rkey", "v", *ck, "qs", "rs")
+    keys = [*ck, "qs", "rs"]
+    cand = (q_rep.groupBy(*keys).cogroup(r_rep.groupBy(*keys))
+            .applyInPandas(_topk_fn(k, metric, p, exclude_self), "qkey bigint, rkey bigint, dist double"))
+    wq = Window.partitionBy("qkey").orderBy("dist", "rkey")
+    top = cand.withColumn("_rank", F.row_number().over(wq)).where(F.col("_rank") <= k)
+    whole = Window.partitionBy("qkey")
+    flagged = top.withColumn("_ok", (F.count(F.lit(1)).over(whole) >= k) &
+                             (F.max("dist").over(whole) <= F.lit(w * (1 - 1e-6)))).drop("_rank")
+    # k rows per query, read twice below: materialise once in the shared checkpoint folder
+    flagged = cut_lineage(flagged)
+    return flagged.where(F.col("_ok")).drop("_ok"), flagged.where(F.col("_ok")).select("qkey").distinct()
+
+
+def _combos(n: int) -> list[tuple]:
+    out = [()]
+    for _ in range(n):
+        out = [c + (o,) for c in out for o in OFFSETS]
+    return out
+
+
+def _dims(df: DataFrame, features: list[str]) -> int:
+    if len(features) == 1 and df.schema[features[0]].dataType.simpleString().startswith("array"):
+        first = df.select(F.size(F.col(features[0]))).where(F.col(features[0]).isNotNull()).first()
+        return int(first[0]) if first else 0
+    return len(features)
 
 
 def neighbours(query: DataFrame, qkey: str, ref: DataFrame, rkey: str, features: list[str], k: int = 5,
                metric: str = "euclidean", p: float = 2.0, exclude_self: bool = False,
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, grid: bool | None = None) -> DataFrame:
     """``(qkey, rkey, dist, rank)``: the ``k`` nearest reference rows of every query row.
 
     Keys must be bigint and unique per side.  Ties are broken by reference key.
+    Low-dimensional features first try the exact grid path; queries it
+    cannot settle (and all high-dimensional data) use blocked brute force.
     """
     q = query.select(F.col(qkey).cast("bigint").alias("qkey"), _vec(query, features).alias("v"))
     r = ref.select(F.col(rkey).cast("bigint").alias("rkey"), _vec(ref, features).alias("v"))
-    nq, nr = q.count(), r.count()
-    bq, br = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows))
-    q_rep = q.withColumn("qb", F.pmod(F.xxhash64("qkey"), F.lit(bq)).cast("int")) \
-             .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1))))
-    r_rep = r.withColumn("rb", F.pmod(F.xxhash64("rkey"), F.lit(br)).cast("int")) \
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-    cand = (q_rep.groupBy("qb", "rb").cogroup(r_rep.groupBy("qb", "rb"))
-            .applyInPandas(_topk_fn(k, metric, p, exclude_self), "qkey bigint, rkey bigint, dist double"))
-    if metric == "euclidean":
-        # re-measure the few candidates exactly (the fast form subtracts large squares)
-        qv = q.select(F.col("qkey").alias("_qk"), F.col("v").alias("_qv"))
-        rv = r.select(F.col("rkey").alias("_rk"), F.col("v").alias("_rv"))
-        cand = (cand.join(qv, cand["qkey"] == qv["_qk"]).join(rv, cand["rkey"] == rv["_rk"])
-                .select("qkey", "rkey", _exact_euclid(None, features, F.col("_qv"), F.col("_rv")).alias("dist")))
+    dims = _dims(ref, features)
+    use_grid = grid if grid is not None else (0 < dims <= GRID_MAX_DIMS)
+    got = _grid_candidates(q, r, k, metric, p, exclude_self, block_rows, dims) if use_grid else None
+    if got is None:
+        cand = _blocked_candidates(q, r, k, metric, p, exclude_self, block_rows)
+    else:
+        top, resolved = got
+        rest = q.join(resolved, "qkey", "left_anti")
+        cand = top.unionByName(_blocked_candidates(rest, r, k, metric, p, exclude_self, block_rows))
     w = Window.partitionBy("qkey").orderBy("dist", "rkey")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

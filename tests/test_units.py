@@ -271,3 +271,17 @@ def test_exact_quantiles_both_paths(spark, sf, max_sort):
             assert got[t][i] == pytest.approx(list(exp), rel=1e-12, abs=1e-9)
     whole = quantile_table(e, ["value"], probs, max_sort=max_sort).collect()[0]["value"]
     assert whole == pytest.approx(list(np.quantile(pdf["value"].to_numpy(), probs)), rel=1e-12)
+
+
+def test_grid_knn_equals_brute_force_with_hot_duplicates(spark, sf):
+    from tabloom.operators.knn import neighbours
+    d = f_class(spark, sf).withColumn("_k", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    d = d.dropDuplicates(["_k"])   # the four-column key repeats once at sf0.001; kNN keys must be unique
+    # a hot spot: a fifth of the rows moved onto one point
+    d = d.withColumn("x1", F.when(F.col("_k") % 5 == 0, F.lit(0.5)).otherwise(F.col("x1"))) \
+         .withColumn("x2", F.when(F.col("_k") % 5 == 0, F.lit(0.5)).otherwise(F.col("x2")))
+    feats = ["x1", "x2", "x3"]
+    a = neighbours(d, "_k", d, "_k", feats, 5, exclude_self=True, block_rows=300, grid=True)
+    b = neighbours(d, "_k", d, "_k", feats, 5, exclude_self=True, block_rows=2000, grid=False)
+    assert a.count() == b.count() == 5 * d.count()
+    assert a.select("qkey", "rkey", "rank").exceptAll(b.select("qkey", "rkey", "rank")).count() == 0
