@@ -125,12 +125,14 @@ def quantile_table(df: DataFrame, cols: list[str], probs: list[float], by: list[
 def _wide(spark, arr: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     """``(by, _c, _a)`` to one row per group with one array column per source column."""
     wide = arr.groupBy(*by).pivot("_c", cols).agg(F.first("_a"))
-    if not by:
-        # keep exactly one row, also for an empty input
-        one = spark.range(1).select(F.lit(1).alias("_one"))
-        wide = one.join(wide.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    return wide.select(*by, *[F.col(c) if c in wide.columns else F.lit(None).cast("array<double>").alias(c)
+    wide = wide.select(*by, *[F.col(c) if c in wide.columns else F.lit(None).cast("array<double>").alias(c)
                               for c in cols])
+    if not by:
+        # a whole-table result is one row of a few numbers; keep exactly one row, also for an empty input
+        rows = wide.collect()
+        row = tuple(rows[0]) if rows else tuple([None] * len(cols))
+        wide = spark.createDataFrame([row], ", ".join(f"`{c}` array<double>" for c in cols))
+    return wide
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
