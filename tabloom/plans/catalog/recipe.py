@@ -77,3 +77,19 @@ def recipe_steps(spark, sf):
 def recipe_view_transformed(spark, sf):
     train, _ = _parts(spark, sf)
     return round_doubles(_recipe().fit(train).view_transformed(train), 6)
+
+
+@register("recipe_preview", with_fixtures("""SELECT c_custkey, c_acctbal, c_mktsegment, c_nationkey,
+  round(coalesce(c_acctbal, (SELECT quantile_cont(c_acctbal, 0.5) FROM f_null)), 6) AS c_acctbal_median_imputed
+FROM f_null ORDER BY c_custkey LIMIT 20""", "f_null"))
+def recipe_preview(spark, sf):
+    d = f_null(spark, sf)
+    return round_doubles(Recipe().preview(d, "impute_median", ["c_acctbal"], 20, ["c_custkey"]), 6)
+
+
+@register("recipe_inverse", "SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders")
+def recipe_inverse(spark, sf):
+    from tabloom.sources.tables import table
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    fitted = Recipe().stage("label_encode", ["o_orderpriority"]).stage("one_hot", ["o_orderstatus"]).fit(o)
+    return fitted.inverse(fitted.transform(o)).select("o_orderkey", "o_orderpriority", "o_orderstatus")

@@ -50,11 +50,13 @@ class Recipe:
             raise ValueError(f"operation already staged: {op} on {cols}")
         return Recipe(self.steps + [step], self.features, self.target)
 
-    def preview(self, df: DataFrame, op: str, cols: list[str], n: int = 20, **options) -> DataFrame:
-        """The result of one candidate step beside its source columns, on ``n`` rows."""
+    def preview(self, df: DataFrame, op: str, cols: list[str], n: int = 20, order_by: list[str] | None = None,
+                **options) -> DataFrame:
+        """The result of one candidate step beside its source columns, on ``n`` rows (fitted on all rows)."""
         fit, apply, suffix, _ = OPS[op]
         params = fit(df, cols, **options)
-        return apply(df, cols, params, suffix).limit(n)
+        out = apply(df, cols, params, suffix)
+        return (out.orderBy(*order_by) if order_by else out).limit(n)
 
     # R3
     def fit(self, df: DataFrame) -> "Recipe":
