@@ -73,7 +73,8 @@ def recipe_steps(spark, sf):
     return _recipe().fit(train).list_steps(spark)
 
 
-@register("recipe_view_transformed")
+@register("recipe_view_transformed",
+          _fix_with(_sql("train")).replace("SELECT c_custkey, c_acctbal, nk.code", "SELECT c_acctbal, nk.code"))
 def recipe_view_transformed(spark, sf):
     train, _ = _parts(spark, sf)
     return round_doubles(_recipe().fit(train).view_transformed(train), 6)

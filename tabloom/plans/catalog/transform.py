@@ -67,11 +67,34 @@ def sqrt(spark, sf):
     return out.select("event_id", F.round("value_sqrt", 9).alias("value_sqrt"))
 
 
-@register("box_cox")
+def _llf_sql(grid: str, name: str) -> str:
+    bc = "CASE WHEN abs(lam) < 1e-12 THEN ln(v) ELSE (pow(v, lam) - 1) / lam END"
+    return f"""{name} AS (SELECT lam, (lam - 1) * sl - n / 2 * ln(var_pop({bc})) AS llf
+      FROM {grid}, e, s GROUP BY lam, sl, n)"""
+
+
+BOX_COX_SQL = f"""WITH e AS (SELECT value AS v FROM events WHERE value IS NOT NULL),
+s AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(ln(v)) AS sl FROM e),
+g1 AS (SELECT round(-2.0 + i * CAST(0.1 AS DOUBLE), 10) AS lam FROM range(41) t(i)),
+{_llf_sql("g1", "l1")},
+b1 AS (SELECT lam FROM l1 ORDER BY llf DESC, lam LIMIT 1),
+g2 AS (SELECT b1.lam + k * (CAST(0.1 AS DOUBLE) / 10) AS lam FROM b1, range(-10, 11) t(k)),
+{_llf_sql("g2", "l2")},
+b2 AS (SELECT lam FROM l2 ORDER BY llf DESC, lam LIMIT 1),
+g3 AS (SELECT b2.lam + k * (CAST(0.1 AS DOUBLE) / 10 / 10) AS lam FROM b2, range(-10, 11) t(k)),
+{_llf_sql("g3", "l3")},
+b3 AS (SELECT lam FROM l3 ORDER BY llf DESC, lam LIMIT 1)
+SELECT event_id, round(CASE WHEN abs(lam) < 1e-12 THEN ln(value) ELSE (pow(value, lam) - 1) / lam END, 6) AS value_boxcox,
+  round(lam, 9) AS lambda
+FROM events, b3"""
+
+
+@register("box_cox", BOX_COX_SQL)
 def box_cox(spark, sf):
     e = table(spark, sf, "events").select("event_id", "value")
     out, params = TR.fit_transform(e, "box_cox", ["value"], suffix="_boxcox")
-    return out.withColumn("lambda", F.lit(params["lambda"]["value"]))
+    return out.select("event_id", F.round("value_boxcox", 6).alias("value_boxcox"),
+                      F.round(F.lit(params["lambda"]["value"]), 9).alias("lambda"))
 
 
 IQR_CTE = """WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
