@@ -232,7 +232,37 @@ def vif_two_features(spark, sf):
     return round_doubles(P.vif(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"]), R)
 
 
-@register("vif_lineitem")
+def _g(i: int, j: int) -> str:
+    a, b = sorted((i, j))
+    return f"g{a}{b}"
+
+
+def _det_sql(rows: list[int], cols: list[int] | None = None) -> str:
+    """Determinant of the Gram sub-matrix ``rows x cols`` as SQL (cofactor expansion on the first row)."""
+    cols = rows if cols is None else cols
+    if len(rows) == 1:
+        return _g(rows[0], cols[0])
+    terms = []
+    for k, c in enumerate(cols):
+        sub = _det_sql(rows[1:], cols[:k] + cols[k + 1:])
+        terms.append(f"{'-' if k % 2 else '+'} {_g(rows[0], c)} * ({sub})")
+    return " ".join(terms).lstrip("+ ")
+
+
+def _vif_sql(cols: list[str]) -> str:
+    # minors drop row and column j: for a symmetric Gram matrix the first-row expansion above applies
+    p = len(cols)
+    grams = ", ".join(f"sum({cols[i]} * {cols[j]}) AS g{i}{j}" for i in range(p) for j in range(i, p))
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    full = _det_sql(list(range(p)))
+    parts = []
+    for j, c in enumerate(cols):
+        minor = _det_sql([i for i in range(p) if i != j])
+        parts.append(f"SELECT '{c}' AS feature, round(g{j}{j} * ({minor}) / ({full}), {R}) AS vif FROM g")
+    return f"WITH g AS (SELECT {grams} FROM lineitem WHERE {notnull})\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("vif_lineitem", _vif_sql(LI_NUM))
 def vif_lineitem(spark, sf):
     return round_doubles(P.vif(table(spark, sf, "lineitem"), LI_NUM), R)
 
