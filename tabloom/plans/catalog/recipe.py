@@ -94,3 +94,17 @@ def recipe_inverse(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     fitted = Recipe().stage("label_encode", ["o_orderpriority"]).stage("one_hot", ["o_orderstatus"]).fit(o)
     return fitted.inverse(fitted.transform(o)).select("o_orderkey", "o_orderpriority", "o_orderstatus")
+
+
+@register("stream_recipe_replay", _fix_with(_sql("test")))
+def stream_recipe_replay(spark, sf):
+    """The test part arrives as files; the fitted recipe is replayed on them as a stream."""
+    from tabloom.session import scratch_path
+    from tabloom.streaming.score import replay_folder
+    train, test = _parts(spark, sf)
+    fitted = _recipe().fit(train)
+    fitted.features = ["c_custkey", "c_acctbal", "c_nationkey"] + [f"c_mktsegment_{s}" for s in SEGMENTS]
+    src, sink, ck = scratch_path(spark, "src"), scratch_path(spark, "sink"), scratch_path(spark, "ck")
+    test.write.parquet(src)
+    replay_folder(spark, src, test.schema, fitted, sink, ck)
+    return round_doubles(spark.read.parquet(sink), 6)

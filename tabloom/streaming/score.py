@@ -30,6 +30,17 @@ def scored_stream(stream: DataFrame, recipe: Recipe | None, fitted: Fitted, keep
     return out.select(*cols)
 
 
+def replay_folder(spark: SparkSession, source: str, schema: T.StructType, recipe: Recipe, sink: str,
+                  checkpoint: str, fmt: str = "parquet"):
+    """Replay a fitted recipe over every file in ``source`` not yet processed, appending to ``sink``."""
+    stream = spark.readStream.schema(schema).format(fmt).load(source)
+    out = recipe.transform(stream)
+    query = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
+
+
 def score_folder(spark: SparkSession, source: str, schema: T.StructType, recipe: Recipe | None, fitted: Fitted,
                  keep: list[str], sink: str, checkpoint: str, fmt: str = "parquet"):
     """Score every file present in ``source`` (and not yet scored) into ``sink``; returns the finished query."""
