@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.exprs import (FLOAT_TYPES, INTEGRAL_TYPES, clean_num, is_numeric,
-                                     numeric_columns)
+from tabloom.functions.exprs import FLOAT_TYPES, clean_num, is_numeric, numeric_columns
 from tabloom.functions.quantile import quantile_table, quantiles
 
 DESCRIBE_SCHEMA = T.StructType([
@@ -435,4 +434,4 @@ def outlier_rate(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataF
 
 __all__ = ["describe", "column_list", "problem_types", "infer_problem_type", "histogram", "kde", "box_stats",
            "count_values", "pie", "corr_matrix", "corr_with", "scatter_bins", "scatter_sample", "line",
-           "graph_view", "gram_matrix", "vif", "outlier_rate", "top_values", "INTEGRAL_TYPES"]
+           "graph_view", "gram_matrix", "vif", "outlier_rate", "top_values", "describe_column"]
