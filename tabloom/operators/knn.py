@@ -16,7 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabloom.functions.scan import row_numbers
 from tabloom.operators.models import Fitted
 from tabloom.session import cut_lineage
 
@@ -231,17 +233,27 @@ class _KNNPayload:
 
 
 def _with_key(df: DataFrame, name: str, key_cols: list[str] | None) -> DataFrame:
-    """A bigint row key: the hash of the given key columns.
+    return unique_key(df, name, key_cols)
 
-    Without key columns, the hash of every column plus a rank among identical
-    rows is used; that fallback groups identical rows in one task, so pass
-    ``key_cols`` for tables with many duplicate rows.
+
+def unique_key(df: DataFrame, name: str, key_cols: list[str] | None = None) -> DataFrame:
+    """Append ``name``: a unique bigint id per row.
+
+    One integral key column is used as it is.  Otherwise the id is the
+    1-based position of the row in ``(xxhash64(key), key)`` order, computed
+    with the distributed row numbers of :mod:`tabloom.functions.scan`: exact
+    (a 64-bit hash alone collides at around 10^10 rows), deterministic for a
+    unique key, and the hash order spreads rows evenly over the buckets.
+    Without ``key_cols`` all (orderable) columns form the key; identical rows
+    then get distinct ids in no particular order.
     """
-    if key_cols:
-        return df.withColumn(name, F.xxhash64(*key_cols))
-    cols = list(df.columns)
-    out = df.withColumn(name, F.xxhash64(*cols))
-    return out.withColumn(name, F.col(name) + F.row_number().over(Window.partitionBy(name).orderBy(*cols)) - 1)
+    if key_cols and len(key_cols) == 1 and isinstance(df.schema[key_cols[0]].dataType,
+                                                      (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return df.withColumn(name, F.col(key_cols[0]).cast("bigint"))
+    cols = list(key_cols or df.columns)
+    orderable = [c for c in cols if not isinstance(df.schema[c].dataType, (T.MapType, T.UserDefinedType))]
+    hashed = df.withColumn("_uk_h", F.xxhash64(*cols))
+    return row_numbers(hashed, ["_uk_h", *orderable], name=name).drop("_uk_h")
 
 
 class KNNLearner:

@@ -190,6 +190,22 @@ def test_smote_balances_classes(spark, sf):
     syn = out.where(F.col("synthetic_id") != 0)
     mins = d.where("y = 1").agg(*[F.min(c) for c in ("x1", "x2")]).collect()[0]
     assert syn.where(F.col("x1") < mins[0] - 1e-9).count() == 0
+    # synthetic ids are exactly 1..n_synthetic (no hash, so no collision at any size)
+    ids = syn.agg(F.min("synthetic_id"), F.max("synthetic_id"), F.count_distinct("synthetic_id"),
+                  F.count(F.lit(1))).collect()[0]
+    assert ids[0] == 1 and ids[1] == ids[2] == ids[3]
+
+
+def test_unique_key_is_dense_and_exact(spark):
+    from tabloom.operators.knn import unique_key
+    rows = [(i % 3, i % 2, float(i)) for i in range(6)] + [(0, 0, 9.0)] * 40   # 40 identical rows
+    df = spark.createDataFrame(rows, "a int, b int, x double")
+    got = unique_key(df, "k").select("k").collect()
+    assert sorted(r[0] for r in got) == list(range(1, 47))
+    keyed = unique_key(spark.createDataFrame([(7, "p"), (3, "q")], "a bigint, s string"), "k", ["a", "s"])
+    assert sorted(r["k"] for r in keyed.collect()) == [1, 2]
+    direct = unique_key(spark.createDataFrame([(7,), (3,)], "a bigint"), "k", ["a"])
+    assert {r["a"]: r["k"] for r in direct.collect()} == {7: 7, 3: 3}
 
 
 def test_shapley_values_exact_with_one_background_row(spark, sf):
