@@ -96,6 +96,8 @@ def _blocked_candidates(q: DataFrame, r: DataFrame, k: int, metric: str, p: floa
                         block_rows: int) -> DataFrame:
     """Every query block against every reference block: top-k per query per block (brute force)."""
     nq, nr = q.count(), r.count()
+    if nq == 0 or nr == 0:
+        return q.sparkSession.createDataFrame([], "qkey bigint, rkey bigint, dist double")
     bq, br = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows))
     q_rep = q.withColumn("qb", F.pmod(F.xxhash64("qkey"), F.lit(bq)).cast("int")) \
              .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1))))
@@ -161,6 +163,30 @@ def _grid_candidates(q: DataFrame, r: DataFrame, k: int, metric: str, p: float,
     return flagged.where(F.col("_ok")).drop("_ok"), flagged.where(F.col("_ok")).select("qkey").distinct()
 
 
+DUP_GAIN = 0.5  # thin duplicate positions when that keeps at most this share of reference rows
+
+
+def _thin_duplicates(r: DataFrame, keep: int) -> DataFrame:
+    """At most ``keep`` reference rows per identical feature vector (the smallest keys).
+
+    Rows at one position are all at the same distance from any query and
+    ties go to the smaller key, so no query ever needs more than ``k`` of
+    them (``k + 1`` when a query may meet itself): the result stays exact.
+    ``row_number() <= keep`` over ``partition by v`` is planned with a
+    partial ``WindowGroupLimit`` before the shuffle, so even a position that
+    holds a third of all rows sends only ``keep`` rows per map task.  A
+    HyperLogLog count decides whether duplicates are common enough to pay
+    for the extra shuffle; continuous features skip it.
+    """
+    st = r.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("d")).collect()[0]
+    if not st["n"] or keep * st["d"] > DUP_GAIN * st["n"]:
+        return r
+    w = Window.partitionBy("v").orderBy("rkey")
+    thin = r.withColumn("_dn", F.row_number().over(w)).where(F.col("_dn") <= keep).drop("_dn")
+    # small by construction and read several times by the search: materialise once
+    return cut_lineage(thin)
+
+
 def _combos(n: int) -> list[tuple]:
     out = [()]
     for _ in range(n):
@@ -183,11 +209,46 @@ def neighbours(query: DataFrame, qkey: str, ref: DataFrame, rkey: str, features:
     Keys must be bigint and unique per side.  Ties are broken by reference key.
     Low-dimensional features first try the exact grid path; queries it
     cannot settle (and all high-dimensional data) use blocked brute force.
+    Repeated feature vectors are searched once: the reference keeps the
+    ``k`` smallest keys per position and, when queries repeat, each distinct
+    query position is searched once and its answer joined back.
+    The search reads both inputs several times (statistics, grid sizes,
+    blocks): pass materialised tables (see :func:`tabloom.session.cut_lineage`).
     """
     q = query.select(F.col(qkey).cast("bigint").alias("qkey"), _vec(query, features).alias("v"))
     r = ref.select(F.col(rkey).cast("bigint").alias("rkey"), _vec(ref, features).alias("v"))
+    keep = k + (1 if exclude_self else 0)
+    r = _thin_duplicates(r, keep)
     dims = _dims(ref, features)
     use_grid = grid if grid is not None else (0 < dims <= GRID_MAX_DIMS)
+    pos = _query_positions(q)
+    if pos is None:
+        return _search(q, r, k, metric, p, exclude_self, block_rows, use_grid, dims)
+    # One search per distinct query position.  Without self-exclusion its k
+    # best are every such query's k best; with it, the k best apart from the
+    # query itself lie among the position's k + 1 best.
+    top = _search(pos, r, keep, metric, p, False, block_rows, use_grid, dims)
+    lists = top.select(F.col("qkey").alias("_pid"), "rkey", "dist") \
+               .join(pos.select(F.col("qkey").alias("_pid"), "v"), "_pid").drop("_pid")
+    cand = q.join(lists, "v").drop("v")
+    if exclude_self:
+        cand = cand.where(F.col("qkey") != F.col("rkey"))
+    w = Window.partitionBy("qkey").orderBy("dist", "rkey")
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _query_positions(q: DataFrame) -> DataFrame | None:
+    """``(v, qkey)`` with one id per distinct query vector, or ``None`` when queries rarely repeat."""
+    st = q.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("d")).collect()[0]
+    if not st["n"] or st["d"] > DUP_GAIN * st["n"]:
+        return None
+    # the smallest query key at a position names it: unique because query keys are;
+    # at most half the query rows by the check above, read by the search and the join back
+    return cut_lineage(q.groupBy("v").agg(F.min("qkey").alias("qkey")))
+
+
+def _search(q: DataFrame, r: DataFrame, k: int, metric: str, p: float, exclude_self: bool,
+            block_rows: int, use_grid: bool, dims: int) -> DataFrame:
     got = _grid_candidates(q, r, k, metric, p, exclude_self, block_rows, dims) if use_grid else None
     if got is None:
         cand = _blocked_candidates(q, r, k, metric, p, exclude_self, block_rows)
@@ -206,7 +267,8 @@ class _KNNPayload:
     def transform(self, df: DataFrame, fitted: Fitted) -> DataFrame:
         lr = self.learner
         qk = "_knn_qkey"
-        q = _with_key(df, qk, lr.key_cols)
+        # read by the search and by the final join: key the query rows once
+        q = cut_lineage(_with_key(df, qk, lr.key_cols))
         nb = neighbours(q, qk, self.train, self.key, fitted.features, lr.k, lr.metric, lr.p)
         lab = self.train.select(F.col(self.key).cast("bigint").alias("rkey"), F.col(fitted.label).cast("double").alias("_lab"))
         nb = nb.join(lab, "rkey")
@@ -247,15 +309,39 @@ def unique_key(df: DataFrame, name: str, key_cols: list[str] | None = None) -> D
     Without ``key_cols`` all (orderable) columns form the key; identical rows
     then get distinct ids in no particular order.
     """
-    if key_cols and len(key_cols) == 1 and isinstance(df.schema[key_cols[0]].dataType,
-                                                      (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+    integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if key_cols and len(key_cols) == 1 and isinstance(df.schema[key_cols[0]].dataType, integral):
         return df.withColumn(name, F.col(key_cols[0]).cast("bigint"))
+    if key_cols and all(isinstance(df.schema[c].dataType, integral) for c in key_cols):
+        packed = _packed_key(df, key_cols)
+        if packed is not None:
+            return df.withColumn(name, packed)
     cols = list(key_cols or df.columns)
     orderable = [c for c in cols if not isinstance(df.schema[c].dataType, (T.MapType, T.UserDefinedType))]
     hashed = df.withColumn("_uk_h", F.xxhash64(*cols))
     return row_numbers(hashed, ["_uk_h", *orderable], name=name).drop("_uk_h")
 
 
+def _packed_key(df: DataFrame, key_cols: list[str]):
+    """Integral key columns packed into one bigint (mixed radix over their ranges), if 63 bits hold them.
+
+    One aggregate without a shuffle; ``None`` when a column has nulls or the
+    ranges need more bits, so the caller falls back to row numbers.
+    """
+    st = df.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(key_cols)],
+                *[F.max(c).alias(f"hi{i}") for i, c in enumerate(key_cols)],
+                *[F.count_if(F.col(c).isNull()).alias(f"nn{i}") for i, c in enumerate(key_cols)]).collect()[0]
+    expr, radix = F.lit(0).cast("bigint"), 1
+    for i, c in enumerate(key_cols):
+        if st[f"nn{i}"] or st[f"lo{i}"] is None:
+            return None
+        expr = expr + (F.col(c).cast("bigint") - F.lit(st[f"lo{i}"])) * F.lit(radix)
+        radix *= st[f"hi{i}"] - st[f"lo{i}"] + 1
+        if radix >= 2 ** 63:
+            return None
+    return expr
+
+
 class KNNLearner:
     """k-nearest-neighbour classifier/regressor (k=5, euclidean, uniform weights by default).
 
@@ -271,6 +357,7 @@ class KNNLearner:
 
     def fit(self, df: DataFrame, features: list[str], label: str) -> Fitted:
         key = "_knn_rkey"
-        train = _with_key(df, key, self.key_cols)
-        classes = sorted(r[0] for r in df.select(label).distinct().collect()) if self.problem == "classification" else []
+        # a fitted kNN model is its keyed training table, materialised once in the shared folder
+        train = cut_lineage(_with_key(df, key, self.key_cols))
+        classes = sorted(r[0] for r in train.select(label).distinct().collect()) if self.problem == "classification" else []
         return Fitted("KNN", features, label, self.problem, _KNNPayload(train, key, classes, self), classes)

@@ -204,6 +204,10 @@ def test_unique_key_is_dense_and_exact(spark):
     assert sorted(r[0] for r in got) == list(range(1, 47))
     keyed = unique_key(spark.createDataFrame([(7, "p"), (3, "q")], "a bigint, s string"), "k", ["a", "s"])
     assert sorted(r["k"] for r in keyed.collect()) == [1, 2]
+    packed = unique_key(df.dropDuplicates(["a", "b", "x"]).withColumn("c", F.lit(5)), "k", ["a", "b", "c"])
+    assert packed.select("k").distinct().count() == packed.select("a", "b").distinct().count()
+    wide = spark.createDataFrame([(2 ** 40, 1, 2 ** 40), (0, 0, 0)], "a bigint, b bigint, c bigint")
+    assert sorted(r["k"] for r in unique_key(wide, "k", ["a", "b", "c"]).collect()) == [1, 2]   # falls back
     direct = unique_key(spark.createDataFrame([(7,), (3,)], "a bigint"), "k", ["a"])
     assert {r["a"]: r["k"] for r in direct.collect()} == {7: 7, 3: 3}
 
