@@ -33,17 +33,21 @@ def _put(df: DataFrame, exprs: dict, suffix: str | None) -> DataFrame:
 def fit_categories(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES) -> dict:
     """Sorted distinct non-null values per column (numbers sorted as numbers).
 
-    One shuffle for all columns (unpivot, then distinct); refuses a column
-    with more than ``max_categories`` values rather than pulling it whole.
+    One aggregate counts the distinct values of every column first, and a
+    column with more than ``max_categories`` values is refused before any
+    value list is pulled; then one ordered distinct per column.
     """
+    if not cols:
+        return {"categories": {}}
+    n = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols]).collect()[0]
+    too_many = [c for c in cols if n[c] > max_categories]
+    if too_many:
+        raise ValueError(f"{too_many[0]} has {n[too_many[0]]} distinct values (> {max_categories}); "
+                         "not a category column")
     cats = {}
     for c in cols:
         vals = df.select(F.col(c)).where(F.col(c).isNotNull()).distinct()
-        n = vals.count()
-        if n > max_categories:
-            raise ValueError(f"{c} has {n} distinct values (> {max_categories}); not a category column")
-        rows = vals.orderBy(c).collect()
-        cats[c] = [r[0] for r in rows]
+        cats[c] = [r[0] for r in vals.orderBy(c).collect()]
     return {"categories": cats}
 
 
