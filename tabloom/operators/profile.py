@@ -36,20 +36,22 @@ def _stack(pairs: list[tuple[str, "F.Column"]], name_col: str, value_col: str) -
     return F.stack(F.lit(len(pairs)), *args).alias(name_col, value_col)
 
 
-def top_values(df: DataFrame, cols: list[str]) -> dict[str, tuple[str | None, int | None]]:
-    """Most frequent non-null value per column (smallest on ties) and its count.
+def top_values(df: DataFrame, cols: list[str]) -> dict[str, tuple[str | None, int | None, int]]:
+    """Most frequent non-null value per column (smallest on ties), its count, and the distinct count.
 
-    One shuffle for all columns: unpivot to ``(column, value)``, count, then
-    keep the best value per column.
+    One shuffle for all columns: unpivot to ``(column, value)``, count with
+    map-side combine, then keep the best value per column; the number of
+    ``(column, value)`` groups is each column's distinct count.
     """
     if not cols:
         return {}
     long = df.select(_stack([(c, F.col(c).cast("string")) for c in cols], "_c", "_v"))
     counts = long.where(F.col("_v").isNotNull()).groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    best = counts.groupBy("_c").agg(F.min(F.struct((-F.col("_n")).alias("neg"), F.col("_v").alias("v"))).alias("b"))
-    out = {c: (None, None) for c in cols}
+    best = counts.groupBy("_c").agg(F.min(F.struct((-F.col("_n")).alias("neg"), F.col("_v").alias("v"))).alias("b"),
+                                    F.count(F.lit(1)).alias("d"))
+    out = {c: (None, None, 0) for c in cols}
     for r in best.collect():
-        out[r["_c"]] = (r["b"]["v"], -r["b"]["neg"])
+        out[r["_c"]] = (r["b"]["v"], -r["b"]["neg"], r["d"])
     return out
 
 
@@ -66,7 +68,7 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         aggs += [F.count(v).alias(f"{c}__count"), F.avg(v).alias(f"{c}__mean"),
                  F.stddev_samp(v).alias(f"{c}__std"), F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
     for c in cats:
-        aggs += [F.count(F.col(c)).alias(f"{c}__count"), F.count_distinct(F.col(c)).alias(f"{c}__unique")]
+        aggs += [F.count(F.col(c)).alias(f"{c}__count")]
     stats = df.agg(*aggs).collect()[0]
     qs = quantiles(df, nums, [0.25, 0.5, 0.75]) if nums else {}
     tops = top_values(df, cats)
@@ -81,8 +83,8 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             rows.append((c, types[c].simpleString(), cnt, n - cnt, None, None, None, stats[f"{c}__mean"], std,
                          stats[f"{c}__min"], q[0], q[1], q[2], stats[f"{c}__max"]))
         else:
-            top, freq = tops[c]
-            rows.append((c, types[c].simpleString(), cnt, n - cnt, stats[f"{c}__unique"], top, freq,
+            top, freq, unique = tops[c]
+            rows.append((c, types[c].simpleString(), cnt, n - cnt, unique, top, freq,
                          None, None, None, None, None, None, None))
     return spark.createDataFrame(rows, DESCRIBE_SCHEMA)
 
