@@ -34,19 +34,42 @@ def _order_key(df: DataFrame, col: str):
     return c.cast("double")
 
 
-def order_buckets(df: DataFrame, col: str, n: int, name: str = "_bk") -> DataFrame:
-    """Append ``name``: an ordered bucket 0..n-1 of ``col`` (nulls first as -1, NaN last)."""
+def order_buckets(df: DataFrame, col: str, n: int, name: str = "_bk", next_col: str | None = None) -> DataFrame:
+    """Append ``name``: an ordered bucket of ``col`` (nulls first as -1, NaN last).
+
+    A value that fills at least one whole bucket (it repeats among the
+    range bounds) is a hot value: its rows get buckets of their own, split by
+    range bounds of ``next_col`` (the next order column) among those rows, so
+    a value holding a third of the table is spread over many tasks.  Bucket
+    numbers increase with the order ``(col, next_col)``.
+    """
     keyed = df.withColumn("_ok", _order_key(df, col))
     probs = [i / n for i in range(1, n)]
-    bounds = []
+    raw = []
     if probs:
-        r = keyed.where(F.col("_ok").isNotNull() & ~F.isnan("_ok")).agg(
-            F.percentile_approx("_ok", probs, 10_000).alias("b")).collect()[0]["b"]
-        bounds = sorted(set(r or []))
+        raw = keyed.where(F.col("_ok").isNotNull() & ~F.isnan("_ok")).agg(
+            F.percentile_approx("_ok", probs, 10_000).alias("b")).collect()[0]["b"] or []
+    bounds = sorted(set(raw))
+    hot = sorted({v for v in raw if raw.count(v) > 1}) if next_col else []
     splits = [float("-inf")] + bounds + [float("inf")]
     b = Bucketizer(splits=splits, inputCol="_ok", outputCol="_bkd", handleInvalid="keep").transform(keyed)
-    return b.withColumn(name, F.when(F.col("_ok").isNull(), F.lit(-1)).otherwise(F.col("_bkd").cast("int"))) \
-            .drop("_ok", "_bkd")
+    base = F.col("_bkd").cast("bigint")
+    if hot:
+        # rows equal to a hot value v (the lower edge of its bucket) come first in that bucket:
+        # sub-buckets 0..n-1 by next_col bounds among them, the bucket's other rows after them as n
+        b = b.withColumn("_nk", _order_key(df, next_col))
+        sub = b.where(F.col("_ok").isin(hot)).groupBy("_ok").agg(
+            F.percentile_approx("_nk", probs, 10_000).alias("b")).collect()
+        edges = {r["_ok"]: sorted(set(r["b"] or [])) for r in sub}
+        idx = F.lit(n).cast("bigint")
+        for v in hot:
+            pos = F.lit(0).cast("bigint")
+            for edge in edges.get(v, []):
+                pos = pos + F.coalesce((F.col("_nk") >= F.lit(edge)).cast("bigint"), F.lit(0))  # nulls first
+            idx = F.when(F.col("_ok") == F.lit(v), pos).otherwise(idx)
+        base = base * F.lit(n + 1) + idx
+    out = b.withColumn(name, F.when(F.col("_ok").isNull(), F.lit(-1).cast("bigint")).otherwise(base))
+    return out.drop("_ok", "_bkd", "_nk")
 
 
 def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: dict[str, str],
@@ -60,7 +83,7 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: dict[str, str]
     """
     group_cols = list(group_cols)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = order_buckets(df, order_cols[0], n)
+    bucketed = order_buckets(df, order_cols[0], n, next_col=order_cols[1] if len(order_cols) > 1 else None)
 
     frame = Window.partitionBy("_bk", *group_cols).orderBy(*order_cols)
     frame = frame.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -334,3 +334,17 @@ def test_store_roundtrip_all_model_kinds(spark, sf):
     rp = scratch_path(spark, "recipe")
     r.save(spark, rp)
     assert Recipe.load(spark, rp).transform(e, project=False).exceptAll(r.transform(e, project=False)).count() == 0
+
+
+def test_row_numbers_split_a_hot_order_value(spark):
+    from tabloom.functions.scan import order_buckets
+    # half of the rows share score 0.0; the key breaks the ties
+    rows = [(0.0 if i % 2 == 0 else float(i), i) for i in range(4000)] + [(0.0, None)]
+    df = spark.createDataFrame(rows, "score double, key bigint")
+    got = row_numbers(df, ["score", "key"], num_partitions=8).toPandas()
+    exp = sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1]))
+    assert got.sort_values("row_number")["key"].fillna(-1).astype(int).tolist() == \
+        [-1 if k is None else k for _, k in exp]
+    # the hot value is spread over several buckets, none holding more than a fraction of it
+    b = order_buckets(df, "score", 8, next_col="key").groupBy("_bk").count().toPandas()
+    assert b["count"].max() < 1500
