@@ -59,8 +59,17 @@ def shap_sampled(fitted: Fitted, df: DataFrame, key_cols: list[str], background:
     feats = fitted.features
     p = len(feats)
     nb_rows = background.count()
-    bg = row_numbers(background.select(*feats).withColumn("_h", F.xxhash64(F.lit(seed), *feats)),
-                     ["_h"] + feats, name="_bidx")
+    # Background rows numbered in (feature hash, features) order.  When the background carries the
+    # row key, a key hash comes second, so a feature vector repeated in a third of the rows is split
+    # over many buckets of the row numbering; identical rows keep the same features, so any
+    # order among them picks the same points.
+    bkeys = list(key_cols) if all(c in background.columns for c in key_cols) else []
+    bsrc = background.select(*feats, *bkeys).withColumn("_h", F.xxhash64(F.lit(seed), *feats))
+    border = ["_h"] + feats
+    if bkeys:
+        bsrc = bsrc.withColumn("_hk", F.xxhash64(F.lit(seed), *bkeys))
+        border = ["_h", "_hk"] + feats + bkeys
+    bg = row_numbers(bsrc, border, name="_bidx")
     bg = bg.select("_bidx", *[F.col(f).alias(f"_b_{f}") for f in feats])
     key = row_key(key_cols)
     base = df.select(*key_cols, *feats).withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
