@@ -95,8 +95,9 @@ OFFSETS = [-1, 0, 1]
 def _blocked_candidates(q: DataFrame, r: DataFrame, k: int, metric: str, p: float, exclude_self: bool,
                         block_rows: int) -> DataFrame:
     """Every query block against every reference block: top-k per query per block (brute force)."""
-    nq, nr = q.count(), r.count()
-    if nq == 0 or nr == 0:
+    nq = q.count()
+    nr = r.count() if nq else 0
+    if nq == 0 or nr == 0:   # e.g. every query already settled on the grid
         return q.sparkSession.createDataFrame([], "qkey bigint, rkey bigint, dist double")
     bq, br = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows))
     q_rep = q.withColumn("qb", F.pmod(F.xxhash64("qkey"), F.lit(bq)).cast("int")) \
