@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tabloom.llm import minhash as _minhash
 from tabloom.llm import quality as _quality
 from tabloom.llm.common import LLM_ORACLE, LLM_QUERIES, register, table
 
@@ -11,4 +12,9 @@ def op4_quality(spark, sf_dir):
     return _quality.quality(table(spark, sf_dir, "documents"))
 
 
+@register("op6_near_duplicates")
+def op6_near_duplicates(spark, sf_dir):
+    return _minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 __all__ = ["LLM_QUERIES", "LLM_ORACLE"]
