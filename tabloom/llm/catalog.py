@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from tabloom.llm import decontaminate as _decontaminate
 from tabloom.llm import minhash as _minhash
 from tabloom.llm import quality as _quality
+from tabloom.llm import secrets as _secrets
 from tabloom.llm.common import LLM_ORACLE, LLM_QUERIES, register, table
 
 
+@register("op1_decontaminate")
+def op1_decontaminate(spark, sf_dir):
+    return _decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op4_quality")
 def op4_quality(spark, sf_dir):
     return _quality.quality(table(spark, sf_dir, "documents"))
 
 
+@register("op5_secrets")
+def op5_secrets(spark, sf_dir):
+    return _secrets.scan(table(spark, sf_dir, "documents"))
+
+
 @register("op6_near_duplicates")
 def op6_near_duplicates(spark, sf_dir):
     return _minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
