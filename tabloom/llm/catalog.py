@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tabloom.llm import bpe as _bpe
 from tabloom.llm import decontaminate as _decontaminate
 from tabloom.llm import minhash as _minhash
 from tabloom.llm import quality as _quality
@@ -29,4 +30,11 @@ def op6_near_duplicates(spark, sf_dir):
     return _minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+@register("op10_bpe")
+def op10_bpe(spark, sf_dir):
+    import public_tokenizers
+    return _bpe.digests(_bpe.tokenize(table(spark, sf_dir, "documents"),
+                                      public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 __all__ = ["LLM_QUERIES", "LLM_ORACLE"]
