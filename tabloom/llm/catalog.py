@@ -7,6 +7,7 @@ from tabloom.llm import decontaminate as _decontaminate
 from tabloom.llm import minhash as _minhash
 from tabloom.llm import quality as _quality
 from tabloom.llm import secrets as _secrets
+from tabloom.llm import shard as _shard
 from tabloom.llm.common import LLM_ORACLE, LLM_QUERIES, register, table
 
 
@@ -15,6 +16,11 @@ def op1_decontaminate(spark, sf_dir):
     return _decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register("op3_shard")
+def op3_shard(spark, sf_dir):
+    return _shard.shard(table(spark, sf_dir, "documents"))
+
+
 @register("op4_quality")
 def op4_quality(spark, sf_dir):
     return _quality.quality(table(spark, sf_dir, "documents"))
