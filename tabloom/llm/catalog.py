@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from tabloom.llm import bpe as _bpe
 from tabloom.llm import decontaminate as _decontaminate
+from tabloom.llm import extract as _extract
 from tabloom.llm import minhash as _minhash
 from tabloom.llm import quality as _quality
+from tabloom.llm import sanitise as _sanitise
 from tabloom.llm import secrets as _secrets
 from tabloom.llm import shard as _shard
 from tabloom.llm.common import LLM_ORACLE, LLM_QUERIES, register, table
@@ -36,6 +38,16 @@ def op6_near_duplicates(spark, sf_dir):
     return _minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+@register("op8_extract")
+def op8_extract(spark, sf_dir):
+    return _extract.extract(table(spark, sf_dir, "pages"))
+
+
+@register("op9_sanitise")
+def op9_sanitise(spark, sf_dir):
+    return _sanitise.scan(table(spark, sf_dir, "documents"))
+
+
 @register("op10_bpe")
 def op10_bpe(spark, sf_dir):
     import public_tokenizers
