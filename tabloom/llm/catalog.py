@@ -7,6 +7,7 @@ from tabloom.llm import decontaminate as _decontaminate
 from tabloom.llm import extract as _extract
 from tabloom.llm import minhash as _minhash
 from tabloom.llm import quality as _quality
+from tabloom.llm import repair as _repair
 from tabloom.llm import sanitise as _sanitise
 from tabloom.llm import secrets as _secrets
 from tabloom.llm import shard as _shard
@@ -38,6 +39,12 @@ def op6_near_duplicates(spark, sf_dir):
     return _minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+@register("op7_repair")
+def op7_repair(spark, sf_dir):
+    import public_tokenizers
+    return _repair.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @register("op8_extract")
 def op8_extract(spark, sf_dir):
     return _extract.extract(table(spark, sf_dir, "pages"))
