@@ -7,8 +7,13 @@ as Parquet and read again as the next stage's ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabloom.llm import bpe as _bpe
+from tabloom.llm import decontaminate as _decontaminate
+from tabloom.llm import minhash as _minhash
 from tabloom.llm import quality as _quality
+from tabloom.llm import secrets as _secrets
 from tabloom.llm.common import table, written
 
 
@@ -17,8 +22,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _quality.filter_quality(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return _minhash.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a ten-word window of the benchmark."""
+    return _decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked."""
+    return _secrets.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, the ids (little-endian unsigned 32-bit) and the digest of their decoded bytes."""
+    import public_tokenizers
+    coded = _bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scans),
+    ("byte-level BPE", tokens),
 ]
 
 # Hashing, signatures and the tokenizer have no SQL form; tests hold the stages against brute force.

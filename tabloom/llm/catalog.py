@@ -11,6 +11,7 @@ from tabloom.llm import repair as _repair
 from tabloom.llm import sanitise as _sanitise
 from tabloom.llm import secrets as _secrets
 from tabloom.llm import shard as _shard
+from tabloom.llm import toolcalls as _toolcalls
 from tabloom.llm.common import LLM_ORACLE, LLM_QUERIES, register, table
 
 
@@ -19,6 +20,11 @@ def op1_decontaminate(spark, sf_dir):
     return _decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register("op2_toolcalls")
+def op2_toolcalls(spark, sf_dir):
+    return _toolcalls.link_conversations(table(spark, sf_dir, "conversations"))
+
+
 @register("op3_shard")
 def op3_shard(spark, sf_dir):
     return _shard.shard(table(spark, sf_dir, "documents"))

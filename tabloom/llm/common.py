@@ -37,6 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def per_worker(key: str, build: Callable):
+    """``build()`` once per Python worker process: workers outlive tasks, pickled functions do not."""
+    import sys
+    import types
+    held = sys.modules.setdefault("_llm_worker", types.ModuleType("_llm_worker")).__dict__
+    if key not in held:
+        held[key] = build()
+    return held[key]
+
+
 def register(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with its oracle SQL, if any."""
     def deco(fn):

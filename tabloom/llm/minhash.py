@@ -271,7 +271,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
-    """One document of each group with all its columns; documents without words all stay."""
-    gone = near_duplicates(docs, shingle, threshold_pct).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    out = docs.join(written(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each group with all its columns; documents without words all stay.
+
+    Repeated rows (same doc_id and text) become one; rows without a doc_id stay.
+    """
+    found = written(near_duplicates(docs, shingle, threshold_pct), "near-duplicates")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = found.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")) \
+        .where("n > 1").select(F.col("doc_id").alias("__again"))
+    if again.limit(1).count():
+        same = F.col("doc_id") == F.col("__again")
+        out = out.join(again, same, "left_anti").unionByName(
+            out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return out
