@@ -6,6 +6,7 @@ from tabloom.llm import bpe as _bpe
 from tabloom.llm import decontaminate as _decontaminate
 from tabloom.llm import extract as _extract
 from tabloom.llm import minhash as _minhash
+from tabloom.llm import oracle as _oracle
 from tabloom.llm import quality as _quality
 from tabloom.llm import repair as _repair
 from tabloom.llm import sanitise as _sanitise
@@ -15,17 +16,17 @@ from tabloom.llm import toolcalls as _toolcalls
 from tabloom.llm.common import LLM_ORACLE, LLM_QUERIES, register, table
 
 
-@register("op1_decontaminate")
+@register("op1_decontaminate", _oracle.OP1)
 def op1_decontaminate(spark, sf_dir):
-    return _decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return _decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-@register("op2_toolcalls")
+@register("op2_toolcalls", _oracle.OP2)
 def op2_toolcalls(spark, sf_dir):
     return _toolcalls.link_conversations(table(spark, sf_dir, "conversations"))
 
 
-@register("op3_shard")
+@register("op3_shard", _oracle.OP3)
 def op3_shard(spark, sf_dir):
     return _shard.shard(table(spark, sf_dir, "documents"))
 
@@ -40,7 +41,7 @@ def op5_secrets(spark, sf_dir):
     return _secrets.scan(table(spark, sf_dir, "documents"))
 
 
-@register("op6_near_duplicates")
+@register("op6_near_duplicates", _oracle.OP6)
 def op6_near_duplicates(spark, sf_dir):
     return _minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
