@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Cell texts read as missing (pandas' default NA words plus a
-# single space, which the reference adds on every load).
+# single space, read as missing on every load).
 NA_TOKENS = ["", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
              "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
@@ -47,6 +47,13 @@ def clean_num(name: str, dt: T.DataType | None = None) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of two doubles over rows with both; null where one of them does not vary."""
+    vx = F.var_pop(F.when(y.isNotNull(), x))
+    vy = F.var_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(vx) * F.sqrt(vy))
+
+
 def na_to_null(c: Column, tokens=NA_TOKENS) -> Column:
     """Text cell to null when it is one of the NA words."""
     return F.when(c.isin(list(tokens)), F.lit(None).cast("string")).otherwise(c)

@@ -2,19 +2,20 @@
 
 Spark's exact ``percentile`` aggregate keeps every distinct value of a group
 in one buffer, which a hot group of a continuous column cannot afford.
-Here each needed order statistic is found by bracket refinement:
+Here rows are first reduced to (group, value, count), combined on the map
+side, so a repeated value is one row however often it stands.  Each needed
+order statistic is then found by bracket refinement over the distinct values:
 
-1. count, min and max per group (one pass);
-2. while a bracket holds more than ``max_sort`` values: an approximate
-   quantile grid of the values inside it (``percentile_approx``) narrows it
-   to the grid steps around the target rank, and one counting pass fixes
-   the exact number of values below the new bracket;
-3. the few values left in each bracket are ranked with a window, and the
-   value at the target rank is read off.
+1. distinct values, count, min and max per group (one pass);
+2. while a bracket holds more than ``max_sort`` distinct values: an
+   approximate quantile grid of them cuts it into cells, one weighted pass
+   counts the cells, and the cell with the target rank is the new bracket;
+3. the few values left in each bracket are ranked by a running count.
 
 Every pass is an aggregate or a join with a table of brackets (groups x
 ranks rows), so the work is distributed and the result is exact; columns
-are unpivoted so one pass serves all of them.
+are unpivoted so one pass serves all of them.  A cell holds about a
+thousandth of its bracket's values, so rounds are few.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.exprs import clean_num
+from tabloom.functions.scan import search_sorted
 from tabloom.session import cut_lineage
 
-MAX_SORT = 1_000_000   # values per (group, rank) that may be ranked in one task
+MAX_SORT = 1_000_000   # distinct values per (group, rank) that may be ranked in one task
 GRID = 1_000           # grid points per refinement round
 ACCURACY = 10_000      # percentile_approx accuracy (rank error <= 1/ACCURACY of the bracket)
-MAX_ROUNDS = 8
 
 
 def _long(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
@@ -39,51 +40,36 @@ def _long(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
             .where(F.col("_v").isNotNull()))
 
 
-def order_statistics(long: DataFrame, keys: list[str], ranks: DataFrame, max_sort: int = MAX_SORT) -> DataFrame:
+def order_statistics(counted: DataFrame, keys: list[str], ranks: DataFrame, max_sort: int = MAX_SORT) -> DataFrame:
     """Exact values at 0-based ranks.
 
-    ``long`` has ``keys`` and a double ``_v``; ``ranks`` has ``keys``, ``_r``
-    (0-based rank), ``_n``, ``_lo`` and ``_hi`` (count, min, max of the group).
-    Returns ``keys, _r, _val``.
+    ``counted`` has ``keys``, a distinct double ``_v`` and its count ``_w``;
+    ``ranks`` has ``keys``, ``_r`` (0-based rank), ``_d``, ``_lo`` and ``_hi``
+    (distinct values, min, max of the group).  Returns ``keys, _r, _val``.
     """
-    br = ranks.select(*keys, "_r", "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"),
-                      F.col("_n").alias("_inside"))
-    step = 1.0 / GRID
-    probs = [i * step for i in range(1, GRID)]
-    for _ in range(MAX_ROUNDS):
-        big = br.where(F.col("_inside") > max_sort)
-        if big.limit(1).count() == 0:
-            break
-        small = br.where(F.col("_inside") <= max_sort)
-        inside = long.join(big.select(*keys, "_r", "_lo", "_hi"), keys) \
-                     .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    br = ranks.select(*keys, "_r", "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.col("_d"))
+    probs = [i / GRID for i in range(1, GRID)]
+    between = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    while br.where(F.col("_d") > max_sort).limit(1).count():
+        big = br.where(F.col("_d") > max_sort)
+        inside = counted.join(big.select(*keys, "_r", "_lo", "_hi", "_below"), keys).where(between)
         grid = inside.groupBy(*keys, "_r").agg(F.percentile_approx("_v", probs, ACCURACY).alias("_g"))
-        cand = big.join(grid, [*keys, "_r"])
-        k = F.floor((F.col("_r") - F.col("_below")).cast("double") / F.col("_inside") * GRID).cast("int")
-        new_lo = F.when(k - 1 >= 1, F.element_at("_g", k - 1)).otherwise(F.col("_lo"))
-        new_hi = F.when(k + 2 <= GRID - 1, F.element_at("_g", k + 2)).otherwise(F.col("_hi"))
-        cand = cand.select(*keys, "_r", "_lo", "_hi", "_below", "_inside",
-                           F.greatest(new_lo, F.col("_lo")).alias("_nlo"), F.least(new_hi, F.col("_hi")).alias("_nhi"))
-        counted = long.join(cand.select(*keys, "_r", "_lo", "_hi", "_nlo", "_nhi"), keys) \
-                      .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))) \
-                      .groupBy(*keys, "_r").agg(
-                          F.count_if(F.col("_v") < F.col("_nlo")).alias("_add"),
-                          F.count_if((F.col("_v") >= F.col("_nlo")) & (F.col("_v") <= F.col("_nhi"))).alias("_nin"))
-        upd = cand.join(counted, [*keys, "_r"])
-        ok = (F.col("_r") >= F.col("_below") + F.col("_add")) & \
-             (F.col("_r") < F.col("_below") + F.col("_add") + F.col("_nin"))
-        refined = upd.select(
-            *keys, "_r",
-            F.when(ok, F.col("_nlo")).otherwise(F.col("_lo")).alias("_lo"),
-            F.when(ok, F.col("_nhi")).otherwise(F.col("_hi")).alias("_hi"),
-            F.when(ok, F.col("_below") + F.col("_add")).otherwise(F.col("_below")).alias("_below"),
-            F.when(ok, F.col("_nin")).otherwise(F.col("_inside")).alias("_inside"))
+        cells = inside.join(grid, [*keys, "_r"]) \
+            .withColumn("_cell", search_sorted(F.col("_g"), F.col("_v"), GRID - 1)) \
+            .groupBy(*keys, "_r", "_below", "_cell").agg(
+                F.sum("_w").alias("_n"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        # at most GRID rows per (group, rank)
+        w = Window.partitionBy(*keys, "_r").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = cells.withColumn("_upto", F.col("_below") + F.sum("_n").over(w)) \
+            .where((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_n")))
         # cut lineage so a round does not recompute the earlier ones (reliable checkpoint)
-        br = cut_lineage(small.unionByName(refined))
-    sel = long.join(br, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    w = Window.partitionBy(*keys, "_r").orderBy("_v")
-    sel = sel.withColumn("_rn", F.row_number().over(w))
-    return sel.where(F.col("_rn") == F.col("_r") - F.col("_below") + 1).select(*keys, "_r", F.col("_v").alias("_val"))
+        br = cut_lineage(br.where(F.col("_d") <= max_sort).unionByName(found.select(
+            *keys, "_r", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_below"), "_d")))
+    sel = counted.join(br, keys).where(between)
+    w = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sel = sel.withColumn("_upto", F.col("_below") + F.sum("_w").over(w))
+    return sel.where((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_w"))) \
+        .select(*keys, "_r", F.col("_v").alias("_val"))
 
 
 def quantile_table(df: DataFrame, cols: list[str], probs: list[float], by: list[str] = (),
@@ -96,23 +82,25 @@ def quantile_table(df: DataFrame, cols: list[str], probs: list[float], by: list[
     spark = df.sparkSession
     keys = by + ["_c"]
     long = _long(df, cols, by)
-    stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    max_n = stats.agg(F.max("_n")).collect()[0][0] or 0
-    if max_n <= max_sort:
-        # every group is small enough for Spark's exact aggregate (buffer <= max_sort values)
-        counted = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    counted = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    stats = counted.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.count(F.lit(1)).alias("_d"),
+                                       F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    max_d = stats.agg(F.max("_d")).collect()[0][0] or 0
+    if max_d <= max_sort:
+        # every group is small enough for Spark's exact aggregate (buffer <= max_sort distinct values)
         plit = F.array(*[F.lit(float(p)) for p in probs])
         arr = counted.groupBy(*keys).agg(F.percentile(F.col("_v"), plit, F.col("_w")).alias("_a"))
         return _wide(spark, arr, cols, by)
+    counted = cut_lineage(counted)   # every round reads it
     parr = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    targets = stats.select(*keys, "_n", "_lo", "_hi", F.explode(parr).alias("t"))
+    targets = stats.select(*keys, "_n", "_d", "_lo", "_hi", F.explode(parr).alias("t"))
     pos = F.col("t.p") * (F.col("_n") - 1)
-    targets = targets.select(*keys, "_n", "_lo", "_hi", F.col("t.pi").alias("_pi"),
+    targets = targets.select(*keys, "_n", "_d", "_lo", "_hi", F.col("t.pi").alias("_pi"),
                              F.floor(pos).cast("bigint").alias("_r0"),
                              F.least(F.floor(pos).cast("bigint") + 1, F.col("_n") - 1).alias("_r1"),
                              (pos - F.floor(pos)).alias("_frac"))
-    ranks = targets.select(*keys, "_n", "_lo", "_hi", F.explode(F.array("_r0", "_r1")).alias("_r")).distinct()
-    vals = order_statistics(long, keys, ranks, max_sort)
+    ranks = targets.select(*keys, "_d", "_lo", "_hi", F.explode(F.array("_r0", "_r1")).alias("_r")).distinct()
+    vals = order_statistics(counted, keys, ranks, max_sort)
     v0 = vals.select(*keys, F.col("_r").alias("_r0"), F.col("_val").alias("_v0"))
     v1 = vals.select(*keys, F.col("_r").alias("_r1"), F.col("_val").alias("_v1"))
     q = targets.join(v0, [*keys, "_r0"]).join(v1, [*keys, "_r1"]) \

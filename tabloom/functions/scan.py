@@ -1,75 +1,74 @@
 """Running sums and row numbers without a single-partition window.
 
 ``Window.orderBy(x)`` with no ``partitionBy`` pulls every row into one task.
-Here rows are cut into ordered buckets by range bounds of the first order
-column (approximate quantiles, collected once as literals), running sums
-are computed inside each ``(bucket, group)``, and the totals of the earlier
-buckets of the same group (a table of buckets x groups) are added back with
-a join.  The bucket is a pure function of the row, so every branch of the
-plan and every recomputation after an executor loss agree on it, and a hot
-group is spread over all buckets.
+Here rows are cut into ordered buckets by range bounds over all order columns
+(a sample's quantiles, collected once as one array literal and searched by
+halving), running sums are computed inside each ``(bucket, group)``, and the
+totals of the earlier buckets of the same group (a table of buckets x groups)
+are added back with a join.  Bounds are compared in the columns' own types and
+Spark's own order, so text, long integers and decimals are exact, and a value
+that fills many buckets is split by the next order column.  The bucket is a
+pure function of the row, so every branch of the plan and every recomputation
+after an executor loss agree on it.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _order_key(df: DataFrame, col: str):
-    """A double that never decreases as ``col`` increases in Spark's sort order."""
-    dt = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        raw = F.encode(c, "UTF-8") if isinstance(dt, T.StringType) else c
-        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, T.BooleanType):
-        return c.cast("int").cast("double")
-    return c.cast("double")
-
-
-def order_buckets(df: DataFrame, col: str, n: int, name: str = "_bk", next_col: str | None = None) -> DataFrame:
-    """Append ``name``: an ordered bucket of ``col`` (nulls first as -1, NaN last).
-
-    A value that fills at least one whole bucket (it repeats among the
-    range bounds) is a hot value: its rows get buckets of their own, split by
-    range bounds of ``next_col`` (the next order column) among those rows, so
-    a value holding a third of the table is spread over many tasks.  Bucket
-    numbers increase with the order ``(col, next_col)``.
-    """
-    keyed = df.withColumn("_ok", _order_key(df, col))
-    probs = [i / n for i in range(1, n)]
-    raw = []
-    if probs:
-        raw = keyed.where(F.col("_ok").isNotNull() & ~F.isnan("_ok")).agg(
-            F.percentile_approx("_ok", probs, 10_000).alias("b")).collect()[0]["b"] or []
-    bounds = sorted(set(raw))
-    hot = sorted({v for v in raw if raw.count(v) > 1}) if next_col else []
-    splits = [float("-inf")] + bounds + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_ok", outputCol="_bkd", handleInvalid="keep").transform(keyed)
-    base = F.col("_bkd").cast("bigint")
-    if hot:
-        # rows equal to a hot value v (the lower edge of its bucket) come first in that bucket:
-        # sub-buckets 0..n-1 by next_col bounds among them, the bucket's other rows after them as n
-        b = b.withColumn("_nk", _order_key(df, next_col))
-        sub = b.where(F.col("_ok").isin(hot)).groupBy("_ok").agg(
-            F.percentile_approx("_nk", probs, 10_000).alias("b")).collect()
-        edges = {r["_ok"]: sorted(set(r["b"] or [])) for r in sub}
-        idx = F.lit(n).cast("bigint")
-        for v in hot:
-            pos = F.lit(0).cast("bigint")
-            for edge in edges.get(v, []):
-                pos = pos + F.coalesce((F.col("_nk") >= F.lit(edge)).cast("bigint"), F.lit(0))  # nulls first
-            idx = F.when(F.col("_ok") == F.lit(v), pos).otherwise(idx)
-        base = base * F.lit(n + 1) + idx
-    out = b.withColumn(name, F.when(F.col("_ok").isNull(), F.lit(-1).cast("bigint")).otherwise(base))
-    return out.drop("_ok", "_bkd", "_nk")
+
+SAMPLE_PER_BUCKET = 60   # sampled rows per bucket when choosing bounds
+
+
+def search_sorted(bounds: Column, value: Column, n: int) -> Column:
+    """How many of the ``n`` ascending ``bounds`` are <= ``value``, by halving."""
+    if n == 0:
+        return F.lit(0)
+    steps = max(1, math.ceil(math.log2(n + 1)))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def step(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = (s["lo"] < s["hi"]) & (F.get(bounds, mid) <= value)
+        return F.struct(F.when(above, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(above | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["lo"])
+
+
+def _bounds(df: DataFrame, cols: list[str], n: int) -> list:
+    """At most ``n - 1`` ascending rows of ``cols`` that cut ``df`` into about equal parts."""
+    keys = df.select(*cols)
+    total = keys.count()
+    want = SAMPLE_PER_BUCKET * n
+    if total == 0 or n < 2:
+        return []
+    some = keys if total <= want else keys.sample(fraction=min(1.0, want / total), seed=7)
+    # the sample (about `want` rows) is ranked in one task; only the bounds reach the driver
+    ranked = some.select("*", F.ntile(n).over(Window.orderBy(*cols)).alias("_nt"))
+    rows = ranked.groupBy("_nt").agg(F.min(F.struct(*cols)).alias("_b")).orderBy("_nt").collect()
+    out = []
+    for r in rows[1:]:
+        b = tuple(r["_b"])
+        if not out or out[-1] != b:
+            out.append(b)
+    return out
+
+
+def order_buckets(df: DataFrame, cols: list[str], n: int, name: str = "_bk") -> DataFrame:
+    """Append ``name``: an ordered bucket 0..n-1 of the rows by ``cols`` (Spark's order: nulls first, NaN last)."""
+    bounds = _bounds(df, cols, n)
+    if not bounds:
+        return df.withColumn(name, F.lit(0))
+    types = [df.schema[c].dataType for c in cols]
+
+    def row(b):
+        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))])
+
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+    return df.withColumn(name, search_sorted(F.array(*[row(b) for b in bounds]), key, len(bounds)))
 
 
 def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: dict[str, str],
@@ -83,7 +82,7 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: dict[str, str]
     """
     group_cols = list(group_cols)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = order_buckets(df, order_cols[0], n, next_col=order_cols[1] if len(order_cols) > 1 else None)
+    bucketed = order_buckets(df, list(order_cols), n)
 
     frame = Window.partitionBy("_bk", *group_cols).orderBy(*order_cols)
     frame = frame.rowsBetween(Window.unboundedPreceding, Window.currentRow)

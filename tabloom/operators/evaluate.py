@@ -66,7 +66,7 @@ def classification_metrics(df: DataFrame, y: str, pred: str, average_over: str =
     ``average_over='predicted'`` weights only labels that were predicted (the
     train/test rule); ``'all'`` uses every label (the cross-validation rule).
     """
-    counts = _counts(df, y, pred)
+    counts = _counts(df.where(F.col(y).isNotNull()), y, pred)
     total = sum(counts.values())
     acc = sum(n for (a, p), n in counts.items() if a == p) / total if total else 0.0
     if average_over == "predicted":
@@ -82,7 +82,8 @@ def classification_metrics(df: DataFrame, y: str, pred: str, average_over: str =
 
 
 def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """MAE, MSE, RMSE, R^2 and explained variance in one aggregate."""
+    """MAE, MSE, RMSE, R^2 and explained variance in one aggregate, over rows with both values."""
+    df = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
     e = F.col(y) - F.col(pred)
     agg = df.agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
                  F.var_pop(F.col(y)).alias("vy"), F.var_pop(e).alias("ve"))
@@ -176,9 +177,10 @@ def ks_statistic(df: DataFrame, y: str, score: str, positive=1) -> DataFrame:
     sc = _score_counts(df, y, score, positive)
     p, n = _totals(sc)
     cum = prefix_sums(sc, ["score"], {"cp": "pos", "cn": "neg"})
-    gap = cum.withColumn("gap", F.abs(F.col("cn") / F.lit(n) - F.col("cp") / F.lit(p)))
-    best = gap.agg(F.max("gap").alias("ks"))
-    return gap.join(best, gap["gap"] == best["ks"]).agg(F.first("ks").alias("ks"), F.min("score").alias("threshold"))
+    gap = F.abs(F.col("cn") / F.lit(n) - F.col("cp") / F.lit(p))
+    # the largest gap, at its smallest score: one aggregate
+    best = cum.agg(F.min(F.struct((-gap).alias("g"), F.col("score").alias("t"))).alias("b"))
+    return best.select((-F.col("b.g")).alias("ks"), F.col("b.t").alias("threshold"))
 
 
 def qq_points(df: DataFrame, residual: str, key: str) -> DataFrame:

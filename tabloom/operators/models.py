@@ -68,6 +68,64 @@ class SparkMLLearner:
         return Fitted(self.name, features, label, self.problem, pipe.fit(df))
 
 
+# ---------------------------------------------------------------- labels
+
+MAX_CLASSES = 10_000   # distinct labels a classifier is fitted for; more is a regression target
+
+
+def class_labels(df: DataFrame, label: str) -> list:
+    """The sorted distinct non-null labels; refuses a column with more than ``MAX_CLASSES``."""
+    got = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(got) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} distinct values: not a class label")
+    return sorted(got)
+
+
+def _are_indices(labels: list) -> bool:
+    return all(not isinstance(v, (str, bool)) and v == i for i, v in enumerate(labels))
+
+
+class _DecodedPayload:
+    """A model of class indices behind the original labels: ``prediction`` is a label again."""
+
+    def __init__(self, inner: Fitted, labels: list, type_name: str):
+        self.inner, self.labels, self.type_name = inner, labels, type_name
+
+    def transform(self, df: DataFrame, fitted: Fitted) -> DataFrame:
+        names = F.array(*[F.lit(v).cast(self.type_name) for v in self.labels])
+        out = self.inner.transform(df)
+        return out.withColumn("prediction", F.get(names, F.col("prediction").cast("int")))
+
+
+class AnyLabel:
+    """A classifier for any label type.
+
+    Labels other than 0..k-1 are numbered in sorted order for the fit, and
+    predictions are turned back; probabilities stay in sorted label order.
+    """
+
+    def __init__(self, inner):
+        self.__dict__["inner"] = inner
+
+    def __getattr__(self, name):
+        return getattr(self.__dict__["inner"], name)
+
+    def __setattr__(self, name, value):
+        setattr(self.inner, name, value)
+
+    def fit(self, df: DataFrame, features: list[str], label: str) -> Fitted:
+        labels = class_labels(df, label)
+        if _are_indices(labels):
+            fitted = self.inner.fit(df, features, label)
+            fitted.classes = fitted.classes or labels
+            return fitted
+        kind = df.schema[label].dataType.simpleString()
+        index = F.array_position(F.array(*[F.lit(v).cast(kind) for v in labels]), F.col(label)) - 1
+        coded = df.where(F.col(label).isNotNull()).withColumn("_class", index.cast("double"))
+        inner = self.inner.fit(coded, features, "_class")
+        return Fitted(self.inner.name, features, label, "classification", _DecodedPayload(inner, labels, kind), labels)
+
+
 # ---------------------------------------------------------------- custom learners
 
 class _OvRPayload:
@@ -100,7 +158,7 @@ class OneVsRestBoosted:
         self.name, self.problem, self.make_binary = name, "classification", make_binary
 
     def fit(self, df: DataFrame, features: list[str], label: str) -> Fitted:
-        classes = sorted(r[0] for r in df.select(label).distinct().collect())
+        classes = class_labels(df, label)
         if len(classes) <= 2:
             return SparkMLLearner(self.name, "classification", lambda d, l: self.make_binary()).fit(df, features, label)
         models = {}
@@ -163,8 +221,10 @@ class AdaBoost:
     def fit(self, df: DataFrame, features: list[str], label: str) -> Fitted:
         data = assemble(df, features).select(FEATURES, F.col(label).cast("double").alias("_y"))
         cur = data.withColumn("_w", F.lit(1.0))
-        classes = sorted(r[0] for r in data.select("_y").distinct().collect())
+        # a regression target has no classes: its values are never listed
+        classes = class_labels(data, "_y") if self.problem == "classification" else []
         k = len(classes)
+        cur = cut_lineage(cur)   # every round reads it
         stages, alphas = [], []
         for t in range(self.n):
             if self.problem == "classification":
@@ -228,16 +288,16 @@ def _gbt_cls():
 
 
 def _xgb_cls():
-    return GBTClassifier(maxIter=100, stepSize=0.3, maxDepth=6, subsamplingRate=0.8,
-                         featureSubsetStrategy="all", minInstancesPerNode=1, seed=7)
+    return GBTClassifier(maxIter=100, stepSize=0.3, maxDepth=6, featureSubsetStrategy="all", minInstancesPerNode=1,
+                         seed=7)
 
 
 def classification_learners() -> dict:
     from tabloom.operators.knn import KNNLearner
-    return {
+    found = {
         "Logistic Regression": SparkMLLearner("Logistic Regression", "classification", _logreg),
         "Random Forest": SparkMLLearner("Random Forest", "classification",
-                                        lambda d, l: RandomForestClassifier(numTrees=100, maxDepth=12, seed=7)),
+                                        lambda d, l: RandomForestClassifier(numTrees=100, maxDepth=30, seed=7)),
         "Decision Tree": SparkMLLearner("Decision Tree", "classification",
                                         lambda d, l: DecisionTreeClassifier(maxDepth=30, seed=7)),
         "KNN": KNNLearner("classification"),
@@ -248,10 +308,11 @@ def classification_learners() -> dict:
         "XGB": OneVsRestBoosted("XGB", _xgb_cls),
         "Linear SVC": SparkMLLearner("Linear SVC", "classification", _svc),
     }
+    return {name: AnyLabel(learner) for name, learner in found.items()}
 
 
 def _svc(df, label):
-    n_classes = df.select(label).distinct().count()
+    n_classes = len(class_labels(df, label))
     svc = LinearSVC(regParam=0.01, maxIter=100)
     return OneVsRest(classifier=svc) if n_classes > 2 else svc
 
@@ -262,7 +323,7 @@ def regression_learners() -> dict:
         "Linear Regression": SparkMLLearner("Linear Regression", "regression",
                                             lambda d, l: LinearRegression(solver="normal")),
         "Random Forest": SparkMLLearner("Random Forest", "regression",
-                                        lambda d, l: RandomForestRegressor(numTrees=100, maxDepth=12, seed=7)),
+                                        lambda d, l: RandomForestRegressor(numTrees=100, maxDepth=30, seed=7)),
         "Decision Tree": SparkMLLearner("Decision Tree", "regression",
                                         lambda d, l: DecisionTreeRegressor(maxDepth=30, seed=7)),
         "KNN": KNNLearner("regression"),
@@ -270,8 +331,7 @@ def regression_learners() -> dict:
         "Gradient Boosting": SparkMLLearner("Gradient Boosting", "regression",
                                             lambda d, l: GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=7)),
         "XGB": SparkMLLearner("XGB", "regression",
-                              lambda d, l: GBTRegressor(maxIter=100, stepSize=0.3, maxDepth=6, subsamplingRate=0.8,
-                                                        seed=7)),
+                              lambda d, l: GBTRegressor(maxIter=100, stepSize=0.3, maxDepth=6, seed=7)),
     }
 
 

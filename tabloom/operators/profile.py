@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.exprs import FLOAT_TYPES, clean_num, is_numeric, numeric_columns
+from tabloom.functions.exprs import FLOAT_TYPES, clean_num, pearson, is_numeric, numeric_columns
 from tabloom.functions.quantile import quantile_table, quantiles
 
 DESCRIBE_SCHEMA = T.StructType([
@@ -252,42 +252,65 @@ def pie(df: DataFrame, values: str, names: str) -> DataFrame:
     return g.withColumn("share", F.col("total") / F.lit(total))
 
 
-WIDE_CORR = 60  # above this many columns the pairwise aggregates give way to one vector pass
+CORR_PLAN = 12  # up to so many columns every pair is an expression of one aggregate; the rule is the same beyond
 
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair (pairwise complete rows), long form.
-
-    Up to ``WIDE_CORR`` columns every pair is one aggregate expression of a
-    single pass.  Wider tables use ``ml.stat.Correlation`` on assembled
-    vectors (one pass, rows complete in every column).
-    """
+    """Pearson correlation of every pair (pairwise complete rows), long form; null where a column does not vary."""
     cols = cols or numeric_columns(df)
-    if len(cols) > WIDE_CORR:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=cols, outputCol="_vec").transform(
-            df.select(*[clean_num(c, df.schema[c].dataType).alias(c) for c in cols]).dropna())
-        m = Correlation.corr(vec, "_vec", "pearson").collect()[0][0].toArray()
-        rows = [(a, b, None if math.isnan(m[i, j]) else float(m[i, j]))
-                for i, a in enumerate(cols) for j, b in enumerate(cols)]
-        return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
     types = {c: df.schema[c].dataType for c in cols}
-    aggs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            aggs.append(F.corr(clean_num(a, types[a]), clean_num(b, types[b])).alias(f"{i}__{cols.index(b)}"))
-    r = df.agg(*aggs).collect()[0]
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            k = f"{min(i, j)}__{max(i, j)}"
-            val = r[k]
-            val = None if val is None or math.isnan(val) else float(val)
-            rows.append((a, b, val))
+    x = [clean_num(c, types[c]) for c in cols]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    if len(cols) <= CORR_PLAN:
+        r = df.agg(*[pearson(x[i], x[j]).alias(f"{i}__{j}") for i, j in pairs]).collect()[0]
+        vals = {(i, j): r[f"{i}__{j}"] for i, j in pairs}
+    else:
+        vals = _wide_corr(df, x)
+    vals = {k: None if v is None or math.isnan(v) else float(v) for k, v in vals.items()}
+    rows = [(a, b, vals[min(i, j), max(i, j)]) for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
+def _wide_corr(df: DataFrame, x: list) -> dict:
+    """Pairwise-complete sums by one matrix product per batch, added up by Spark per pair.
+
+    Each task holds a few p x p matrices.  Columns are centred and scaled by
+    their overall mean and deviation first, so the sums lose no digits.
+    """
+    import numpy as np
+    import pyarrow as pa
+    p = len(x)
+    r = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)],
+               *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)]).collect()[0]
+    mean = np.array([r[f"m{i}"] or 0.0 for i in range(p)])
+    dev = np.array([r[f"s{i}"] or 1.0 for i in range(p)])
+    left, right = np.triu_indices(p)
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def sums(batches):
+        total = np.zeros((6, len(left)))
+        for batch in batches:
+            v = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            v = (v - mean) / dev
+            has = ~np.isnan(v)
+            v = np.where(has, v, 0.0)
+            w, sq = has.astype(float), v * v
+            a, q = v.T @ w, sq.T @ w
+            for k, m in enumerate((w.T @ w, a, a.T, q, q.T, v.T @ v)):
+                total[k] += m[left, right]
+        yield pa.record_batch([pa.array(left, pa.int32()), pa.array(right, pa.int32()), *map(pa.array, total)],
+                              names=["i", "j", *names])
+
+    parts = df.select(F.array(*x).alias("x")).mapInArrow(
+        sums, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+    out = {}
+    for t in parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names]).collect():
+        vx, vy = (t.sxx - t.sx ** 2 / t.n, t.syy - t.sy ** 2 / t.n) if t.n else (0.0, 0.0)
+        varies = min(vx, vy) > 1e-12 * max(1.0, t.n)
+        out[t.i, t.j] = (t.sxy - t.sx * t.sy / t.n) / math.sqrt(vx * vy) if varies else None
+    return out
+
+
 def corr_with(df: DataFrame, target: str, cols: list[str] | None = None, keep_self: bool = False) -> DataFrame:
     """Correlation of each numeric column with ``target``, ranked by absolute value."""
     cols = cols or numeric_columns(df)
@@ -297,7 +320,7 @@ def corr_with(df: DataFrame, target: str, cols: list[str] | None = None, keep_se
         cols = cols + [target]
     types = {c: df.schema[c].dataType for c in cols + [target]}
     tgt = clean_num(target, types[target])
-    r = df.agg(*[F.corr(clean_num(c, types[c]), tgt).alias(c) for c in cols]).collect()[0]
+    r = df.agg(*[pearson(clean_num(c, types[c]), tgt).alias(c) for c in cols]).collect()[0]
     vals = [(c, None if r[c] is None or math.isnan(r[c]) else float(r[c])) for c in cols]
     ordered = sorted(vals, key=lambda t: (-(abs(t[1]) if t[1] is not None else -1), t[0]))
     rows = [(c, v, i + 1) for i, (c, v) in enumerate(ordered)]

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from tabloom.functions.exprs import clean_num, is_numeric
 from tabloom.functions.quantile import quantile_table
+from tabloom.functions.scan import row_numbers
+from tabloom.session import scratch_path
 
 MAX_CATEGORIES = 100_000  # category lists are recipe parameters and must stay small
 
@@ -51,15 +53,49 @@ def fit_categories(df: DataFrame, cols: list[str], max_categories: int = MAX_CAT
     return {"categories": cats}
 
 
-fit_label_encode = fit_categories
 fit_one_hot = fit_categories
 
+PLAN_CATEGORIES = 1_000   # longer category lists are a table to join, not part of the plan
+
+
+def fit_label_encode(df: DataFrame, cols: list[str], plan_limit: int = PLAN_CATEGORIES) -> dict:
+    """Codes of the sorted distinct non-null values per column.
+
+    Up to ``plan_limit`` values are a list; more are numbered by Spark and
+    written as a (value, code) table to the shared folder, whose path is the
+    parameter.  Any number of values can be encoded.
+    """
+    if not cols:
+        return {"categories": {}}
+    n = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols]).collect()[0]
+    small = [c for c in cols if n[c] <= plan_limit]
+    out = fit_categories(df, small, plan_limit)
+    for c in cols:
+        if n[c] > plan_limit:
+            vals = df.select(F.col(c).alias("value")).where(F.col(c).isNotNull()).distinct()
+            path = scratch_path(df.sparkSession, "categories")
+            row_numbers(vals, ["value"], name="code").select("value", (F.col("code") - 1).cast("int").alias("code")) \
+                .write.parquet(path)
+            out["categories"][c] = None
+            out.setdefault("tables", {})[c] = path
+    return out
+
+
+def _code_table(df: DataFrame, params: dict, c: str, value: str, code: str) -> DataFrame:
+    t = df.sparkSession.read.parquet(params["tables"][c])
+    return t.select(F.col("value").alias(value), F.col("code").alias(code))
+
 
 def apply_label_encode(df: DataFrame, cols: list[str], params: dict, suffix: str | None = None) -> DataFrame:
     """Code 0..k-1 in sorted order; a value not seen in fitting raises an error."""
     exprs = {}
-    for c in cols:
+    for i, c in enumerate(cols):
         values = params["categories"][c]
+        if c in params.get("tables", {}):
+            df = df.join(_code_table(df, params, c, f"_v{i}", f"_n{i}"), F.col(c) == F.col(f"_v{i}"), "left")
+            exprs[c] = F.when(F.col(c).isNotNull() & F.col(f"_n{i}").isNull(), F.raise_error(F.concat(
+                F.lit(f"unseen label in {c}: "), F.col(c).cast("string"))).cast("int")).otherwise(F.col(f"_n{i}"))
+            continue
         if not values:
             exprs[c] = F.lit(None).cast("int")
             continue
@@ -69,17 +105,21 @@ def apply_label_encode(df: DataFrame, cols: list[str], params: dict, suffix: str
                     .when(code.isNull(), F.raise_error(F.concat(F.lit(f"unseen label in {c}: "),
                                                                 F.col(c).cast("string"))).cast("int"))
                     .otherwise(code))
-    return _put(df, exprs, suffix)
+    return _put(df, exprs, suffix).drop(*[f"_{k}{i}" for i in range(len(cols)) for k in "vn"])
 
 
 def apply_label_decode(df: DataFrame, cols: list[str], params: dict, suffix: str | None = None) -> DataFrame:
     """Inverse of :func:`apply_label_encode`."""
     exprs = {}
-    for c in cols:
+    for i, c in enumerate(cols):
         values = params["categories"][c]
+        if c in params.get("tables", {}):
+            df = df.join(_code_table(df, params, c, f"_v{i}", f"_n{i}"), F.col(c) == F.col(f"_n{i}"), "left")
+            exprs[c] = F.col(f"_v{i}")
+            continue
         arr = F.array(*[F.lit(v) for v in values])
         exprs[c] = F.when(F.col(c).isNull(), None).otherwise(F.element_at(arr, F.col(c).cast("int") + 1))
-    return _put(df, exprs, suffix)
+    return _put(df, exprs, suffix).drop(*[f"_{k}{i}" for i in range(len(cols)) for k in "vn"])
 
 
 def dummy_name(c: str, v) -> str:

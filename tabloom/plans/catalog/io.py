@@ -25,6 +25,19 @@ def csv_roundtrip(spark, sf):
     return S.read_csv(spark, path, c.schema)
 
 
+@register("csv_text_roundtrip", """SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'Yes' ELSE 'No' END AS even,
+  CASE WHEN doc_id % 3 = 0 THEN 'True' ELSE 'false' END = 'True' AS third, '2020-01' AS month
+FROM documents""")
+def csv_text_roundtrip(spark, sf):
+    """Whole texts with quotes and line breaks; Yes/No and dates stay text, true/false become boolean."""
+    path = scratch_path(spark, "csv")
+    even = F.when(F.col("doc_id") % 2 == 0, "Yes").otherwise("No")
+    third = F.when(F.col("doc_id") % 3 == 0, "True").otherwise("false")
+    S.write_csv(table(spark, sf, "documents").select("doc_id", "text", even.alias("even"), third.alias("third"),
+                                                     F.lit("2020-01").alias("month")), path)
+    return S.read_csv(spark, path)
+
+
 @register("csv_infer", """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment
 FROM customer""")
 def csv_infer(spark, sf):

@@ -52,6 +52,30 @@ def gnb_embeddings_2d(spark, sf):
     return fitted.transform(d).select("vec_id", "prediction")
 
 
+@register("gnb_text_label", """WITH d AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1,
+  concat('class ', CAST(label AS VARCHAR)) AS label FROM embeddings),
+g AS (SELECT 1e-9 * greatest(var_pop(e0), var_pop(e1)) AS eps, count(*) AS n FROM d),
+c AS (SELECT label, count(*) AS nc, avg(e0) AS m0, avg(e1) AS m1, var_pop(e0) AS v0, var_pop(e1) AS v1 FROM d GROUP BY label),
+s AS (SELECT d.vec_id, c.label, ln(nc) - ln(n)
+        - 0.5 * ln(2 * pi() * (v0 + eps)) - (e0 - m0) * (e0 - m0) / (2 * (v0 + eps))
+        - 0.5 * ln(2 * pi() * (v1 + eps)) - (e1 - m1) * (e1 - m1) / (2 * (v1 + eps)) AS ll FROM d, c, g),
+r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY ll DESC, label) AS rk FROM s)
+SELECT vec_id, label AS prediction FROM r WHERE rk = 1""")
+def gnb_text_label(spark, sf):
+    """A text target: encoded for the fit, predictions are labels again."""
+    d = _emb2(spark, sf).withColumn("label", F.concat(F.lit("class "), F.col("label").cast("int").cast("string")))
+    fitted = learners("classification")["Gaussian NB"].fit(d, ["e0", "e1"], "label")
+    return fitted.transform(d).select("vec_id", "prediction")
+
+
+@register("leaderboard_text_target")
+def leaderboard_text_target(spark, sf):
+    d = f_class(spark, sf).withColumn("y", F.when(F.col("y") == 1, "yes").otherwise("no"))
+    board, _ = fit_and_rank(d, FEATS, "y", "classification", KEY, ["Logistic Regression", "Decision Tree", "Gaussian NB"],
+                            validation="stratified_kfold")
+    return board.drop("fit_time")
+
+
 @register("knn_embeddings", """WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label,
   substr(md5(concat('7:', CAST(vec_id AS VARCHAR))), 1, 4) < '4000' AS is_test FROM embeddings),
 p AS (SELECT te.vec_id AS q, tr.vec_id AS r, tr.label, list_distance(te.v, tr.v) AS dist
@@ -72,25 +96,10 @@ def _fclass_parts(spark, sf):
     return d.where(~F.col("is_test")).drop("is_test"), d.where(F.col("is_test")).drop("is_test")
 
 
-# Round counts of the checked queries (the library defaults are 100 boosting
-# rounds and 50 AdaBoost rounds; the queries use fewer to keep the check short).
-def _query_learner(name):
-    from pyspark.ml.classification import GBTClassifier
-    from tabloom.operators.models import OneVsRestBoosted
-    if name == "Gradient Boosting":
-        return OneVsRestBoosted(name, lambda: GBTClassifier(maxIter=20, stepSize=0.1, maxDepth=3, seed=7))
-    if name == "XGB":
-        return OneVsRestBoosted(name, lambda: GBTClassifier(maxIter=20, stepSize=0.3, maxDepth=6,
-                                                            subsamplingRate=0.8, seed=7))
-    if name == "AdaBoost":
-        return AdaBoost("classification", n_estimators=10)
-    return learners("classification")[name]
-
-
 def _model_metrics(name, label="y"):
     def q(spark, sf):
         train, test = _fclass_parts(spark, sf)
-        learner = _query_learner(name)
+        learner = learners("classification")[name]
         if hasattr(learner, "key_cols"):
             learner.key_cols = KEY
         fitted = learner.fit(train, FEATS, label)
@@ -113,7 +122,7 @@ register("logreg_multiclass")(_model_metrics("Logistic Regression", "y3"))
 def adaboost_regression(spark, sf):
     d = hash_split(_part_xy(spark, sf), ["p_partkey"], 25, 7)
     train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    fitted = AdaBoost("regression", n_estimators=10).fit(train, ["x"], "p_retailprice")
+    fitted = AdaBoost("regression").fit(train, ["x"], "p_retailprice")
     return round_doubles(E.regression_metrics(fitted.transform(test), "p_retailprice", "prediction"), 4)
 
 
@@ -134,7 +143,7 @@ def leaderboard_regression(spark, sf):
 @register("leaderboard_cv")
 def leaderboard_cv(spark, sf):
     board, _ = fit_and_rank(f_class(spark, sf), FEATS, "y", "classification", KEY,
-                            ["Logistic Regression", "Gaussian NB"], validation="stratified_kfold", folds=3)
+                            ["Logistic Regression", "Gaussian NB"], validation="stratified_kfold")
     return board.drop("fit_time")
 
 

@@ -194,6 +194,27 @@ def line_orders_daily(spark, sf):
 LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+N_WIDE = 61
+
+
+def _wide_sql(i: int) -> str:
+    """Column ``i`` of a wide table with scattered nulls (the same text runs on Spark)."""
+    return (f"CASE WHEN (l_partkey + {i}) % 11 = 0 THEN NULL "
+            f"ELSE CAST((l_orderkey * 7919) % {23 + i} AS DOUBLE) + l_quantity * {i % 5} END")
+
+
+@register("corr_matrix_wide", "WITH w AS (SELECT " + ", ".join(f"{_wide_sql(i)} AS w{i}" for i in range(N_WIDE))
+          + " FROM lineitem),\nm AS (SELECT " + ", ".join(
+              f"round(corr(w{i}, w{j}), 8) AS r{i}_{j}" for i in range(N_WIDE) for j in range(i, N_WIDE))
+          + " FROM w)\n" + "\nUNION ALL\n".join(
+              f"SELECT 'w{i}' AS col_a, 'w{j}' AS col_b, r{min(i, j)}_{max(i, j)} AS corr FROM m"
+              for i in range(N_WIDE) for j in range(N_WIDE)))
+def corr_matrix_wide(spark, sf):
+    """More columns than one aggregate takes; no row is complete in all of them."""
+    d = table(spark, sf, "lineitem").selectExpr(*[f"{_wide_sql(i)} AS w{i}" for i in range(N_WIDE)])
+    return round_doubles(P.corr_matrix(d), 8)
+
+
 @register("corr_matrix_lineitem", "\nUNION ALL\n".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 8) AS corr FROM lineitem"
     for a in LI_NUM for b in LI_NUM))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tabloom.functions.scan import row_numbers
 from tabloom.operators import split as S
 from tabloom.plans.catalog import register
 from tabloom.sources.tables import table
@@ -50,3 +51,18 @@ def shuffle_split(spark, sf):
 FROM customer, range(3) r(i)""")
 def repeated_kfold(spark, sf):
     return S.repeated_kfold(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 5, 3, 7)
+
+
+@register("row_number_text", """SELECT c_name, c_custkey,
+  row_number() OVER (ORDER BY c_name, c_custkey) AS row_number FROM customer""")
+def row_number_text(spark, sf):
+    """Text that differs only after a long common prefix."""
+    return row_numbers(table(spark, sf, "customer").select("c_name", "c_custkey"), ["c_name", "c_custkey"])
+
+
+@register("row_number_repeats", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_tax,
+  row_number() OVER (ORDER BY l_tax, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_number FROM lineitem""")
+def row_number_repeats(spark, sf):
+    """An order column of a few values, each a large share of all rows."""
+    cols = ["l_tax", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return row_numbers(table(spark, sf, "lineitem").select(*cols), cols)

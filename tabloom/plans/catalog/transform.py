@@ -21,6 +21,14 @@ def label_encode(spark, sf):
     return out
 
 
+@register("label_encode_names", """SELECT c_custkey, c_name,
+  CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS c_name_label FROM customer""")
+def label_encode_names(spark, sf):
+    """One code per customer name: a joined table, not a list in the plan."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    return TR.apply_label_encode(c, ["c_name"], TR.fit_label_encode(c, ["c_name"], plan_limit=100), "_label")
+
+
 @register("label_decode", "SELECT o_orderkey, o_orderpriority FROM orders")
 def label_decode(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")

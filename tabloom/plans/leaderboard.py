@@ -15,48 +15,73 @@ from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
 from tabloom.operators import evaluate as E
-from tabloom.operators.models import learners
-from tabloom.operators.split import hash_split, kfold, stratified_kfold, stratified_split
+from tabloom.operators.models import class_labels, learners
+from tabloom.operators.split import hash_split, kfold, shuffle_split, stratified_kfold, stratified_split
 
 CLASS_METRICS = ["accuracy", "roc_auc", "precision_weighted", "recall_weighted", "f1_weighted"]
 REG_METRICS = ["mae", "mse", "rmse", "r2", "explained_variance"]
 
 
 def score(pred: DataFrame, label: str, problem: str, average_over: str = "predicted",
-          proba_auc: bool = False) -> dict:
-    """Metrics of one scored table: classification (Q1/Q3/Q4) or regression (Q2)."""
+          proba_auc: bool = False, classes: list | None = None) -> dict:
+    """Metrics of one scored table: classification (Q1/Q3/Q4) or regression (Q2).
+
+    ``classes``: the fitted model's labels, in the order of its probabilities.
+    """
     if problem == "regression":
         r = E.regression_metrics(pred, label, "prediction").collect()[0]
         return {k: float(r[k]) if r[k] is not None else None for k in REG_METRICS}
-    r = E.classification_metrics(pred, label, "prediction", average_over).collect()[0].asDict()
     if proba_auc and "probability" in pred.columns:
-        classes = sorted(x[0] for x in pred.select(label).distinct().collect())
-        arr = pred.withColumn("_pa", vector_to_array("probability"))
-        if len(classes) <= 2:
-            r["roc_auc"] = E.roc_auc(arr.withColumn("_s", F.col("_pa")[1]), label, "_s", classes[-1])
-        else:
-            cols = {c: f"_s{i}" for i, c in enumerate(classes)}
-            for i, c in enumerate(classes):
-                arr = arr.withColumn(f"_s{i}", F.col("_pa")[int(c)])
-            r["roc_auc"] = E.roc_auc_ovr_weighted(arr, label, cols)
+        # one run of the model for all metrics: label, prediction and probabilities only
+        pred = pred.select(label, "prediction", vector_to_array("probability").alias("_pa")) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        r = E.classification_metrics(pred, label, "prediction", average_over).collect()[0].asDict()
+        if "_pa" in pred.columns:
+            classes = classes or class_labels(pred, label)
+            if len(classes) <= 2:
+                r["roc_auc"] = E.roc_auc(pred.withColumn("_s", F.get("_pa", len(classes) - 1)), label, "_s", classes[-1])
+            else:
+                r["roc_auc"] = E.roc_auc_ovr_weighted(
+                    pred.select(label, *[F.get("_pa", i).alias(f"_s{i}") for i in range(len(classes))]), label,
+                    {c: f"_s{i}" for i, c in enumerate(classes)})
+    finally:
+        pred.unpersist()
     return {k: r.get(k) for k in CLASS_METRICS}
 
 
+def validation_folds(df: DataFrame, label: str, problem: str, key_cols: list[str], k: int = 5,
+                     kind: str = "kfold", seed: int = 7) -> DataFrame:
+    """``df`` with what :func:`fold_parts` needs: ``kfold`` or, by problem, ``stratified_kfold`` / ``shuffle_split``."""
+    allowed = ["kfold", "stratified_kfold" if problem == "classification" else "shuffle_split"]
+    if kind not in allowed:
+        raise ValueError(f"unknown validation {kind!r} for {problem}: one of {allowed}")
+    if kind == "stratified_kfold":
+        return stratified_kfold(df, key_cols, label, k, seed)
+    if kind == "shuffle_split":
+        return shuffle_split(df, key_cols, k, 10, seed)
+    return kfold(df, key_cols, k, seed)
+
+
+def fold_parts(folded: DataFrame, f: int) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of fold or split ``f``."""
+    if "is_test" in folded.columns and "split" in folded.columns:
+        own = folded.where(F.col("split") == f).drop("split")
+        return own.where(~F.col("is_test")).drop("is_test"), own.where(F.col("is_test")).drop("is_test")
+    return folded.where(F.col("fold") != f).drop("fold"), folded.where(F.col("fold") == f).drop("fold")
+
+
 def cross_validate(learner, df: DataFrame, features: list[str], label: str, problem: str, key_cols: list[str],
                    k: int = 5, kind: str = "kfold", seed: int = 7) -> list[dict]:
-    """Per-fold scores (fold = test part, the rest = train)."""
-    if kind == "stratified_kfold" and problem == "classification":
-        folded = stratified_kfold(df, key_cols, label, k, seed)
-    else:
-        folded = kfold(df, key_cols, k, seed)
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    """Per-fold scores (fold = test part, the rest = train); ``kind`` as in :func:`validation_folds`."""
+    folded = validation_folds(df, label, problem, key_cols, k, kind, seed).persist(StorageLevel.MEMORY_AND_DISK)
     out = []
     try:
         for f in range(k):
-            train = folded.where(F.col("fold") != f).drop("fold")
-            test = folded.where(F.col("fold") == f).drop("fold")
+            train, test = fold_parts(folded, f)
             fitted = learner.fit(train, features, label)
-            m = score(fitted.transform(test), label, problem, average_over="all", proba_auc=True)
+            m = score(fitted.transform(test), label, problem, average_over="all", proba_auc=True,
+                      classes=fitted.classes or None)
             m["fold"] = f
             out.append(m)
     finally:

@@ -2,8 +2,13 @@
 
 Text files are read as strings, NA words become null, and the column
 types then come either from a given schema (the production path: no
-inference pass) or from one aggregate pass that checks which cast every
-non-null value of a column survives.
+inference pass) or from one aggregate pass that checks which type every
+non-null value of a column has: whole numbers, numbers, or the words
+true and false.  Everything else, dates too, stays text.
+
+Quoted fields may hold line breaks and doubled quotes.  Such a file cannot be
+split, so one task reads one file: large inputs should be folders of files, or
+be read with ``multi_line=False`` where no field has a line break.
 """
 
 from __future__ import annotations
@@ -15,12 +20,16 @@ from pyspark.sql import types as T
 from tabloom.functions.exprs import NA_TOKENS, na_to_null
 
 # candidate types, narrowest first
-_INFER_ORDER = ["bigint", "double", "boolean", "timestamp_ntz"]
+_INFER_ORDER = ["bigint", "double", "boolean"]
+# fixed values: the spellings read as booleans
+TRUE_FALSE = ["true", "True", "TRUE", "false", "False", "FALSE"]
 
 
-def _read_text_table(spark: SparkSession, path: str, sep: str, header: bool, names: list[str] | None) -> DataFrame:
+def _read_text_table(spark: SparkSession, path: str, sep: str, header: bool, names: list[str] | None,
+                     multi_line: bool) -> DataFrame:
     reader = spark.read.option("header", header).option("sep", sep).option("inferSchema", False) \
-        .option("nullValue", None).option("emptyValue", "").option("multiLine", False)
+        .option("nullValue", None).option("emptyValue", "").option("multiLine", multi_line) \
+        .option("quote", '"').option("escape", '"')
     if names:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         return reader.schema(schema).csv(path)
@@ -33,7 +42,8 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     for c in df.columns:
         aggs.append(F.count(F.col(c)).alias(f"{c}__n"))
         for t in _INFER_ORDER:
-            aggs.append(F.count(F.col(c).try_cast(t)).alias(f"{c}__{t}"))
+            fits = F.col(c).isin(TRUE_FALSE) if t == "boolean" else F.col(c).try_cast(t).isNotNull()
+            aggs.append(F.count_if(fits).alias(f"{c}__{t}"))
     r = df.agg(*aggs).collect()[0]
     out = {}
     for c in df.columns:
@@ -43,7 +53,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",",
-             header: bool = True, na_tokens=NA_TOKENS, infer: bool = True) -> DataFrame:
+             header: bool = True, na_tokens=NA_TOKENS, infer: bool = True, multi_line: bool = True) -> DataFrame:
     """Delimited text with a header; NA words become null; types from ``schema`` or inferred.
 
     ``path`` may be a file, a folder, a glob or any URI the cluster file
@@ -52,7 +62,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     names = [f.name for f in schema.fields] if schema is not None else None
-    raw = _read_text_table(spark, path, sep, header, names)
+    raw = _read_text_table(spark, path, sep, header, names, multi_line)
     clean = raw.select(*[na_to_null(F.col(c), na_tokens).alias(c) for c in raw.columns])
     if schema is not None:
         return clean.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -97,7 +107,7 @@ def read_sql(spark: SparkSession, url: str, table: str | None = None, query: str
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
     """Delimited text with a header (one file per partition)."""
-    df.write.mode(mode).option("header", True).option("sep", sep).csv(path)
+    df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').csv(path)
 
 
 def write_predictions_csv(pred: DataFrame, path: str) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tabloom.operators.models import Fitted, _AdaPayload, _OvRPayload
+from tabloom.operators.models import Fitted, _AdaPayload, _DecodedPayload, _OvRPayload
 
 
 def _write_json(spark: SparkSession, path: str, obj: dict) -> None:
@@ -53,6 +53,9 @@ def save_model(spark: SparkSession, fitted: Fitted, path: str, fit_time: float |
         meta.update({"kind": "knn", "key": m.key, "k": lr.k, "metric": lr.metric, "weights": lr.weights,
                      "p": lr.p, "key_cols": lr.key_cols})
         m.train.write.mode("overwrite").parquet(f"{path}/train")
+    elif isinstance(m, _DecodedPayload):
+        meta.update({"kind": "labels", "type": m.type_name, "classes": [str(v) for v in m.labels]})
+        save_model(spark, m.inner, f"{path}/inner")
     else:
         raise TypeError(f"cannot save {type(m).__name__}")
     _write_json(spark, f"{path}/meta", meta)
@@ -75,6 +78,12 @@ def load_model(spark: SparkSession, path: str) -> Fitted:
         cls = DecisionTreeClassificationModel if meta["problem"] == "classification" else DecisionTreeRegressionModel
         stages = [cls.load(f"{path}/stage_{i}") for i in range(meta["n_stages"])]
         f.model = _AdaPayload(stages, meta["alphas"], f.classes, meta["problem"])
+    elif kind == "labels":
+        # labels are stored as text and cast back by Spark
+        row = spark.range(1).select(*[F.lit(v).cast(meta["type"]).alias(f"c{i}")
+                                      for i, v in enumerate(meta["classes"])]).first()
+        f.classes = list(row)
+        f.model = _DecodedPayload(load_model(spark, f"{path}/inner"), f.classes, meta["type"])
     elif kind == "knn":
         lr = KNNLearner(meta["problem"], meta["k"], meta["metric"], meta["weights"], meta["p"], meta["key_cols"])
         f.model = _KNNPayload(spark.read.parquet(f"{path}/train"), meta["key"], f.classes, lr)

@@ -346,5 +346,34 @@ def test_row_numbers_split_a_hot_order_value(spark):
     assert got.sort_values("row_number")["key"].fillna(-1).astype(int).tolist() == \
         [-1 if k is None else k for _, k in exp]
     # the hot value is spread over several buckets, none holding more than a fraction of it
-    b = order_buckets(df, "score", 8, next_col="key").groupBy("_bk").count().toPandas()
+    b = order_buckets(df, ["score", "key"], 8).groupBy("_bk").count().toPandas()
     assert b["count"].max() < 1500
+
+
+@pytest.mark.parametrize("parts", [8, 3000])
+def test_row_numbers_of_text_longs_and_decimals(spark, parts):
+    from decimal import Decimal
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(1500).tolist()
+    rows = [(f"Customer#{i // 3:09d}", 2**60 + i // 3, Decimal(2**60 + i // 3) / 1000, i % 2 == 0, i) for i in ids]
+    rows += [(None, None, None, None, 5000)] + [("Customer#hot", 2**60, Decimal(1), False, 10_000 + i) for i in range(800)]
+    df = spark.createDataFrame(rows, "s string, b bigint, d decimal(30,3), f boolean, k int")
+    for col in range(4):
+        want = [r[4] for r in sorted(rows, key=lambda r: (r[col] is not None, r[col] if r[col] is not None else 0, r[4]))]
+        got = row_numbers(df, [df.columns[col], "k"], num_partitions=parts).orderBy("row_number").collect()
+        assert [r["k"] for r in got] == want
+        assert [r["row_number"] for r in got] == list(range(1, len(rows) + 1))
+
+
+def test_quantiles_of_a_repeated_value_take_no_rounds(spark, monkeypatch):
+    from tabloom.functions import quantile as Q
+    rounds = []
+    monkeypatch.setattr(Q, "cut_lineage", lambda d: rounds.append(1) or d.checkpoint())
+    df = spark.range(20000).selectExpr("cast(case when id % 10 < 9 then 5 else id % 4 end as double) as v")
+    got = Q.quantiles(df, ["v"], [0.0, 0.05, 0.5, 1.0])["v"]
+    assert got == [0.0, 1.0, 5.0, 5.0] or got == list(np.quantile([r.v for r in df.collect()], [0.0, 0.05, 0.5, 1.0]))
+    assert not rounds                                  # four distinct values: the exact aggregate
+    many = spark.range(30000).selectExpr("cast(case when id % 10 < 9 then 5 else id end as double) as v")
+    got = Q.quantile_table(many, ["v"], [0.01, 0.4, 0.95], max_sort=50).collect()[0]["v"]
+    assert got == pytest.approx(list(np.quantile([r.v for r in many.collect()], [0.01, 0.4, 0.95])))
+    assert len(rounds) <= 3                            # the counts, then one round or two
