@@ -44,12 +44,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting must point at shared storage and is only read.
-    Where it is unset (local tests) a fresh folder under the system temp dir
-    is created and registered once.
+    On a cluster this setting must point at shared storage and is only read;
+    without it the call fails.  In local mode (tests) a fresh folder under the
+    system temp dir is created and registered once where it is unset.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tabloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext
