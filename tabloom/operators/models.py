@@ -137,18 +137,18 @@ class _OvRPayload:
     def transform(self, df: DataFrame, fitted: Fitted) -> DataFrame:
         classes = sorted(self.models)
         out = df
-        for c in classes:
-            m = self.models[c]
-            scored = m.transform(out)
-            out = scored.withColumn(f"_p{c}", vector_to_array("probability")[1]).drop(
+        for i, c in enumerate(classes):
+            scored = self.models[c].transform(out)
+            out = scored.withColumn(f"_p{i}", vector_to_array("probability")[1]).drop(
                 "probability", "rawPrediction", "prediction", FEATURES)
-        total = sum((F.col(f"_p{c}") for c in classes), F.lit(0.0))
-        probs = F.array(*[F.col(f"_p{c}") / total for c in classes])
+        own = [F.col(f"_p{i}") for i in range(len(classes))]
+        total = sum(own, F.lit(0.0))
+        probs = F.array(*[p / total for p in own])
         best = F.array_position(probs, F.array_max(probs)) - 1
         cls_arr = F.array(*[F.lit(float(c)) for c in classes])
         out = out.withColumn("probability", array_to_vector(probs)) \
                  .withColumn("prediction", F.element_at(cls_arr, (best + 1).cast("int")))
-        return out.drop(*[f"_p{c}" for c in classes])
+        return out.drop(*[f"_p{i}" for i in range(len(classes))])
 
 
 class OneVsRestBoosted:
