@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; set to a local one only where unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a local one only in local mode and where unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
         path = tempfile.mkdtemp(prefix="tabloom-llm-")
         spark.conf.set("spark.checkpoint.dir", path)

@@ -4,8 +4,9 @@
    container gets all of its own paragraphs' score and half of its children's),
    and containers are named by their generalised tag-class path: ids, digits and
    positions are dropped.
-2. Spark adds up the page votes (shares of a page's score, so long pages do not
-   outvote short ones) per (host, path); the best path of a host wins.
+2. Each page votes for its best container (or the article or main element around
+   it), long pages as much as short ones; Spark counts the votes per (host, path)
+   and the path with the most wins.
 3. Pages are read again and the blocks under their host's winning path are
    extracted, in page order; a page without that path uses its own best one.
 
@@ -184,7 +185,7 @@ def _boilerplate(tag: str, at: dict[str, str]) -> bool:
 
 
 def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
-    """Vote of a page for each container path; the shares sum to at most 1."""
+    """Share of a page's score of each container path; the shares sum to at most 1."""
     score: dict[str, float] = {}
     for path, text, linked in found:
         own = max(0, len(text) - linked)
@@ -222,16 +223,10 @@ def main_text(page: str | None, path: str | None) -> str:
 
 
 def _votes(batches):
+    """(host, path) of each page's best container."""
     for batch in batches:
-        host, path, vote = [], [], []
-        for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            for p, v in scores(blocks(page or "")).items():
-                host.append(h)
-                path.append(p)
-                # whole units, so sums do not depend on their order
-                vote.append(round(v * 1_000_000))
-        yield pa.record_batch([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(vote, pa.int64())],
-                              names=["host", "path", "vote"])
+        path = [widened(best(scores(blocks(page or "")))) or None for page in batch.column("html").to_pylist()]
+        yield pa.record_batch([batch.column("host"), pa.array(path, pa.string())], names=["host", "path"])
 
 
 def _extract(batches):
@@ -246,8 +241,8 @@ def _extract(batches):
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path): the winning path of each host."""
-    votes = _hosted(pages).select("host", "html").mapInArrow(_votes, "host string, path string, vote long")
-    return votes.groupBy("host", "path").agg(F.sum("vote").alias("votes")) \
+    votes = _hosted(pages).select("host", "html").mapInArrow(_votes, "host string, path string")
+    return votes.where(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count("*").alias("votes")) \
         .groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
 
 
