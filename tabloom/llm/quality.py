@@ -15,8 +15,9 @@ Two passes over the texts and two small shuffles between them:
 2. ``mapInArrow``: base measures, removed words and the verdict, row by row.
 
 A line counts as boilerplate when more than ``max_docs`` documents of the host
-hold it and no single group of near copies (same minimum word-trigram hash)
-makes up ``group_share`` of them: near copies are left to near-dedup.
+hold it and no single group of near copies (same minimum word-trigram hash
+outside the line) makes up ``group_share`` of them: near copies are left to
+near-dedup.
 
 The lines above the limit are broadcast only if there are at most
 ``broadcast_lines`` of them; beyond that each distinct text is joined to its
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tabloom.llm.textnp import IS_SPACE, LOWER, Words, mix, row_sums, segment_hash, slices, texts
 
@@ -76,27 +78,46 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(values.view(np.int64)))
 
 
+LINES = "host long, text long, lines array<long>, sigs array<long>"
+
+
+def _rest_signatures(w: Words, first: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Per line: the minimum trigram hash of its document outside the line (0 if there is none)."""
+    top = _U(0xFFFFFFFFFFFFFFFF)
+    tri, at = w.shingles(3)
+    by_word = np.full(len(w.hash), top, _U)
+    take = np.diff(at)
+    by_word[np.arange(len(tri)) + np.repeat(w.row[:-1] - at[:-1], take)] = tri
+    own = np.minimum.reduceat(by_word, first)
+    new_row = np.concatenate(([True], row[1:] != row[:-1]))
+    starts, which = np.flatnonzero(new_row), np.cumsum(new_row) - 1
+    least = np.minimum.reduceat(own, starts)[which]
+    rest = np.minimum.reduceat(np.where(own == least, top, own), starts)[which]
+    sig = np.where(own == least, rest, least)
+    return np.where(sig == top, _U(0), sig)
+
+
 def _document_lines(batches):
-    """host, text key, copy signature and distinct line keys of each document with words."""
+    """host, text key, distinct line keys and a signature of the rest for each, per document with words."""
     for batch in batches:
         for part in slices(batch, "__text"):
             data, offs = texts(part.column("__text"))
             w = Words(data, offs, NORMAL)
+            has = w.count > 0
+            if not has.any():
+                continue
             host = _host(part)
             key, row, _ = _line_keys(data, w, host)
-            order = np.lexsort((key, row))
-            key, row = key[order], row[order]
+            sig = _rest_signatures(w, *_line_starts(data, w))
+            order = np.lexsort((sig, key, row))
+            key, row, sig = key[order], row[order], sig[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-            key, row = key[new], row[new]
-            counts = np.bincount(row, minlength=len(w.count))
-            has = w.count > 0
-            tri, at = w.shingles(3)
-            sig = np.minimum.reduceat(tri, at[:-1][has]) if has.any() else np.zeros(0, _U)
+            counts = np.bincount(row[new], minlength=len(w.count))[has]
             text = segment_hash(w.hash, w.row[:-1][has], 7)
             yield pa.record_batch([
-                pa.array(host[has].view(np.int64)), pa.array(text.view(np.int64)), pa.array(sig.view(np.int64)),
-                _lists(key, counts[has])], names=["host", "text", "sig", "lines"])
+                pa.array(host[has].view(np.int64)), pa.array(text.view(np.int64)),
+                _lists(key[new], counts), _lists(sig[new], counts)], names=["host", "text", "lines", "sigs"])
 
 
 def _prepared(docs: DataFrame, *extra) -> DataFrame:
@@ -106,9 +127,9 @@ def _prepared(docs: DataFrame, *extra) -> DataFrame:
 
 def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, group_share: float = GROUP_SHARE) -> DataFrame:
     """(line): keys of the host lines above the limit."""
-    per_doc = _prepared(docs).mapInArrow(_document_lines, "host long, text long, sig long, lines array<long>")
-    distinct = per_doc.groupBy("host", "text").agg(F.first("sig").alias("sig"), F.first("lines").alias("lines"))
-    return (distinct.select(F.explode("lines").alias("line"), "sig")
+    per_doc = _prepared(docs).mapInArrow(_document_lines, LINES)
+    distinct = per_doc.groupBy("host", "text").agg(F.first(F.arrays_zip("lines", "sigs")).alias("lines"))
+    return (distinct.select(F.inline("lines").alias("line", "sig"))
             .groupBy("line", "sig").agg(F.count("*").alias("n"))
             .groupBy("line").agg(F.sum("n").alias("docs"), F.max("n").alias("largest"))
             .where((F.col("docs") > max_docs) & (F.col("largest") < group_share * F.col("docs")))
@@ -182,7 +203,7 @@ def _with_removed(docs: DataFrame, lines: DataFrame, broadcast_lines: int):
     got = lines.limit(broadcast_lines + 1).toArrow().column("line").to_numpy()
     if len(got) <= broadcast_lines:
         return None, spark.sparkContext.broadcast(np.sort(got.astype(np.int64).view(_U)))
-    per_doc = _prepared(docs).mapInArrow(_document_lines, "host long, text long, sig long, lines array<long>")
+    per_doc = _prepared(docs).mapInArrow(_document_lines, LINES)
     flagged = (per_doc.groupBy("host", "text").agg(F.first("lines").alias("lines"))
                .select("host", "text", F.explode("lines").alias("line")).join(lines, "line", "left_semi")
                .groupBy("host", "text").agg(F.collect_list("line").alias("removed")))
@@ -202,7 +223,7 @@ def _keyed(batches):
 
 
 def _rows_with_removed(rows: DataFrame, flagged: DataFrame) -> DataFrame:
-    schema = rows.schema.add("__key", "long")
+    schema = StructType([*rows.schema.fields, StructField("__key", LongType())])
     keyed = rows.mapInArrow(_keyed, schema)
     f = flagged.select(F.col("host").alias("__host"), F.col("text").alias("__key"), F.col("removed").alias("__removed"))
     return keyed.join(f, ["__host", "__key"], "left")
