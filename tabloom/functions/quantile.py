@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.exprs import clean_num
-from tabloom.functions.scan import search_sorted
+from tabloom.functions.scan import with_place
 from tabloom.session import cut_lineage
 
 MAX_SORT = 1_000_000   # distinct values per (group, rank) that may be ranked in one task
@@ -54,8 +54,7 @@ def order_statistics(counted: DataFrame, keys: list[str], ranks: DataFrame, max_
         big = br.where(F.col("_d") > max_sort)
         inside = counted.join(big.select(*keys, "_r", "_lo", "_hi", "_below"), keys).where(between)
         grid = inside.groupBy(*keys, "_r").agg(F.percentile_approx("_v", probs, ACCURACY).alias("_g"))
-        cells = inside.join(grid, [*keys, "_r"]) \
-            .withColumn("_cell", search_sorted(F.col("_g"), F.col("_v"), GRID - 1)) \
+        cells = with_place(inside.join(grid, [*keys, "_r"]), "_cell", F.col("_g"), F.col("_v"), GRID - 1) \
             .groupBy(*keys, "_r", "_below", "_cell").agg(
                 F.sum("_w").alias("_n"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         # at most GRID rows per (group, rank)

@@ -38,6 +38,15 @@ def search_sorted(bounds: Column, value: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["lo"])
 
 
+def with_place(df: DataFrame, name: str, bounds: Column, value: Column, n: int) -> DataFrame:
+    """Append :func:`search_sorted`.
+
+    As a one-row generator: the search is done once per row and never copied
+    into the aggregates and joins above it.
+    """
+    return df.select("*", F.explode(F.array(search_sorted(bounds, value, n))).alias(name))
+
+
 def _bounds(df: DataFrame, cols: list[str], n: int) -> list:
     """At most ``n - 1`` ascending rows of ``cols`` that cut ``df`` into about equal parts."""
     keys = df.select(*cols)
@@ -68,7 +77,7 @@ def order_buckets(df: DataFrame, cols: list[str], n: int, name: str = "_bk") ->
         return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))])
 
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
-    return df.withColumn(name, search_sorted(F.array(*[row(b) for b in bounds]), key, len(bounds)))
+    return with_place(df, name, F.array(*[row(b) for b in bounds]), key, len(bounds))
 
 
 def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: dict[str, str],
