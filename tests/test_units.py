@@ -245,7 +245,7 @@ def test_approx_distinct_and_wide_correlation(spark, sf, monkeypatch):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     pair = {(r["col_a"], r["col_b"]): r["corr"] for r in P.corr_matrix(li, cols).collect()}
-    monkeypatch.setattr(P, "WIDE_CORR", 2)
+    monkeypatch.setattr(P, "CORR_PLAN", 2)
     wide = {(r["col_a"], r["col_b"]): r["corr"] for r in P.corr_matrix(li, cols).collect()}
     for k, v in pair.items():
         assert wide[k] == pytest.approx(v, abs=1e-9)
