@@ -5,19 +5,23 @@ hashed; per host (``source``) the distinct documents that hold a line are
 counted; lines above the limit are removed, and documents that lose most of
 their words that way are rejected.
 
-Two passes over the texts and two small shuffles between them:
+Three passes over the texts, small shuffles between them:
 
 1. ``mapInArrow``: per document the hashes of its distinct lines.  Exact
    copies within a host become one row before lines are exploded, so a
-   thousand copies count once.  ``groupBy(line, signature)`` then
-   ``groupBy(line)``: both aggregate on the map side, so a line in every
-   document is a few rows per task.
-2. ``mapInArrow``: base measures, removed words and the verdict, row by row.
+   thousand copies count once.  ``groupBy(line)`` aggregates on the map side, so
+   a line in every document is a few rows per task.  Lines in at most
+   ``max_docs`` distinct texts are done with.
+2. Only for documents with a line above the limit: ``MINIMA`` minimum hashes of
+   the word trigrams outside that line.
+3. ``mapInArrow``: base measures, removed words and the verdict, row by row.
 
 A line counts as boilerplate when more than ``max_docs`` documents of the host
-hold it and no single group of near copies (same minimum word-trigram hash
-outside the line) makes up ``group_share`` of them: near copies are left to
-near-dedup.
+hold it, each group of near copies counted as one document: near copies are
+left to near-dedup.  A holder weighs 1/g, where g of the line's holders have
+the same minimum hash as it, for all but ``OWN_MINIMA`` of its ``MINIMA``
+hashes.  Near copies share nearly all of them; documents that share a template
+but differ in more than a sixth of their trigrams do not.
 
 The lines above the limit are broadcast only if there are at most
 ``broadcast_lines`` of them; beyond that each distinct text is joined to its
@@ -35,10 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tabloom.llm.common import written
 from tabloom.llm.textnp import IS_SPACE, LOWER, Words, mix, row_sums, segment_hash, slices, texts
 
 MAX_DOCS = 100          # distinct documents of a host that may share a line
-GROUP_SHARE = 0.5       # of a line's documents that are one group of near copies
+MINIMA = 24             # minimum trigram hashes of a document outside a line
+OWN_MINIMA = 4          # of them that a near copy may have to itself
 DEPLETED_PCT = 70       # a document that loses more of its words is rejected
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -78,27 +84,31 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(values.view(np.int64)))
 
 
-LINES = "host long, text long, lines array<long>, sigs array<long>"
+LINES = "host long, text long, lines array<long>"
+SIGNED = "line long, text long, sigs array<long>"
 
 
 def _rest_signatures(w: Words, first: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Per line: the minimum trigram hash of its document outside the line (0 if there is none)."""
+    """Per line (rows) ``MINIMA`` minimum trigram hashes of its document outside the line (0 if there is none)."""
     top = _U(0xFFFFFFFFFFFFFFFF)
     tri, at = w.shingles(3)
+    place = np.arange(len(tri)) + np.repeat(w.row[:-1] - at[:-1], np.diff(at))
     by_word = np.full(len(w.hash), top, _U)
-    take = np.diff(at)
-    by_word[np.arange(len(tri)) + np.repeat(w.row[:-1] - at[:-1], take)] = tri
-    own = np.minimum.reduceat(by_word, first)
     new_row = np.concatenate(([True], row[1:] != row[:-1]))
     starts, which = np.flatnonzero(new_row), np.cumsum(new_row) - 1
-    least = np.minimum.reduceat(own, starts)[which]
-    rest = np.minimum.reduceat(np.where(own == least, top, own), starts)[which]
-    sig = np.where(own == least, rest, least)
-    return np.where(sig == top, _U(0), sig)
+    out = np.empty((len(first), MINIMA), _U)
+    for j in range(MINIMA):
+        by_word[place] = mix(tri ^ _U((j * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+        own = np.minimum.reduceat(by_word, first)
+        least = np.minimum.reduceat(own, starts)[which]
+        rest = np.minimum.reduceat(np.where(own == least, top, own), starts)[which]
+        sig = np.where(own == least, rest, least)
+        out[:, j] = np.where(sig == top, _U(0), sig)
+    return out
 
 
 def _document_lines(batches):
-    """host, text key, distinct line keys and a signature of the rest for each, per document with words."""
+    """host, text key and distinct line keys of each document with words."""
     for batch in batches:
         for part in slices(batch, "__text"):
             data, offs = texts(part.column("__text"))
@@ -108,16 +118,44 @@ def _document_lines(batches):
                 continue
             host = _host(part)
             key, row, _ = _line_keys(data, w, host)
-            sig = _rest_signatures(w, *_line_starts(data, w))
-            order = np.lexsort((sig, key, row))
-            key, row, sig = key[order], row[order], sig[order]
+            order = np.lexsort((key, row))
+            key, row = key[order], row[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
             counts = np.bincount(row[new], minlength=len(w.count))[has]
             text = segment_hash(w.hash, w.row[:-1][has], 7)
-            yield pa.record_batch([
-                pa.array(host[has].view(np.int64)), pa.array(text.view(np.int64)),
-                _lists(key[new], counts), _lists(sig[new], counts)], names=["host", "text", "lines", "sigs"])
+            yield pa.record_batch([pa.array(host[has].view(np.int64)), pa.array(text.view(np.int64)),
+                                   _lists(key[new], counts)], names=["host", "text", "lines"])
+
+
+def _flagged(part: pa.RecordBatch, key: np.ndarray, row: np.ndarray, removed: np.ndarray | None) -> np.ndarray:
+    """Which lines are listed: in the sorted keys ``removed`` or, if None, in their row's own ``__removed``."""
+    if removed is not None:
+        at = np.searchsorted(removed, key)
+        return removed[np.minimum(at, len(removed) - 1)] == key
+    own = [set(x or ()) for x in part.column("__removed").to_pylist()]
+    return np.fromiter((k in own[r] for k, r in zip(key.view(np.int64).tolist(), row.tolist())), bool, len(key))
+
+
+def _signed_lines(part: pa.RecordBatch, removed: np.ndarray | None):
+    """line, text key and signature outside the line of each listed line of a slice, or None."""
+    data, offs = texts(part.column("__text"))
+    w = Words(data, offs, NORMAL)
+    if not len(w.starts):
+        return None
+    key, row, _ = _line_keys(data, w, _host(part))
+    bad = np.flatnonzero(_flagged(part, key, row, removed))
+    if not len(bad):
+        return None
+    held = np.zeros(len(w.count), bool)
+    held[row[bad]] = True
+    if not held.all():                      # hash only the documents that hold such a line
+        return _signed_lines(part.filter(pa.array(held)), removed)
+    sig = _rest_signatures(w, *_line_starts(data, w))[bad]
+    text = np.zeros(len(w.count), _U)
+    text[w.count > 0] = segment_hash(w.hash, w.row[:-1][w.count > 0], 7)
+    return pa.record_batch([pa.array(key[bad].view(np.int64)), pa.array(text[row[bad]].view(np.int64)),
+                            _lists(sig.ravel(), np.full(len(bad), MINIMA))], names=["line", "text", "sigs"])
 
 
 def _prepared(docs: DataFrame, *extra) -> DataFrame:
@@ -125,15 +163,35 @@ def _prepared(docs: DataFrame, *extra) -> DataFrame:
                        F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\0null"))).alias("__host"))
 
 
-def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, group_share: float = GROUP_SHARE) -> DataFrame:
-    """(line): keys of the host lines above the limit."""
+def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """(line): keys of the host lines above the limit, a group of near copies counted once."""
     per_doc = _prepared(docs).mapInArrow(_document_lines, LINES)
-    distinct = per_doc.groupBy("host", "text").agg(F.first(F.arrays_zip("lines", "sigs")).alias("lines"))
-    return (distinct.select(F.inline("lines").alias("line", "sig"))
-            .groupBy("line", "sig").agg(F.count("*").alias("n"))
-            .groupBy("line").agg(F.sum("n").alias("docs"), F.max("n").alias("largest"))
-            .where((F.col("docs") > max_docs) & (F.col("largest") < group_share * F.col("docs")))
-            .select("line"))
+    distinct = per_doc.groupBy("host", "text").agg(F.first("lines").alias("lines"))
+    shared = written(distinct.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("docs"))
+                     .where(F.col("docs") > max_docs).select("line"), "shared-lines")
+    flagged, sent = _with_removed(docs, shared, broadcast_lines)
+    if sent is not None and not len(sent.value):
+        return shared
+    rows = _prepared(docs)
+    if flagged is not None:
+        rows = _rows_with_removed(rows, flagged)
+
+    def sign(batches):
+        removed = sent.value if sent is not None else None
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                got = _signed_lines(part, removed)
+                if got is not None:
+                    yield got
+
+    signed = written(rows.mapInArrow(sign, SIGNED).groupBy("line", "text").agg(F.first("sigs").alias("sigs")), "signed-lines")
+    minima = signed.select("line", "text", F.posexplode("sigs").alias("j", "sig"))
+    groups = minima.groupBy("line", "j", "sig").agg(F.count("*").alias("n"))
+    size = F.sort_array(F.collect_list("n"))[OWN_MINIMA]
+    weighed = minima.join(groups, ["line", "j", "sig"]).groupBy("line", "text").agg(size.alias("size"))
+    # the slack is for sums of fractions only
+    return written(weighed.groupBy("line").agg(F.sum(1 / F.col("size")).alias("docs"))
+                   .where(F.col("docs") > max_docs + 1e-6).select("line"), "frequent-lines")
 
 
 def measure(part: pa.RecordBatch, removed: np.ndarray | None) -> dict[str, np.ndarray]:
@@ -178,12 +236,7 @@ def measure(part: pa.RecordBatch, removed: np.ndarray | None) -> dict[str, np.nd
     if removed is None or len(removed):
         w = Words(data, offs, NORMAL)
         key, row, words = _line_keys(data, w, _host(part))
-        if removed is not None:
-            at = np.searchsorted(removed, key)
-            bad = removed[np.minimum(at, len(removed) - 1)] == key
-        else:
-            own = [set(x or ()) for x in part.column("__removed").to_pylist()]
-            bad = np.fromiter((k in own[r] for k, r in zip(key.view(np.int64).tolist(), row.tolist())), bool, len(key))
+        bad = _flagged(part, key, row, removed)
         gone = np.bincount(row[bad], weights=words[bad], minlength=n).astype(np.int64)
         out["__lines"] = (row, bad)
     out["removed_words"] = gone
@@ -229,10 +282,10 @@ def _rows_with_removed(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     return keyed.join(f, ["__host", "__key"], "left")
 
 
-def quality(docs: DataFrame, max_docs: int = MAX_DOCS, group_share: float = GROUP_SHARE,
+def quality(docs: DataFrame, max_docs: int = MAX_DOCS,
             broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """doc_id, the base measures, removed_words and the verdict of every document."""
-    flagged, sent = _with_removed(docs, frequent_lines(docs, max_docs, group_share), broadcast_lines)
+    flagged, sent = _with_removed(docs, frequent_lines(docs, max_docs, broadcast_lines), broadcast_lines)
     rows = _prepared(docs, F.col("doc_id").alias("__id"))
     if flagged is not None:
         rows = _rows_with_removed(rows, flagged)
@@ -248,13 +301,13 @@ def quality(docs: DataFrame, max_docs: int = MAX_DOCS, group_share: float = GROU
     return rows.mapInArrow(judge, f"doc_id {dict(docs.dtypes)['doc_id']}, {_MEASURE_DDL}")
 
 
-def filter_quality(docs: DataFrame, max_docs: int = MAX_DOCS, group_share: float = GROUP_SHARE,
+def filter_quality(docs: DataFrame, max_docs: int = MAX_DOCS,
                    broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The kept documents with all their columns, lines above the limit removed from their texts.
 
     ``n_chars``, where it is a whole number column, follows the new text.
     """
-    flagged, sent = _with_removed(docs, frequent_lines(docs, max_docs, group_share), broadcast_lines)
+    flagged, sent = _with_removed(docs, frequent_lines(docs, max_docs, broadcast_lines), broadcast_lines)
     rows = _prepared(docs, F.struct("*").alias("__doc"))
     if flagged is not None:
         rows = _rows_with_removed(rows, flagged)

@@ -85,3 +85,37 @@ def test_hosts_are_counted_apart(make_docs):
     rows, _ = boilerplate_rows()
     docs = make_docs([(i, t, f"host{i % 3}") for i, t in rows])
     assert all(r.removed_words == 0 for r in q.quality(docs, max_docs=20).collect())
+
+
+def own_words(rng, n):
+    return " ".join("".join(rng.choice("bcdfghjklm") for _ in range(8)) for _ in range(n))
+
+
+@pytest.mark.parametrize("bound", [100, 0])
+def test_near_copies_count_as_one_document(make_docs, bound):
+    rng = random.Random(9)
+    licence = "this text may be copied under the licence of the site"
+    body = [own_words(rng, 30) for _ in range(6)]
+
+    def copy(b):
+        return "\n".join([licence, *b[:5], b[5] + " " + own_words(rng, 1)])
+
+    # 60 unrelated holders and 90 near copies of one text, on another host two groups of near copies only
+    rows = [(i, f"{licence}\n{own_words(rng, 60)}", "a") for i in range(60)]
+    rows += [(100 + i, copy(body), "a") for i in range(90)]
+    other = [own_words(rng, 30) for _ in range(6)]
+    rows += [(200 + i, copy(body if i % 2 else other), "b") for i in range(80)]
+    got = {r.doc_id: r for r in q.quality(make_docs(rows), max_docs=20, broadcast_lines=bound).collect()}
+    assert {got[i].removed_words for i, _, s in rows if s == "a"} == {11}
+    assert {got[i].removed_words for i, _, s in rows if s == "b"} == {0}
+    assert all(r.kept for r in got.values())
+
+
+def test_templates_of_several_lines_are_removed(make_docs):
+    rng = random.Random(10)
+    rows = []
+    for h in range(6):
+        template = [own_words(rng, 11) for _ in range(4)]
+        rows += [(100 * h + i, "\n".join([*template[:2], own_words(rng, 20), *template[2:]]), f"h{h}") for i in range(60)]
+    got = q.quality(make_docs(rows), max_docs=20).collect()
+    assert {r.removed_words for r in got} == {44}
