@@ -6,9 +6,10 @@ of token characters) are classed by their characters (hex, alphanumeric,
 base64); a window of ``WINDOW`` characters slides over each, its character
 counts are updated by the one that enters and the one that leaves, and windows
 whose entropy reaches the class's threshold are hot.  The span runs from the
-first to the last hot window.  Candidates on the allow-list (numbers, UUIDs,
-words without digits, names in lower case joined by separators) and those
-inside a base span are left out; base spans always stay.
+first to the last hot window.  Candidates are cut at the base spans, which
+always stay; pieces of ``WINDOW`` characters or more are scanned, except those on
+the allow-list (numbers, UUIDs, words without digits, names in lower case joined
+by separators).
 
 Everything is row-wise: no shuffle, no Python.  A null or empty text has no
 spans and base_sha256 of the empty string.  Repeated rows give repeated rows.
@@ -124,9 +125,25 @@ def allowed(value: Column) -> Column:
     return out
 
 
+def uncovered(span: Column, base: Column) -> Column:
+    """The pieces of an ASCII span that no base span covers, in order."""
+    def piece(start, end):
+        return F.struct(span["kind"].alias("kind"), start.alias("start"), end.alias("end"),
+                        F.substring(span["value"], start - span["start"] + 1, end - start).alias("value"))
+
+    def step(acc, b):
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["start"] > acc["at"], F.concat(
+            acc["pieces"], F.array(piece(acc["at"], b["start"])))).otherwise(acc["pieces"]).alias("pieces"))
+
+    over = by_start(F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"])), KINDS)
+    zero = F.struct(span["start"].alias("at"), no_spans().alias("pieces"))
+    return F.aggregate(over, zero, step, lambda a: F.when(a["at"] < span["end"], F.concat(
+        a["pieces"], F.array(piece(a["at"], span["end"])))).otherwise(a["pieces"]))
+
+
 def entropy_spans(text: Column, base: Column, window: int = WINDOW) -> Column:
-    found = F.filter(regex_spans(text, CANDIDATE, "entropy"), lambda s: ~allowed(s["value"]) & ~F.exists(
-        base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    pieces = F.flatten(F.transform(regex_spans(text, CANDIDATE, "entropy"), lambda s: uncovered(s, base)))
+    found = F.filter(pieces, lambda s: (F.char_length(s["value"]) >= window) & ~allowed(s["value"]))
 
     def scored(s):
         kind = char_class(s["value"])
