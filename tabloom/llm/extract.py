@@ -16,9 +16,14 @@ most ``BROADCAST_HOSTS``; beyond that pages are joined by shuffle, where a hot
 host is split by adaptive skew handling, as nothing above needs a host's rows
 together.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are left out by tag, role or class wherever they stand;
-headings of an article's own header stay.  Null, empty and tagless pages give
+Menus, headers, footers, scripts, styles and hidden parts are left out by tag or
+role wherever they stand; headings of an article's own header stay.  Forms and
+containers whose class or id has a boilerplate word (sidebars, notices, adverts,
+reader comments) are only doubted: their text scores ``DOUBT`` of other text and
+is left out where they stand inside the winning container, not where they hold
+it.  A doubted container that holds the page's first article or main element, or
+(unless one class or id is just such a word, or names comments or related
+articles) most of the page's other unlinked text, is an ordinary one.  Null, empty and tagless pages give
 their bare text or the empty string; a null url is a host of its own; repeated
 rows give repeated rows.
 """
@@ -35,6 +40,7 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import written
 
 BROADCAST_HOSTS = 200_000
+DOUBT = 0.2     # weight of text in containers named like boilerplate
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # content that is never text
@@ -43,8 +49,8 @@ CONTAINERS = frozenset("html body main article section div td th table tbody tr
                        "figure details fieldset form nav header footer aside menu dialog".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre address figcaption caption summary thead tfoot hr option "
                                 "select legend hgroup".split())
-BOILERPLATE_TAGS = frozenset("nav footer aside form button select option menu dialog fieldset input label head".split())
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu "
+BOILERPLATE_TAGS = frozenset("nav footer aside button select option menu dialog input label head".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu "
                               "menubar".split())
 # words of class and id attributes that name a part which is not the article
 BOILERPLATE_WORDS = frozenset(
@@ -63,23 +69,40 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 END_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 WORD = re.compile(r"[A-Za-z]+")
+# of readers and of other articles, often long: not told by their share of a page
+REMARK = re.compile(r"\b(?:comment|reply|replies|related|recommended)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "link", "article", "header")
+    __slots__ = ("tag", "path", "skip", "link", "article", "header", "doubts")
 
-    def __init__(self, tag, path, skip, link, article, header):
+    def __init__(self, tag, path, skip, link, article, header, doubts):
         self.tag, self.path, self.skip, self.link, self.article, self.header = tag, path, skip, link, article, header
+        self.doubts = doubts
+
+
+class Doubt:
+    """A container named like boilerplate.  ``key``: the same for all that look alike on the page;
+    ``whole``: see ``_doubted``; ``cleared``: it holds the page's first article or main."""
+    __slots__ = ("path", "key", "whole", "cleared")
+
+    def __init__(self, path, key, whole):
+        self.path, self.key, self.whole, self.cleared = path, key, whole, False
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(container path, text, code points inside links) of each block outside boilerplate, in page order."""
-    out: list[tuple[str, str, int]] = []
-    root = Node("", "", False, False, False, False)
+Block = tuple[str, str, int, tuple[str, ...]]
+
+
+def blocks(page: str) -> list[Block]:
+    """(container path, text, code points inside links, paths of the doubted containers around it) of
+    each block outside sure boilerplate, in page order."""
+    out: list[tuple[str, str, int, tuple[Doubt, ...]]] = []
+    root = Node("", "", False, False, False, False, ())
+    first = False
     stack, buf, linked = [root], [], 0
     heading = False
 
@@ -89,7 +112,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             text = " ".join(_html.unescape("".join(buf)).split())
             if text:
                 holder = next(n for n in reversed(stack) if n.tag in CONTAINERS or not n.tag)
-                out.append((holder.path, text, linked))
+                out.append((holder.path, text, linked, holder.doubts))
             buf, linked = [], 0
 
     pos, end = 0, len(page)
@@ -123,7 +146,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if tag not in BLOCKS and tag != "a":
             if not closing and tag in BOILERPLATE_TAGS and not rest.endswith("/"):
                 t = stack[-1]
-                stack.append(Node(tag, t.path, True, t.link, t.article, t.header))
+                stack.append(Node(tag, t.path, True, t.link, t.article, t.header, t.doubts))
             elif closing and tag in BOILERPLATE_TAGS:
                 _close(stack, tag)
             continue
@@ -151,7 +174,8 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         top, at = stack[-1], _attributes(rest)
         article = top.article or tag == "article" or tag == "main" or at.get("role") == "main" or \
             at.get("itemprop", "").lower() == "articlebody"
-        skip = top.skip or (tag not in ("html", "body") and _boilerplate(tag, at))
+        skip = top.skip or (tag not in ("html", "body") and _boilerplate(tag, at)) or (
+            tag not in CONTAINERS and _doubted(tag, at)[0])
         header = top.header or tag == "header"
         if tag == "header" and not top.article:
             skip = True
@@ -160,9 +184,32 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if tag in CONTAINERS:
             names = sorted({w.lower() for w in WORD.findall(at.get("class", ""))})
             path = f"{path}/{tag}" + ("." + ".".join(names) if names else "")
-        stack.append(Node(tag, path, skip, top.link or tag == "a", article, header))
+        doubts = top.doubts
+        doubted, whole = _doubted(tag, at)
+        if article and not top.article and not first and not skip and not whole:
+            first = True
+            for d in doubts:
+                d.cleared = True
+        if doubted and tag in CONTAINERS and tag not in ("html", "body", "article", "main"):
+            doubts = (*doubts, Doubt(path, f"{path}#{at.get('id', '')}", whole))
+        stack.append(Node(tag, path, skip, top.link or tag == "a", article, header, doubts))
     flush()
-    return out
+    return _settled(out)
+
+
+def _settled(found: list[tuple[str, str, int, tuple[Doubt, ...]]]) -> list[Block]:
+    """The blocks with the paths of the containers that stay in doubt."""
+    total, held = 0, {}
+    for _, text, linked, doubts in found:
+        own = max(0, len(text) - linked)
+        if any(d.whole and not d.cleared for d in doubts):
+            continue
+        total += own
+        for key in {d.key for d in doubts}:
+            held[key] = held.get(key, 0) + own
+    return [(path, text, linked, tuple(
+        d.path for d in doubts if not d.cleared and (d.whole or 2 * held.get(d.key, 0) <= total)))
+        for path, text, linked, doubts in found]
 
 
 def _close(stack: list[Node], tag: str) -> None:
@@ -180,15 +227,22 @@ def _boilerplate(tag: str, at: dict[str, str]) -> bool:
         return True
     if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in at.get("style", "").replace(" ", ""):
         return True
-    words = WORD.findall(f"{at.get('class', '')} {at.get('id', '')}".lower())
-    return tag not in ("article", "main") and any(w in BOILERPLATE_WORDS for w in words)
+    return False
+
+
+def _doubted(tag: str, at: dict[str, str]) -> tuple[bool, bool]:
+    """Whether an element is named like boilerplate, and whether a class or id is just such a word or a ``REMARK``."""
+    names = f"{at.get('class', '')} {at.get('id', '')}".lower()
+    whole = any(n in BOILERPLATE_WORDS for n in names.split()) or REMARK.search(names) is not None
+    form = tag in ("form", "fieldset") or at.get("role", "").lower() == "form"
+    return form or whole or any(w in BOILERPLATE_WORDS for w in WORD.findall(names)), whole
 
 
-def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
+def scores(found: list[Block]) -> dict[str, float]:
     """Share of a page's score of each container path; the shares sum to at most 1."""
     score: dict[str, float] = {}
-    for path, text, linked in found:
-        own = max(0, len(text) - linked)
+    for path, text, linked, doubts in found:
+        own = max(0, len(text) - linked) * (DOUBT if doubts else 1.0)
         share = 1.0
         while path and share > 0.2:
             score[path] = score.get(path, 0.0) + own * share
@@ -213,15 +267,26 @@ def best(score: dict[str, float]) -> str:
 def main_text(page: str | None, path: str | None) -> str:
     """Blocks under ``path``, or under the page's own best path where it has no such blocks."""
     found = blocks(page or "")
-    for p in (path, best(scores(found)), ""):
+    own = best(scores(found))
+    for p, inner in ((path, False), (own, False), ("", False), (own, True)):
         if p is not None:
-            p = widened(p)
-            got = [t for q, t, _ in found if not p or q == p or q.startswith(p + "/")]
+            got = _under(found, widened(p), inner)
             if got:
                 return "\n\n".join(got)
     return ""
 
 
+def _under(found: list[Block], path: str, inner: bool) -> list[str]:
+    """Texts under a path, those in doubted containers inside it only with ``inner``."""
+    got = [(t, not doubts) for q, t, _, doubts in found if (not path or q == path or q.startswith(path + "/"))
+           and (inner or not any(d != path and d.startswith(path + "/") for d in doubts))]
+    # paths have no ids: the same path may name a doubted container and the article's
+    sure = sum(len(t) for t, ok in got if ok)
+    if sure >= DOUBT * sum(len(t) for t, ok in got if not ok) > 0:
+        return [t for t, ok in got if ok]
+    return [t for t, _ in got]
+
+
 def _votes(batches):
     """(host, path) of each page's best container."""
     for batch in batches:

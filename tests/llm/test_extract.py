@@ -56,3 +56,36 @@ def test_broken_pages_do_not_fail(page):
 
 def test_very_long_page():
     assert len(x.main_text("<article>" + "<div><p>word</p>" * 3000, None)) == 3000 * 6 - 2
+
+
+STORY = "".join(f"<p>Paragraph {i} of a long story with many plain words in it.</p>" for i in range(6))
+STORY_TEXT = "\n\n".join(f"Paragraph {i} of a long story with many plain words in it." for i in range(6))
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='site has-sidebar'>", "<div class='overflow-hidden'>", "<div id='search-results'>",
+                                     "<form id=aspnetForm method=post>", "<div class=widget>"])
+def test_named_wrappers_keep_what_they_hold(wrapper):
+    end = f"</{re.match('<([a-z]+)', wrapper)[1]}>"
+    beside = "<div class='ad'>buy this</div><div id='comments'><p>first!</p></div>"
+    for inside in (f"<article>{STORY}</article>{beside}", f"<div class='content'>{STORY}</div>{beside}"):
+        assert x.main_text(f"<html><body>{wrapper}{inside}{end}<footer>f</footer></body></html>", None) == STORY_TEXT
+
+
+def test_many_named_parts_of_an_article():
+    parts = STORY.replace("<p>", "<div class='elementor-widget-container'><p>").replace("</p>", "</p></div>")
+    page = f"<html><body><article>{parts}<div class='comments'><p>{'no ' * 300}</p></div></article></body></html>"
+    assert x.main_text(page, None) == STORY_TEXT
+
+
+def test_long_comments_do_not_win():
+    page = (f"<html><body><div class=entry>{STORY}</div><div class='comment-list'><article class='comment-body'>"
+            f"<p>{'words of a reader ' * 30}</p></article></div></body></html>")
+    assert x.main_text(page, None) == STORY_TEXT
+
+
+def test_pages_in_named_wrappers_vote(spark):
+    rows = [(i, f"https://h.example.org/{i}", f"<body><div class='site has-sidebar'><article>{STORY}</article></div></body>", "p")
+            for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, path string")
+    assert [r.path for r in x.host_paths(pages).collect()] == ["/body/div.has.sidebar.site/article"]
+    assert {r.text for r in x.extract(pages).collect()} == {STORY_TEXT}
