@@ -1,18 +1,21 @@
-"""Queries of the ten operators with production parameters over whole tables."""
+"""Queries of the thirteen operators with production parameters over whole tables."""
 
 from __future__ import annotations
 
 from tabloom.llm import bpe as _bpe
 from tabloom.llm import decontaminate as _decontaminate
+from tabloom.llm import divergence as _divergence
 from tabloom.llm import extract as _extract
 from tabloom.llm import minhash as _minhash
 from tabloom.llm import oracle as _oracle
+from tabloom.llm import pack as _pack
 from tabloom.llm import quality as _quality
 from tabloom.llm import repair as _repair
 from tabloom.llm import sanitise as _sanitise
 from tabloom.llm import secrets as _secrets
 from tabloom.llm import shard as _shard
 from tabloom.llm import toolcalls as _toolcalls
+from tabloom.llm import vector_codes as _vector_codes
 from tabloom.llm.common import LLM_ORACLE, LLM_QUERIES, register, table
 
 
@@ -69,4 +72,20 @@ def op10_bpe(spark, sf_dir):
                                       public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+@register("op11_pack")
+def op11_pack(spark, sf_dir):
+    import public_tokenizers
+    return _pack.digests(_pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@register("op12_divergence", _oracle.OP12)
+def op12_divergence(spark, sf_dir):
+    return _divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@register("op13_vector_codes", _oracle.OP13)
+def op13_vector_codes(spark, sf_dir):
+    return _vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 __all__ = ["LLM_QUERIES", "LLM_ORACLE"]

@@ -98,3 +98,60 @@ SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, least(d.doc_id, coalesce(low
        least(d.doc_id, coalesce(low.b, d.doc_id)) = d.doc_id AS kept
 FROM d LEFT JOIN size USING (doc_id) LEFT JOIN low ON low.a = d.doc_id
 """
+
+# terms: letters and all that lies outside ASCII, only A-Z lower-cased
+OP12 = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+size AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS group_n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source)
+      GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n,
+             1 + (1000000000 * CAST(coalesce(n, 0) + 1 AS HUGEINT)) // (group_n + v) AS p,
+             1 + (1000000000 * (total + 1)) // (lang_n + v) AS q
+      FROM g JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS BIGINT) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+          UNION ALL
+          SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13(entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd rounds one after the other: assign every part, then take floored means."""
+    near = """a{i} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min(struct_pack(d := d, k := k)) AS best FROM (
+        SELECT r, p, k, x, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d
+        FROM part JOIN b{i} USING (p)) GROUP BY r, p)"""
+    mean = """b{j} AS MATERIALIZED (SELECT p, k, coalesce(m, c) AS c FROM b{i} LEFT JOIN (
+        SELECT p, k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (
+            SELECT p, best.k AS k, i, sum(x[i]) AS s, count(*) AS n
+            FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS i FROM a{i}) GROUP BY ALL) GROUP BY p, k) USING (p, k))"""
+    steps = [near.format(i=0)]
+    for i in range(rounds):
+        steps += [mean.format(i=i, j=i + 1), near.format(i=i + 1)]
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+                  list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT r, p, list_slice(e, p * (len(e) // 8) + 1, (p + 1) * (len(e) // 8)) AS x FROM v, range(8) AS t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS k, x AS c FROM part WHERE r <= {entries}),
+{', '.join(steps)},
+codes AS (SELECT r, string_agg(lower(printf('%02x', best.k)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+          FROM a{rounds} GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS h FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM codes JOIN v USING (r), digest
+"""
+
+
+OP13 = op13()
