@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.spans import by_start, joined, no_spans, regex_spans
+from tabloom.llm.spans import by_start, cover, joined, let, no_spans, overlapping, regex_spans, replaced, running_max
 
 KINDS = ["assign", "access", "hex", "entropy"]
 MIN_SECRET = 6
@@ -125,24 +125,29 @@ def allowed(value: Column) -> Column:
     return out
 
 
-def uncovered(span: Column, base: Column) -> Column:
-    """The pieces of an ASCII span that no base span covers, in order."""
-    def piece(start, end):
-        return F.struct(span["kind"].alias("kind"), start.alias("start"), end.alias("end"),
-                        F.substring(span["value"], start - span["start"] + 1, end - start).alias("value"))
+def uncovered(span: Column, covered: Column, least: int = 1) -> Column:
+    """The pieces of an ASCII span, of ``least`` characters or more, that no base span covers, in order."""
+    def piece(p):
+        return F.struct(span["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"),
+                        F.substring(span["value"], p["start"] - span["start"] + 1, p["end"] - p["start"]).alias("value"))
 
-    def step(acc, b):
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["start"] > acc["at"], F.concat(
-            acc["pieces"], F.array(piece(acc["at"], b["start"])))).otherwise(acc["pieces"]).alias("pieces"))
+    def gaps(over):
+        # before each base span from the largest end so far, then after the last
+        return let(running_max(F.transform(over, lambda b: b["end"])), lambda ends: F.transform(F.filter(
+            F.concat(F.transform(over, lambda b, i: _gap(F.greatest(span["start"], F.coalesce(F.get(ends, i - 1), F.lit(0))), b["start"])),
+                     F.array(_gap(F.greatest(span["start"], F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0))), span["end"]))),
+            lambda p: p["end"] - p["start"] >= least), piece))
 
-    over = by_start(F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"])), KINDS)
-    zero = F.struct(span["start"].alias("at"), no_spans().alias("pieces"))
-    return F.aggregate(over, zero, step, lambda a: F.when(a["at"] < span["end"], F.concat(
-        a["pieces"], F.array(piece(a["at"], span["end"])))).otherwise(a["pieces"]))
+    return let(overlapping(covered, span["start"], span["end"]), gaps)
+
+
+def _gap(start: Column, end: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"))
 
 
 def entropy_spans(text: Column, base: Column, window: int = WINDOW) -> Column:
-    pieces = F.flatten(F.transform(regex_spans(text, CANDIDATE, "entropy"), lambda s: uncovered(s, base)))
+    pieces = let(cover(base), lambda c: F.flatten(F.transform(
+        regex_spans(text, CANDIDATE, "entropy"), lambda s: uncovered(s, c, window))))
     found = F.filter(pieces, lambda s: (F.char_length(s["value"]) >= window) & ~allowed(s["value"]))
 
     def scored(s):
@@ -191,17 +196,7 @@ def redact(docs: DataFrame, window: int = WINDOW, mask: str = MASK) -> DataFrame
     """
     found = find_secrets(docs, window)
     spans = by_start(F.concat(F.col("__base"), F.col("__added")), KINDS)
-    text = F.col("__text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        return F.when(s["start"] >= acc["at"], F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"))) \
-            .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    clean = F.when(F.size(spans) > 0, F.aggregate(
-        spans, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))).otherwise(F.col("__doc.text"))
+    clean = F.when(F.col("__doc.text").isNotNull(), replaced(F.col("__text"), spans, lambda s: F.lit(mask)))
     found = found.select("__doc", clean.alias("__new"))
     whole = {"tinyint", "smallint", "int", "bigint"}
     return found.select(*(

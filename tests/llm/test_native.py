@@ -1,16 +1,21 @@
 """The operators that are column expressions only: tool calls, sharding, secrets, PII."""
 
 import hashlib
+import itertools
 import json
 import math
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import pyarrow.parquet as pq
+import regex
 from pyspark.sql import functions as F
 
 from tabloom.llm import sanitise, secrets, shard, toolcalls
+from tabloom.llm import spans as spans_
 from tabloom.llm.common import table
 
 
@@ -140,6 +145,59 @@ def test_pii_against_brute_force(spark, sf, make_docs, hard_rows):
     assert sanitise.scan(make_docs(hard_rows).limit(0)).count() == 0
 
 
+EMAIL = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+PHONE = regex.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_added(rows, support=3, remove_bits=1.0, generalise_bits=3.0):
+    """doc -> added spans; entities are e-mail addresses and phone numbers here."""
+    texts = {t for _, t in rows if t}
+    held = {t: {m[0].lower() for m in EMAIL.finditer(t)} | {regex.sub("[^0-9]", "", m[0]) for m in PHONE.finditer(t)} for t in texts}
+    terms = {t: {w for w in regex.findall(r"\p{L}+", t.lower()) if len(w) >= 3} for t in texts}
+    n_term = Counter(w for t in texts for w in terms[t])
+    n_entity = Counter(e for t in texts for e in held[t])
+    both = Counter((e, w) for t in texts for e in held[t] for w in terms[t])
+    out = []
+    for i, t in rows:
+        found = {}
+        for e in held.get(t, ()):
+            for w in terms[t]:
+                if both[e, w] >= min(support, n_entity[e]):
+                    bits = math.log2(n_term[w] / both[e, w])
+                    if bits <= generalise_bits:
+                        found[w] = max(found.get(w, ""), "remove" if bits <= remove_bits else "generalise")
+        base = [m.span() for p in (EMAIL, PHONE) for m in p.finditer(t or "")]
+        spans = [(found[m[0].lower()], *m.span()) for m in regex.finditer(r"\p{L}{3,}", t or "") if m[0].lower() in found
+                 and not any(a < m.end() and m.start() < b for a, b in base)]
+        out.append((i, sorted(spans, key=lambda s: (s[0] != "remove", s[1]))))
+    return out
+
+
+def added(docs, **rules):
+    kinds = ("remove", "generalise")
+    return sorted(((r.doc_id, [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k in kinds])
+                   for r in sanitise.scan(docs, **rules).collect()), key=str)
+
+
+def test_added_spans_against_brute_force(make_docs, monkeypatch):
+    rng = random.Random(8)
+    common, rare = [f"{a}ord{b}" for a in "abcd" for b in "xyz"], [f"rare{chr(97 + k)}{chr(97 + j)}" for k in range(26) for j in range(12)]
+    people = [f"p{k}@mail{k % 3}.example.org" for k in range(12)] + ["+1 (234) 567-8901", "+1 234 567 8902", "Ann@x.example.org"]
+    rows = [(0, None), (1, "")]
+    for k in range(2, 260):
+        words = [rng.choice(common) for _ in range(rng.randrange(40))] + [rng.choice(rare) for _ in range(rng.randrange(6))]
+        words += rng.sample(people, rng.choice([0, 0, 1, 1, 2, 5]))
+        rng.shuffle(words)
+        rows.append((k, "".join(w + rng.choice([" ", "\n", ", "]) for w in words)))
+    rows += rows[10:30] + [(400, "Only here: Zebra zebras ann@x.example.org \U0001f600 Zebra")]
+    want = brute_added(rows)
+    assert added(make_docs(rows)) == sorted(want, key=str)
+    assert {s[0] for _, spans in want for s in spans} == {"remove", "generalise"}
+    assert added(make_docs(rows), support=1) == sorted(brute_added(rows, support=1), key=str)
+    monkeypatch.setattr(sanitise, "FREQUENT", -1)       # without the list of frequent words
+    assert added(make_docs(rows)) == sorted(want, key=str)
+
+
 def test_terms_that_reveal_an_entity(make_docs):
     rng = random.Random(6)
 
@@ -147,7 +205,7 @@ def test_terms_that_reveal_an_entity(make_docs):
         return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(30))
 
     rows = [(i, f"{filler()}\nthe Gardener writes to ann@x.example.org from alpha street {i}\n{filler()}") for i in range(4)]
-    # exact copies are one text: two texts with "widow", below the support of three
+    # exact copies are one text; "twice" stands in one text of two, below the support of all of them
     rows += [(10 + i, "the widow called +1 (234) 567-8901") for i in range(5)] + [(15, "a widow called +1 (234) 567-8901 twice")]
     # "writes" stands in many other texts: nothing to guess from it
     rows += [(20 + i, filler() + f" she writes {i}") for i in range(60)]
@@ -162,13 +220,58 @@ def test_terms_that_reveal_an_entity(make_docs):
 
     assert words(0, "generalise") == {"Gardener"}       # 4 of 10 texts
     assert words(0, "remove") == {"from", "street", "the"}      # in one other text at most
-    assert got[20] == "" and got[10] == "phone:17:34"
+    assert got[20] == "" and words(15, "remove") == {"widow", "called"}
     clean = sanitise.sanitise(docs)
     assert clean.dtypes == docs.dtypes
     line = {r.doc_id: r.text.split("\n")[1] for r in clean.where("doc_id < 4").collect()}
     assert line[2] == " [TERM] writes to [EMAIL]  alpha  2"
 
 
+def test_texts_of_many_spans_are_linear(make_docs):
+    """20,000 addresses and 16,000 assignments in one text each, within seconds."""
+    many = "\n".join(f"host 10.0.{k // 250}.{k % 250} said hello friend" for k in range(20000))
+    keys = " ".join(f"token=abcdef{k} wJalrXUtnFEMI4K7MDENGbPxRfiCYz{k}" for k in range(16000))
+    glued = "/".join(f"token=abcd{k:05}" for k in range(8000))
+    docs = make_docs([(1, many), (2, keys), (3, glued), (4, None)])
+    began = time.time()
+    got = {r.doc_id: r for r in sanitise.scan(docs).collect()}
+    assert got[1].n_ip == 20000 and got[1].spans.count("remove:") == 80000
+    found = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert found[2].n_assign == 16000 and found[2].spans.count("entropy") == 16000
+    assert found[3].n_assign == len(ASSIGN.findall(glued))
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert masked[2] == " ".join(["[SECRET] [SECRET]"] * 16000) and masked[4] is None and masked[1] == many
+    clean = {r.doc_id: r.text for r in sanitise.sanitise(docs).collect()}
+    assert clean[1].count("[IP]") == 20000 and "friend" not in clean[1]
+    assert time.time() - began < 60
+
+
+def test_span_helpers(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        values = [rng.randrange(10) for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 200]))]
+        spans = sorted((a, a + rng.randrange(1, 40)) for a in (rng.randrange(3000) for _ in range(rng.randrange(30))))
+        text = "".join(rng.choice("ab\n\U0001f600é") for _ in range(rng.choice([3100, 5000])))
+        rows.append((k, values, spans, text, rng.randrange(3000)))
+    df = spark.createDataFrame(rows, "k int, v array<int>, s array<struct<start:int,end:int>>, t string, x int")
+    c = F.col
+    got = df.select("k", spans_.running_sum(c("v")).alias("sums"), spans_.running_max(c("v")).alias("tops"),
+                    spans_.let(spans_.cover(c("s")), lambda v: spans_.touched(v, c("x"), c("x") + 5)).alias("hit"),
+                    spans_.let(spans_.cover(c("s")), lambda v: spans_.overlapping(v, c("x"), c("x") + 5)).alias("over"),
+                    spans_.replaced(c("t"), c("s"), lambda s: F.concat(F.lit("<"), s["start"].cast("string"), F.lit(">"))).alias("new"))
+    for r, (k, values, spans, text, x) in zip(got.orderBy("k").collect(), rows):
+        assert r.sums == list(itertools.accumulate(values)) and r.tops == list(itertools.accumulate(values, max))
+        over = [s for s in spans if s[0] < x + 5 and x < s[1]]
+        assert r.hit == bool(over) and set(over) <= {tuple(s) for s in r.over}
+        out, at = "", 0
+        for a, b in spans:
+            if a >= at:
+                out += text[at:a] + f"<{a}>"
+            at = max(at, b)
+        assert r.new == out + text[at:]
+
+
 # ---------------------------------------------------------------- sharding
 
 def test_shards_obey_the_rows_law(spark, sf, make_docs, hard_rows):
