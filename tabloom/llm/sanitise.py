@@ -1,22 +1,25 @@
 """PII: information-theoretic sanitisation, JVM expressions only.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone
-numbers; each distinct value is a protected entity.  Corpus co-occurrence then
-tells how strongly the words near an entity reveal it: over distinct texts
-(exact copies count once), with n(t) texts holding term t and n(t,e) holding t
-within ``NEAR`` code points of entity e on its line, the posterior is
-P(e|t) = n(t,e) / n(t) and -log2 P(e|t) is what is left to guess.  At most
-``REMOVE_BITS`` left: the term is removed; at most ``GENERALISE_BITS``: it is
-generalised, wherever it stands near that entity.  A term needs ``SUPPORT``
-texts with the entity, so chance neighbours do not count.
-
-The texts are read twice: once for the spans and the lines around them (a
-narrow table, written to the shared folder with a row number per document),
-once for the word counts of the distinct texts.  Counts combine on the map
-side; every join is on a term, an entity and a term, or a row number.
-
-Patterns never cross a line end, so spans are found line by line.  Null and
-empty texts have no spans; repeated rows give repeated rows with equal results.
+numbers; each distinct value is a protected entity.  Corpus co-occurrence over
+distinct whole texts (exact copies count once) then tells how strongly a term
+reveals an entity: with n(t) texts that hold term t and n(t,e) that hold t and
+entity e, the posterior is P(e|t) = n(t,e) / n(t) and -log2 P(e|t) is what is left
+to guess.  At most ``REMOVE_BITS`` left: the term is removed; at most
+``GENERALISE_BITS``: it is generalised; both wherever it stands, outside the base
+spans, in a text that holds the entity.  A term needs ``SUPPORT`` texts with the
+entity, or all of them where the entity stands in fewer, so that entities of one or
+two texts are covered too.
+
+Entities that stand in the same texts have the same statistics and are counted as
+one class, so a text of many addresses found nowhere else adds one.  Only terms rare
+enough to reveal an entity of a text (n(t) <= n(e) * 2^GENERALISE_BITS) meet its
+classes.  Counts combine on the map side; joins are on a term, an entity, a class
+and term, or a text key (MD5), where Spark splits hot keys at run time.
+
+Patterns never cross a line end.  Null and empty texts have no spans; repeated rows
+give repeated rows with equal results.  A word that overlaps a base span is no term to
+mark, but counts as a word of its text.
 """
 
 from __future__ import annotations
@@ -25,10 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import written
-from tabloom.llm.spans import by_kind, joined, no_spans, regex_spans
+from tabloom.llm.spans import by_kind, cover, joined, let, no_spans, regex_spans, replaced, touched
 
 KINDS = ["email", "ip", "card", "phone", "remove", "generalise"]
-NEAR = 80
 SUPPORT = 3
 REMOVE_BITS = 1.0
 GENERALISE_BITS = 3.0
@@ -40,6 +42,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}"
+# terms in more texts than this are too many to list for a broadcast
+FREQUENT = 200_000
 
 
 def luhn(digits: Column) -> Column:
@@ -76,87 +80,98 @@ def entity(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def _found(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text key, spans and, per span, the text before and after it on its line."""
+def _found(docs: DataFrame, keep: Column) -> DataFrame:
+    """kept, spans and, where there are any, the text and its key."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(keep.alias("kept"), text.alias("text"))
     rows = rows.withColumn("spans", F.when(F.col("text").rlike(f"{EMAIL}|{IP}|{CARD}|{PHONE}"),
                                            base_spans(F.col("text"))).otherwise(no_spans()))
+    held = F.size("spans") > 0
+    return rows.select("kept", "spans", F.when(held, F.md5("text")).alias("copy"), F.when(held, F.col("text")).alias("text"))
 
-    def near(s):
-        start = F.greatest(s["start"] - NEAR, F.lit(0))
-        left = F.substring(F.col("text"), start + 1, s["start"] - start)
-        right = F.substring(F.col("text"), s["end"] + 1, F.lit(NEAR))
-        # cut at the line ends; a word the window cuts is left out
-        line = F.substring_index(left, "\n", -1)
-        cut = F.when((F.char_length(line) == NEAR), F.regexp_replace(line, r"^\p{L}+", "")).otherwise(line)
-        right_line = F.substring_index(right, "\n", 1)
-        right_cut = F.when(F.char_length(right_line) == NEAR, F.regexp_replace(right_line, r"\p{L}+$", "")) \
-            .otherwise(right_line)
-        return F.struct(entity(s["kind"], s["value"]).alias("entity"),
-                        (s["start"] - F.char_length(cut)).alias("left_at"), cut.alias("left"),
-                        s["end"].alias("right_at"), right_cut.alias("right"))
-
-    return rows.select("row", "doc_id", F.when(F.size("spans") > 0, F.xxhash64("text")).alias("copy"), "spans",
-                       F.transform("spans", near).alias("near"))
-
-
-def _neighbours(found: DataFrame) -> DataFrame:
-    """(row, copy, entity, term, start, end) of every word near an entity, outside all spans."""
-    sides = found.where(F.size("near") > 0).select("row", "copy", "spans", F.explode("near").alias("n")).select(
-        "row", "copy", "spans", F.col("n.entity").alias("entity"), F.explode(F.array(
-            F.struct(F.col("n.left_at").alias("at"), F.col("n.left").alias("text")),
-            F.struct(F.col("n.right_at").alias("at"), F.col("n.right").alias("text")))).alias("side"))
-    words = sides.select("row", "copy", "spans", "entity", F.col("side.at").alias("at"),
-                         F.explode(regex_spans(F.col("side.text"), TERM, "term")).alias("w"))
-    start, end = F.col("at") + F.col("w.start"), F.col("at") + F.col("w.end")
-    return words.where(~F.exists("spans", lambda s: (s["start"] < end) & (start < s["end"]))).select(
-        "row", "copy", "entity", F.lower("w.value").alias("term"), start.alias("start"), end.alias("end"))
+
+def distinct_terms(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"\P{L}+")), lambda t: F.char_length(t) >= 3)
 
 
 def term_texts(docs: DataFrame) -> DataFrame:
     """(term, texts): in how many distinct texts each term stands."""
-    words = F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))
     return docs.select("text").where(F.col("text").isNotNull()).distinct() \
-        .select(F.explode(words).alias("term")).where(F.char_length("term") >= 3) \
-        .groupBy("term").agg(F.count("*").alias("texts"))
+        .select(F.explode(distinct_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
+
 
+def entity_classes(texts: DataFrame) -> DataFrame:
+    """(copy, class, held): the classes of entities of each text; ``held``: the texts that hold them.
 
-def disclosing_terms(neighbours: DataFrame, docs: DataFrame, support: int = SUPPORT,
-                     remove_bits: float = REMOVE_BITS, generalise_bits: float = GENERALISE_BITS) -> DataFrame:
-    """(entity, term, kind) of the terms that reveal the entity beyond a threshold."""
-    # distinct copies per (entity, term), combined before either shuffle
-    together = neighbours.select("entity", "term", "copy").distinct() \
-        .groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    A class is named by its smallest entity.
+    """
+    pairs = texts.select("copy", F.explode(F.array_distinct(F.transform(
+        "spans", lambda s: entity(s["kind"], s["value"])))).alias("entity"))
+    # the set of an entity's texts, by two hashes that do not depend on their order
+    sets = pairs.groupBy("entity").agg(
+        F.count("*").alias("held"), F.bit_xor(F.xxhash64("copy")).alias("a"), F.bit_xor(F.xxhash64("copy", F.lit(1))).alias("b"))
+    names = sets.groupBy("held", "a", "b").agg(F.min("entity").alias("entity"))
+    return pairs.join(names, "entity").select("copy", F.col("entity").alias("class"), "held")
+
+
+def disclosing(texts: DataFrame, docs: DataFrame, support: int = SUPPORT, remove_bits: float = REMOVE_BITS,
+               generalise_bits: float = GENERALISE_BITS) -> DataFrame:
+    """(copy, term, kind): the terms of each text that reveal an entity it holds beyond a threshold."""
+    classes = written(entity_classes(texts), "entity-classes")
+    widest = classes.agg(F.max("held")).first()[0]
+    if widest is None:
+        return classes.select("copy", F.col("class").alias("term"), F.col("class").alias("kind")).limit(0)
+    reach = 2.0 ** generalise_bits
+    counts = written(term_texts(docs), "term-texts")
+    terms = texts.select("copy", F.explode(distinct_terms(F.col("text"))).alias("term"))
+    # words too frequent to reveal any entity stand in most texts: where their list is short, they leave before the join
+    often = counts.where(F.col("texts") > max(reach * widest, 1000)).select("term")
+    if often.count() <= FREQUENT:
+        terms = terms.join(F.broadcast(often), "term", "left_anti")
+    rare = terms.join(counts.where(F.col("texts") <= reach * widest), "term")
+    met = written(rare.join(classes, "copy").where(F.col("texts") <= reach * F.col("held"))
+                  .select("copy", "class", "term", "held", "texts"), "terms-and-classes")
     left = F.log2(F.col("texts") / F.col("both"))
-    return together.join(term_texts(docs), "term").where(left <= generalise_bits).select(
-        "entity", "term", F.when(left <= remove_bits, "remove").otherwise("generalise").alias("kind"))
+    found = met.groupBy("class", "term").agg(F.count("*").alias("both"), F.first("held").alias("held"), F.first("texts").alias("texts")) \
+        .where((F.col("both") >= F.least(F.lit(support), "held")) & (left <= generalise_bits)).select(
+            "class", "term", F.when(left <= remove_bits, "remove").otherwise("generalise").alias("kind"))
+    # a word that reveals two entities keeps the stronger measure: "remove" sorts after "generalise"
+    return met.join(found, ["class", "term"]).groupBy("copy", "term").agg(F.max("kind").alias("kind"))
 
 
-def find(docs: DataFrame, support: int = SUPPORT, remove_bits: float = REMOVE_BITS,
-         generalise_bits: float = GENERALISE_BITS) -> DataFrame:
-    """row, doc_id, base spans and added spans of every document.
+def added_spans(text: Column, base: Column, kinds: Column) -> Column:
+    """Spans of the words of ``kinds`` (term -> kind) outside the base spans, in order."""
+    return let(cover(base), lambda c: F.transform(
+        F.filter(regex_spans(text, TERM, "term"), lambda w: F.map_contains_key(kinds, F.lower(w["value"]))
+                 & ~touched(c, w["start"], w["end"])),
+        lambda w: F.struct(F.element_at(kinds, F.lower(w["value"])).alias("kind"), w["start"].alias("start"),
+                           w["end"].alias("end"), w["value"].alias("value"))))
 
-    ``row`` is the place in the scan: the same in every attempt over the same files.
-    """
-    found = written(_found(docs), "entities")
-    near = _neighbours(found)
-    terms = disclosing_terms(near, docs, support, remove_bits, generalise_bits)
-    # a word near two entities keeps the stronger measure: "remove" sorts after "generalise"
-    added = near.join(terms, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("kind").alias("kind")) \
-        .groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit("").alias("value"))).alias("added"))
-    return found.select("row", "doc_id", "spans").join(added, "row", "left").select(
-        "row", "doc_id", "spans", F.coalesce(F.col("added"), no_spans()).alias("added"))
+
+def find(docs: DataFrame, keep: Column, support: int = SUPPORT, remove_bits: float = REMOVE_BITS,
+         generalise_bits: float = GENERALISE_BITS) -> DataFrame:
+    """``kept``, base ``spans`` and ``added`` spans of every document."""
+    found = written(_found(docs, keep), "entities")
+    held = found.where("copy is not null")
+    # rows with equal text have equal spans
+    texts = written(held.select("copy", "spans", "text").dropDuplicates(["copy"]), "entity-texts")
+    kinds = disclosing(texts, docs, support, remove_bits, generalise_bits) \
+        .groupBy("copy").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
+    added = texts.join(kinds, "copy").select("copy", added_spans(F.col("text"), F.col("spans"), F.col("kinds")).alias("added"))
+    # documents without entities have no key and take no part in the join
+    return found.where("copy is null").select("kept", "spans", no_spans().alias("added")).unionByName(
+        held.select("kept", "spans", "copy").join(added, "copy", "left").select(
+            "kept", "spans", F.coalesce("added", no_spans()).alias("added")))
 
 
 def scan(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and all spans of every document."""
-    got = find(docs, support)
+    got = find(docs, F.col("doc_id"), support)
 
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return got.select("doc_id", *(count(k) for k in KINDS[:4]),
+    return got.select(F.col("kept").alias("doc_id"), *(count(k) for k in KINDS[:4]),
                       F.sha2(joined(by_kind(F.col("spans"), KINDS)), 256).alias("base_sha256"),
                       joined(by_kind(F.concat("spans", "added"), KINDS)).alias("spans"))
 
@@ -166,28 +181,15 @@ def sanitise(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
 
     All columns stay; ``n_chars``, where it is a whole number column, follows the new text.
     """
-    # written once: the row number then names the same document in both uses
-    rows = written(docs.select(F.struct("*").alias("__doc"), F.monotonically_increasing_id().alias("__row")), "documents")
-    got = find(rows.select(F.col("__row").alias("doc_id"), F.col("__doc.text").alias("text")), support)
-    rows = rows.join(got.select(F.col("doc_id").alias("__row"), F.concat("spans", "added").alias("__spans")), "__row")
-    text = F.col("__doc.text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rows = find(docs, F.struct("*"), support)
 
     def mask(s):
         return F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", "[TERM]").otherwise(
             F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
-    def step(acc, s):
-        return F.when(s["start"] >= acc["at"], F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mask(s)).alias("out"))) \
-            .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    order = F.array_sort(F.transform("__spans", lambda s: F.struct(
+    order = F.array_sort(F.transform(F.concat("spans", "added"), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    clean = F.when(F.size("__spans") > 0, F.aggregate(order, zero, step, lambda a: F.concat(
-        a["out"], F.substr(text, a["at"] + 1)))).otherwise(text)
-    out = rows.select("__doc", clean.alias("__new"))
+    out = rows.select(F.col("kept").alias("__doc"), replaced(F.col("kept.text"), order, mask).alias("__new"))
     whole = {"tinyint", "smallint", "int", "bigint"}
     return out.select(*(
         F.col("__new").alias(c) if c == "text"
