@@ -117,7 +117,7 @@ def entity_classes(texts: DataFrame) -> DataFrame:
 def disclosing(texts: DataFrame, docs: DataFrame, support: int = SUPPORT, remove_bits: float = REMOVE_BITS,
                generalise_bits: float = GENERALISE_BITS) -> DataFrame:
     """(copy, term, kind): the terms of each text that reveal an entity it holds beyond a threshold."""
-    classes = written(entity_classes(texts), "entity-classes")
+    classes = entity_classes(texts)
     widest = classes.agg(F.max("held")).first()[0]
     if widest is None:
         return classes.select("copy", F.col("class").alias("term"), F.col("class").alias("kind")).limit(0)
@@ -129,8 +129,8 @@ def disclosing(texts: DataFrame, docs: DataFrame, support: int = SUPPORT, remove
     if often.count() <= FREQUENT:
         terms = terms.join(F.broadcast(often), "term", "left_anti")
     rare = terms.join(counts.where(F.col("texts") <= reach * widest), "term")
-    met = written(rare.join(classes, "copy").where(F.col("texts") <= reach * F.col("held"))
-                  .select("copy", "class", "term", "held", "texts"), "terms-and-classes")
+    met = rare.join(classes, "copy").where(F.col("texts") <= reach * F.col("held")) \
+        .select("copy", "class", "term", "held", "texts")
     left = F.log2(F.col("texts") / F.col("both"))
     found = met.groupBy("class", "term").agg(F.count("*").alias("both"), F.first("held").alias("held"), F.first("texts").alias("texts")) \
         .where((F.col("both") >= F.least(F.lit(support), "held")) & (left <= generalise_bits)).select(
