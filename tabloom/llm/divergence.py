@@ -165,8 +165,8 @@ def intersect(starts_a, p, starts_b, q, width: int) -> tuple[int, int]:
 def encode_blocks(classes: DataFrame, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """Run-length columns of blocks of the reordered vocabulary: one row per block.
 
-    The order is Spark's range exchange over (lang, cells); blocks end with a task, a
-    language, or ``block_cells`` cells.
+    The order is (lang, cells) within the ranges of Spark's exchange over the language, the
+    number of cells and the first cell; blocks end with a task, a language, or ``block_cells`` cells.
     """
     def run(batches):
         lang, cells, sizes, multiple, held = None, [], [], [], 0
@@ -205,7 +205,8 @@ def encode_blocks(classes: DataFrame, block_cells: int = BLOCK_CELLS) -> DataFra
         if cells:
             yield flush()
 
-    return classes.select("lang", "cells", "m").repartitionByRange("lang", "cells") \
+    # ranges by a narrow key, so that the sample behind the bounds is small
+    return classes.select("lang", "cells", "m").repartitionByRange("lang", F.size("cells"), F.col("cells")[0]) \
         .sortWithinPartitions("lang", "cells").mapInArrow(run, BLOCKS)
 
 
