@@ -6,14 +6,15 @@ low 4 bits of each minimum are packed into ten 64-bit words and compared by bit
 counts, and the collision-corrected estimate drops hopeless candidates before
 the exact Jaccard test on full shingle sets.
 
-No bucket emits its pairs.  First each member of a bucket is tried against the
-bucket's smallest key only (a star: one candidate per member and band), and
-components are formed from the links that hold.  Buckets whose members are then
-in one component are done: more links there cannot change a component.  The
-members of the other buckets are compared in blocks of at most ``BLOCK``
-members, across components only, inside ``applyInPandas`` groups; only the
-links found leave a group.  A bucket of any size is thus split into blocks and
-nothing is capped.
+No bucket emits its pairs.  First each text is tried against one hub, the smallest key of
+the bucket whose hub has the nearest signature, then against its other hubs that are not yet
+in its component (at most one candidate per member and band).  Buckets whose members are
+then in one component are done: more links there cannot change a component.  The members
+of the other buckets meet in blocks of at most ``BLOCK`` members, in two passes: signatures
+alone tell which members have a near one in another component (a pair counts in the first
+of its common bands only), and only those are joined with their shingle sets and compared
+exactly, inside ``applyInPandas`` groups that emit nothing but the links found.  A bucket of
+any size is thus split into blocks and nothing is capped.
 
 At similarity 0.8 a pair meets in no band with probability (1-0.8^5)^32 =
 3e-6, and the estimate falls below the cut (5 standard deviations) with 3e-7.
@@ -31,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from tabloom.llm.common import written
 from tabloom.llm.components import components
@@ -168,9 +170,48 @@ def _lane_diff(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & _U(0x1111111111111111)).sum(axis=-1)
 
 
+def _most_lanes() -> int:
+    """Differing lanes at the estimate cut."""
+    return int(_K * (1 - (ESTIMATE_CUT * (1 - 2.0 ** -LANE_BITS) + 2.0 ** -LANE_BITS)))
+
+
+def _near_members():
+    """Members of a group of blocks with a near signature in the other block (or within one), across components."""
+    most = _most_lanes()
+
+    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+        band, x, y = key
+        g = g.sort_values("key", ignore_index=True)
+        sig = np.array(g["sig"].tolist(), dtype=np.int64).view(_U)
+        bands = np.array(g["bands"].tolist(), dtype=np.int64)
+        block = g["block"].to_numpy()
+        _, label = np.unique(np.array([v.hex() for v in g["label"]]), return_inverse=True)
+        wanted = np.zeros(len(g), bool)
+        for i in range(len(g)):
+            rest = np.arange(i + 1, len(g))
+            if x != y:
+                rest = rest[block[rest] != block[i]]
+            rest = rest[label[rest] != label[i]]
+            if not len(rest):
+                continue
+            near = rest[_lane_diff(sig[rest], sig[i]) <= most]
+            if len(near):
+                common = bands[near] == bands[i]
+                near = near[bands[i][common.argmax(axis=1)] == band]
+                wanted[near] = True
+                wanted[i] |= len(near) > 0
+        keep = g[wanted]
+        return pd.DataFrame({"band": keep["band"], "x": np.full(len(keep), x, np.int32), "y": np.full(len(keep), y, np.int32),
+                             "block": keep["block"], "key": keep["key"], "label": keep["label"], "sig": keep["sig"]})
+    return run
+
+
+NEAR = "band long, x int, y int, block int, key binary, label binary, sig array<long>"
+
+
 def _block_links(pct: int):
     """Links between the two blocks of a group (or within one), across components only."""
-    most = int(_K * (1 - (ESTIMATE_CUT * (1 - 2.0 ** -LANE_BITS) + 2.0 ** -LANE_BITS)))
+    most = _most_lanes()
 
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
         x, y = key[1], key[2]
@@ -205,11 +246,20 @@ def _block_links(pct: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+def _labelled(links: DataFrame) -> DataFrame:
+    return written(components(links), "labels")
 
-    ``threshold_pct`` of 80 or more: bands, lanes and the cut are laid out for it.
-    """
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets are similar."""
+    return written(
+        pairs.select("u", "v").join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a_set")), "u")
+        .join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b_set")), "v")
+        .mapInArrow(_verify(threshold_pct), "u binary, v binary"), "links")
+
+
+def _classes(docs: DataFrame, shingle: int, threshold_pct: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, key) of every row, and per text key its component's smallest doc_id and that document's key."""
     if threshold_pct < 80:
         raise ValueError("the bands find pairs at a similarity of 0.8 or more")
     id_type = dict(docs.dtypes)["doc_id"]
@@ -228,8 +278,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int
     star = member.where(F.col("key") != F.col("hub")).select("key", "hub").distinct()
     sig = reps.select("key", "sig")
     pairs = (star.join(sig, "key").join(sig.select(F.col("key").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-             .where(F.expr(estimate_sql("sig", "hub_sig")) >= ESTIMATE_CUT)
-             .select(F.col("key").alias("u"), F.col("hub").alias("v")))
+             .select(F.col("key").alias("u"), F.col("hub").alias("v"), F.expr(estimate_sql("sig", "hub_sig")).alias("est"))
+             .where(F.col("est") >= ESTIMATE_CUT))
     pairs = written(pairs, "star-pairs")
 
     wanted = member.select("key").distinct()
@@ -238,11 +288,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int
         .select("text").mapInArrow(_sets(shingle), "key binary, shingles binary")
     sets = written(sets.where(F.col("key").isNotNull()).dropDuplicates(["key"]), "sets")
 
-    first = written(
-        pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a_set")), "u")
-        .join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b_set")), "v")
-        .mapInArrow(_verify(threshold_pct), "u binary, v binary"), "links")
-    label = written(components(first), "labels")
+    # one hub per text first; of the other pairs those whose ends are still apart
+    links = _verified(pairs.groupBy("u").agg(F.max_by("v", F.struct("est", "v")).alias("v")), sets, threshold_pct)
+    label = _labelled(links)
+    ends = pairs.join(label.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u", "left") \
+        .join(label.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
+    apart = ends.where(F.coalesce("lu", "u") != F.coalesce("lv", "v"))
+    links = links.union(_verified(apart, sets, threshold_pct))
+    label = _labelled(links)
 
     # buckets that still hold several components: compare across them, in blocks
     named = member.join(label, F.col("key") == F.col("node"), "left").select(
@@ -252,36 +305,65 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int
     rest = named.join(open_, "band", "left_semi")
     n_blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("key"), n_blocks).cast("int")) \
+        .join(reps.select("key", "sig", "bands"), "key") \
         .withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))) \
         .withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    near = rest.select("band", "x", "y", "block", "key", "label", "sig", "bands") \
+        .groupBy("band", "x", "y").applyInPandas(_near_members(), NEAR)
     second = written(
-        rest.select("band", "x", "y", "block", "key", "label").join(sig, "key").join(sets, "key")
-        .groupBy("band", "x", "y").applyInPandas(_block_links(threshold_pct), "u binary, v binary").distinct(),
+        near.join(sets, "key").groupBy("band", "x", "y").applyInPandas(_block_links(threshold_pct), "u binary, v binary").distinct(),
         "more-links")
 
-    label = components(first.union(second))
+    label = components(links.union(second))
     named = reps.select("key", "rep").join(label, F.col("key") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("label", "key").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component"))
-    by_text = named.join(smallest, "label").select("key", "component")
-    return rows.select("doc_id", "n_shingles", "key").join(by_text, "key", "left").select(
+    # the smallest doc_id of a component, a null one only where there is no other, and the smallest key that has it
+    smallest = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("m")) \
+        .select("label", F.col("m.rep").alias("component"), F.col("m.key").alias("first"))
+    return rows.select("doc_id", "n_shingles", "key"), named.join(smallest, "label").select("key", "component", "first")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document.
+
+    ``threshold_pct`` of 80 or more: bands, lanes and the cut are laid out for it.
+    """
+    rows, by_text = _classes(docs, shingle, threshold_pct)
+    return rows.join(by_text.select("key", "component"), "key", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _keyed():
+    """(d, t) -> (d, key): the text key beside the whole row."""
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "t"):
+                data, offs = texts(part.column("t"))
+                yield pa.record_batch([part.column("d"), pa.array(text_keys(Words(data, offs, LOWER)), pa.binary())],
+                                      names=["d", "key"])
+    return run
+
+
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
     """One document of each group with all its columns; documents without words all stay.
 
-    Repeated rows (same doc_id and text) become one; rows without a doc_id stay.
+    Of a group stays the document of its smallest doc_id (of several texts with that doc_id the one
+    of the smallest key); a doc_id may stand for several texts, the verdict is on the row.  Rows equal
+    in doc_id and words become one; rows without a doc_id stay.
     """
-    found = written(near_duplicates(docs, shingle, threshold_pct), "near-duplicates")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = found.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")) \
-        .where("n > 1").select(F.col("doc_id").alias("__again"))
+    rows, by_text = _classes(docs, shingle, threshold_pct)
+    rows = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    verdict = written(rows.join(by_text, "key").select(
+        F.col("doc_id").alias("id"), F.col("key").alias("of"), "n",
+        ((F.col("key") == F.col("first")) & (F.col("doc_id") == F.col("component"))).alias("stays")).where("n > 1 or not stays"), "verdicts")
+    whole = docs.select(F.struct("*").alias("d"), F.col("text").alias("t"))
+    kept = whole.mapInArrow(_keyed(), StructType().add("d", whole.schema["d"].dataType).add("key", BinaryType()))
+    here = (F.col("key") == F.col("of")) & (F.col("d.doc_id") == F.col("id"))
+    out = kept.join(verdict.where("not stays"), here, "left_anti")
+    again = verdict.where("stays")
     if again.limit(1).count():
-        same = F.col("doc_id") == F.col("__again")
-        out = out.join(again, same, "left_anti").unionByName(
-            out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out
+        out = out.join(again, here, "left_anti").unionByName(
+            out.join(again, here, "left_semi").withColumn("i", F.col("d.doc_id")).dropDuplicates(["i", "key"]).drop("i"))
+    return out.select(*(F.col("d").getField(c).alias(c) for c in docs.columns))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.llm import minhash as m
 from tabloom.llm.common import table
@@ -90,6 +91,20 @@ def test_hard_rows_and_wide_groups(make_docs, hard_rows, monkeypatch):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_ids_shared_by_different_texts(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{p}{rng.randrange(500)}" for _ in range(60)) for p in "abc")
+    near = a.replace(a.split()[30], "other")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "y"), (2, b, "y"), (3, b, "z"), (4, c, "w"), (4, a, "v"), (None, c, "n"), (5, None, "e"),
+            (5, "", "f"), (1, near, "t"), (6, c.upper(), "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__gone` string").withColumn("d", F.lit(1)).withColumn("key", F.lit("k"))
+    out = m.deduplicate(docs)
+    assert out.dtypes == docs.dtypes
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    # of a and near, both of document 1, the one with the smaller key stays
+    assert got in (sorted([(1, t), (2, b), (4, c), (None, c), (5, None), (5, "")], key=str) for t in (a, near))
+
+
 def test_empty_table(make_docs, hard_rows):
     docs = make_docs(hard_rows)
     assert m.near_duplicates(docs.limit(0)).count() == 0
