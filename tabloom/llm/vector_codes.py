@@ -48,7 +48,8 @@ BLOCK_BYTES = 16 << 20
 
 
 def levels_of(n: int, leaf: int = LEAF) -> int:
-    return max(0, math.ceil(math.log2(n / leaf))) if n > leaf else 0
+    """Halvings until a node has at most ``leaf`` rows; none is left without a row."""
+    return min(math.ceil(math.log2(n / leaf)), n.bit_length() - 1) if n > leaf else 0
 
 
 def bounds_of(n: int, levels: int) -> list[np.ndarray]:
