@@ -55,15 +55,20 @@ ODD = np.zeros(256, bool)
 ODD[[*range(0x1C, 0x20), *range(0xC0, 0xC3), *range(0xCA, 256)]] = True
 
 
-def plain_rows(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Rows of ASCII and of U+00C0-U+024F without the two signs (U+00D7, U+00F7) among them."""
+def plain_bytes(data: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII (without its four separators) and of U+00C0-U+024F without the two signs (U+00D7, U+00F7)."""
     odd = ODD[data]
     if len(data):
         sign = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
         odd[:-1] |= sign
         # U+0241 to U+024F lie in C9 81 - C9 8F; what follows in C9 is beyond
         odd[:-1] |= (data[:-1] == 0xC9) & (data[1:] > 0x8F)
-    total = np.concatenate(([0], np.cumsum(odd)))
+    return ~odd
+
+
+def plain_rows(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Rows of plain bytes only."""
+    total = np.concatenate(([0], np.cumsum(~plain_bytes(data))))
     return total[offs[1:]] == total[offs[:-1]]
 
 
