@@ -46,6 +46,22 @@ def shap_linear(fitted: Fitted, df: DataFrame, key_cols: list[str], background:
     return long.select(*key_cols, "feature", "s.value", "s.shap")
 
 
+def shap_values(fitted: Fitted, df: DataFrame, key_cols: list[str], background: DataFrame,
+                class_index: int | None = None, n_centres: int = 10, seed: int = 7) -> DataFrame:
+    """Shapley values by the rule that fits the model (long form ``key, feature, shap``).
+
+    Linear and logistic models: :func:`shap_linear`; trees, forests and boosted trees: exact tree
+    paths; any other model: the kernel rule against k-means centres of ``background``.
+    """
+    from tabloom.operators.shapley import shap_kernel, shap_tree, tree_sum
+    m = fitted.last_stage
+    if hasattr(m, "coefficientMatrix") or hasattr(m, "coefficients"):
+        return shap_linear(fitted, df, key_cols, background, class_index or 0).drop("value")
+    if tree_sum(fitted, df.sparkSession, class_index) is not None:
+        return shap_tree(fitted, df, key_cols, class_index)
+    return shap_kernel(fitted, df, key_cols, background, n_centres, class_index, seed=seed)
+
+
 def shap_sampled(fitted: Fitted, df: DataFrame, key_cols: list[str], background: DataFrame,
                  n_perm: int = 8, class_index: int | None = None, seed: int = 7) -> DataFrame:
     """Permutation-sampling Shapley values for any model (long form ``key, feature, shap``).
@@ -101,13 +117,14 @@ def shap_summary(shap_long: DataFrame) -> DataFrame:
 
 
 def shap_local(fitted: Fitted, df: DataFrame, key_cols: list[str], key_values: dict, background: DataFrame,
-               n_perm: int = 32, class_index: int | None = None, seed: int = 7) -> DataFrame:
-    """SHAP of one row with its actual and predicted values."""
+               n_perm: int | None = None, class_index: int | None = None, seed: int = 7) -> DataFrame:
+    """SHAP of one row with its actual and predicted values; ``n_perm`` asks for sampled feature orders instead."""
     cond = F.lit(True)
     for k, v in key_values.items():
         cond = cond & (F.col(k) == F.lit(v))
     row = df.where(cond)
-    shap = shap_sampled(fitted, row, key_cols, background, n_perm, class_index, seed)
+    shap = shap_values(fitted, row, key_cols, background, class_index, seed=seed) if n_perm is None else \
+        shap_sampled(fitted, row, key_cols, background, n_perm, class_index, seed)
     scored = fitted.transform(row)
     pred = scored.select(*key_cols, F.col(fitted.label).alias("actual"), F.col("prediction").alias("predicted"))
     return shap.join(pred, key_cols)

@@ -45,11 +45,13 @@ def _distances(a: np.ndarray, rv: np.ndarray, metric: str, p: float) -> np.ndarr
             acc += diff * diff
         elif metric == "manhattan":
             acc += np.abs(diff)
+        elif metric == "chebyshev":
+            np.maximum(acc, np.abs(diff), out=acc)
         else:
             acc += np.abs(diff) ** p
     if metric == "euclidean":
         return np.sqrt(acc)
-    if metric == "manhattan":
+    if metric in ("manhattan", "chebyshev"):
         return acc
     return acc ** (1.0 / p)
 

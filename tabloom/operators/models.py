@@ -3,8 +3,9 @@
 Learners share one small interface: ``fit(df, features, label) -> Fitted``,
 and ``Fitted.transform(df)`` adds ``prediction`` (double) and, for
 classifiers, ``probability`` (vector).  Spark ML estimators cover most of
-the registry; AdaBoost and multiclass boosting are loops of Spark ML fits
-(one distributed job per round, lineage cut by reliable checkpoints).
+the registry; AdaBoost is a loop of Spark ML fits (one distributed job per round, lineage cut
+by reliable checkpoints), boosting with leaf penalties or more than two classes is
+:mod:`tabloom.operators.boosting`.
 """
 
 from __future__ import annotations
@@ -170,6 +171,19 @@ class OneVsRestBoosted:
         return Fitted(self.name, features, label, "classification", _OvRPayload(models), classes)
 
 
+class GradientBoosting:
+    """Gradient boosting: Spark's GBT on two classes, one softmax model of K trees a round on more."""
+
+    def __init__(self, name: str, make_binary, params):
+        self.name, self.problem, self.make_binary, self.params = name, "classification", make_binary, params
+
+    def fit(self, df: DataFrame, features: list[str], label: str) -> Fitted:
+        from tabloom.operators.boosting import Boosted
+        if len(class_labels(df, label)) <= 2:
+            return SparkMLLearner(self.name, "classification", lambda d, l: self.make_binary()).fit(df, features, label)
+        return Boosted(self.name, "classification", self.params).fit(df, features, label)
+
+
 class _AdaPayload:
     def __init__(self, stages, alphas, classes, problem):
         self.stages, self.alphas, self.classes, self.problem = stages, alphas, classes, problem
@@ -287,12 +301,14 @@ def _gbt_cls():
     return GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=7)
 
 
-def _xgb_cls():
-    return GBTClassifier(maxIter=100, stepSize=0.3, maxDepth=6, featureSubsetStrategy="all", minInstancesPerNode=1,
-                         seed=7)
+def gradient_boosting(rounds: int = 100, learning_rate: float = 0.1, max_depth: int = 3):
+    """Parameters of plain gradient boosting on softmax: no leaf penalty, Newton leaves."""
+    from tabloom.operators.boosting import Boost
+    return Boost(rounds=rounds, learning_rate=learning_rate, max_depth=max_depth, l2=0.0, min_child_weight=0.0, softmax_factor=None)
 
 
 def classification_learners() -> dict:
+    from tabloom.operators.boosting import Boosted
     from tabloom.operators.knn import KNNLearner
     found = {
         "Logistic Regression": SparkMLLearner("Logistic Regression", "classification", _logreg),
@@ -302,10 +318,10 @@ def classification_learners() -> dict:
                                         lambda d, l: DecisionTreeClassifier(maxDepth=30, seed=7)),
         "KNN": KNNLearner("classification"),
         "AdaBoost": AdaBoost("classification"),
-        "Gradient Boosting": OneVsRestBoosted("Gradient Boosting", _gbt_cls),
+        "Gradient Boosting": GradientBoosting("Gradient Boosting", _gbt_cls, gradient_boosting()),
         "Gaussian NB": SparkMLLearner("Gaussian NB", "classification",
                                       lambda d, l: NaiveBayes(modelType="gaussian")),
-        "XGB": OneVsRestBoosted("XGB", _xgb_cls),
+        "XGB": Boosted("XGB", "classification"),
         "Linear SVC": SparkMLLearner("Linear SVC", "classification", _svc),
     }
     return {name: AnyLabel(learner) for name, learner in found.items()}
@@ -318,6 +334,7 @@ def _svc(df, label):
 
 
 def regression_learners() -> dict:
+    from tabloom.operators.boosting import Boosted
     from tabloom.operators.knn import KNNLearner
     return {
         "Linear Regression": SparkMLLearner("Linear Regression", "regression",
@@ -330,8 +347,7 @@ def regression_learners() -> dict:
         "AdaBoost": AdaBoost("regression"),
         "Gradient Boosting": SparkMLLearner("Gradient Boosting", "regression",
                                             lambda d, l: GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=7)),
-        "XGB": SparkMLLearner("XGB", "regression",
-                              lambda d, l: GBTRegressor(maxIter=100, stepSize=0.3, maxDepth=6, seed=7)),
+        "XGB": Boosted("XGB", "regression"),
     }
 
 

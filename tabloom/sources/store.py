@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tabloom.operators.boosting import BoostedPayload, Forest
 from tabloom.operators.models import Fitted, _AdaPayload, _DecodedPayload, _OvRPayload
 
 
@@ -53,6 +54,9 @@ def save_model(spark: SparkSession, fitted: Fitted, path: str, fit_time: float |
         meta.update({"kind": "knn", "key": m.key, "k": lr.k, "metric": lr.metric, "weights": lr.weights,
                      "p": lr.p, "key_cols": lr.key_cols})
         m.train.write.mode("overwrite").parquet(f"{path}/train")
+    elif isinstance(m, BoostedPayload):
+        # JSON numbers keep every bit of a double
+        meta.update({"kind": "boosted", "forest": m.forest.to_json(), "boosted_classes": m.classes})
     elif isinstance(m, _DecodedPayload):
         meta.update({"kind": "labels", "type": m.type_name, "classes": [str(v) for v in m.labels]})
         save_model(spark, m.inner, f"{path}/inner")
@@ -78,6 +82,8 @@ def load_model(spark: SparkSession, path: str) -> Fitted:
         cls = DecisionTreeClassificationModel if meta["problem"] == "classification" else DecisionTreeRegressionModel
         stages = [cls.load(f"{path}/stage_{i}") for i in range(meta["n_stages"])]
         f.model = _AdaPayload(stages, meta["alphas"], f.classes, meta["problem"])
+    elif kind == "boosted":
+        f.model = BoostedPayload(Forest.from_json(meta["forest"]), meta["problem"], meta["boosted_classes"])
     elif kind == "labels":
         # labels are stored as text and cast back by Spark
         row = spark.range(1).select(*[F.lit(v).cast(meta["type"]).alias(f"c{i}")
