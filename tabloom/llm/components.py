@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import written
 
+# edges of one file
+PER_FILE = 200_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step: link each node's larger (or smaller) neighbours to its minimum neighbour."""
@@ -38,10 +41,12 @@ def components(edges: DataFrame) -> DataFrame:
     edge list is a set of stars and neither step changes it.
     """
     edges = edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
-    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges",
+                    edges.count(), PER_FILE)
     mark = _fingerprint(edges)
     while mark[0]:
-        edges = written(_star(_star(edges, large=True), large=False), "edges")
+        # a round has no more edges than the one before and its nodes, at most twice the edges
+        edges = written(_star(_star(edges, large=True), large=False), "edges", 3 * mark[0], PER_FILE)
         last, mark = mark, _fingerprint(edges)
         if mark == last:
             break

@@ -175,35 +175,71 @@ def _most_lanes() -> int:
     return int(_K * (1 - (ESTIMATE_CUT * (1 - 2.0 ** -LANE_BITS) + 2.0 ** -LANE_BITS)))
 
 
-def _near_members():
-    """Members of a group of blocks with a near signature in the other block (or within one), across components."""
-    most = _most_lanes()
+def _near_rows(band, x, y, block, label, sig, bands) -> np.ndarray:
+    """Which rows of groups laid end to end have a near signature across blocks and components.
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        band, x, y = key
-        g = g.sort_values("key", ignore_index=True)
-        sig = np.array(g["sig"].tolist(), dtype=np.int64).view(_U)
-        bands = np.array(g["bands"].tolist(), dtype=np.int64)
-        block = g["block"].to_numpy()
-        _, label = np.unique(np.array([v.hex() for v in g["label"]]), return_inverse=True)
-        wanted = np.zeros(len(g), bool)
-        for i in range(len(g)):
-            rest = np.arange(i + 1, len(g))
-            if x != y:
-                rest = rest[block[rest] != block[i]]
-            rest = rest[label[rest] != label[i]]
-            if not len(rest):
-                continue
-            near = rest[_lane_diff(sig[rest], sig[i]) <= most]
-            if len(near):
-                common = bands[near] == bands[i]
-                near = near[bands[i][common.argmax(axis=1)] == band]
-                wanted[near] = True
-                wanted[i] |= len(near) > 0
-        keep = g[wanted]
-        return pd.DataFrame({"band": keep["band"], "x": np.full(len(keep), x, np.int32), "y": np.full(len(keep), y, np.int32),
-                             "block": keep["block"], "key": keep["key"], "label": keep["label"], "sig": keep["sig"]})
-    return run
+    Groups are runs of equal (band, x, y); a pair counts in the first of its common bands only.
+    """
+    n = len(band)
+    most = _most_lanes()
+    wanted = np.zeros(n, bool)
+    edge = np.concatenate(([True], (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    start = np.flatnonzero(edge)
+    size = np.diff(np.append(start, n))
+
+    def meet(i, j):
+        """Rows i and j (arrays of equal length): mark those that are near."""
+        keep = (label[i] != label[j]) & ((x[i] == y[i]) | (block[i] != block[j]))
+        i, j = i[keep], j[keep]
+        keep = _lane_diff(sig[i], sig[j]) <= most
+        i, j = i[keep], j[keep]
+        if len(i):
+            first = (bands[i] == bands[j]).argmax(axis=1)
+            keep = bands[i, first] == band[i]
+            wanted[i[keep]] = True
+            wanted[j[keep]] = True
+
+    # the many groups of a few rows together, pair by pair; larger ones row by row
+    for small in range(2, 9):
+        at = start[size == small]
+        for a in range(small):
+            for b in range(a + 1, small):
+                meet(at + a, at + b)
+    for a, k in zip(start[size > 8].tolist(), size[size > 8].tolist()):
+        for i in range(a, a + k - 1):
+            rest = np.arange(i + 1, a + k)
+            meet(np.full(len(rest), i), rest)
+    return wanted
+
+
+def _near_members(batches):
+    """Rows of :data:`NEAR` of the members that :func:`_near_rows` marks; input sorted by band, x, y."""
+    def handle(t: pa.Table):
+        t = t.combine_chunks()
+        num = {c: t.column(c).to_numpy() for c in ("band", "x", "y", "block")}
+        labels = t.column("label").combine_chunks()
+        code = labels.dictionary_encode()
+        code = code.chunk(0) if isinstance(code, pa.ChunkedArray) else code
+        sig, bands = (np.asarray(t.column(c).combine_chunks().flatten()).reshape(len(t), -1) for c in ("sig", "bands"))
+        wanted = _near_rows(num["band"], num["x"], num["y"], num["block"], np.asarray(code.indices), sig.view(_U), bands)
+        return t.filter(pa.array(wanted)).drop_columns(["bands"]).combine_chunks().to_batches()
+
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, t]) if held is not None else t
+        k = len(held)
+        if not k:
+            continue
+        # the last group may go on in the next batch
+        keys = [held.column(c).to_numpy() for c in ("band", "x", "y")]
+        whole = np.flatnonzero((keys[0] != keys[0][-1]) | (keys[1] != keys[1][-1]) | (keys[2] != keys[2][-1]))
+        a = int(whole[-1]) + 1 if len(whole) else 0
+        if a:
+            yield from handle(held.slice(0, a))
+            held = held.slice(a)
+    if held is not None and len(held):
+        yield from handle(held)
 
 
 NEAR = "band long, x int, y int, block int, key binary, label binary, sig array<long>"
@@ -246,8 +282,8 @@ def _block_links(pct: int):
     return run
 
 
-def _labelled(links: DataFrame) -> DataFrame:
-    return written(components(links), "labels")
+def _labelled(links: DataFrame, n: int) -> DataFrame:
+    return written(components(links), "labels", n)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
@@ -268,7 +304,8 @@ def _classes(docs: DataFrame, shingle: int, threshold_pct: int) -> tuple[DataFra
         "fingerprints")
     reps = rows.where(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    reps = written(reps, "texts")
+    n = rows.count()
+    reps = written(reps, "texts", n)
 
     slots = reps.select("key", F.explode("bands").alias("band"))
     buckets = slots.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("size")).where("size > 1")
@@ -280,7 +317,7 @@ def _classes(docs: DataFrame, shingle: int, threshold_pct: int) -> tuple[DataFra
     pairs = (star.join(sig, "key").join(sig.select(F.col("key").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
              .select(F.col("key").alias("u"), F.col("hub").alias("v"), F.expr(estimate_sql("sig", "hub_sig")).alias("est"))
              .where(F.col("est") >= ESTIMATE_CUT))
-    pairs = written(pairs, "star-pairs")
+    pairs = written(pairs, "star-pairs", n)
 
     wanted = member.select("key").distinct()
     ids = wanted.join(reps.select("key", "rep"), "key").select("rep").distinct()
@@ -290,12 +327,12 @@ def _classes(docs: DataFrame, shingle: int, threshold_pct: int) -> tuple[DataFra
 
     # one hub per text first; of the other pairs those whose ends are still apart
     links = _verified(pairs.groupBy("u").agg(F.max_by("v", F.struct("est", "v")).alias("v")), sets, threshold_pct)
-    label = _labelled(links)
+    label = _labelled(links, n)
     ends = pairs.join(label.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u", "left") \
         .join(label.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
     apart = ends.where(F.coalesce("lu", "u") != F.coalesce("lv", "v"))
     links = links.union(_verified(apart, sets, threshold_pct))
-    label = _labelled(links)
+    label = _labelled(links, n)
 
     # buckets that still hold several components: compare across them, in blocks
     named = member.join(label, F.col("key") == F.col("node"), "left").select(
@@ -308,11 +345,12 @@ def _classes(docs: DataFrame, shingle: int, threshold_pct: int) -> tuple[DataFra
         .join(reps.select("key", "sig", "bands"), "key") \
         .withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))) \
         .withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    near = rest.select("band", "x", "y", "block", "key", "label", "sig", "bands") \
-        .groupBy("band", "x", "y").applyInPandas(_near_members(), NEAR)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = rest.select("band", "x", "y", "block", "key", "label", "sig", "bands").repartition(parts, "band", "x", "y") \
+        .sortWithinPartitions("band", "x", "y").mapInArrow(_near_members, NEAR)
     second = written(
-        near.join(sets, "key").groupBy("band", "x", "y").applyInPandas(_block_links(threshold_pct), "u binary, v binary").distinct(),
-        "more-links")
+        near.join(sets, "key").repartition(parts, "band", "x", "y").groupBy("band", "x", "y").applyInPandas(_block_links(threshold_pct), "u binary, v binary").distinct(),
+        "more-links", n)
 
     label = components(links.union(second))
     named = reps.select("key", "rep").join(label, F.col("key") == F.col("node"), "left").select(
@@ -354,10 +392,11 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = TH
     in doc_id and words become one; rows without a doc_id stay.
     """
     rows, by_text = _classes(docs, shingle, threshold_pct)
+    count = rows.count()
     rows = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
     verdict = written(rows.join(by_text, "key").select(
         F.col("doc_id").alias("id"), F.col("key").alias("of"), "n",
-        ((F.col("key") == F.col("first")) & (F.col("doc_id") == F.col("component"))).alias("stays")).where("n > 1 or not stays"), "verdicts")
+        ((F.col("key") == F.col("first")) & (F.col("doc_id") == F.col("component"))).alias("stays")).where("n > 1 or not stays"), "verdicts", count)
     whole = docs.select(F.struct("*").alias("d"), F.col("text").alias("t"))
     kept = whole.mapInArrow(_keyed(), StructType().add("d", whole.schema["d"].dataType).add("key", BinaryType()))
     here = (F.col("key") == F.col("of")) & (F.col("d.doc_id") == F.col("id"))
