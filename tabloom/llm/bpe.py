@@ -6,11 +6,14 @@ pre-tokenised in parallel, each from its own start.  A match depends only on
 the text from its start on, so from the first boundary that two neighbouring
 chunks have in common in their overlap the right one is in step; the texts
 between such points are the pieces, encoded in parallel and put together
-in order.  Neighbours without a common boundary become one piece, so the
-result is that of the whole text for any chunk size.
+in order.  Where neighbours have no common boundary in their overlap (one token
+runs through it), the joined text is scanned on from the last boundary known to be
+right until it meets one of the right chunk, so later chunks are in step again and
+the result is that of the whole text for any chunk size.
 
-Only boundaries before a plain space and after a letter, digit or ASCII mark
-are stitched at: there no rule looks across, whatever the Unicode version.
+A text is cut at boundaries after anything but white space: the one rule that looks
+ahead is about white space.  Both characters there have had their class since
+Unicode 3.2, so that two libraries of different Unicode versions agree on the boundary.
 
 Decoding concatenates the raw bytes of the ids.  The rank file (a path
 parameter) is read once by the driver and broadcast: its size is fixed by the
@@ -21,6 +24,7 @@ rows give repeated result rows (rows, not ids, are regrouped).
 from __future__ import annotations
 
 import base64
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import written
 from tabloom.llm.textnp import slices
 
 CHUNK = 1 << 15
@@ -64,24 +69,40 @@ def boundaries(pattern, text: str, start: int) -> list[int]:
     return [start + m.start() for m in pattern.finditer(text)][:-3]
 
 
+def stable(c: str) -> bool:
+    """Whether a character is white space, letter, number or other in all Unicode versions since 3.2."""
+    old = unicodedata.ucd_3_2_0.category(c)
+    return old[0] not in "C" and old[0] == unicodedata.category(c)[0]
+
+
 def stitchable(text: str, at: int) -> bool:
-    left = text[at - 1]
-    return text[at] == " " and (left.isalnum() or "!" <= left <= "~")
+    left, right = text[at - 1], text[at]
+    return not left.isspace() and stable(left) and (right.isspace() or stable(right))
 
 
-def stitch(parts: list[tuple[int, str, list[int]]]) -> list[str]:
+def stitch(parts: list[tuple[int, str, list[int]]], pattern) -> list[str]:
     """Pieces of the whole text from (start, chunk, boundaries) in order."""
     pieces, begin, text = [], 0, parts[0][1]       # text: from `begin` on, as far as the chunks reach
-    known = set(parts[0][2])
+    known = set(parts[0][2])                       # boundaries of the whole text
     for start, chunk, bounds in parts[1:]:
         fresh = begin + len(text) - start          # length of the overlap
         point = next((p for p in bounds if p > max(start, begin) and p < start + fresh and p in known
                       and stitchable(chunk, p - start)), None)
         text += chunk[fresh:]
         if point is None:
-            # not in step: the two stay one piece, whose boundaries after the seam are unknown here
-            known = set()
-            continue
+            # scan on from the last known boundary until the right chunk is in step
+            own, seen = set(boundaries(pattern, chunk, start)), []
+            last = max((p for p in known if p >= begin), default=begin)
+            for m in pattern.finditer(text, last - begin):
+                p = begin + m.start()
+                seen.append(p)
+                if p > max(start, begin) and p in own and stitchable(text, m.start()):
+                    point = p
+                    break
+            if point is None:
+                known = set(seen[:-3])
+                continue
+            bounds = own
         pieces.append(text[: point - begin])
         text, begin, known = text[point - begin:], point, set(bounds)
     return [*pieces, text]
@@ -130,8 +151,9 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK,
             yield batch.append_column("bounds", pa.array(near, pa.list_(pa.int64())))
 
     def pieces(g: pd.DataFrame) -> pd.DataFrame:
+        import regex
         g = g.sort_values("part")
-        got = stitch([(s, t, list(b)) for s, t, b in zip(g["start"], g["text"], g["bounds"])])
+        got = stitch([(s, t, list(b)) for s, t, b in zip(g["start"], g["text"], g["bounds"])], regex.compile(pattern))
         return pd.DataFrame({"uid": g["uid"].iloc[0], "doc_id": [g["doc_id"].iloc[0]] * len(got),
                              "part": range(len(got)), "text": got})
 
@@ -153,9 +175,9 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK,
     long_ = F.coalesce(F.char_length("text") > chunk, F.lit(False))
     out = f"doc_id {kind}, {OUT}"
     short = rows.where(~long_).mapInArrow(whole, out)
-    # ids of rows by place in the scan, the same in every attempt
-    parts = rows.withColumn("uid", F.monotonically_increasing_id()).where(long_).select("uid", "doc_id", "text") \
-        .mapInArrow(cut, f"uid long, doc_id {kind}, part int, start long, text string")
+    # written first: a row's number then is the same however often a task is run again
+    numbered = written(rows.where(long_).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "long-texts")
+    parts = numbered.mapInArrow(cut, f"uid long, doc_id {kind}, part int, start long, text string")
     scanned = parts.repartition("uid", "part").mapInArrow(
         scan, f"uid long, doc_id {kind}, part int, start long, text string, bounds array<long>")
     stitched = scanned.groupBy("uid").applyInPandas(pieces, f"uid long, doc_id {kind}, part int, text string")

@@ -11,12 +11,12 @@ Windows of one length class (10 words; items with fewer words by their own
 count) are searched together, so a short item shortens no other shift.
 
 The patterns are broadcast in parts of at most ``PART_BYTES`` of item text,
-whatever the size of the benchmark; every task runs each part over its rows,
-holding one part's tables at a time.  No shuffle, no collected document.
+whatever the size of the benchmark; every task runs each part over its rows, and a
+worker holds one part's tables, built once for all its tasks where there is one part.  No shuffle, no collected document.
 
 Null, empty or wordless texts have no words, no hits and the hash of the empty
-string; null or wordless items have no windows; repeated items count each
-(their ids are listed in order); a null item_id is listed as an empty string.
+string; null or wordless items have no windows; rows that share an item_id are one
+item with the windows of all of them; a null item_id is listed as an empty string.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import per_worker
+
 WINDOW = 10
 PART_BYTES = 32 << 20
 
@@ -118,7 +120,7 @@ def covered_words(text: bytes, spans: list[tuple[int, int]]) -> int:
 
 
 def _parts(benchmark: DataFrame, part_bytes: int) -> list:
-    """Broadcasts of (item id, canonical text) lists, each of at most about ``part_bytes``."""
+    """(digest, broadcast) of (item id, canonical text) lists, each of at most about ``part_bytes``."""
     spark = benchmark.sparkSession
     items = benchmark.where(F.col("text").isNotNull()).select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").alias("text"))
@@ -128,34 +130,34 @@ def _parts(benchmark: DataFrame, part_bytes: int) -> list:
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         rows = part.toArrow().to_pylist()
-        out.append(spark.sparkContext.broadcast([(r["item"], canonical(words(r["text"]))) for r in rows]))
+        held = sorted((r["item"], canonical(words(r["text"]))) for r in rows)
+        digest = hashlib.sha256(repr(held).encode()).hexdigest()
+        out.append((digest, spark.sparkContext.broadcast(held)))
     return out
 
 
 def _searched(parts: list, size: int):
     """Function over batches: word counts, hit words and items of each row's ``__text``."""
-    def measure(batch: pa.RecordBatch, built: dict):
+    def measure(batch: pa.RecordBatch):
+        # the tables serve all tasks of a worker; one part's tables at a time
+        built = per_worker("wu-manber", dict)
         col = batch.column("__text")
         texts = [words(t) for t in col.to_pylist()]
         n_words = [len(t) for t in texts]
         texts = [canonical(t) for t in texts]
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[list[str]] = [[] for _ in texts]
-        for k, sent in enumerate(parts):
-            if k not in built:
-                built.clear()           # one part's tables at a time
-                built[k] = tables(sent.value, size)
-            matchers, owner = built[k]
+        items: list[set[str]] = [set() for _ in texts]
+        for digest, sent in parts:
+            if (digest, size) not in built:
+                built.clear()
+                built[digest, size] = tables(sent.value, size)
+            matchers, owner = built[digest, size]
             for i, t in enumerate(texts):
                 found = hits(t, matchers)
                 if found:
                     spans[i] += [(a, b) for a, b, _ in found]
-                    ids = {}
                     for p in {p for _, _, p in found}:
-                        for item in set(owner[p]):
-                            ids[item] = max(ids.get(item, 0), owner[p].count(item))
-                    for item, times in ids.items():
-                        items[i] += [item] * times
+                        items[i].update(owner[p])
         hit = [covered_words(t, s) for t, s in zip(texts, spans)]
         return n_words, hit, items
     return measure
@@ -172,10 +174,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     measure = _searched(_parts(benchmark, part_bytes), window)
 
     def run(batches):
-        built: dict = {}
         for batch in batches:
             for rows in _rows(batch):
-                n, hit, items = measure(rows, built)
+                n, hit, items = measure(rows)
                 ids = [sorted(x) for x in items]
                 yield pa.record_batch([
                     rows.column("__id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()),
@@ -195,10 +196,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     measure = _searched(_parts(benchmark, part_bytes), window)
 
     def run(batches):
-        built: dict = {}
         for batch in batches:
             for rows in _rows(batch):
-                clean = pa.array(np.array(measure(rows, built)[1]) == 0)
+                clean = pa.array(np.array(measure(rows)[1]) == 0)
                 yield pa.record_batch([rows.column("__doc").filter(clean)], names=["__doc"])
 
     rows = docs.select(F.struct("*").alias("__doc"), F.col("text").alias("__text"))

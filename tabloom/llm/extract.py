@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,8 +65,12 @@ CLOSES_P = BLOCKS - frozenset(("html", "body"))
 SAME_LEVEL = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"),
               "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
+ALIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
                    r"|([^<]+)|(<)", re.S)
+NAME = re.compile(r"</?[a-zA-Z][a-zA-Z0-9:-]*")
+LONE = re.compile(r"()()()()(<)")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 END_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 WORD = re.compile(r"[A-Za-z]+")
@@ -73,6 +78,47 @@ WORD = re.compile(r"[A-Za-z]+")
 REMARK = re.compile(r"\b(?:comment|reply|replies|related|recommended)", re.I)
 
 
+class TagEnds:
+    """Where tags end on a page with tags that never do: one backward pass over quotes and brackets.
+
+    A tag ends at the first > outside quotes; from each place that has one answer, so it is kept per
+    place and no tag is scanned to the end of the page again.
+    """
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in re.finditer("['\">]", page)]
+        self.ends = [False] * (len(self.at) + 1)
+        later = {'"': None, "'": None}
+        for k in range(len(self.at) - 1, -1, -1):
+            c = page[self.at[k]]
+            if c == ">":
+                self.ends[k] = True
+            else:
+                self.ends[k] = later[c] is not None and self.ends[later[c] + 1]
+                later[c] = k
+
+    def __call__(self, place: int) -> bool:
+        """Whether a tag whose attributes begin at ``place`` ends."""
+        return self.ends[bisect_left(self.at, place)]
+
+
+class Path:
+    """A container path as a chain of steps; the text is made where a block or a doubt asks for it."""
+    __slots__ = ("parent", "step", "text")
+
+    def __init__(self, parent, step):
+        self.parent, self.step, self.text = parent, step, None
+
+    def __str__(self) -> str:
+        if self.text is None:
+            steps, at = [], self
+            while at is not None and at.text is None:
+                steps.append(at.step)
+                at = at.parent
+            self.text = (at.text if at is not None else "") + "".join(reversed(steps))
+        return self.text
+
+
 class Node:
     __slots__ = ("tag", "path", "skip", "link", "article", "header", "doubts")
 
@@ -90,6 +136,27 @@ class Doubt:
         self.path, self.key, self.whole, self.cleared = path, key, whole, False
 
 
+class Stack(list):
+    """Open elements; ``open`` counts them by tag."""
+
+    def __init__(self, nodes):
+        super().__init__(nodes)
+        self.open: dict[str, int] = {}
+
+    def append(self, node: Node) -> None:
+        super().append(node)
+        self.open[node.tag] = self.open.get(node.tag, 0) + 1
+
+    def pop(self) -> Node:
+        node = super().pop()
+        self.open[node.tag] -= 1
+        return node
+
+    def cut(self, k: int) -> None:
+        while len(self) > k:
+            self.pop()
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
@@ -101,9 +168,9 @@ def blocks(page: str) -> list[Block]:
     """(container path, text, code points inside links, paths of the doubted containers around it) of
     each block outside sure boilerplate, in page order."""
     out: list[tuple[str, str, int, tuple[Doubt, ...]]] = []
-    root = Node("", "", False, False, False, False, ())
+    root = Node("", Path(None, ""), False, False, False, False, ())
     first = False
-    stack, buf, linked = [root], [], 0
+    stack, buf, linked = Stack([root]), [], 0
     heading = False
 
     def flush():
@@ -112,14 +179,21 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(_html.unescape("".join(buf)).split())
             if text:
                 holder = next(n for n in reversed(stack) if n.tag in CONTAINERS or not n.tag)
-                out.append((holder.path, text, linked, holder.doubts))
+                out.append((str(holder.path), text, linked, holder.doubts))
             buf, linked = [], 0
 
     pos, end = 0, len(page)
+    last, ends = page.rfind(">"), None
     while pos < end:
-        m = TOKEN.match(page, pos)
+        if page[pos] == "<" and (pos > last and not page.startswith("<!--", pos)
+                                 or ends is not None and (name := NAME.match(page, pos)) and not ends(name.end())):
+            m = LONE.match(page, pos)       # no tag begins here
+        else:
+            m = TOKEN.match(page, pos)
         if m is None:                       # an unfinished tag at the end of the page
             break
+        if m[5] and ends is None and NAME.match(page, pos):
+            ends = TagEnds(page)
         pos = m.end()
         text = m[4] or m[5]
         if text is not None:
@@ -163,13 +237,13 @@ def blocks(page: str) -> list[Block]:
             if tag in CLOSES_P:
                 while stack[-1].tag == "p" or (len(stack[-1].tag) == 2 and stack[-1].tag[0] == "h" and stack[-1].tag != "hr"):
                     stack.pop()
-            if tag in SAME_LEVEL:
+            if tag in SAME_LEVEL and any(stack.open.get(t) for t in ALIKE.get(tag, (tag,))):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in SAME_LEVEL[tag]:
                         break
                     if stack[k].tag == tag or (tag in ("dt", "dd") and stack[k].tag in ("dt", "dd")) or (
                             tag in ("td", "th") and stack[k].tag in ("td", "th")):
-                        del stack[k:]
+                        stack.cut(k)
                         break
         top, at = stack[-1], _attributes(rest)
         article = top.article or tag == "article" or tag == "main" or at.get("role") == "main" or \
@@ -183,7 +257,7 @@ def blocks(page: str) -> list[Block]:
         path = top.path
         if tag in CONTAINERS:
             names = sorted({w.lower() for w in WORD.findall(at.get("class", ""))})
-            path = f"{path}/{tag}" + ("." + ".".join(names) if names else "")
+            path = Path(path, f"/{tag}" + ("." + ".".join(names) if names else ""))
         doubts = top.doubts
         doubted, whole = _doubted(tag, at)
         if article and not top.article and not first and not skip and not whole:
@@ -191,7 +265,7 @@ def blocks(page: str) -> list[Block]:
             for d in doubts:
                 d.cleared = True
         if doubted and tag in CONTAINERS and tag not in ("html", "body", "article", "main"):
-            doubts = (*doubts, Doubt(path, f"{path}#{at.get('id', '')}", whole))
+            doubts = (*doubts, Doubt(str(path), f"{path}#{at.get('id', '')}", whole))
         stack.append(Node(tag, path, skip, top.link or tag == "a", article, header, doubts))
     flush()
     return _settled(out)
@@ -212,10 +286,12 @@ def _settled(found: list[tuple[str, str, int, tuple[Doubt, ...]]]) -> list[Block
         for path, text, linked, doubts in found]
 
 
-def _close(stack: list[Node], tag: str) -> None:
+def _close(stack: Stack, tag: str) -> None:
+    if not stack.open.get(tag):
+        return
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == tag:
-            del stack[k:]
+            stack.cut(k)
             return
         # an inline end tag does not reach over a container
         if tag == "a" and stack[k].tag in CONTAINERS:

@@ -42,13 +42,28 @@ def test_stitched_pieces_encode_as_the_whole(enc):
     for t in texts:
         size, overlap = rng.choice([(5, 4), (16, 8), (40, 16), (200, 40)])
         parts = [(s, c, bpe.boundaries(rule, c, s)) for s, c in bpe.chunks(t, size, overlap)]
-        got = bpe.stitch(parts)
+        got = bpe.stitch(parts, rule)
         pieces += len(got)
         assert "".join(got) == t
         assert [i for x in got for i in bpe.encode(enc, x).tolist()] == enc.encode_ordinary(t)
     assert pieces > len(texts) + 50
 
 
+def test_stitching_recovers(enc):
+    """Lines without spaces, Chinese prose, and one long token across a seam: later seams are cut again."""
+    import regex
+    rule, rng = regex.compile(P.PATTERN), random.Random(4)
+    prose = " ".join(f"word{rng.randrange(99)}" for _ in range(30000))
+    han = "".join(rng.choice("天地玄黄宇宙洪荒日月盈昃") + ("，" if rng.random() < .1 else "") for _ in range(200000))
+    lines = "\n".join("x" * rng.randrange(5, 60) for _ in range(6000))
+    digits = prose[:bpe.CHUNK - 1000] + " " + "7" * 3000 + " " + prose
+    for t, least in ((han, 5), (lines, 5), (digits, 5), ("y" * 100000, 1)):
+        parts = [(s, c, bpe.boundaries(rule, c, s)) for s, c in bpe.chunks(t, bpe.CHUNK, bpe.OVERLAP)]
+        got = bpe.stitch(parts, rule)
+        assert "".join(got) == t and len(got) >= least
+        assert [i for x in got for i in bpe.encode(enc, x).tolist()] == enc.encode_ordinary(t)
+
+
 def want_tokens(enc, text):
     ids = enc.encode_ordinary(text or "")
     return (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),

@@ -33,7 +33,7 @@ def brute(docs, items, size=10):
                 found.append("" if i is None else str(i))
                 for k, n in at:
                     hit.update(range(k, k + n))
-        found.sort()
+        found = sorted(set(found))          # item ids, as in the SQL: rows that share one count once
         out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), bool(hit)))
     return out
 

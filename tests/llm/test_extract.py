@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -89,3 +90,13 @@ def test_pages_in_named_wrappers_vote(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, path string")
     assert [r.path for r in x.host_paths(pages).collect()] == ["/body/div.has.sidebar.site/article"]
     assert {r.text for r in x.extract(pages).collect()} == {STORY_TEXT}
+
+
+def test_broken_pages_are_linear():
+    began = time.time()
+    for page in ('<a "' * 250000, "<!" * 300000, "<" * 500000, "<div class='c'>" * 60000 + "x", "<div><li>" * 30000 + "</p>" * 30000,
+                 "<ab" * 200000):
+        x.blocks(page)
+    assert time.time() - began < 20
+    # a tag that never ends is text
+    assert " ".join(b[1] for b in x.blocks('<p>one <a "two</p><p>three</p>')) == 'one <a "two three'
