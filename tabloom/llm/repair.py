@@ -3,9 +3,11 @@
 Documents are range-partitioned and sorted by doc_id (the sampling reads that
 column only); each task encodes its documents, appends the end id, and cuts the
 stream at document ends into shards of about ``SHARD_IDS`` ids.  Per shard the
-most frequent id pairs are repeatedly replaced by nonterminals until no pair
-stands ``1 / RARE_PART`` of the shard's length often; pairs never cross a
-document end.  All pairs that cannot overlap are replaced in one round.
+most frequent id pairs are repeatedly replaced by nonterminals until none stands
+``LEAST`` times (a rule for a pair of two places saves nothing); pairs never cross
+a document end.  Pair counts and places are kept and changed only beside replaced
+pairs: a round replaces the pairs of at least half the largest count, the more
+frequent first where they overlap.
 
 File format: Parquet rows in the shared folder, one per shard: task and shard
 number, ids before it within the task, doc_ids, ids per document, symbols per
@@ -16,8 +18,10 @@ expansion lengths give the place of any id in it.
 
 Pre-tokens are found by numpy over the bytes of plain texts (ASCII and Latin
 letters, where the tokenizer's pattern is a matter of byte classes); each
-distinct one is encoded by the tokenizers library and kept by hash in a table
-of at most ``CACHE`` entries.  Any other text goes to the library whole.
+distinct one is encoded by the tokenizers library and kept in a table of at most
+``CACHE`` entries, found by hash and compared byte by byte.  Any other text, and any
+that holds the string of an added token, goes to the library whole, with its default
+settings; so does every text where the file's pre-tokenizer or normaliser is another.
 
 Null and empty texts hold the end id only.  Null doc_ids come first, repeated
 doc_ids are ordered by text hash; rows equal in both are interchangeable.
@@ -27,6 +31,7 @@ An empty table writes no shard and gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 
@@ -39,8 +44,8 @@ from tabloom.llm.common import per_worker, shared_dir
 from tabloom.llm.textnp import BYTE_VALUE, mix, powers, slices, texts
 
 END_ID = 2
-SHARD_IDS = 1 << 20
-RARE_PART = 4096
+SHARD_IDS = 1 << 18
+LEAST = 3
 CACHE = 1 << 20
 _U = np.uint64
 
@@ -119,42 +124,68 @@ def _byte_level() -> dict[int, str]:
 BYTE_LEVEL = _byte_level()
 
 
+def byte_classes(config: dict) -> bool:
+    """Whether the file's pre-tokens are those of :func:`pre_tokens`, each encoded by its BPE model alone."""
+    pre, model = config.get("pre_tokenizer") or {}, config.get("model") or {}
+    return (not config.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+            and not pre.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout")
+            and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+
+
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for runs laid end to end."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct pre-token encoded once while it is kept."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
+    def __init__(self, raw: bytes):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_buffer(raw)
+        config = json.loads(raw)
+        self.by_class = byte_classes(config)
+        self.added = [t["content"].encode() for t in config.get("added_tokens") or [] if t["content"]]
+        # added tokens that look beyond their own string leave no text to the table
+        self.by_class &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in config.get("added_tokens") or [])
         self._clear()
 
     def _clear(self):
-        self.known = np.zeros(0, _U)
-        self.at = np.zeros(0, np.int64)
-        self.len = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _learn(self, keys: np.ndarray, words: list[str]):
-        if len(self.known) + len(keys) > CACHE:
-            self._clear()
+        self.known, self.word = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.text, self.pool = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        self.text_end, self.ids_end = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]):
         # the library's BPE model on byte-level characters: what its pipeline does with one pre-token
         split = self.tokenizer.model.tokenize
-        ids = [[t.id for t in split(w.encode().decode("latin-1").translate(BYTE_LEVEL))] for w in words]
+        ids = [[t.id for t in split(w.decode("latin-1").translate(BYTE_LEVEL))] for w in words]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = len(self.pool) + np.concatenate(([0], np.cumsum(size)[:-1]))
+        first = len(self.ids_end) - 1
         self.pool = np.concatenate((self.pool, np.fromiter((i for w in ids for i in w), np.uint32, int(size.sum()))))
+        self.ids_end = np.append(self.ids_end, self.ids_end[-1] + np.cumsum(size))
+        self.text = np.concatenate((self.text, np.frombuffer(b"".join(words), np.uint8)))
+        self.text_end = np.append(self.text_end, self.text_end[-1] + np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
         # both key lists are sorted: merge, do not sort again
         place = np.searchsorted(self.known, keys)
-        self.known, self.at = np.insert(self.known, place, keys), np.insert(self.at, place, at)
-        self.len = np.insert(self.len, place, size)
+        self.known, self.word = np.insert(self.known, place, keys), np.insert(self.word, place, first + np.arange(len(keys)))
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the kept word, whether it is kept) of distinct pre-tokens at ``begin`` in ``data``."""
+        n = len(keys)
         if not len(self.known):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            return np.zeros(n, np.int64), np.zeros(n, bool)
         i = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
-        return i, self.known[i] == keys
-
-    def plain(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per row) of plain rows."""
+        word = self.word[i]
+        at = self.text_end[word]
+        have = (self.known[i] == keys) & (self.text_end[word + 1] - at == size)
+        k = np.flatnonzero(have)
+        if len(k):
+            same = self.text[_places(at[k], size[k])] == data[_places(begin[k], size[k])]
+            have[k] = np.logical_and.reduceat(same, np.cumsum(size[k]) - size[k])
+        return word, have
+
+    def plain(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, ids per row) of plain rows; None where two different pre-tokens have one hash."""
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
@@ -168,29 +199,50 @@ class Encoder:
         distinct = sorted_key[first]
         which = np.empty(len(key), np.int64)
         which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        i, have = self._find(distinct)
+        where = order[first]
+        begin, length = starts[where], size[where]
+        # every pre-token against the one that stands for its hash
+        if (length[which] != size).any() or (data[np.repeat(begin[which], size) + pos] != data).any():
+            return None
+        word, have = self._find(distinct, data, begin, length)
         if not have.all():
             if len(self.known) + int((~have).sum()) > CACHE:
                 self._clear()
                 have[:] = False
             new = np.flatnonzero(~have)
             raw = data.tobytes()
-            where = order[first[new]]
-            self._learn(distinct[new], [raw[a:a + s].decode() for a, s in zip(starts[where].tolist(), size[where].tolist())])
-            i, _ = self._find(distinct)
-        at, length = self.at[i][which], self.len[i][which]
-        total = np.concatenate(([0], np.cumsum(length)))
-        ids = self.pool[np.arange(total[-1]) + np.repeat(at - total[:-1], length)]
+            word[new] = len(self.ids_end) - 1 + np.arange(len(new))
+            self._learn(distinct[new], [raw[a:a + s] for a, s in zip(begin[new].tolist(), length[new].tolist())])
+        at = self.ids_end[word]
+        count = self.ids_end[word + 1] - at
+        at, count = at[which], count[which]
+        total = np.concatenate(([0], np.cumsum(count)))
+        ids = self.pool[_places(at, count)]
         row = np.searchsorted(starts, offs)
         return ids, total[row[1:]] - total[row[:-1]]
 
+    def _plain_rows(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        if not self.by_class:
+            return np.zeros(len(offs) - 1, bool)
+        plain = plain_rows(data, offs)
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                plain[np.searchsorted(offs, at, side="right") - 1] = False
+                at = raw.find(token, at + 1)
+        return plain
+
     def rows(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids with the end id after each row, ids per row)."""
         data, offs = texts(col)
-        plain = plain_rows(data, offs)
+        plain = self._plain_rows(data, offs)
         size = np.diff(offs)
-        keep = np.repeat(plain, size)
-        ids, count = self.plain(data[keep], np.concatenate(([0], np.cumsum(size[plain]))))
+        got = self.plain(data[np.repeat(plain, size)], np.concatenate(([0], np.cumsum(size[plain]))))
+        if got is None:
+            plain[:] = False
+            got = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids, count = got
         counts = np.zeros(len(size), np.int64)
         counts[plain] = count
         parts: dict[int, np.ndarray] = {}
@@ -212,70 +264,116 @@ class Encoder:
         return out, counts + 1
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rare_part: int = RARE_PART):
+def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, least: int = LEAST):
     """(rules, expansion lengths, symbols, symbols per document) of one shard.
 
-    ``ends``: index after the last id of each document.
+    ``ends``: index after the last id of each document.  Symbols stay at the place of their first id;
+    ``nxt`` and ``prv`` link the places that are left.  ``group`` numbers the pair that begins at a place,
+    and a group's places are those it had when it came up: later it only loses some, for every new pair
+    holds a nonterminal of the same round.
     """
-    sym = ids.astype(np.uint32)
-    last = np.zeros(len(sym), bool)
+    n = len(ids)
+    bits = int(vocabulary + n // least + 1).bit_length()
+    sym = np.append(ids.astype(np.int64), -1)
+    nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+    nxt[n] = n
+    last = np.zeros(n + 1, bool)
     last[ends - 1] = True
-    rules, length = [], [np.ones(vocabulary, np.int64)]
-    n_rules, least = 0, max(2, -(-len(ids) // rare_part))
-    while len(sym) > 1:
-        key = (sym[:-1].astype(_U) << _U(32)) | sym[1:]
-        key = key[~last[:-1]]
-        key.sort()
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        count = np.diff(edge)
-        often = np.flatnonzero(count >= least)
-        if not len(often):
-            break
-        often = often[np.lexsort((key[edge[often]], -count[often]))]
-        # pairs of a round: no symbol is the first of one and the second of another, so none overlap
-        first, second, chosen = set(), set(), []
-        for k in key[edge[often]].tolist():
-            a, b = k >> 32, k & 0xFFFFFFFF
-            if a != b and a not in second and b not in first:
-                first.add(a)
-                second.add(b)
-                chosen.append(k)
-        if not chosen:
-            # only pairs of equal symbols are left: replace the most frequent, every other place of each run
-            k = int(key[edge[often[0]]])
-            pair = (sym[:-1] == k >> 32) & (sym[1:] == k & 0xFFFFFFFF) & ~last[:-1]
-            at = np.flatnonzero(pair)
-            run = np.concatenate(([True], at[1:] != at[:-1] + 1))
-            begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - begin) % 2 == 0]
-            name = np.zeros(len(at), np.int64)
-            chosen = [k]
+    last[n] = True
+    group = np.full(n + 1, -1)
+    mark = np.zeros(n + 1, bool)
+    rank = np.full(n + 1, n + 1)
+    none = np.zeros(0, np.int64)
+    count, begin, size, place, first, second = none, none, none, none, none, none
+
+    def come_up(at):
+        """New groups of the pairs that begin at ``at``; a pair of fewer places than ``least`` never gets more."""
+        nonlocal count, begin, size, place, first, second
+        key = (sym[at] << bits) | sym[nxt[at]]
+        low = len(at).bit_length()
+        if 2 * bits + low < 63:
+            key = (key << low) | np.arange(len(at))
+            key.sort()
+            order = key & ((1 << low) - 1)
+            key >>= low
         else:
-            is_first = np.zeros(vocabulary + n_rules, bool)
-            is_second = np.zeros(vocabulary + n_rules, bool)
-            is_first[list(first)] = True
-            is_second[list(second)] = True
-            at = np.flatnonzero(is_first[sym[:-1]] & is_second[sym[1:]] & ~last[:-1])
-            pick = np.array(sorted(chosen), dtype=_U)
-            own = (sym[at].astype(_U) << _U(32)) | sym[at + 1]
-            name = np.searchsorted(pick, own)
-            name = np.minimum(name, len(pick) - 1)
-            hit = pick[name] == own
-            at, name = at[hit], name[hit]
-            chosen = pick.tolist()
-        pairs = np.array([(k >> 32, k & 0xFFFFFFFF) for k in chosen], dtype=np.uint32)
-        known = np.concatenate(length)
-        length.append(known[pairs[:, 0]] + known[pairs[:, 1]])
-        rules.append(pairs)
-        sym[at] = (vocabulary + n_rules + name).astype(np.uint32)
-        last[at] = last[at + 1]
-        keep = np.ones(len(sym), bool)
-        keep[at + 1] = False
-        sym, last = sym[keep], last[keep]
-        n_rules += len(pairs)
-    rules_ = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    lengths = np.concatenate(length)[vocabulary:]
-    return rules_, lengths, sym, np.diff(np.concatenate(([0], np.flatnonzero(last) + 1)))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        k = np.diff(edge)
+        often = k >= least
+        if not often.any():
+            return
+        edge, k = edge[:-1][often], k[often]
+        where = at[order[_places(edge, k)]]
+        group[where] = np.repeat(len(count) + np.arange(len(k)), k)
+        begin = np.append(begin, len(place) + np.cumsum(k) - k)
+        place = np.append(place, where)
+        size, count = np.append(size, k), np.append(count, k)
+        first, second = np.append(first, key[edge] >> bits), np.append(second, key[edge] & ((1 << bits) - 1))
+
+    if n > 1:
+        come_up(np.flatnonzero(~last[:n]))
+    rules, n_rules = [], 0
+    while len(count) and (top := int(count.max())) >= least:
+        chosen = np.flatnonzero(count >= max(least, -(-top // 2)))
+        chosen = chosen[np.argsort(-count[chosen], kind="stable")]
+        k = size[chosen]
+        at, own = place[_places(begin[chosen], k)], np.repeat(np.arange(len(chosen)), k)
+        live = group[at] == chosen[own]
+        at, own = at[live], own[live]
+        # of overlapping pairs the more frequent one
+        rank[at] = own
+        before, after = rank[prv[at]], rank[nxt[at]]
+        keep = (own < before) & (own < after)
+        twin = np.flatnonzero((first[chosen] == second[chosen])[own] & (own <= before) & (own <= after))
+        if len(twin):
+            # a run of one symbol: every other place
+            twin = twin[np.argsort(at[twin])]
+            p, o = at[twin], own[twin]
+            chain = np.concatenate(([False], (nxt[p[:-1]] == p[1:]) & (o[1:] == o[:-1])))
+            i = np.arange(len(p))
+            keep[twin] = (i - np.maximum.accumulate(np.where(chain, 0, i))) % 2 == 0
+        rank[at] = n + 1
+        at, own = at[keep], own[keep]
+        good = np.bincount(own, minlength=len(chosen)) >= least
+        if not good[0]:
+            count[chosen[0]] = 0        # nothing overlaps the first pair but itself: it cannot pay for a rule
+        use = good[own]
+        at, own = at[use], own[use]
+        if not len(at):
+            continue
+        name = np.cumsum(good) - 1
+        rules.append(np.column_stack((first[chosen[good]], second[chosen[good]])))
+        q = nxt[at]
+        mark[q] = True
+        left = prv[at]
+        gone = np.concatenate((at, q, left[(left >= 0) & ~mark[left]]))
+        mark[q] = False
+        g = group[gone]
+        count -= np.bincount(g[g >= 0], minlength=len(count))
+        group[gone] = -1
+        sym[at] = vocabulary + n_rules + name[own]
+        sym[q] = -2
+        last[at] = last[q]
+        right = nxt[q]
+        nxt[at] = right
+        prv[right] = at
+        n_rules += len(rules[-1])
+        mark[at] = True
+        left = prv[at]
+        new = np.concatenate((at, left[(left >= 0) & ~mark[left]]))
+        mark[at] = False
+        come_up(new[~last[new]])
+    stays = sym[:n] != -2
+    length = np.ones(vocabulary + n_rules, np.int64)
+    made = vocabulary
+    for pairs in rules:
+        length[made:made + len(pairs)] = length[pairs[:, 0]] + length[pairs[:, 1]]
+        made += len(pairs)
+    rules_ = np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
+    return rules_, length[vocabulary:], sym[:n][stays].astype(np.uint32), \
+        np.diff(np.concatenate(([0], np.flatnonzero(last[:n][stays]) + 1)))
 
 
 def expand(sym: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -312,7 +410,7 @@ SHARD = ("task int, shard int, before long, doc_ids array<{kind}>, tokens array<
          "rules binary, lengths binary, symbols binary")
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, shard_ids: int = SHARD_IDS, rare_part: int = RARE_PART) -> str:
+def write_shards(docs: DataFrame, tokenizer_path: str, shard_ids: int = SHARD_IDS, least: int = LEAST) -> str:
     """Encode, compress and write all documents in ascending doc_id order; returns the folder."""
     spark = docs.sparkSession
     with open(tokenizer_path, "rb") as f:
@@ -325,10 +423,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_ids: int = SHARD_ID
         import os
 
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         # the table of known pre-tokens serves all tasks of a worker
-        encoder = per_worker(f"encoder {tokenizer_key}", lambda: Encoder(Tokenizer.from_buffer(sent.value)))
+        encoder = per_worker(f"encoder {tokenizer_key}", lambda: Encoder(sent.value))
         vocabulary = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
         task, shard, before = TaskContext.get().partitionId(), 0, 0
         held, docs_, size = [], [], []
@@ -336,7 +433,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_ids: int = SHARD_ID
 
         def flush():
             ids, count = np.concatenate(held), np.concatenate(size)
-            rules, lengths, sym, per = compress(ids, np.cumsum(count), vocabulary, rare_part)
+            rules, lengths, sym, per = compress(ids, np.cumsum(count), vocabulary, least)
             return pa.record_batch([
                 pa.array([task], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()),
                 pa.array([pa.concat_arrays(docs_).to_pylist()], pa.list_(docs_[0].type)),
@@ -403,9 +500,9 @@ def read_shards(spark, path: str, kind: str, vocabulary: int) -> DataFrame:
             "doc_id", (F.col("offset") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, shard_ids: int = SHARD_IDS, rare_part: int = RARE_PART) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, shard_ids: int = SHARD_IDS, least: int = LEAST) -> DataFrame:
     """Write the documents' ids as Re-Pair shards and read them back, decoded."""
     from tokenizers import Tokenizer
     vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
-    path = write_shards(docs, tokenizer_path, shard_ids, rare_part)
+    path = write_shards(docs, tokenizer_path, shard_ids, least)
     return read_shards(docs.sparkSession, path, dict(docs.dtypes)["doc_id"], vocabulary)

@@ -25,9 +25,7 @@ def enc():
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def noise(rng, n):
@@ -86,32 +84,69 @@ def test_tokenize_documents(spark, sf, enc):
         i: want_tokens(enc, t) for i, t in texts.items()}
 
 
-def test_fast_pre_tokens_equal_the_library(tokenizer):
+def encoder(path=JSON):
+    with open(path, "rb") as f:
+        return repair.Encoder(f.read())
+
+
+def test_fast_pre_tokens_equal_the_library(tokenizer, monkeypatch):
     rng = random.Random(2)
-    texts = [noise(rng, rng.randrange(40)) for _ in range(3000)] + ["", None]
-    ids, count = repair.Encoder(tokenizer).rows(pa.array(texts))
-    end = np.cumsum(count)
-    got = [ids[e - c:e].tolist() for e, c in zip(end.tolist(), count.tolist())]
-    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    texts = [noise(rng, rng.randrange(40)) for _ in range(3000)] + ["", None, "hello <|endoftext|> you"]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert want[-1] == [31373, 220, 50256, 345, 2]      # an added token's string is that token: the library's default
+    for cache in (repair.CACHE, 30):
+        monkeypatch.setattr(repair, "CACHE", cache)
+        e = encoder()
+        for a in range(0, len(texts), 400):
+            ids, count = e.rows(pa.array(texts[a:a + 400], pa.string()))
+            end = np.cumsum(count)
+            assert [ids[e - c:e].tolist() for e, c in zip(end.tolist(), count.tolist())] == want[a:a + 400]
+
+
+def test_equal_hashes_do_not_mix_ids(tokenizer, monkeypatch):
+    texts = ["one two three", "two one", "three three", "other words here"] * 5
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    monkeypatch.setattr(repair, "mix", lambda z: z % np.uint64(3))       # nearly all hashes collide
+    e = encoder()
+    for a in range(0, len(texts), 2):
+        ids, count = e.rows(pa.array(texts[a:a + 2]))
+        assert ids.tolist() == sum(want[a:a + 2], []) and count.tolist() == list(map(len, want[a:a + 2]))
+
+
+def test_other_patterns_go_to_the_library_whole():
+    e = encoder(P.path("word_bpe_49k.json"))
+    assert not e.by_class
+    texts = ["Two Words\n", "don't 12", "<|startoftext|>x", None]
+    ids, count = e.rows(pa.array(texts))
+    want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == sum(want, []) and count.tolist() == list(map(len, want))
 
 
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(1)
-    for case in range(40):
+    for case in range(200):
         docs = [rng.integers(0, rng.integers(1, 6) + 1, rng.integers(0, 300)).tolist() + [9] for _ in range(rng.integers(1, 9))]
         if case % 4 == 0:
             docs.append([3] * 101 + [9])
         ids = np.array(sum(docs, []), np.uint32)
         ends = np.cumsum([len(x) for x in docs])
-        rules, lengths, sym, per = repair.compress(ids, ends, 10, 100)
+        least = 2 + case % 3
+        rules, lengths, sym, per = repair.compress(ids, ends, 10, least)
         assert np.array_equal(repair.expand(sym, rules, 10), ids)
         at = np.concatenate(([0], np.cumsum(per)))
         assert at[-1] == len(sym) and len(per) == len(docs)
+        left = {}
         for k, x in enumerate(docs):
             own = sym[at[k]:at[k + 1]]
             assert repair.expand(own, rules, 10).tolist() == x
             p = int(rng.integers(0, len(x)))
             assert repair.id_at(own, rules, lengths, 10, p) == x[p]
+            pairs, i = list(zip(own[:-1].tolist(), own[1:].tolist())), 0
+            while i < len(pairs):
+                left[pairs[i]] = left.get(pairs[i], 0) + 1
+                i += 2 if i + 1 < len(pairs) and pairs[i] == pairs[i + 1] else 1
+        # the grammar is complete: no pair is left that stands often enough, at any size
+        assert all(n < least for n in left.values())
 
 
 def want_shards(tokenizer, rows):
