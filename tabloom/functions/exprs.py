@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,3 +150,26 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             out.append(F.col(f.name))
     return df.select(*out)
+
+
+def keyed_permutation(x: Column, n: int, *key: Column, rounds: int = 4) -> Column:
+    """A permutation of 0..n-1 chosen by ``key``: a Feistel network over a near-square grid, walked until inside.
+
+    Each value of the key columns gives its own permutation, so many shuffles need no row numbering.
+    The grid has fewer than sqrt(n) + 1 cells too many, so a walk of 64 steps always ends.
+    """
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+
+    def step(h, k):
+        left = F.pmod(h["l"] + F.pmod(F.xxhash64(k, h["r"], *key), F.lit(a)), F.lit(a))
+        right = F.pmod(h["r"] + F.pmod(F.xxhash64(k, h["l"], *key), F.lit(b)), F.lit(b))
+        return F.struct(F.when(k % 2 == 0, left).otherwise(h["l"]).cast("bigint").alias("l"),
+                        F.when(k % 2 == 1, right).otherwise(h["r"]).cast("bigint").alias("r"))
+
+    def once(v):
+        start = F.struct(F.floor(v / F.lit(b)).cast("bigint").alias("l"), F.pmod(v, F.lit(b)).cast("bigint").alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step, lambda h: h["l"] * F.lit(b) + h["r"])
+
+    first = F.transform(F.array(x.cast("bigint")), once)[0]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda v, _: F.when(v < F.lit(n), v).otherwise(once(v)))

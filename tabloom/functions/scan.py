@@ -9,7 +9,8 @@ are added back with a join.  Bounds are compared in the columns' own types and
 Spark's own order, so text, long integers and decimals are exact, and a value
 that fills many buckets is split by the next order column.  The bucket is a
 pure function of the row, so every branch of the plan and every recomputation
-after an executor loss agree on it.
+after an executor loss agree on it.  The rows are counted first; a table of at
+most ``SMALL_ROWS`` is one window per group, with the same result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 60   # sampled rows per bucket when choosing bounds
+SMALL_ROWS = 200_000     # tables up to this size are ordered in one task: buckets would cost more than they spread
 
 
 def search_sorted(bounds: Column, value: Column, n: int) -> Column:
@@ -47,10 +49,10 @@ def with_place(df: DataFrame, name: str, bounds: Column, value: Column, n: int)
     return df.select("*", F.explode(F.array(search_sorted(bounds, value, n))).alias(name))
 
 
-def _bounds(df: DataFrame, cols: list[str], n: int) -> list:
+def _bounds(df: DataFrame, cols: list[str], n: int, total: int | None = None) -> list:
     """At most ``n - 1`` ascending rows of ``cols`` that cut ``df`` into about equal parts."""
     keys = df.select(*cols)
-    total = keys.count()
+    total = keys.count() if total is None else total
     want = SAMPLE_PER_BUCKET * n
     if total == 0 or n < 2:
         return []
@@ -66,9 +68,9 @@ def _bounds(df: DataFrame, cols: list[str], n: int) -> list:
     return out
 
 
-def order_buckets(df: DataFrame, cols: list[str], n: int, name: str = "_bk") -> DataFrame:
+def order_buckets(df: DataFrame, cols: list[str], n: int, name: str = "_bk", total: int | None = None) -> DataFrame:
     """Append ``name``: an ordered bucket 0..n-1 of the rows by ``cols`` (Spark's order: nulls first, NaN last)."""
-    bounds = _bounds(df, cols, n)
+    bounds = _bounds(df, cols, n, total)
     if not bounds:
         return df.withColumn(name, F.lit(0))
     types = [df.schema[c].dataType for c in cols]
@@ -91,7 +93,12 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: dict[str, str]
     """
     group_cols = list(group_cols)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = order_buckets(df, list(order_cols), n)
+    total = df.count()
+    if total <= SMALL_ROWS and num_partitions is None:
+        rows = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = {out: F.sum(F.col(src)).over(rows) - (F.lit(0) if inclusive else F.col(src)) for out, src in value_cols.items()}
+        return df.select(*[df[c] for c in df.columns if c not in value_cols], *[v.alias(out) for out, v in running.items()])
+    bucketed = order_buckets(df, list(order_cols), n, total=total)
 
     frame = Window.partitionBy("_bk", *group_cols).orderBy(*order_cols)
     frame = frame.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -8,6 +8,8 @@ the driver.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -16,10 +18,10 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.exprs import gauss, row_key
+from tabloom.functions.exprs import gauss, keyed_permutation, row_key
 from tabloom.functions.scan import row_numbers
 from tabloom.operators.models import Fitted, SparkMLLearner
-from tabloom.session import scratch_path
+from tabloom.session import cut_lineage, scratch_path
 
 
 def _output(fitted: Fitted, scored: DataFrame, class_index: int | None) -> "F.Column":
@@ -175,40 +177,123 @@ def lime(fitted: Fitted, df: DataFrame, key_cols: list[str], train: DataFrame, n
     return sample.groupBy(*key_cols).applyInPandas(ridge, out_schema)
 
 
+# repeats per fold where none are asked for
+REPEATS = {"classification": 5, "regression": 100}
+
+
 def permutation_importance(learner, df: DataFrame, features: list[str], label: str, problem: str,
-                           key_cols: list[str], folds: int = 5, repeats: int = 1, seed: int = 7) -> DataFrame:
+                           key_cols: list[str], folds: int = 5, repeats: int | None = None, seed: int = 7) -> DataFrame:
     """Mean and spread of the score drop when one feature is shuffled inside the held-out fold.
 
-    The shuffle pairs the fold's rows in two seeded hash orders (distributed
-    row numbers) and swaps in the feature value of the partner row.
+    All (feature, repeat) shuffles of a fold are one plan: the fold's rows are numbered once in a seeded
+    hash order, every shuffle is a keyed permutation of those numbers, and one transform of the model
+    and one grouped aggregate score them all, the unshuffled rows among them.
     """
     from tabloom.operators.split import kfold, stratified_kfold
-    from tabloom.plans.leaderboard import score
 
+    repeats = REPEATS[problem] if repeats is None else repeats
     folded = (stratified_kfold(df, key_cols, label, folds, seed) if problem == "classification"
               else kfold(df, key_cols, folds, seed))
-    metric = "accuracy" if problem == "classification" else "r2"
+    folded = cut_lineage(folded.select(*dict.fromkeys([*key_cols, *features, label]), "fold"))
     key = row_key(key_cols)
     drops = {f: [] for f in features}
+    # shuffle 0 leaves the rows as they are; the others are feature * repeats + repeat + 1
+    shuffles = F.sequence(F.lit(0), F.lit(len(features) * repeats))
     for fo in range(folds):
         train = folded.where(F.col("fold") != fo).drop("fold")
         test = folded.where(F.col("fold") == fo).drop("fold")
         fitted = learner.fit(train, features, label)
-        base = score(fitted.transform(test), label, problem, average_over="all")[metric]
-        ranked = row_numbers(test.withColumn("_ha", F.xxhash64(F.lit(seed), key)), ["_ha", *key_cols], name="_ra")
-        for r in range(repeats):
-            for j, f in enumerate(features):
-                partner = row_numbers(test.withColumn("_hb", F.xxhash64(F.lit(seed + 1 + r * 1000 + j), key)),
-                                      ["_hb", *key_cols], name="_rb").select(F.col("_rb").alias("_ra"),
-                                                                             F.col(f).alias("_pv"))
-                shuffled = ranked.join(partner, "_ra").withColumn(f, F.col("_pv")).drop("_pv", "_ra", "_ha")
-                s = score(fitted.transform(shuffled), label, problem, average_over="all")[metric]
-                drops[f].append(base - s)
+        rows = cut_lineage(row_numbers(test.select(*features, F.col(label), F.xxhash64(F.lit(seed), key).alias("_h"), *[
+            F.col(c).alias(f"_k{i}") for i, c in enumerate(key_cols)]), ["_h", *[f"_k{i}" for i in range(len(key_cols))]], name="_i"))
+        n = rows.count()
+        if not n:
+            continue
+        rows = rows.select((F.col("_i") - 1).alias("_i"), *features, label)
+        each = rows.withColumn("_s", F.explode(shuffles))
+        each = each.withColumn("_from", F.when(F.col("_s") == 0, F.col("_i")).otherwise(
+            keyed_permutation(F.col("_i"), n, F.lit(seed + fo), F.col("_s"))))
+        partner = rows.select(F.col("_i").alias("_from"), *[F.col(f).alias(f"_p{j}") for j, f in enumerate(features)])
+        own = F.floor((F.col("_s") - 1) / F.lit(repeats))
+        mixed = each.join(partner, "_from").select("_s", label, "_i", *[
+            F.when((F.col("_s") > 0) & (own == j), F.col(f"_p{j}")).otherwise(F.col(f)).alias(f) for j, f in enumerate(features)])
+        scored = _with_point_key(fitted, ["_s", "_i"]).transform(mixed)
+        hit = F.avg((F.col("prediction") == F.col(label)).cast("double")) if problem == "classification" else \
+            1 - F.avg(F.pow(F.col(label) - F.col("prediction"), 2)) / F.var_pop(F.col(label))
+        scores = {r["_s"]: r["v"] for r in scored.groupBy("_s").agg(hit.alias("v")).collect()}
+        for j, f in enumerate(features):
+            drops[f] += [scores[0] - scores[j * repeats + r + 1] for r in range(repeats)]
     rows = [(f, float(np.mean(v)), float(np.std(v))) for f, v in drops.items()]
     rows.sort(key=lambda t: -t[1])
     return df.sparkSession.createDataFrame(rows, "feature string, importance_mean double, importance_std double")
 
 
+def _with_point_key(fitted: Fitted, key_cols: list[str]) -> Fitted:
+    from tabloom.operators.shapley import _keyed
+    return _keyed(fitted, key_cols)
+
+
+def correlated_transform(coef: np.ndarray, cov: np.ndarray, max_exact: int = 12, orders: int = 1000, seed: int = 7) -> np.ndarray:
+    """Matrix T with Shapley values T (x - mean) of a linear model under correlated (Gaussian) features.
+
+    A subset's value is the model at the conditional expectation of the other features.  Up to
+    ``max_exact`` features every subset is used; beyond, ``orders`` seeded feature orders and their reverses.
+    """
+    p = len(coef)
+    known: dict[int, np.ndarray] = {}
+
+    def row(mask: int) -> np.ndarray:
+        """The subset's value as a linear form of x - mean."""
+        if mask not in known:
+            s = [j for j in range(p) if mask >> j & 1]
+            out = np.zeros(p)
+            if s:
+                out[s] = coef @ cov[:, s] @ np.linalg.pinv(cov[np.ix_(s, s)], hermitian=True)
+            known[mask] = out
+        return known[mask]
+
+    t = np.zeros((p, p))
+    if p <= max_exact:
+        share = [1.0 / (p * math.comb(p - 1, k)) for k in range(p)]
+        for mask in range(1 << p):
+            for i in range(p):
+                if not mask >> i & 1:
+                    t[i] += share[mask.bit_count()] * (row(mask | 1 << i) - row(mask))
+        return t
+    rng = np.random.default_rng(seed)
+    for _ in range(orders):
+        order = rng.permutation(p)
+        for way in (order, order[::-1]):
+            known.clear()       # masks rarely meet again
+            mask = 0
+            for i in way.tolist():
+                t[i] += (row(mask | 1 << i) - row(mask)) / (2 * orders)
+                mask |= 1 << i
+    return t
+
+
+def shap_linear_correlated(fitted: Fitted, df: DataFrame, key_cols: list[str], background: DataFrame | None = None,
+                           class_row: int = 0, max_exact: int = 12, orders: int = 1000, seed: int = 7) -> DataFrame:
+    """Shapley values of a linear model that allow for correlated features (long form ``key, feature, value, shap``).
+
+    Means and covariances of the background come from one pass; each row's values are one fixed
+    features x features matrix applied to it.
+    """
+    from tabloom.operators.batchfit import feature_vector, fold_moments
+    m = fitted.last_stage
+    coef = m.coefficientMatrix.toArray()[class_row] if getattr(m, "numClasses", 2) > 2 else m.coefficients.toArray()
+    feats, p = fitted.features, len(fitted.features)
+    bg = background if background is not None else df
+    rows = bg.where(" and ".join(f"`{f}` is not null and not isnan(`{f}`)" for f in feats)).select(
+        feature_vector(bg, feats).alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("part"))
+    n, mean, s = fold_moments(rows, p)[0]
+    t = correlated_transform(np.asarray(coef, float), s[:p, :p] / n, max_exact, orders, seed)
+    pairs = []
+    for i, f in enumerate(feats):
+        value = sum((F.lit(float(t[i, j])) * (F.col(g).cast("double") - F.lit(float(mean[j]))) for j, g in enumerate(feats)), F.lit(0.0))
+        pairs += [F.lit(f), F.struct(F.col(f).cast("double").alias("value"), value.alias("shap"))]
+    return df.select(*key_cols, F.stack(F.lit(p), *pairs).alias("feature", "s")).select(*key_cols, "feature", "s.value", "s.shap")
+
+
 def tree_rules(df: DataFrame, features: list[str], label: str, problem: str = "classification",
                depth: int = 2) -> DataFrame:
     """Fit a shallow tree and return its nodes with the path rule that reaches each one."""

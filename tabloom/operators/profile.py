@@ -102,6 +102,33 @@ def describe_column(df: DataFrame, col: str, nbins: int = 10) -> dict[str, DataF
     return out
 
 
+def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, int]]:
+    """Column -> (distinct non-null values, missing rows), exact.
+
+    One unpivot to (column, value as text), combined on the map side: each distinct value of each
+    column is shuffled once per task, and no row is copied per column as several exact distinct
+    aggregates would.  Text keeps atomic values apart (-0.0 counts as 0.0); nested ones are counted
+    by Spark's own aggregate.
+    """
+    flat = [c for c in cols if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.UserDefinedType))]
+    out = {}
+    if flat:
+        pairs = []
+        for i, c in enumerate(flat):
+            dt, v = df.schema[c].dataType, F.col(c)
+            v = F.hex(v) if isinstance(dt, T.BinaryType) else (v + F.lit(0).cast(dt)) if isinstance(dt, FLOAT_TYPES) else v
+            pairs += [F.lit(i), v.cast("string")]
+        values = df.select(F.stack(F.lit(len(flat)), *pairs).alias("c", "v")).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        got = {r["c"]: (r["d"], r["m"]) for r in values.groupBy("c").agg(
+            F.count("v").alias("d"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("m")).collect()}
+        out.update({c: got.get(i, (0, 0)) for i, c in enumerate(flat)})
+    for c in cols:
+        if c not in out:
+            r = df.agg(F.count_distinct(F.col(c)).alias("d"), F.count_if(F.col(c).isNull()).alias("m")).first()
+            out[c] = (r["d"], r["m"])
+    return out
+
+
 def column_list(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column: dtype, number of distinct non-null values, number missing.
 
@@ -109,13 +136,13 @@ def column_list(df: DataFrame, approx: bool = False) -> DataFrame:
     KB of state per column) instead of the exact distinct aggregation.
     """
     cols = df.columns
-    aggs = []
-    for c in cols:
-        d = F.approx_count_distinct(F.col(c)) if approx else F.count_distinct(F.col(c))
-        aggs += [d.alias(f"{c}__d"),
-                 F.count_if(F.col(c).isNull()).alias(f"{c}__m")]
-    r = df.agg(*aggs).collect()[0]
-    rows = [(c, df.schema[c].dataType.simpleString(), r[f"{c}__d"], r[f"{c}__m"]) for c in cols]
+    if approx:
+        r = df.agg(*[x for c in cols for x in (F.approx_count_distinct(F.col(c)).alias(f"{c}__d"),
+                                               F.count_if(F.col(c).isNull()).alias(f"{c}__m"))]).collect()[0]
+        counts = {c: (r[f"{c}__d"], r[f"{c}__m"]) for c in cols}
+    else:
+        counts = distinct_counts(df, cols)
+    rows = [(c, df.schema[c].dataType.simpleString(), *counts[c]) for c in cols]
     return df.sparkSession.createDataFrame(
         rows, "column string, dtype string, distinct bigint, missing bigint")
 
@@ -140,14 +167,10 @@ def _problem_rule(dt: T.DataType, n_unique: int) -> str:
 def problem_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Problem type each column would give as a target; a null counts as a value."""
     cols = cols or df.columns
-    aggs = []
-    for c in cols:
-        aggs += [F.count_distinct(F.col(c)).alias(f"{c}__d"),
-                 F.max(F.col(c).isNull().cast("int")).alias(f"{c}__n")]
-    r = df.agg(*aggs).collect()[0]
+    counts = distinct_counts(df, cols)
     rows = []
     for c in cols:
-        n_unique = (r[f"{c}__d"] or 0) + (r[f"{c}__n"] or 0)
+        n_unique = counts[c][0] + (counts[c][1] > 0)
         dt = df.schema[c].dataType
         rows.append((c, dt.simpleString(), n_unique, _problem_rule(dt, n_unique)))
     return df.sparkSession.createDataFrame(

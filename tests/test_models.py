@@ -413,3 +413,58 @@ def test_digamma(spark):
     from tabloom.operators.select import digamma
     got = spark.range(1, 3000).select(digamma(F.col("id")).alias("v")).collect()
     assert [r.v for r in got] == pytest.approx([psi(k) for k in range(1, 3000)], abs=1e-13)
+
+
+# ---------------------------------------------------------------- correlated Shapley values, shuffles, counts
+
+def test_correlated_linear_values_against_all_subsets():
+    from tabloom.operators.explain import correlated_transform
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(4, 4))
+    cov, coef, x = a @ a.T, rng.normal(size=4), rng.normal(size=4)
+
+    def value(s):
+        s = sorted(s)
+        full = cov[:, s] @ np.linalg.inv(cov[np.ix_(s, s)]) @ x[s] if s else np.zeros(4)
+        return coef @ full
+
+    want = subset_values(value, 4)
+    assert correlated_transform(coef, cov) @ x == pytest.approx(want)
+    sampled = correlated_transform(coef, cov, max_exact=2, orders=4000) @ x
+    assert sampled == pytest.approx(want, abs=0.2) and sampled.sum() == pytest.approx(want.sum())
+    assert correlated_transform(coef, np.diag([1.0, 2, 3, 4])) == pytest.approx(np.diag(coef))
+
+
+def test_keyed_permutations(spark):
+    from tabloom.functions.exprs import keyed_permutation
+    for n in (1, 2, 3, 17, 100, 1000):
+        rows = spark.range(n).select(F.col("id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"))
+        got = rows.select("id", "k", keyed_permutation(F.col("id"), n, F.lit(9), F.col("k")).alias("p")).collect()
+        orders = {}
+        for r in got:
+            orders.setdefault(r.k, {})[r.id] = r.p
+        assert all(sorted(o.values()) == list(range(n)) for o in orders.values())
+        assert n < 17 or len({tuple(o[i] for i in range(n)) for o in orders.values()}) == 4
+
+
+def test_permutation_importance_of_a_known_model(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, float(a), float(b), float(3 * a + 0 * b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    from tabloom.operators.explain import permutation_importance
+    got = {r.feature: r for r in permutation_importance(learners("regression")["Linear Regression"], df, ["a", "b"], "y",
+                                                        "regression", ["id"], folds=3, repeats=30).collect()}
+    # a shuffled feature that is all of y: R^2 falls from 1 to about -1
+    assert got["a"].importance_mean == pytest.approx(2, abs=0.1) and got["a"].importance_std > 0
+    assert got["b"].importance_mean == pytest.approx(0, abs=1e-9)
+
+
+def test_distinct_counts_without_copies(spark):
+    from tabloom.operators.profile import column_list, problem_types
+    df = spark.createDataFrame([(0.0, "a", None, bytearray(b"1"), [1]), (-0.0, "a", 1, bytearray(b"1"), [1]),
+                                (float("nan"), "b", 1, None, [2]), (float("nan"), "", 2, bytearray(b""), None)],
+                               "d double, s string, i int, b binary, l array<int>")
+    got = {r["column"]: (r["distinct"], r["missing"]) for r in column_list(df).collect()}
+    assert got == {"d": (2, 0), "s": (3, 0), "i": (2, 1), "b": (2, 1), "l": (2, 1)}
+    assert {r["column"]: r["n_unique"] for r in problem_types(df).collect()} == {"d": 2, "s": 3, "i": 3, "b": 3, "l": 3}
+    assert {r["distinct"] for r in column_list(df.limit(0)).collect()} == {0}
