@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Spark removes the shuffle files of what runs inside as soon as it has ended.
+
+    For writes whose result is read from its files: a task that is run again still finds or remakes
+    them, and nothing needs them afterwards.
+    """
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def written(df: DataFrame, name: str, rows: int | None = None, per_file: int = 20_000) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -38,7 +60,8 @@ def written(df: DataFrame, name: str, rows: int | None = None, per_file: int = 2
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // per_file)))
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import per_worker, shared_dir
+from tabloom.llm.common import per_worker, shared_dir, shuffles_dropped
 from tabloom.llm.textnp import BYTE_VALUE, mix, powers, slices, texts
 
 END_ID = 2
@@ -466,8 +466,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_ids: int = SHARD_ID
     path = f"{shared_dir(spark)}/id-shards-{uuid.uuid4().hex[:12]}"
     rows = docs.select("doc_id", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")) \
-        .mapInArrow(run, SHARD.format(kind=kind)).write.parquet(path)
+    with shuffles_dropped(spark):
+        rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")) \
+            .mapInArrow(run, SHARD.format(kind=kind)).write.parquet(path)
     return path
 
 
