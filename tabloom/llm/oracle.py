@@ -20,33 +20,47 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+# arrivals: every place a call can get from itself and from what it needs, hop by hop; with as many hops as
+# the conversation has calls one of them comes twice
 OP2 = """
-WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, role, length(coalesce(text, '')) AS n,
-                  md5(coalesce(text, '')) AS h FROM conversations),
+WITH RECURSIVE t AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, role, length(coalesce(text, '')) AS n,
+                  CAST(to_json(coalesce(text, '')) AS VARCHAR) AS q FROM conversations),
 raw AS (SELECT conv_id, turn, n, 'call-' || turn AS call_id,
                CASE n % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' WHEN 2 THEN 'measure' ELSE 'browse' END AS name,
                CASE n % 4
-                 WHEN 0 THEN '{"limit":' || (n % 45) || ',"query":"' || substr(h, 1, 8) || '"}'
+                 WHEN 0 THEN '{"limit":' || (n % 45) || ',"query":' || q || '}'
                  WHEN 1 THEN '{"exact":' || CASE WHEN n % 7 = 0 THEN '"yes"' WHEN n % 2 = 0 THEN 'true' ELSE 'false' END
-                             || ',"key":"' || substr(h, 9, 6) || '"}'
-                 WHEN 2 THEN '{"unit":"' || CASE WHEN n % 5 = 0 THEN 'lines' WHEN n % 2 = 0 THEN 'words' ELSE 'chars' END
+                             || ',"key":' || q || '}'
+                 WHEN 2 THEN '{"of":' || q || ',"unit":"' || CASE WHEN n % 5 = 0 THEN 'lines' WHEN n % 2 = 0 THEN 'words' ELSE 'chars' END
                              || '","value":' || n || '}'
-                 ELSE '{}' END AS args,
+                 ELSE '{"page":' || q || '}' END AS args,
                CASE n % 4
                  WHEN 0 THEN CASE WHEN n % 45 < 1 THEN 'limit: too small' WHEN n % 45 > 40 THEN 'limit: too large' ELSE '' END
                  WHEN 1 THEN CASE WHEN n % 7 = 0 THEN 'exact: not boolean' ELSE '' END
                  WHEN 2 THEN CASE WHEN n % 5 = 0 THEN 'unit: not allowed' ELSE '' END
                  ELSE 'unknown tool' END AS problems
-        FROM t WHERE role = 'user'),
-call AS (SELECT *, count(*) OVER (PARTITION BY conv_id, call_id) AS copies FROM raw),
-answer AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id,
-                  min('{"digest":"' || substr(h, 1, 12) || '","size":' || n || '}') AS content
+        FROM t WHERE role IN ('user', 'system')),
+call AS (SELECT *, count(*) OVER (PARTITION BY conv_id, call_id) AS copies, count(*) OVER (PARTITION BY conv_id) AS calls FROM raw),
+edge AS (SELECT c.conv_id, c.call_id, d.call_id AS dep
+         FROM (SELECT conv_id, call_id, turn - 2 AS at FROM call WHERE n % 3 = 0
+               UNION SELECT conv_id, call_id, turn + 2 FROM call WHERE n % 5 = 0
+               UNION SELECT conv_id, call_id, turn + 4 FROM call WHERE n % 7 = 0) c
+         JOIN call d ON d.conv_id = c.conv_id AND d.turn = c.at),
+arrival AS (SELECT conv_id, call_id, turn AS p, CAST(0 AS BIGINT) AS h, calls FROM call
+            UNION SELECT edge.conv_id, edge.call_id, p, h + 1, calls FROM arrival
+                  JOIN edge ON edge.conv_id = arrival.conv_id AND edge.dep = arrival.call_id WHERE h < calls),
+place AS (SELECT conv_id, call_id, max(struct_pack(p := p, h := h)) AS k, max(h) >= any_value(calls) AS cyclic
+          FROM arrival GROUP BY conv_id, call_id),
+answer AS (SELECT conv_id, 'call-' || CASE WHEN n % 11 = 0 THEN turn + 1 ELSE turn - 1 END AS call_id,
+                  min(struct_pack(turn := turn, content := '{"content":' || q || ',"size":' || n || '}')) AS a
            FROM t WHERE role = 'assistant' GROUP BY 1, 2)
-SELECT conv_id, call_id, name, copies, turn AS order_pos, CAST(0 AS INTEGER) AS order_hop,
-       CASE WHEN problems <> '' THEN 'invalid' WHEN content IS NULL THEN 'no_result' ELSE 'ok' END AS status, problems,
+SELECT conv_id, call_id, name, copies, CASE WHEN NOT cyclic THEN k.p END AS order_pos,
+       CAST(CASE WHEN NOT cyclic THEN k.h END AS INTEGER) AS order_hop,
+       CASE WHEN cyclic THEN 'cyclic' WHEN problems <> '' THEN 'invalid' WHEN a IS NULL THEN 'no_result'
+            WHEN a.turn < call.turn THEN 'result_before_call' ELSE 'ok' END AS status, problems,
        '{"arguments":' || args || ',"id":"' || call_id || '","name":"' || name || '"}' AS call_json,
-       '{"content":' || content || ',"id":"' || call_id || '"}' AS result_json
-FROM call LEFT JOIN answer USING (conv_id, call_id)
+       '{"content":' || a.content || ',"id":"' || call_id || '"}' AS result_json
+FROM call JOIN place USING (conv_id, call_id) LEFT JOIN answer USING (conv_id, call_id)
 """
 
 _HASH = "CAST('0x' || substr(md5('20240601:' || {k} || ':' || {half}), 1, 15) AS BIGINT)"

@@ -11,8 +11,9 @@ wrong with its arguments, and both as canonical JSON.
   a dependency that stands later, the dependency's key one hop on.  Sorting a
   conversation by (order_pos, order_hop, pos, call_id) puts every dependency
   first.  Calls whose dependencies all stand earlier keep their own position, so
-  only the others move in the rounds; a call with more hops than there are
-  moved calls is on a cycle or needs one.
+  only the others move in the rounds.  A call with more hops than its conversation
+  has moved calls is on a cycle; it and all that need it are ``cyclic`` and have no
+  place (null keys).
 * Validation: the schemas are a parameter (a dict, part of the plan); the
   arguments are parsed as VARIANT and each parameter's type is looked up.
 * Canonical JSON: object keys in order, no white space (VARIANT keeps objects
@@ -102,23 +103,28 @@ def order_keys(calls: DataFrame) -> DataFrame:
     edges = calls.select("conv_id", "call_id", "pos", F.explode(F.array_distinct("after")).alias("dep"))
     place = calls.select("conv_id", F.col("call_id").alias("dep"), F.col("pos").alias("dep_pos"))
     edges = written(edges.join(place, ["conv_id", "dep"]).select("conv_id", "call_id", "pos", "dep", "dep_pos"), "edges")
-    keys = calls.select("conv_id", "call_id", F.struct(F.col("pos").alias("p"), F.lit(0).alias("h")).alias("k"))
+    keys = calls.select("conv_id", "call_id", F.struct(F.col("pos").alias("p"), F.lit(0).alias("h")).alias("k"),
+                        F.lit(False).alias("cyclic"))
     # keys move only where a dependency stands at the call's place or later
-    turn, moving, touched = 0, edges.where("dep_pos >= pos").limit(1).count(), 0
-    while moving and turn <= 2 * touched + 2:
-        dep = keys.select("conv_id", F.col("call_id").alias("dep"), F.col("k").alias("dk"))
+    moving = edges.where("dep_pos >= pos").limit(1).count()
+    while moving:
+        dep = keys.select("conv_id", F.col("call_id").alias("dep"), F.col("k").alias("dk"), F.col("cyclic").alias("dc"))
         need = edges.select("conv_id", "call_id", "dep").join(dep, ["conv_id", "dep"]).groupBy("conv_id", "call_id") \
-            .agg(F.max(F.struct(F.col("dk.p").alias("p"), (F.col("dk.h") + 1).alias("h"))).alias("need"))
-        up = F.coalesce(F.col("need") > F.col("k"), F.lit(False))
-        new = written(keys.join(need, ["conv_id", "call_id"], "left").select(
-            "conv_id", "call_id", F.when(up, F.col("need")).otherwise(F.col("k")).alias("k"), up.alias("moved")), "order")
-        keys = new.select("conv_id", "call_id", "k")
-        turn += 1
-        moving, touched = new.agg(F.count_if("moved"), F.count_if(F.col("k.h") > 0)).first()
-    # hops pass over distinct moved calls, so more hops than those means a cycle on the way
-    cyclic = F.col("k.h") > touched if moving else F.lit(False)
-    return keys.select("conv_id", "call_id", F.col("k.p").alias("order_pos"), F.col("k.h").alias("order_hop"),
-                       cyclic.alias("cyclic"))
+            .agg(F.max(F.struct(F.col("dk.p").alias("p"), (F.col("dk.h") + 1).alias("h"))).alias("need"), F.max("dc").alias("dc"))
+        up = F.coalesce(F.col("need") > F.col("k"), F.lit(False)) & ~F.col("cyclic")
+        spread = F.coalesce("dc", F.lit(False)) & ~F.col("cyclic")
+        new = keys.join(need, ["conv_id", "call_id"], "left").select(
+            "conv_id", "call_id", F.when(up, F.col("need")).otherwise(F.col("k")).alias("k"),
+            (F.col("cyclic") | spread).alias("cyclic"), (up | spread).alias("moved"))
+        new = written(new, "order")
+        # hops pass over distinct moved calls of one conversation: more hops than those means a cycle on the way
+        room = new.groupBy("conv_id").agg(F.count_if(F.col("k.h") > 0).alias("room"), F.max("moved").alias("moving"))
+        keys = written(new.join(room.where("moving"), "conv_id", "left").select(
+            "conv_id", "call_id", "k", (F.col("cyclic") | F.coalesce(F.col("k.h") > F.col("room"), F.lit(False))).alias("cyclic"),
+            "moved"), "order")
+        moving = keys.where("moved").limit(1).count()
+    return keys.select("conv_id", "call_id", F.when(~F.col("cyclic"), F.col("k.p")).alias("order_pos"),
+                       F.when(~F.col("cyclic"), F.col("k.h")).alias("order_hop"), "cyclic")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -179,37 +185,41 @@ SCHEMAS = {
         "limit": {"type": "integer", "minimum": 1, "maximum": 40}, "query": {"type": "string"}}},
     "lookup": {"required": ["key"], "properties": {"key": {"type": "string"}, "exact": {"type": "boolean"}}},
     "measure": {"required": ["unit", "value"], "properties": {
-        "unit": {"type": "string", "enum": ["chars", "words"]}, "value": {"type": "number"}}},
+        "unit": {"type": "string", "enum": ["chars", "words"]}, "value": {"type": "number"}, "of": {"type": "string"}}},
 }
 
 
 def derived_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each user turn as a call, each assistant turn as the result of the turn before it.
+    """User and system turns as calls, assistant turns as results, with the whole texts in their JSON.
 
-    The tool, its arguments (valid or not) and its dependency follow from the turn's text.
+    The tool, its arguments (valid or not) and its dependencies follow from the length n of the turn's text:
+    on the call two turns earlier (n % 3 = 0), two turns later (n % 5 = 0) and four turns later (n % 7 = 0),
+    so there are chains in both directions and cycles.  An assistant turn answers the turn before it, or
+    (n % 11 = 0) the one after it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     n = F.char_length(text)
-    hash_ = F.md5(text.cast("binary"))
-    call = F.concat(F.lit("call-"), F.col("turn").cast("string"))
-    before = F.concat(F.lit("call-"), (F.col("turn") - 2).cast("string"))
-    search = F.concat(F.lit('{ "query": "'), F.substring(hash_, 1, 8), F.lit('", "limit": '),
-                      F.pmod(n, F.lit(45)).cast("string"), F.lit(" }"))
-    lookup = F.concat(F.lit('{"key":"'), F.substring(hash_, 9, 6), F.lit('","exact":'),
+
+    def call(step):
+        return F.concat(F.lit("call-"), (F.col("turn") + step).cast("string"))
+
+    whole = quoted(text)
+    search = F.concat(F.lit('{ "query": '), whole, F.lit(', "limit": '), F.pmod(n, F.lit(45)).cast("string"), F.lit(" }"))
+    lookup = F.concat(F.lit('{"key":'), whole, F.lit(',"exact":'),
                       F.when(n % 7 == 0, '"yes"').when(n % 2 == 0, "true").otherwise("false"), F.lit("}"))
     measure = F.concat(F.lit('{"value": '), n.cast("string"), F.lit(', "unit": "'),
-                       F.when(n % 5 == 0, "lines").when(n % 2 == 0, "words").otherwise("chars"), F.lit('"}'))
+                       F.when(n % 5 == 0, "lines").when(n % 2 == 0, "words").otherwise("chars"), F.lit('", "of":'), whole, F.lit("}"))
     kind = F.pmod(n, F.lit(4))
-    calls = turns.where("role = 'user'").select(
-        F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").alias("pos"), call.alias("call_id"),
+    after = F.array_compact(F.array(*[F.when(n % m == 0, call(step)) for m, step in ((3, -2), (5, 2), (7, 4))]))
+    calls = turns.where("role in ('user', 'system')").select(
+        F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").alias("pos"), call(0).alias("call_id"),
         F.when(kind == 0, "search").when(kind == 1, "lookup").when(kind == 2, "measure").otherwise("browse").alias("name"),
-        F.when(kind == 0, search).when(kind == 1, lookup).when(kind == 2, measure).otherwise("{}").alias("arguments"),
-        F.when((F.col("turn") >= 2) & (n % 3 == 0), F.array(before)).otherwise(F.array().cast("array<string>")).alias("after"))
+        F.when(kind == 0, search).when(kind == 1, lookup).when(kind == 2, measure)
+        .otherwise(F.concat(F.lit('{"page":'), whole, F.lit("}"))).alias("arguments"), after.alias("after"))
     results = turns.where("role = 'assistant'").select(
         F.col("conv_id").cast("string").alias("conv_id"),
-        F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("turn").alias("pos"),
-        F.concat(F.lit('{"size": '), n.cast("string"), F.lit(', "digest": "'), F.substring(hash_, 1, 12), F.lit('"}'))
-        .alias("content"))
+        F.when(n % 11 == 0, call(1)).otherwise(call(-1)).alias("call_id"), F.col("turn").alias("pos"),
+        F.concat(F.lit('{"size": '), n.cast("string"), F.lit(', "content": '), whole, F.lit("}")).alias("content"))
     return calls, results
 
 
