@@ -434,15 +434,15 @@ class BoostedPayload:
 
 
 def starting_margins(df: DataFrame, label: str, objective: str, classes: list) -> np.ndarray:
-    """Margins of the constant model: the mean, the log odds, or the log shares of the classes."""
+    """Margins before the first round: the mean, the log odds of two classes, 0 for each of more."""
     if objective == "squared":
         return np.array([float(df.agg(F.avg(label)).first()[0] or 0.0)])
+    if objective == "softmax":
+        return np.zeros(len(classes))
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     n = sum(counts.get(c, 0) for c in classes)
     share = np.array([max(counts.get(c, 0), 1e-9) / max(n, 1) for c in classes])
-    if objective == "logistic":
-        return np.array([math.log(share[1] / share[0])])
-    return np.log(share)
+    return np.array([math.log(share[1] / share[0])])
 
 
 class Boosted:

@@ -329,7 +329,7 @@ def classification_learners() -> dict:
 
 def _svc(df, label):
     n_classes = len(class_labels(df, label))
-    svc = LinearSVC(regParam=0.01, maxIter=100)
+    svc = LinearSVC(regParam=1.0 / max(1, df.count()), maxIter=100)     # C = 1
     return OneVsRest(classifier=svc) if n_classes > 2 else svc
 
 

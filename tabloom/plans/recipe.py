@@ -34,6 +34,10 @@ class Step:
         return {"op": self.op, "cols": self.cols, "options": self.options, "params": self.params}
 
 
+# names a table that lies beside a saved recipe
+BESIDE = "beside:"
+
+
 @dataclass
 class Recipe:
     steps: list[Step] = field(default_factory=list)
@@ -141,9 +145,26 @@ class Recipe:
                       d.get("features"), d.get("target"))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Write the recipe as a one-row JSON text file (any Hadoop file system)."""
-        spark.createDataFrame([(self.to_json(),)], "recipe string").coalesce(1).write.mode("overwrite").text(path)
+        """Write the recipe as a one-row JSON text file (any Hadoop file system).
+
+        Fitted tables (long label lists) are copied to ``<path>.tables``, so the saved recipe holds nothing
+        of the scratch folder and can be moved together with that folder.
+        """
+        d = json.loads(self.to_json())
+        for i, step in enumerate(d["steps"]):
+            tables = (step.get("params") or {}).get("tables") or {}
+            for k, (c, source) in enumerate(sorted(tables.items())):
+                name = f"{i}-{k}"
+                spark.read.parquet(source).write.mode("overwrite").parquet(f"{path.rstrip('/')}.tables/{name}")
+                tables[c] = f"{BESIDE}{name}"
+        spark.createDataFrame([(json.dumps(d, default=str),)], "recipe string").coalesce(1).write.mode("overwrite").text(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Recipe":
-        return Recipe.from_json(spark.read.text(path).collect()[0][0])
+        recipe = Recipe.from_json(spark.read.text(path).collect()[0][0])
+        for step in recipe.steps:
+            tables = (step.params or {}).get("tables") or {}
+            for c, name in tables.items():
+                if name.startswith(BESIDE):
+                    tables[c] = f"{path.rstrip('/')}.tables/{name[len(BESIDE):]}"
+        return recipe

@@ -468,3 +468,19 @@ def test_distinct_counts_without_copies(spark):
     assert got == {"d": (2, 0), "s": (3, 0), "i": (2, 1), "b": (2, 1), "l": (2, 1)}
     assert {r["column"]: r["n_unique"] for r in problem_types(df).collect()} == {"d": 2, "s": 3, "i": 3, "b": 3, "l": 3}
     assert {r["distinct"] for r in column_list(df.limit(0)).collect()} == {0}
+
+
+def test_saved_recipe_stands_without_the_scratch_folder(spark, tmp_path, monkeypatch):
+    from tabloom.operators import transform as TR
+    from tabloom.plans.recipe import Recipe
+    df = spark.createDataFrame([(f"name {i:04}", i) for i in range(1500)], "s string, i int")
+    r = Recipe().stage("label_encode", ["s"]).fit(df)
+    assert r.steps[0].params["tables"]["s"]
+    path = str(tmp_path / "one" / "recipe")
+    r.save(spark, path)
+    text = spark.read.text(path).first()[0]
+    assert "ckpt" not in text and "tabloom-test" not in text and TR.PLAN_CATEGORIES < 1500
+    moved = tmp_path / "two"
+    (tmp_path / "one").rename(moved)
+    want = r.transform(df, project=False).collect()
+    assert Recipe.load(spark, str(moved / "recipe")).transform(df, project=False).collect() == want
