@@ -309,6 +309,7 @@ def gradient_boosting(rounds: int = 100, learning_rate: float = 0.1, max_depth:
 
 def classification_learners() -> dict:
     from tabloom.operators.boosting import Boosted
+    from tabloom.operators.kernel import KernelMachine
     from tabloom.operators.knn import KNNLearner
     found = {
         "Logistic Regression": SparkMLLearner("Logistic Regression", "classification", _logreg),
@@ -323,6 +324,7 @@ def classification_learners() -> dict:
                                       lambda d, l: NaiveBayes(modelType="gaussian")),
         "XGB": Boosted("XGB", "classification"),
         "Linear SVC": SparkMLLearner("Linear SVC", "classification", _svc),
+        "SVC": KernelMachine("classification"),
     }
     return {name: AnyLabel(learner) for name, learner in found.items()}
 
@@ -335,6 +337,7 @@ def _svc(df, label):
 
 def regression_learners() -> dict:
     from tabloom.operators.boosting import Boosted
+    from tabloom.operators.kernel import KernelMachine
     from tabloom.operators.knn import KNNLearner
     return {
         "Linear Regression": SparkMLLearner("Linear Regression", "regression",
@@ -348,6 +351,7 @@ def regression_learners() -> dict:
         "Gradient Boosting": SparkMLLearner("Gradient Boosting", "regression",
                                             lambda d, l: GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=7)),
         "XGB": Boosted("XGB", "regression"),
+        "SVR": KernelMachine("regression"),
     }
 
 

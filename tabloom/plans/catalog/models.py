@@ -114,6 +114,8 @@ for _key, _name in [("logreg", "Logistic Regression"), ("tree", "Decision Tree")
                     ("linear_svc", "Linear SVC"), ("knn_fclass", "KNN"), ("gaussian_nb", "Gaussian NB")]:
     register(_key)(_model_metrics(_name))
 
+register("svc_rbf")(_model_metrics("SVC"))
+register("svc_rbf_multiclass")(_model_metrics("SVC", "y3"))
 register("gbt_multiclass")(_model_metrics("Gradient Boosting", "y3"))
 register("logreg_multiclass")(_model_metrics("Logistic Regression", "y3"))
 

@@ -484,3 +484,62 @@ def test_saved_recipe_stands_without_the_scratch_folder(spark, tmp_path, monkeyp
     (tmp_path / "one").rename(moved)
     want = r.transform(df, project=False).collect()
     assert Recipe.load(spark, str(moved / "recipe")).transform(df, project=False).collect() == want
+
+
+# ---------------------------------------------------------------- kernel machines
+
+def test_fourier_features_estimate_the_kernel():
+    from tabloom.operators import kernel as K
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    for gamma in (0.05, 0.5):
+        w, b = K.directions(3, 2048, 1)
+        phi = K.fourier(x, gamma, w, b)[:, :-1]
+        want = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(2))
+        assert np.abs(phi @ phi.T - want).max() < 5 / math.sqrt(2048)
+
+
+def test_kernel_machines_fit_what_no_line_does(spark):
+    from tabloom.operators import kernel as K
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-2, 2, (500, 2))
+    ring, wave = ((x ** 2).sum(1) < 1.5).astype(int), np.sin(2 * x[:, 0]) + 0.5 * x[:, 1]
+    three = np.where(x[:, 0] * x[:, 1] > 0.5, 2, ring)
+    df = spark.createDataFrame([(i, *map(float, v), int(r), int(t), float(y)) for i, (v, r, t, y) in enumerate(zip(x, ring, three, wave))],
+                               "id long, a double, b double, ring int, three int, wave double").cache()
+    for label, least in (("ring", 0.95), ("three", 0.9)):
+        out = K.KernelMachine("classification", c=10.0).fit(df, ["a", "b"], label).transform(df)
+        assert out.where(F.col("prediction") == F.col(label)).count() / 500 > least
+    svr = K.KernelMachine("regression", c=10.0, epsilon=0.02).fit(df, ["a", "b"], "wave").transform(df)
+    assert svr.select(F.avg(F.abs(F.col("wave") - F.col("prediction")))).first()[0] < 0.06
+    out, fitted = H.search(df, ["a", "b"], "ring", "classification", "SVC", ["id"], folds=2, grid={"C": [0.01, 10], "gamma": [0.01, 1]})
+    assert out.first()["best_score"] > 0.97 and json.loads(out.first()["best_params"]) == {"C": 10, "gamma": 1}
+    assert fitted.transform(df).where("prediction = ring").count() > 470
+
+
+def test_machines_reach_the_optimum(spark):
+    """Objective values against plain subgradient-free descent in NumPy on the same features."""
+    from tabloom.operators import kernel as K
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(120, 2)), rng.integers(0, 2, 120).astype(float)
+    rows = spark.createDataFrame([(v.tolist(), float(t), i % 2) for i, (v, t) in enumerate(zip(x, y))], "x array<double>, y double, fold int")
+    machines = [K.Machine(c, g, f, k) for c in (0.1, 5.0) for g in (0.2, 1.0) for f in (-1, 0) for k in (1, None)]
+    got = K.fit_machines(rows, machines, 2, n_features=20, max_iter=500, tol=1e-8)
+    w0, b0 = K.directions(2, 20, 0)
+    for one, w in zip(machines, got):
+        use = np.arange(120) % 2 != one.fold
+        phi, t = K.fourier(x, one.gamma, w0, b0)[use], y[use]
+
+        def f(v):
+            loss, s = K._loss(phi @ v, t, one.positive, 0.1)
+            flat = np.append(v[:-1], 0) / (one.c * len(t))
+            return loss.mean() + flat @ v / 2, phi.T @ s / len(t) + flat
+
+        v = np.zeros(21)
+        step = 1 / (np.linalg.eigvalsh(phi.T @ phi / len(t)).max() / K.ROUND + 1 / (one.c * len(t)))
+        z, k = v, 1.0
+        for _ in range(4000):       # accelerated descent
+            new = z - step * f(z)[1]
+            nk = (1 + math.sqrt(1 + 4 * k * k)) / 2
+            z, v, k = new + (k - 1) / nk * (new - v), new, nk
+        assert f(w)[0] <= f(v)[0] + 1e-5
