@@ -177,6 +177,155 @@ def lime(fitted: Fitted, df: DataFrame, key_cols: list[str], train: DataFrame, n
     return sample.groupBy(*key_cols).applyInPandas(ridge, out_schema)
 
 
+def _normal_cdf(v: float) -> float:
+    return 0.5 * (1 + math.erf(v / math.sqrt(2)))
+
+
+def lime_bins(train: DataFrame, features: list[str]) -> dict[str, dict]:
+    """Per feature: quartile cuts and, per bin, the training share, mean, deviation, least and largest value."""
+    from tabloom.functions.quantile import quantile_table
+    q = quantile_table(train, features, [0.25, 0.5, 0.75]).first()
+    out = {}
+    aggs = []
+    for j, f in enumerate(features):
+        cuts = sorted(set(q[f] or []))
+        bin_ = sum((F.when(F.col(f) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+        out[f] = {"cuts": cuts}
+        for b in range(len(cuts) + 1):
+            v = F.when(bin_ == b, F.col(f).cast("double"))
+            aggs += [F.count(v).alias(f"n_{j}_{b}"), F.avg(v).alias(f"m_{j}_{b}"), F.stddev_pop(v).alias(f"s_{j}_{b}"),
+                     F.min(v).alias(f"lo_{j}_{b}"), F.max(v).alias(f"hi_{j}_{b}")]
+    r = train.agg(*aggs).first()
+    for j, f in enumerate(features):
+        bins = range(len(out[f]["cuts"]) + 1)
+        total = sum(r[f"n_{j}_{b}"] for b in bins) or 1
+        out[f]["bins"] = [{"share": r[f"n_{j}_{b}"] / total, **{k: r[f"{k}_{j}_{b}"] for k in ("m", "s", "lo", "hi")}} for b in bins]
+    return out
+
+
+def lime_sample(bins: dict, feature: str, *seed) -> tuple:
+    """(bin, value) of a seeded draw: a bin by its training share, then a value of its truncated normal."""
+    from tabloom.functions.exprs import hash_unit, norm_ppf
+    u, v = hash_unit(F.lit(1), *seed), hash_unit(F.lit(2), *seed)
+    place, upto = F.lit(0), 0.0
+    for b, one in enumerate(bins[feature]["bins"][:-1]):
+        upto += one["share"]
+        place = place + F.when(u >= upto, 1).otherwise(0)
+    value = F.lit(None).cast("double")
+    for b, one in enumerate(bins[feature]["bins"]):
+        if one["m"] is None:
+            continue
+        if not one["s"]:
+            drawn = F.lit(float(one["m"]))
+        else:
+            low, high = (_normal_cdf((one[k] - one["m"]) / one["s"]) for k in ("lo", "hi"))
+            drawn = F.lit(float(one["m"])) + F.lit(float(one["s"])) * norm_ppf(F.lit(low) + v * F.lit(high - low))
+            drawn = F.least(F.greatest(drawn, F.lit(float(one["lo"]))), F.lit(float(one["hi"])))
+        value = F.when(place == b, drawn).otherwise(value)
+    return place, value
+
+
+def surrogate(sums: np.ndarray, p: int, num_features: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weights with 0 where a feature is not chosen, intercepts) of weighted ridge fits, all rows at once.
+
+    ``sums``: rows x (1 + 2 p + 1 + p (p + 1) / 2): w, w z_i, w y, w z_i y, w z_i z_j (i <= j).  Up to six
+    features are chosen one by one by the explained variance, more by the largest weights of a fit of all.
+    """
+    n = len(sums)
+    w, zy = sums[:, 0], sums[:, 2 + p:2 + 2 * p]
+    mean, my = sums[:, 1:1 + p] / w[:, None], sums[:, 1 + p] / w
+    gram = np.zeros((n, p, p))
+    i, j = np.triu_indices(p)
+    gram[:, i, j] = sums[:, 2 + 2 * p:]
+    gram[:, j, i] = sums[:, 2 + 2 * p:]
+    a = gram - w[:, None, None] * mean[:, :, None] * mean[:, None, :]
+    b = zy - w[:, None] * mean * my[:, None]
+
+    def fit(chosen: np.ndarray, ridge: float) -> np.ndarray:
+        """Weights with the features outside ``chosen`` (rows x p) held at 0."""
+        both = chosen[:, :, None] & chosen[:, None, :]
+        m = np.where(both, a, 0.0)
+        k = np.arange(p)
+        m[:, k, k] = np.where(chosen, a[:, k, k] + ridge, 1.0)
+        # a feature that never varies beside the others: the least weights
+        return np.einsum("nij,nj->ni", np.linalg.pinv(m, hermitian=True), np.where(chosen, b, 0.0))
+
+    most = min(num_features, p)
+    chosen = np.zeros((n, p), bool)
+    if most == p:
+        chosen[:] = True
+    elif most <= 6:
+        rows = np.arange(n)
+        for _ in range(most):
+            gain = np.full((n, p), -np.inf)
+            for f in range(p):
+                trial = chosen.copy()
+                trial[:, f] = True
+                c = fit(trial, 0.0)
+                gain[:, f] = np.where(chosen[:, f], -np.inf, 2 * (c * b).sum(1) - np.einsum("ni,nij,nj->n", c, a, c))
+            chosen[rows, gain.round(12).argmax(axis=1)] = True
+    else:
+        size = -np.abs(fit(np.ones((n, p), bool), 0.01))
+        np.put_along_axis(chosen, np.argsort(size, axis=1, kind="stable")[:, :most], True, axis=1)
+    coef = np.where(chosen, fit(chosen, alpha), 0.0)
+    return coef, my - (mean * coef).sum(axis=1)
+
+
+def lime_binned(fitted: Fitted, df: DataFrame, key_cols: list[str], train: DataFrame, n_samples: int = 5000,
+                num_features: int = 10, kernel_width: float | None = None, class_index: int | None = None,
+                alpha: float = 1.0, seed: int = 7) -> DataFrame:
+    """Local surrogates on quartile bins (long form ``key, feature, rule, weight, intercept, local_pred``).
+
+    Each explained row is met with ``n_samples`` points, the row itself first; a point's features are drawn from the
+    bins of the training data, and the surrogate sees only whether each lies in the row's own bin.  The sums of the
+    weighted fit are one grouped aggregate; the small fits of many rows are solved together in one Arrow UDF.
+    Only the chosen features are listed.
+    """
+    feats, p = fitted.features, len(fitted.features)
+    kw = kernel_width or 0.75 * math.sqrt(p)
+    bins = lime_bins(train, feats)
+    key = row_key(key_cols)
+    own, rules = {}, {}
+    for f in feats:
+        cuts = bins[f]["cuts"]
+        own[f] = sum((F.when(F.col(f) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+        names = [f"{f} <= {cuts[0]:.2f}"] + [f"{a:.2f} < {f} <= {b:.2f}" for a, b in zip(cuts, cuts[1:])] + [f"{f} > {cuts[-1]:.2f}"] \
+            if cuts else [f]
+        rules[f] = F.get(F.array(*[F.lit(x) for x in names]), own[f])
+    pts = df.select(*key_cols, *feats).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    drawn = {}
+    for j, f in enumerate(feats):
+        place, value = lime_sample(bins, f, F.lit(seed), key, F.col("_s"), F.lit(j))
+        first = F.col("_s") == 0
+        drawn[f"_z{j}"] = F.when(first | (place == own[f]), 1.0).otherwise(0.0)
+        drawn[f"_v{j}"] = F.when(first, F.col(f).cast("double")).otherwise(value)
+    pts = pts.select(*key_cols, "_s", *[c.alias(n) for n, c in drawn.items()])
+    pts = pts.select(*key_cols, "_s", *[f"_z{j}" for j in range(p)], *[F.col(f"_v{j}").alias(f) for j, f in enumerate(feats)])
+    scored = _with_point_key(fitted, [*key_cols, "_s"]).transform(pts)
+    y = _output(fitted, scored, class_index)
+    missing = sum(((1 - F.col(f"_z{j}")) for j in range(p)), F.lit(0.0))
+    w = F.sqrt(F.exp(-missing / F.lit(kw * kw)))
+    rows = scored.select(*key_cols, "_s", y.alias("_y"), w.alias("_w"), *[f"_z{j}" for j in range(p)])
+    z = [F.col(f"_z{j}") for j in range(p)]
+    terms = [F.col("_w")] + [F.col("_w") * v for v in z] + [F.col("_w") * F.col("_y")] + [F.col("_w") * v * F.col("_y") for v in z]
+    terms += [F.col("_w") * z[i] * z[j] for i in range(p) for j in range(i, p)]
+    sums = rows.groupBy(*key_cols).agg(*[F.sum(t).alias(f"_t{k}") for k, t in enumerate(terms)])
+
+    @F.pandas_udf("struct<coef:array<double>,intercept:double>")
+    def solve(*cols: pd.Series) -> pd.DataFrame:
+        coef, intercept = surrogate(np.column_stack([c.to_numpy(float) for c in cols]), p, num_features, alpha)
+        return pd.DataFrame({"coef": list(coef), "intercept": intercept})
+
+    fits = sums.select(*key_cols, solve(*[F.col(f"_t{k}") for k in range(len(terms))]).alias("_f"))
+    named = df.select(*key_cols, *[rules[f].alias(f"_r{j}") for j, f in enumerate(feats)])
+    listed = F.arrays_zip(F.array(*[F.lit(f) for f in feats]).alias("feature"), F.array(*[F.col(f"_r{j}") for j in range(p)]).alias("rule"),
+                          F.col("_f.coef").alias("weight"))
+    total = F.aggregate("_f.coef", F.col("_f.intercept"), lambda a, c: a + c)
+    return named.join(fits, key_cols).select(*key_cols, F.explode(listed).alias("_l"), F.col("_f.intercept").alias("intercept"),
+                                             total.alias("local_pred")).where(F.col("_l.weight") != 0).select(
+        *key_cols, "_l.feature", "_l.rule", "_l.weight", "intercept", "local_pred")
+
+
 # repeats per fold where none are asked for
 REPEATS = {"classification": 5, "regression": 100}
 

@@ -543,3 +543,68 @@ def test_machines_reach_the_optimum(spark):
             nk = (1 + math.sqrt(1 + 4 * k * k)) / 2
             z, v, k = new + (k - 1) / nk * (new - v), new, nk
         assert f(w)[0] <= f(v)[0] + 1e-5
+
+
+# ---------------------------------------------------------------- LIME on bins
+
+def brute_surrogate(z, y, w, num_features, alpha):
+    def ridge(cols, a):
+        x = z[:, cols]
+        xm, ym = np.average(x, axis=0, weights=w), np.average(y, weights=w)
+        m = ((x - xm) * w[:, None]).T @ (x - xm) + a * np.eye(len(cols))
+        c = np.linalg.pinv(m) @ (((x - xm) * w[:, None]).T @ (y - ym))
+        return c, ym - xm @ c
+
+    p, chosen = z.shape[1], []
+    if num_features >= p:
+        chosen = list(range(p))
+    elif num_features <= 6:
+        for _ in range(num_features):
+            def left(f):
+                c, b = ridge(chosen + [f], 0.0)
+                return round(float((w * (y - z[:, chosen + [f]] @ c - b) ** 2).sum()), 9)
+            chosen.append(min((f for f in range(p) if f not in chosen), key=left))
+    else:
+        chosen = sorted(np.argsort(-np.abs(ridge(list(range(p)), 0.01)[0]), kind="stable")[:num_features].tolist())
+    c, b = ridge(chosen, alpha)
+    out = np.zeros(p)
+    out[chosen] = c
+    return out, b
+
+
+def test_surrogates_match_numpy_per_row():
+    from tabloom.operators.explain import surrogate
+    rng = np.random.default_rng(2)
+    for p, k in ((3, 10), (5, 2), (9, 7), (8, 3)):
+        sums, want = [], []
+        for _ in range(6):
+            z = rng.integers(0, 2, (200, p)).astype(float)
+            y = z @ rng.normal(size=p) + rng.normal(size=200) * .1
+            w = rng.random(200) + .1
+            i, j = np.triu_indices(p)
+            sums.append(np.concatenate(([w.sum()], w @ z, [w @ y], (w * y) @ z, (w[:, None] * z[:, i] * z[:, j]).sum(0))))
+            want.append(brute_surrogate(z, y, w, k, 1.0))
+        coef, intercept = surrogate(np.array(sums), p, k, 1.0)
+        assert coef == pytest.approx(np.array([c for c, _ in want]), abs=1e-8)
+        assert intercept == pytest.approx(np.array([b for _, b in want]), abs=1e-8)
+
+
+def test_binned_lime(spark, frame):
+    from tabloom.operators import explain as X
+    bins = X.lime_bins(frame, FEATS)
+    assert all(sum(b["share"] for b in bins[f]["bins"]) == pytest.approx(1) for f in FEATS)
+    place, value = X.lime_sample(bins, "x1", F.lit(1), F.col("id"))
+    got = spark.range(8000).select(place.alias("b"), value.alias("v")).groupBy("b").agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("m")).collect()
+    for r in got:
+        one = bins["x1"]["bins"][r.b]
+        assert r.n / 8000 == pytest.approx(one["share"], abs=0.03)
+        assert one["lo"] <= r.lo <= r.hi <= one["hi"] and r.m == pytest.approx(one["m"], abs=0.05)
+    fitted = learners("classification")["Logistic Regression"].fit(frame, FEATS, "y")
+    d = frame.dropDuplicates(KEY).limit(4).cache()
+    out = X.lime_binned(fitted, d, KEY, frame, n_samples=400, class_index=1).collect()
+    again = X.lime_binned(fitted, d.repartition(3), KEY, frame, n_samples=400, class_index=1).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again)) and len({tuple(r[k] for k in KEY) for r in out}) == 4
+    assert all(r.feature in r.rule for r in out)
+    one = X.lime_binned(fitted, d, KEY, frame, n_samples=400, num_features=1, class_index=1).collect()
+    assert len(one) == 4 and {r.feature for r in one} <= {"x1", "x2"}      # x3 is noise
