@@ -211,17 +211,15 @@ def lime_sample(bins: dict, feature: str, *seed) -> tuple:
     for b, one in enumerate(bins[feature]["bins"][:-1]):
         upto += one["share"]
         place = place + F.when(u >= upto, 1).otherwise(0)
-    value = F.lit(None).cast("double")
-    for b, one in enumerate(bins[feature]["bins"]):
-        if one["m"] is None:
-            continue
-        if not one["s"]:
-            drawn = F.lit(float(one["m"]))
-        else:
-            low, high = (_normal_cdf((one[k] - one["m"]) / one["s"]) for k in ("lo", "hi"))
-            drawn = F.lit(float(one["m"])) + F.lit(float(one["s"])) * norm_ppf(F.lit(low) + v * F.lit(high - low))
-            drawn = F.least(F.greatest(drawn, F.lit(float(one["lo"]))), F.lit(float(one["hi"])))
-        value = F.when(place == b, drawn).otherwise(value)
+    rows = []
+    for one in bins[feature]["bins"]:
+        m, dev = one["m"], one["s"] or 0.0
+        ends = [_normal_cdf((one[k] - m) / dev) if m is not None and dev else 0.5 for k in ("lo", "hi")]
+        rows.append((m, dev, *ends, one["lo"], one["hi"]))
+    m, dev, low, high, least, most = (F.get(F.array(*[F.lit(None if x is None else float(x)).cast("double") for x in col]), place)
+                                      for col in zip(*rows))
+    p = low + v * (high - low)
+    value = F.least(F.greatest(m + dev * norm_ppf(F.least(F.greatest(p, F.lit(1e-300)), F.lit(1 - 1e-16))), least), most)
     return place, value
 
 

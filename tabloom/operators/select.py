@@ -228,7 +228,7 @@ def auto_select(df: DataFrame, features: list[str], label: str, key_cols: list[s
 
 
 def rfecv(df: DataFrame, features: list[str], label: str, key_cols: list[str], problem: str = "classification",
-          cv: int = 5, step: int = 1, n_trees: int = 20, max_depth: int = 8, seed: int = 7) -> DataFrame:
+          cv: int = 5, step: int = 1, n_trees: int = 100, max_depth: int = 30, seed: int = 7) -> DataFrame:
     """Recursive feature elimination with a random forest, scored by cross-validation.
 
     Per fold, the weakest feature (forest importance) is dropped step by step

@@ -68,6 +68,22 @@ def gnb_text_label(spark, sf):
     return fitted.transform(d).select("vec_id", "prediction")
 
 
+@register("gnb_embeddings", """WITH d AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+g AS (SELECT 1e-9 * max(v) AS eps FROM (SELECT var_pop(x) AS v FROM d GROUP BY j)),
+n AS (SELECT label, count(*) AS nc, (SELECT count(*) FROM embeddings) AS n FROM embeddings GROUP BY label),
+c AS (SELECT label, j, avg(x) AS m, var_pop(x) AS v FROM d GROUP BY label, j),
+s AS (SELECT d.vec_id, n.label, ln(nc) - ln(n) + sum(-0.5 * ln(2 * pi() * (v + eps)) - (x - m) * (x - m) / (2 * (v + eps))) AS ll
+      FROM d JOIN c USING (j), g, n WHERE n.label = c.label GROUP BY d.vec_id, n.label, nc, n),
+r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY ll DESC, label) AS rk FROM s)
+SELECT vec_id, CAST(label AS DOUBLE) AS prediction FROM r WHERE rk = 1""")
+def gnb_embeddings(spark, sf):
+    """All 64 dimensions."""
+    e = table(spark, sf, "embeddings")
+    feats = [f"e{j}" for j in range(64)]
+    d = e.select("vec_id", *[F.col("embedding")[j].cast("double").alias(f) for j, f in enumerate(feats)], F.col("label").cast("double").alias("label"))
+    return learners("classification")["Gaussian NB"].fit(d, feats, "label").transform(d).select("vec_id", "prediction")
+
+
 @register("leaderboard_text_target")
 def leaderboard_text_target(spark, sf):
     d = f_class(spark, sf).withColumn("y", F.when(F.col("y") == 1, "yes").otherwise("no"))

@@ -310,6 +310,22 @@ def column_list_orders_approx(spark, sf):
     return P.column_list(table(spark, sf, "orders"), approx=True).drop("distinct")
 
 
+@register("describe_column_parts", f"""WITH h AS ({_hist_sql("customer", "c_acctbal", 10)}),
+c AS ({_corr_with_sql("customer", "c_acctbal", ["c_custkey", "c_nationkey"])})
+SELECT 'column' AS part, 'c_acctbal' AS name, CAST(count(DISTINCT c_acctbal) AS DOUBLE) AS a, CAST(count(*) - count(c_acctbal) AS DOUBLE) AS b FROM customer
+UNION ALL SELECT 'histogram', CAST(bin AS VARCHAR), CAST("count" AS DOUBLE), round(lower, {R}) FROM h
+UNION ALL SELECT 'correlations', "column", round(corr, 8), CAST(rank AS DOUBLE) FROM c""")
+def describe_column_parts(spark, sf):
+    """The other tables of describe_column in one: distinct and missing, histogram, correlations."""
+    parts = P.describe_column(table(spark, sf, "customer"), "c_acctbal")
+    d = lambda c: F.col(c).cast("double")
+    rows = parts["column"].select(F.lit("column").alias("part"), F.col("column").alias("name"), d("distinct").alias("a"), d("missing").alias("b"))
+    rows = rows.unionByName(parts["histogram"].select(
+        F.lit("histogram").alias("part"), F.col("bin").cast("string").alias("name"), d("count").alias("a"), F.round("lower", R).alias("b")))
+    return rows.unionByName(parts["correlations"].select(
+        F.lit("correlations").alias("part"), F.col("column").alias("name"), F.round("corr", 8).alias("a"), d("rank").alias("b")))
+
+
 @register("scatter_sample_part", """SELECT p_partkey, p_partkey AS x, p_retailprice AS y FROM part
 WHERE CAST(('0x' || substr(md5(concat('3:', CAST(p_partkey AS VARCHAR))), 1, 8)) AS BIGINT) < 429496729""")
 def scatter_sample_part(spark, sf):
