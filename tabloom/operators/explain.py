@@ -219,7 +219,9 @@ def lime_sample(bins: dict, feature: str, *seed) -> tuple:
     m, dev, low, high, least, most = (F.get(F.array(*[F.lit(None if x is None else float(x)).cast("double") for x in col]), place)
                                       for col in zip(*rows))
     p = low + v * (high - low)
-    value = F.least(F.greatest(m + dev * norm_ppf(F.least(F.greatest(p, F.lit(1e-300)), F.lit(1 - 1e-16))), least), most)
+    # the share is computed once: the inverse normal names it many times
+    normal = F.transform(F.array(F.least(F.greatest(p, F.lit(1e-300)), F.lit(1 - 1e-16))), norm_ppf)[0]
+    value = F.least(F.greatest(m + dev * normal, least), most)
     return place, value
 
 
