@@ -6,7 +6,7 @@ stream at document ends into shards of about ``SHARD_IDS`` ids.  Per shard the
 most frequent id pairs are repeatedly replaced by nonterminals until none stands
 ``LEAST`` times (a rule for a pair of two places saves nothing); pairs never cross
 a document end.  Pair counts and places are kept and changed only beside replaced
-pairs: a round replaces the pairs of at least half the largest count, the more
+pairs: a round replaces the pairs of at least a quarter of the largest count, the more
 frequent first where they overlap.
 
 File format: Parquet rows in the shared folder, one per shard: task and shard
@@ -34,6 +34,7 @@ import hashlib
 import json
 import uuid
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -158,7 +159,8 @@ class Encoder:
     def _learn(self, keys: np.ndarray, words: list[bytes]):
         # the library's BPE model on byte-level characters: what its pipeline does with one pre-token
         split = self.tokenizer.model.tokenize
-        ids = [[t.id for t in split(w.decode("latin-1").translate(BYTE_LEVEL))] for w in words]
+        text, ends = b"".join(words).decode("latin-1").translate(BYTE_LEVEL), list(accumulate(map(len, words)))
+        ids = [[t.id for t in split(text[a:b])] for a, b in zip([0, *ends[:-1]], ends)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         first = len(self.ids_end) - 1
         self.pool = np.concatenate((self.pool, np.fromiter((i for w in ids for i in w), np.uint32, int(size.sum()))))
@@ -316,7 +318,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, least: int = LE
         come_up(np.flatnonzero(~last[:n]))
     rules, n_rules = [], 0
     while len(count) and (top := int(count.max())) >= least:
-        chosen = np.flatnonzero(count >= max(least, -(-top // 2)))
+        chosen = np.flatnonzero(count >= max(least, -(-top // 4)))
         chosen = chosen[np.argsort(-count[chosen], kind="stable")]
         k = size[chosen]
         at, own = place[_places(begin[chosen], k)], np.repeat(np.arange(len(chosen)), k)
@@ -376,20 +378,41 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, least: int = LE
         np.diff(np.concatenate(([0], np.flatnonzero(last[:n][stays]) + 1)))
 
 
-def expand(sym: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Ids of a run of symbols: one level of nonterminals per round."""
-    while True:
-        rule = sym >= vocabulary
-        if not rule.any():
-            return sym
-        size = 1 + rule
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.uint32)
-        out[at[~rule]] = sym[~rule]
-        pair = rules[sym[rule] - vocabulary]
-        out[at[rule]] = pair[:, 0]
-        out[at[rule] + 1] = pair[:, 1]
-        sym = out
+def expand(sym: np.ndarray, rules: np.ndarray, vocabulary: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Ids of a run of symbols: the rules are expanded once, children before parents, then every symbol is copied."""
+    n = len(rules)
+    if not n:
+        return sym
+    kids = rules.astype(np.int64) - vocabulary                 # negative: an id
+    if lengths is None:
+        lengths = np.ones(n, np.int64)
+        for k, (a, b) in enumerate(kids.tolist()):
+            lengths[k] = (lengths[a] if a >= 0 else 1) + (lengths[b] if b >= 0 else 1)
+    lengths = np.asarray(lengths, np.int64)
+    # one pool: the ids of the vocabulary, then the expansions
+    seen = np.zeros(vocabulary, bool)
+    seen[rules[kids < 0]] = True
+    seen[sym[sym < vocabulary]] = True
+    used = np.flatnonzero(seen)
+    start = np.concatenate((np.arange(len(used)), len(used) + np.cumsum(lengths) - lengths))
+    size = np.concatenate((np.ones(len(used), np.int64), lengths))
+    pool = np.empty(len(used) + int(lengths.sum()), np.uint32)
+    pool[:len(used)] = used
+    at = np.where(kids < 0, np.searchsorted(used, rules), len(used) + kids)
+    done = np.zeros(len(size), bool)
+    done[:len(used)] = True
+    left = np.arange(n)
+    while len(left):
+        ready = done[at[left]].all(axis=1)
+        now, left = left[ready], left[~ready]
+        own = start[len(used) + now]
+        for side in (0, 1):
+            k = at[now, side]
+            pool[_places(own, size[k])] = pool[_places(start[k], size[k])]
+            own = own + size[k]
+        done[len(used) + now] = True
+    at = np.where(sym < vocabulary, np.searchsorted(used, sym), len(used) + sym.astype(np.int64) - vocabulary)
+    return pool[_places(start[at], size[at])]
 
 
 def id_at(sym: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabulary: int, place: int) -> int:
@@ -480,7 +503,8 @@ def read_shards(spark, path: str, kind: str, vocabulary: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 rules, sym = (np.frombuffer(r[c], "<u4") for c in ("rules", "symbols"))
-                ids = expand(sym, rules.reshape(-1, 2), vocabulary).astype("<u4")
+                lengths = np.frombuffer(r["lengths"], "<u4")
+                ids = expand(sym, rules.reshape(-1, 2), vocabulary, lengths).astype("<u4")
                 count = np.array(r["tokens"], np.int64)
                 end = np.cumsum(count)
                 raw = ids.tobytes()
