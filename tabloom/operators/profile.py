@@ -294,29 +294,60 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
+# rows that give a first idea of means and deviations before the pass over all rows
+CENTRE_ROWS = 1000
+
+
 def _wide_corr(df: DataFrame, x: list) -> dict:
     """Pairwise-complete sums by one matrix product per batch, added up by Spark per pair.
 
-    Each task holds a few p x p matrices.  Columns are centred and scaled by
-    their overall mean and deviation first, so the sums lose no digits.
+    Each task holds a few p x p matrices.  Columns are centred and scaled by the mean and deviation of
+    a few rows first; where those turn out so far off that digits were lost, the pass is repeated once
+    around the means it has found.
     """
     import numpy as np
-    import pyarrow as pa
+    cols = df.select(*[c.alias(f"c{i}") for i, c in enumerate(x)])
     p = len(x)
-    r = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)],
-               *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)]).collect()[0]
-    mean = np.array([r[f"m{i}"] or 0.0 for i in range(p)])
-    dev = np.array([r[f"s{i}"] or 1.0 for i in range(p)])
+    few = np.array([[np.nan if v is None else v for v in r] for r in cols.limit(CENTRE_ROWS).collect()], float).reshape(-1, p)
+    has = ~np.isnan(few)
+    n = np.maximum(has.sum(0), 1)
+    mean = np.where(has, few, 0.0).sum(0) / n
+    dev = np.sqrt((np.where(has, few - mean, 0.0) ** 2).sum(0) / n)
+    dev[dev == 0] = 1.0
+    for _ in range(2):
+        sums = _pair_sums(cols, p, mean, dev)
+        own = np.arange(p)
+        k, s, q = (sums[c][own, own] for c in ("n", "sx", "sxx"))
+        off = s / np.maximum(k, 1)
+        var = q / np.maximum(k, 1) - off * off
+        if not ((off * off > 1e6 * np.maximum(var, 0)) & (off != 0)).any():
+            break
+        mean, dev = mean + off * dev, np.where(var > 0, dev * np.sqrt(np.maximum(var, 1e-300)), dev)
+    n, sx, sy, sxx, syy, sxy = (sums[c] for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+    out = {}
+    for i in range(p):
+        for j in range(i, p):
+            m = n[i, j]
+            vx, vy = (sxx[i, j] - sx[i, j] ** 2 / m, syy[i, j] - sy[i, j] ** 2 / m) if m else (0.0, 0.0)
+            varies = min(vx, vy) > 1e-12 * max(1.0, m)
+            out[i, j] = (sxy[i, j] - sx[i, j] * sy[i, j] / m) / math.sqrt(vx * vy) if varies else None
+    return out
+
+
+def _pair_sums(cols: DataFrame, p: int, mean, dev) -> dict:
+    """name -> p x p sums over the rows that have both columns, of centred and scaled values."""
+    import numpy as np
+    import pyarrow as pa
     left, right = np.triu_indices(p)
     names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
     def sums(batches):
         total = np.zeros((6, len(left)))
         for batch in batches:
-            v = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            v = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float, copy=False) for c in batch.columns])
             v = (v - mean) / dev
             has = ~np.isnan(v)
-            v = np.where(has, v, 0.0)
+            v[~has] = 0.0
             w, sq = has.astype(float), v * v
             a, q = v.T @ w, sq.T @ w
             for k, m in enumerate((w.T @ w, a, a.T, q, q.T, v.T @ v)):
@@ -324,13 +355,11 @@ def _wide_corr(df: DataFrame, x: list) -> dict:
         yield pa.record_batch([pa.array(left, pa.int32()), pa.array(right, pa.int32()), *map(pa.array, total)],
                               names=["i", "j", *names])
 
-    parts = df.select(F.array(*x).alias("x")).mapInArrow(
-        sums, "i int, j int, " + ", ".join(f"{c} double" for c in names))
-    out = {}
-    for t in parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names]).collect():
-        vx, vy = (t.sxx - t.sx ** 2 / t.n, t.syy - t.sy ** 2 / t.n) if t.n else (0.0, 0.0)
-        varies = min(vx, vy) > 1e-12 * max(1.0, t.n)
-        out[t.i, t.j] = (t.sxy - t.sx * t.sy / t.n) / math.sqrt(vx * vy) if varies else None
+    parts = cols.mapInArrow(sums, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+    got = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out = {c: np.zeros((p, p)) for c in names}
+    for c in names:
+        out[c][got["i"].to_numpy(), got["j"].to_numpy()] = got[c].to_numpy()
     return out
 
 

@@ -608,3 +608,23 @@ def test_binned_lime(spark, frame):
     assert all(r.feature in r.rule for r in out)
     one = X.lime_binned(fitted, d, KEY, frame, n_samples=400, num_features=1, class_index=1).collect()
     assert len(one) == 4 and {r.feature for r in one} <= {"x1", "x2"}      # x3 is noise
+
+
+def test_wide_correlations_keep_their_digits(spark):
+    """More columns than one aggregate takes; the first rows say nothing about the rest."""
+    from tabloom.operators.profile import CENTRE_ROWS, corr_matrix
+    rng = np.random.default_rng(3)
+    n, p = 3000, 20
+    v = rng.normal(size=(n, p))
+    v[:, 1] += v[:, 0]
+    v[:CENTRE_ROWS, 2] = 0.0
+    v[CENTRE_ROWS:, 2] += 1e9          # far from what the first rows show
+    v[:, 3] = 7.0
+    miss = rng.random((n, p)) < 0.2
+    rows = [tuple(None if m else float(x) for x, m in zip(r, q)) for r, q in zip(v, miss)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(p))).coalesce(1)
+    got = {(r.col_a, r.col_b): r["corr"] for r in corr_matrix(df).collect()}
+    for i, j in ((0, 1), (1, 2), (0, 2), (4, 5), (2, 2), (0, 3)):
+        both = ~miss[:, i] & ~miss[:, j]
+        want = None if 3 in (i, j) else np.corrcoef(v[both, i], v[both, j])[0, 1]
+        assert got[f"c{i}", f"c{j}"] == (None if want is None else pytest.approx(want, abs=1e-6))
