@@ -50,14 +50,35 @@ def shuffles_dropped(spark: SparkSession):
             spark.conf.set(_DROP_SHUFFLES, before)
 
 
-def written(df: DataFrame, name: str, rows: int | None = None, per_file: int = 20_000) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Tables written inside are removed at the end; what is still needed is written with ``keep=True``.
+
+    Only for steps whose results no longer read them: a task that is run again later reads the kept table.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, name: str, rows: int | None = None, per_file: int = 20_000, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor.  ``rows``: a known bound of its size; a
     small table is then written in few files (``per_file`` rows each) instead of one per partition.
+    ``keep``: it outlives the :func:`scratch_tables` around it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // per_file)))
     with shuffles_dropped(spark):

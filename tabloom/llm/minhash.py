@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from tabloom.llm.common import written
+from tabloom.llm.common import scratch_tables, written
 from tabloom.llm.components import components
 from tabloom.llm.textnp import LOWER, Words, mix, seeds, segment_hash, slices, texts
 
@@ -391,12 +391,13 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = TH
     of the smallest key); a doc_id may stand for several texts, the verdict is on the row.  Rows equal
     in doc_id and words become one; rows without a doc_id stay.
     """
-    rows, by_text = _classes(docs, shingle, threshold_pct)
-    count = rows.count()
-    rows = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    verdict = written(rows.join(by_text, "key").select(
-        F.col("doc_id").alias("id"), F.col("key").alias("of"), "n",
-        ((F.col("key") == F.col("first")) & (F.col("doc_id") == F.col("component"))).alias("stays")).where("n > 1 or not stays"), "verdicts", count)
+    with scratch_tables(docs.sparkSession):
+        rows, by_text = _classes(docs, shingle, threshold_pct)
+        count = rows.count()
+        rows = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+        verdict = written(rows.join(by_text, "key").select(
+            F.col("doc_id").alias("id"), F.col("key").alias("of"), "n",
+            ((F.col("key") == F.col("first")) & (F.col("doc_id") == F.col("component"))).alias("stays")).where("n > 1 or not stays"), "verdicts", count, keep=True)
     whole = docs.select(F.struct("*").alias("d"), F.col("text").alias("t"))
     kept = whole.mapInArrow(_keyed(), StructType().add("d", whole.schema["d"].dataType).add("key", BinaryType()))
     here = (F.col("key") == F.col("of")) & (F.col("d.doc_id") == F.col("id"))
