@@ -11,9 +11,10 @@ wrong with its arguments, and both as canonical JSON.
   a dependency that stands later, the dependency's key one hop on.  Sorting a
   conversation by (order_pos, order_hop, pos, call_id) puts every dependency
   first.  Calls whose dependencies all stand earlier keep their own position, so
-  only the others move in the rounds.  A call with more hops than its conversation
-  has moved calls is on a cycle; it and all that need it are ``cyclic`` and have no
-  place (null keys).
+  only the others move in the rounds.  Calls on a cycle, and all that need one, are
+  found first: what is left when calls without open dependencies are peeled off.
+  They are ``cyclic`` and have no place (null keys).  Rounds are as many as the
+  longest chain, in either part.
 * Validation: the schemas are a parameter (a dict, part of the plan); the
   arguments are parsed as VARIANT and each parameter's type is looked up.
 * Canonical JSON: object keys in order, no white space (VARIANT keeps objects
@@ -103,28 +104,34 @@ def order_keys(calls: DataFrame) -> DataFrame:
     edges = calls.select("conv_id", "call_id", "pos", F.explode(F.array_distinct("after")).alias("dep"))
     place = calls.select("conv_id", F.col("call_id").alias("dep"), F.col("pos").alias("dep_pos"))
     edges = written(edges.join(place, ["conv_id", "dep"]).select("conv_id", "call_id", "pos", "dep", "dep_pos"), "edges")
-    keys = calls.select("conv_id", "call_id", F.struct(F.col("pos").alias("p"), F.lit(0).alias("h")).alias("k"),
-                        F.lit(False).alias("cyclic"))
-    # keys move only where a dependency stands at the call's place or later
-    moving = edges.where("dep_pos >= pos").limit(1).count()
+    start = F.struct(F.col("pos").alias("p"), F.lit(0).alias("h"))
+    if not edges.where("dep_pos >= pos").limit(1).count():
+        # every dependency stands earlier: no key moves and there is no cycle
+        return calls.select("conv_id", "call_id", F.col("pos").alias("order_pos"), F.lit(0).alias("order_hop"), F.lit(False).alias("cyclic"))
+    # calls on a cycle or in need of one: peel off the edges to calls without an edge of their own until none goes
+    core, n, before = edges.select("conv_id", "call_id", "dep"), edges.count(), -1
+    while n and n != before:
+        alive = core.select("conv_id", F.col("call_id").alias("dep")).distinct()
+        core, before = written(core.join(alive, ["conv_id", "dep"], "left_semi"), "core", n), n
+        n = core.count()
+    cyclic = core.select("conv_id", "call_id").distinct()
+    free = written(edges.join(cyclic, ["conv_id", "call_id"], "left_anti"), "edges", edges.count())
+    # keys of the calls with dependencies; all others keep their own place
+    own = free.groupBy("conv_id", "call_id").agg(F.first("pos").alias("pos")).select("conv_id", "call_id", start.alias("k"))
+    keys, moving, size = written(own, "order"), 1, free.count()
     while moving:
-        dep = keys.select("conv_id", F.col("call_id").alias("dep"), F.col("k").alias("dk"), F.col("cyclic").alias("dc"))
-        need = edges.select("conv_id", "call_id", "dep").join(dep, ["conv_id", "dep"]).groupBy("conv_id", "call_id") \
-            .agg(F.max(F.struct(F.col("dk.p").alias("p"), (F.col("dk.h") + 1).alias("h"))).alias("need"), F.max("dc").alias("dc"))
-        up = F.coalesce(F.col("need") > F.col("k"), F.lit(False)) & ~F.col("cyclic")
-        spread = F.coalesce("dc", F.lit(False)) & ~F.col("cyclic")
-        new = keys.join(need, ["conv_id", "call_id"], "left").select(
-            "conv_id", "call_id", F.when(up, F.col("need")).otherwise(F.col("k")).alias("k"),
-            (F.col("cyclic") | spread).alias("cyclic"), (up | spread).alias("moved"))
-        new = written(new, "order")
-        # hops pass over distinct moved calls of one conversation: more hops than those means a cycle on the way
-        room = new.groupBy("conv_id").agg(F.count_if(F.col("k.h") > 0).alias("room"), F.max("moved").alias("moving"))
-        keys = written(new.join(room.where("moving"), "conv_id", "left").select(
-            "conv_id", "call_id", "k", (F.col("cyclic") | F.coalesce(F.col("k.h") > F.col("room"), F.lit(False))).alias("cyclic"),
-            "moved"), "order")
-        moving = keys.where("moved").limit(1).count()
-    return keys.select("conv_id", "call_id", F.when(~F.col("cyclic"), F.col("k.p")).alias("order_pos"),
-                       F.when(~F.col("cyclic"), F.col("k.h")).alias("order_hop"), "cyclic")
+        dep = keys.select("conv_id", F.col("call_id").alias("dep"), F.col("k").alias("dk"))
+        need = free.join(dep, ["conv_id", "dep"], "left").groupBy("conv_id", "call_id").agg(F.max(F.struct(
+            F.coalesce("dk.p", "dep_pos").alias("p"), (F.coalesce("dk.h", F.lit(0)) + 1).alias("h"))).alias("need"))
+        up = F.col("need") > F.col("k")
+        new = written(keys.join(need, ["conv_id", "call_id"]).select(
+            "conv_id", "call_id", F.when(up, F.col("need")).otherwise(F.col("k")).alias("k"), up.alias("moved")), "order", size)
+        keys, moving = new.select("conv_id", "call_id", "k"), new.where("moved").limit(1).count()
+    key = F.coalesce(F.col("k"), start)
+    return calls.select("conv_id", "call_id", "pos").join(keys, ["conv_id", "call_id"], "left") \
+        .join(cyclic.withColumn("c", F.lit(True)), ["conv_id", "call_id"], "left").select(
+            "conv_id", "call_id", F.when(F.col("c").isNull(), key["p"]).alias("order_pos"),
+            F.when(F.col("c").isNull(), key["h"]).alias("order_hop"), F.col("c").isNotNull().alias("cyclic"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
