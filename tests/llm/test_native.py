@@ -336,9 +336,10 @@ def test_tool_calls(spark):
 def test_derived_calls_follow_the_table(spark, sf):
     turns = table(spark, sf, "conversations")
     got = toolcalls.link_conversations(turns).collect()
-    users = turns.where("role = 'user'").select("conv_id", "turn").distinct().count()
-    assert len(got) == users
-    assert {r.status for r in got} >= {"ok", "invalid", "no_result"}
+    calls = turns.where("role in ('user', 'system')").select("conv_id", "turn").distinct().count()
+    assert len(got) == calls
+    assert {r.status for r in got} >= {"ok", "invalid", "no_result", "cyclic"}
+    assert any(r.order_hop for r in got) and all((r.order_pos is None) == (r.status == "cyclic") for r in got)
     for r in got:
         assert json.loads(r.call_json)["id"] == r.call_id
-        assert r.call_json == json.dumps(json.loads(r.call_json), sort_keys=True, separators=(",", ":"))
+        assert r.call_json == json.dumps(json.loads(r.call_json), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
