@@ -215,6 +215,36 @@ def test_models_fitted_together_equal_those_fitted_alone(frame):
         G.MAX_STATS = whole
 
 
+def test_boosting_state_is_blocks_on_all_cores(spark, frame):
+    """One file partition does not stay one task, and a task reads blocks, not rows."""
+    edges = G.bin_edges(frame, FEATS)
+    state = G.binned(frame.coalesce(1), FEATS, F.col("y"), F.lit(0), F.xxhash64(*KEY), edges, np.zeros(1))
+    parts = state.rdd.glom().map(len).collect()
+    assert len(parts) == spark.sparkContext.defaultParallelism and sum(n > 0 for n in parts) > 1
+    assert sum(parts) <= len(parts) + frame.count() / 10_000
+    rows = state.rdd.flatMap(lambda r: np.frombuffer(r["y"], np.float64).tolist()).collect()
+    assert sorted(rows) == sorted(float(r.y) for r in frame.select("y").collect())
+
+
+def test_leaves_of_a_tree_row_by_row():
+    rng = np.random.default_rng(3)
+    t = G.Tree.empty(3)
+    t.feature[[0, 1, 2, 4, 5]], t.bin[[0, 1, 2, 4, 5]] = [1, 0, 2, 2, 1], [9, 4, 7, 2, 14]
+    t.missing_left[[1, 4]] = True
+    bins = rng.integers(0, 20, (400, 3)).astype(np.uint8)
+    bins[rng.random((400, 3)) < 0.2] = G.MAX_BINS
+    for levels in range(4):
+        want = []
+        for b in bins:
+            n = 0
+            for _ in range(levels):
+                if t.feature[n] >= 0:
+                    v = b[t.feature[n]]
+                    n = 2 * n + (1 if (t.missing_left[n] if v == G.MAX_BINS else v <= t.bin[n]) else 2)
+            want.append(n)
+        assert t.leaves(bins, G.MAX_BINS, levels).tolist() == want
+
+
 def test_store_keeps_boosted_models(spark, frame):
     from tabloom.session import scratch_path
     from tabloom.sources import store
