@@ -215,6 +215,26 @@ def test_models_fitted_together_equal_those_fitted_alone(frame):
         G.MAX_STATS = whole
 
 
+def test_fourier_features_of_far_points():
+    """Reduced angles: as exact far from the origin as near it."""
+    from tabloom.operators import kernel as K
+    w, b = K.directions(3, 64, 2)
+    x = np.random.default_rng(5).normal(size=(700, 3)) * np.array([1.0, 1e2, 1e4])
+    want = math.sqrt(2 / 64) * np.cos(x @ (w * math.sqrt(2 * 0.7)) + b)
+    got = K.fourier(x, 0.7, w, b)
+    assert np.abs(got[:, :-1] - want).max() < 1e-6 and (got[:, -1] == 1).all()
+
+
+def test_kernel_rows_on_all_cores(spark, frame, monkeypatch):
+    """One file partition does not stay one task of every iteration."""
+    from tabloom.operators import kernel as K
+    seen = []
+    whole = K.fit_machines
+    monkeypatch.setattr(K, "fit_machines", lambda rows, *a, **k: (seen.append(rows.rdd.glom().map(len).collect()), whole(rows, *a, **{**k, "max_iter": 1}))[1])
+    K.KernelMachine("classification").fit(frame.coalesce(1), FEATS, "y")
+    assert sum(n > 0 for n in seen[0]) > 1 and sum(seen[0]) == frame.count()
+
+
 def test_boosting_state_is_blocks_on_all_cores(spark, frame):
     """One file partition does not stay one task, and a task reads blocks, not rows."""
     edges = G.bin_edges(frame, FEATS)
