@@ -172,16 +172,15 @@ def _boxcox_expr(v, lam: float):
 
 
 def boxcox_llf_grid(df: DataFrame, col: str, grid: list[float]) -> list[float]:
-    """Box-Cox log-likelihood at every grid point in one pass over the column."""
+    """Box-Cox log-likelihood at every grid point in one pass over the column's positive values."""
     v = clean_num(col)
-    d = df.select(v.alias("_v")).where(F.col("_v").isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.log("_v")).alias("sl"), F.min("_v").alias("lo")]
+    # a value of 0 or less has no logarithm, so no likelihood: one such row does not end the fit of all others
+    d = df.select(v.alias("_v")).where(F.col("_v") > 0)
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.log("_v")).alias("sl")]
     aggs += [F.var_pop(_boxcox_expr(F.col("_v"), lam)).alias(f"v{i}") for i, lam in enumerate(grid)]
     r = d.agg(*aggs).collect()[0]
     if r["n"] == 0:
-        raise ValueError(f"{col} has no values")
-    if r["lo"] <= 0:
-        raise ValueError(f"Box-Cox needs positive values; {col} has minimum {r['lo']}")
+        raise ValueError(f"Box-Cox needs positive values; {col} has none")
     n, sl = r["n"], r["sl"]
     out = []
     for i, lam in enumerate(grid):
@@ -206,7 +205,12 @@ def fit_box_cox(df: DataFrame, cols: list[str], lo: float = -2.0, hi: float = 2.
 
 
 def apply_box_cox(df, cols, params, suffix=None):
-    return _put(df, {c: _boxcox_expr(clean_num(c), params["lambda"][c]) for c in cols}, suffix)
+    """Null where the transform has no finite value: below 0, and at 0 unless lambda is positive."""
+    def expr(c):
+        v, lam = clean_num(c), params["lambda"][c]
+        return F.when(v >= 0 if lam >= 1e-12 else v > 0, _boxcox_expr(v, lam))
+
+    return _put(df, {c: expr(c) for c in cols}, suffix)
 
 
 def fit_iqr_bounds(df: DataFrame, cols: list[str], whisker: float = 1.5, **_) -> dict:

@@ -151,6 +151,22 @@ def test_prefix_sums_with_hot_group(spark):
     assert sorted(rn.groupby("g")["row_number"].max()) == sorted(pdf.groupby("g").size())
 
 
+def test_box_cox_past_values_without_logarithm(spark):
+    """Zeros and negative values do not end the fit; lambda is that of the positive values alone."""
+    good = [float(i * i % 97 + 1) for i in range(300)]
+    df = spark.createDataFrame([(v,) for v in [*good, 0.0, -3.0, None]], "v double")
+    lam = TR.fit_box_cox(spark.createDataFrame([(v,) for v in good], "v double"), ["v"])["lambda"]["v"]
+    out, params = TR.fit_transform(df, "box_cox", ["v"], suffix="_b")
+    assert params["lambda"]["v"] == lam and lam > 0
+    got = {r.v: r.v_b for r in out.collect()}
+    assert got[0.0] == pytest.approx(-1 / lam) and got[-3.0] is None and got[None] is None
+    assert all(got[v] == pytest.approx((v ** lam - 1) / lam) for v in good)
+    low = TR.apply_box_cox(df, ["v"], {"lambda": {"v": -0.5}}, "_b").where("v = 0").first()
+    assert low.v_b is None
+    with pytest.raises(ValueError):
+        TR.fit_box_cox(df.where("v <= 0"), ["v"])
+
+
 def test_box_cox_lambda_matches_brute_force(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").select("value")
     lam = TR.fit_box_cox(e, ["value"])["lambda"]["value"]
