@@ -235,6 +235,15 @@ def test_kernel_rows_on_all_cores(spark, frame, monkeypatch):
     assert sum(n > 0 for n in seen[0]) > 1 and sum(seen[0]) == frame.count()
 
 
+def test_adaboost_rows_on_all_cores(frame, monkeypatch):
+    """One file partition does not stay one task of every round."""
+    from tabloom.operators import models as M
+    seen, cut = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: (seen.append(df.rdd.glom().map(len).collect()), cut(df))[1])
+    M.AdaBoost("classification", n_estimators=2).fit(frame.coalesce(1), FEATS, "y")
+    assert sum(n > 0 for n in seen[0]) > 1 and sum(seen[0]) == frame.count()
+
+
 def test_boosting_state_is_blocks_on_all_cores(spark, frame):
     """One file partition does not stay one task, and a task reads blocks, not rows."""
     edges = G.bin_edges(frame, FEATS)
