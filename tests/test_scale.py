@@ -3,7 +3,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.functions import scan
 from tabloom.operators import explain as X
+from tabloom.operators import split as S
 from tabloom.operators.models import learners
 
 FEATS = ["a", "b", "c"]
@@ -30,3 +32,38 @@ def test_lime_from_sums_equals_one_fit_per_row(rows, monkeypatch):
     assert found.columns == plain.columns and a.keys() == b.keys()
     for k in a:
         assert a[k] == pytest.approx(b[k], abs=1e-9)
+
+
+def test_hashed_row_numbers_equal_those_of_one_window(rows, monkeypatch):
+    d = rows.withColumn("id", F.when(F.col("id") > 2, F.col("id") - F.col("id") % 2))     # keys repeat or are null
+    cols = ["id", "a", "b", "c", "y"]
+    for h in (F.md5(F.col("id").cast("string")), F.xxhash64("id")):
+        keyed = d.withColumn("h", h)
+        want = sorted((r.y, r.n) for r in scan.row_numbers(keyed, ["h", "id", "a", "b", "c"], ["y"], "n").collect())
+        monkeypatch.setattr(scan, "SMALL_ROWS", 0)
+        found = scan.row_numbers(keyed, ["h", "id", "a", "b", "c"], ["y"], "n", hashed=True)
+        got = found.collect()
+        assert sorted((r.y, r.n) for r in got) == want
+        place = {}
+        for r in got:
+            place.setdefault(r.y, []).append((r.n, r.h or ("" if isinstance(r.h, str) or r.h is None else r.h)))
+        for v in place.values():
+            order = [x for _, x in sorted(v, key=lambda t: t[0])]
+            assert order == sorted(order)
+        monkeypatch.undo()
+    whole = S.stratified_split(rows, ["id"], "y", 25, 7).where("is_test")
+    want = {r.id for r in whole.collect()}
+    monkeypatch.setattr(scan, "SMALL_ROWS", 0)
+    assert {r.id for r in S.stratified_split(rows, ["id"], "y", 25, 7).where("is_test").collect()} == want
+
+
+def test_linear_fits_deal_their_rows_over_the_cores(spark, rows):
+    from tabloom.session import spread
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(rows.repartition(40), 3000).rdd.getNumPartitions() == cores
+    assert spread(rows, 9_000_000 * cores).rdd.getNumPartitions() == 3 * cores
+    for name in ("Logistic Regression", "Linear SVC"):
+        learner = learners("classification")[name]
+        assert learner.inner.iterates
+        one, two = (learner.fit(d, FEATS, "y").last_stage.coefficients.toArray() for d in (rows, rows.repartition(40)))
+        assert one == pytest.approx(two, abs=1e-3)
