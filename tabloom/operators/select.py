@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -236,13 +236,12 @@ def rfecv(df: DataFrame, features: list[str], label: str, key_cols: list[str], p
     subset size with the best mean score wins (the smallest on ties) and the
     final elimination runs on all rows.
     """
+    from tabloom.operators.forest import RandomForest
     from tabloom.operators.split import kfold, stratified_kfold
     from tabloom.plans.leaderboard import score
 
-    def forest():
-        if problem == "classification":
-            return RandomForestClassifier(numTrees=n_trees, maxDepth=max_depth, seed=seed)
-        return RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, seed=seed)
+    forest = RandomForest("RF", n_trees, max_depth, seed) if problem == "classification" else SparkMLLearner(
+        "RF", problem, lambda d, l: RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, seed=seed))
 
     folded = (stratified_kfold(df, key_cols, label, cv, seed) if problem == "classification"
               else kfold(df, key_cols, cv, seed)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -250,7 +249,7 @@ def rfecv(df: DataFrame, features: list[str], label: str, key_cols: list[str], p
     def eliminate(train, test=None):
         cur, path = list(features), []
         while cur:
-            fitted = SparkMLLearner("RF", problem, lambda d, l: forest()).fit(train, cur, label)
+            fitted = forest.fit(train, cur, label)
             s = None
             if test is not None:
                 m = score(fitted.transform(test), label, problem, average_over="all")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tabloom.operators.boosting import BoostedPayload, Forest
+from tabloom.operators.forest import ForestPayload
 from tabloom.operators.models import Fitted, _AdaPayload, _DecodedPayload, _OvRPayload
 
 
@@ -57,6 +58,8 @@ def save_model(spark: SparkSession, fitted: Fitted, path: str, fit_time: float |
     elif isinstance(m, BoostedPayload):
         # JSON numbers keep every bit of a double
         meta.update({"kind": "boosted", "forest": m.forest.to_json(), "boosted_classes": m.classes})
+    elif isinstance(m, ForestPayload):
+        meta.update({"kind": "forest", "forest": m.to_json()})
     elif isinstance(m, _DecodedPayload):
         meta.update({"kind": "labels", "type": m.type_name, "classes": [str(v) for v in m.labels]})
         save_model(spark, m.inner, f"{path}/inner")
@@ -84,6 +87,8 @@ def load_model(spark: SparkSession, path: str) -> Fitted:
         f.model = _AdaPayload(stages, meta["alphas"], f.classes, meta["problem"])
     elif kind == "boosted":
         f.model = BoostedPayload(Forest.from_json(meta["forest"]), meta["problem"], meta["boosted_classes"])
+    elif kind == "forest":
+        f.model = ForestPayload.from_json(meta["forest"])
     elif kind == "labels":
         # labels are stored as text and cast back by Spark
         row = spark.range(1).select(*[F.lit(v).cast(meta["type"]).alias(f"c{i}")

@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import scan
 from tabloom.operators import explain as X
+from tabloom.operators import forest as T
+from tabloom.operators import shapley as SH
 from tabloom.operators import split as S
-from tabloom.operators.models import learners
+from tabloom.operators.models import SparkMLLearner, learners
+from tabloom.plans.leaderboard import score
 
 FEATS = ["a", "b", "c"]
 
@@ -20,6 +23,70 @@ def rows(spark):
                                  "id long, a double, b double, c double, y int").cache()
 
 
+def test_cuts_are_those_of_sparks_trees(spark, rows):
+    x = np.array([[r.a, r.b, r.c] for r in rows.collect()])
+    cuts = T.cut_values(rows.select(T.feature_values(FEATS).alias("x")), 3)
+    model = SparkMLLearner("RF", "classification", lambda d, l: T.RandomForestClassifier(numTrees=20, maxDepth=10, seed=1)).fit(rows, FEATS, "y")
+    from tabloom.session import scratch_path
+    path = scratch_path(spark, "t")
+    model.last_stage.write().overwrite().save(path)
+    used = spark.read.parquet(f"{path}/data").select("nodeData.*").where("leftChild >= 0").select(
+        "split.featureIndex", F.col("split.leftCategoriesOrThreshold")[0].alias("t")).collect()
+    assert used and all(np.isclose(cuts[r.featureIndex], r.t, atol=1e-12).any() for r in used)
+    # more different values than are counted one by one: exact quantiles
+    few, T.MAX_VALUES = T.MAX_VALUES, 50
+    try:
+        wide = T.cut_values(rows.select(T.feature_values(FEATS).alias("x")), 3)
+    finally:
+        T.MAX_VALUES = few
+    for j in range(3):
+        share = np.array([(x[:, j] <= c).mean() for c in wide[j]])
+        assert len(wide[j]) == 31 and np.abs(share - np.arange(1, 32) / 32).max() < 0.02
+
+
+def test_forest_of_cells_is_a_random_forest(spark, rows, tmp_path):
+    from tabloom.sources.store import load_model, save_model
+    train, test = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
+    learner = learners("classification")["Random Forest"]
+    fitted = learner.fit(train, FEATS, "y")
+    assert isinstance(fitted.last_stage, T.ForestPayload) and len(fitted.last_stage.trees) == 100
+    plain = SparkMLLearner("RF", "classification", lambda d, l: T.RandomForestClassifier(numTrees=100, maxDepth=30, seed=7)).fit(train, FEATS, "y")
+    a, b = (score(m.transform(test), "y", "classification") for m in (fitted, plain))
+    assert a["accuracy"] == pytest.approx(b["accuracy"], abs=0.03)
+    assert fitted.last_stage.featureImportances.toArray() == pytest.approx(plain.last_stage.featureImportances.toArray(), abs=0.03)
+    again = learner.fit(train.repartition(5), FEATS, "y")
+    want = {r.id: (r.prediction, r.probability) for r in fitted.transform(test).collect()}
+    save_model(spark, fitted, str(tmp_path / "m"))
+    for other in (again, load_model(spark, str(tmp_path / "m"))):
+        assert {r.id: (r.prediction, r.probability) for r in other.transform(test).collect()} == want
+    few = test.limit(20).cache()
+    got = {r.id: r.s for r in SH.shap_tree(fitted, few, ["id"], 1).groupBy("id").agg(F.sum("shap").alias("s")).collect()}
+    base = SH.tree_base(fitted, spark, 1)
+    for r in few.collect():
+        assert got[r.id] + base == pytest.approx(want[r.id][1][1], abs=1e-8)
+
+
+def test_forest_refuses_missing_values_and_leaves_many_cells_to_spark(rows, monkeypatch):
+    learner = learners("classification")["Random Forest"]
+    with pytest.raises(Exception, match="a is missing"):
+        learner.fit(rows.withColumn("a", F.when(F.col("id") > 5, F.col("a"))), FEATS, "y")
+    monkeypatch.setattr(T, "MAX_CELLS", 10)
+    fitted = T.RandomForest(n_trees=3, max_depth=4).fit(rows, FEATS, "y")
+    assert not isinstance(fitted.last_stage, T.ForestPayload) and fitted.last_stage.getNumTrees == 3
+
+
+def test_weights_of_cells_are_those_of_their_rows():
+    """A tree on cells with counts equals the tree on the rows themselves."""
+    rng = np.random.default_rng(0)
+    bins = rng.integers(0, 4, (500, 2)).astype(np.uint8)
+    y = (bins.sum(axis=1) + rng.integers(0, 3, 500) > 4).astype(np.int64)
+    cells, n = np.unique(np.column_stack((bins, y)), axis=0, return_counts=True)
+    for kind in ("gini", "entropy"):
+        one = T.grow(bins, y, np.ones(500), 2, 6, kind=kind)
+        two = T.grow(cells[:, :2].astype(np.uint8), cells[:, 2].astype(np.int64), n.astype(float), 2, 6, kind=kind)
+        assert (one.feature == two.feature).all() and (one.bin == two.bin).all() and np.allclose(one.value, two.value)
+
+
 def test_lime_from_sums_equals_one_fit_per_row(rows, monkeypatch):
     train = rows.where("id >= 40")
     fitted = learners("classification")["Logistic Regression"].fit(train, FEATS, "y")
