@@ -8,6 +8,7 @@ from tabloom.operators import explain as X
 from tabloom.operators import forest as T
 from tabloom.operators import shapley as SH
 from tabloom.operators import split as S
+from tabloom.operators import tune as H
 from tabloom.operators.models import SparkMLLearner, learners
 from tabloom.plans.leaderboard import score
 
@@ -87,6 +88,16 @@ def test_weights_of_cells_are_those_of_their_rows():
         assert (one.feature == two.feature).all() and (one.bin == two.bin).all() and np.allclose(one.value, two.value)
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_search_of_trees_agrees_with_the_plain_loop(rows, classes):
+    d = rows.withColumn("y", F.col("y") + F.when(F.col("c") > 0.8, classes - 2).otherwise(0))
+    args = (d, FEATS, "y", "classification", "Decision Tree", ["id"])
+    grid = {"impurity": {"classification": ["gini", "entropy"]}, "maxDepth": [3, 5]}
+    together, one_by_one = (H.search(*args, folds=2, kind="stratified_kfold", grid=grid, batch=b)[0].first() for b in (True, False))
+    assert together.best_params == one_by_one.best_params
+    assert together.best_score == pytest.approx(one_by_one.best_score, abs=1e-3)
+
+
 def test_lime_from_sums_equals_one_fit_per_row(rows, monkeypatch):
     train = rows.where("id >= 40")
     fitted = learners("classification")["Logistic Regression"].fit(train, FEATS, "y")
