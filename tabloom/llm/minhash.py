@@ -30,11 +30,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructType
 
-from tabloom.llm.common import scratch_tables, written
+from tabloom.llm.common import scratch_tables, small_batches, written
 from tabloom.llm.components import components
 from tabloom.llm.textnp import LOWER, Words, mix, seeds, segment_hash, slices, texts
 
@@ -106,10 +105,11 @@ def _fingerprints(shingle: int):
                 m = int(has.sum())
                 packed, bands = signatures(s, np.append(at[:-1][has], at[-1])) if m else (
                     np.zeros((0, _PACKED), _U), np.zeros((0, BANDS), _U))
+                carried = [c for c in part.schema.names if c != "text"]
                 yield pa.record_batch([
-                    part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(text_keys(w), pa.binary()),
+                    *(part.column(c) for c in carried), pa.array(n.astype(np.int64)), pa.array(text_keys(w), pa.binary()),
                     _lists(packed, has, _PACKED), _lists(bands, has, BANDS)],
-                    names=["doc_id", "n_shingles", "key", "sig", "bands"])
+                    names=[*carried, "n_shingles", "key", "sig", "bands"])
     return run
 
 
@@ -288,20 +288,26 @@ def _labelled(links: DataFrame, n: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar."""
-    return written(
-        pairs.select("u", "v").join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a_set")), "u")
-        .join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b_set")), "v")
-        .mapInArrow(_verify(threshold_pct), "u binary, v binary"), "links")
+    with small_batches(pairs.sparkSession):
+        return written(
+            pairs.select("u", "v").join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a_set")), "u")
+            .join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b_set")), "v")
+            .mapInArrow(_verify(threshold_pct), "u binary, v binary"), "links")
 
 
 def _classes(docs: DataFrame, shingle: int, threshold_pct: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, key) of every row, and per text key its component's smallest doc_id and that document's key."""
+    """(doc_id, n_shingles, key) of every row, and per text key its component's smallest doc_id and that document's key.
+
+    A column ``digest`` of ``docs`` stays beside the doc_id.
+    """
     if threshold_pct < 80:
         raise ValueError("the bands find pairs at a similarity of 0.8 or more")
-    id_type = dict(docs.dtypes)["doc_id"]
-    rows = written(docs.select("doc_id", "text").mapInArrow(
-        _fingerprints(shingle), f"doc_id {id_type}, n_shingles long, key binary, sig array<long>, bands array<long>"),
-        "fingerprints")
+    carried = ["doc_id", *(c for c in docs.columns if c == "digest")]
+    types = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in carried)
+    with small_batches(docs.sparkSession):
+        rows = written(docs.select(*carried, "text").mapInArrow(
+            _fingerprints(shingle), f"{types}, n_shingles long, key binary, sig array<long>, bands array<long>"),
+            "fingerprints")
     reps = rows.where(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     n = rows.count()
@@ -323,7 +329,8 @@ def _classes(docs: DataFrame, shingle: int, threshold_pct: int) -> tuple[DataFra
     ids = wanted.join(reps.select("key", "rep"), "key").select("rep").distinct()
     sets = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi") \
         .select("text").mapInArrow(_sets(shingle), "key binary, shingles binary")
-    sets = written(sets.where(F.col("key").isNotNull()).dropDuplicates(["key"]), "sets")
+    with small_batches(docs.sparkSession):
+        sets = written(sets.where(F.col("key").isNotNull()).dropDuplicates(["key"]), "sets")
 
     # one hub per text first; of the other pairs those whose ends are still apart
     links = _verified(pairs.groupBy("u").agg(F.max_by("v", F.struct("est", "v")).alias("v")), sets, threshold_pct)
@@ -358,7 +365,7 @@ def _classes(docs: DataFrame, shingle: int, threshold_pct: int) -> tuple[DataFra
     # the smallest doc_id of a component, a null one only where there is no other, and the smallest key that has it
     smallest = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("m")) \
         .select("label", F.col("m.rep").alias("component"), F.col("m.key").alias("first"))
-    return rows.select("doc_id", "n_shingles", "key"), named.join(smallest, "label").select("key", "component", "first")
+    return rows.select(*carried, "n_shingles", "key"), named.join(smallest, "label").select("key", "component", "first")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
@@ -373,15 +380,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _keyed():
-    """(d, t) -> (d, key): the text key beside the whole row."""
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "t"):
-                data, offs = texts(part.column("t"))
-                yield pa.record_batch([part.column("d"), pa.array(text_keys(Words(data, offs, LOWER)), pa.binary())],
-                                      names=["d", "key"])
-    return run
+def _digest(text):
+    """Names a text without Python; equal texts have equal keys."""
+    return F.unhex(F.sha2(text, 256))
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
@@ -392,18 +393,19 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, threshold_pct: int = TH
     in doc_id and words become one; rows without a doc_id stay.
     """
     with scratch_tables(docs.sparkSession):
-        rows, by_text = _classes(docs, shingle, threshold_pct)
+        rows, by_text = _classes(docs.select("doc_id", "text", _digest("text").alias("digest")), shingle, threshold_pct)
         count = rows.count()
-        rows = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+        rows = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id", "key", "digest") \
+            .agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(Window.partitionBy("doc_id", "key")))
         verdict = written(rows.join(by_text, "key").select(
-            F.col("doc_id").alias("id"), F.col("key").alias("of"), "n",
+            F.col("doc_id").alias("id"), "digest", F.col("key").alias("of"), "n",
             ((F.col("key") == F.col("first")) & (F.col("doc_id") == F.col("component"))).alias("stays")).where("n > 1 or not stays"), "verdicts", count, keep=True)
-    whole = docs.select(F.struct("*").alias("d"), F.col("text").alias("t"))
-    kept = whole.mapInArrow(_keyed(), StructType().add("d", whole.schema["d"].dataType).add("key", BinaryType()))
-    here = (F.col("key") == F.col("of")) & (F.col("d.doc_id") == F.col("id"))
+    # the whole rows meet their verdicts by doc_id and digest, so no text goes through Python again
+    kept = docs.select(F.struct("*").alias("d"), _digest("text").alias("t"))
+    here = (F.col("t") == F.col("digest")) & (F.col("d.doc_id") == F.col("id"))
     out = kept.join(verdict.where("not stays"), here, "left_anti")
     again = verdict.where("stays")
     if again.limit(1).count():
-        out = out.join(again, here, "left_anti").unionByName(
-            out.join(again, here, "left_semi").withColumn("i", F.col("d.doc_id")).dropDuplicates(["i", "key"]).drop("i"))
+        out = out.join(again, here, "left_anti").select("d").unionByName(
+            out.join(again, here).dropDuplicates(["id", "of"]).select("d"))
     return out.select(*(F.col("d").getField(c).alias(c) for c in docs.columns))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.llm import minhash as m
-from tabloom.llm.common import table
+from tabloom.llm.common import BATCH_BYTES, small_batches, table
 from tabloom.llm.components import components
 from tabloom.llm.textnp import Words, texts
 
@@ -105,6 +105,26 @@ def test_ids_shared_by_different_texts(spark):
     assert got in (sorted([(1, t), (2, b), (4, c), (None, c), (5, None), (5, "")], key=str) for t in (a, near))
 
 
+def test_whole_rows_stay_out_of_python(make_docs, hard_rows):
+    """The kept rows are told by a digest of their text: only verdicts, no whole texts, come from Python."""
+    out = m.deduplicate(make_docs(hard_rows))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows])], names=["n"])
+
+    texts_ = spark.range(0, 8000, 1, 1).selectExpr("repeat('x', 2000) as text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with small_batches(spark):
+        got = [r.n for r in texts_.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 8000 and max(got) * 2000 <= BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_empty_table(make_docs, hard_rows):
     docs = make_docs(hard_rows)
     assert m.near_duplicates(docs.limit(0)).count() == 0
