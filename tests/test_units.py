@@ -439,3 +439,39 @@ def test_metrics_skip_rows_without_both_values(spark):
     assert r["mae"] == 0.5 and r["r2"] == pytest.approx(1 - 0.25 / 2.25)
     c = E.classification_metrics(spark.createDataFrame([(None, 1), (1, 1), (0, 1)], "y int, p int"), "y", "p").first()
     assert c["accuracy"] == 0.5
+
+
+def test_blocked_search_is_dealt_over_the_cores(spark):
+    """A search whose tables fit one block is still dealt over many tasks."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tabloom.operators import knn as K
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(1200)]
+    q, r = (spark.createDataFrame(rows, f"{k} long, v array<double>") for k in ("qkey", "rkey"))
+    got = K._blocked_candidates(q, r, 3, "euclidean", 2.0, False, K.BLOCK_ROWS).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert got > 1
+
+
+def test_near_cells_by_product_are_the_exact_ones(monkeypatch):
+    """The matrix product only chooses cells: distances, ties and order are those of the plain sums."""
+    import numpy as np
+    import pandas as pd
+    from tabloom.operators import knn as K
+    rng = np.random.default_rng(4)
+    ties = (rng.integers(0, 3, (40, 16)).astype(float), rng.integers(0, 3, (300, 16)).astype(float))
+    far = (1e6 + rng.standard_normal((40, 16)), 1e6 + rng.standard_normal((300, 16)))
+    gone = (rng.standard_normal((40, 16)), np.where(rng.random((300, 16)) < 0.01, np.nan, 1.0))
+    called = []
+    near = K._near_cells
+    monkeypatch.setattr(K, "_near_cells", lambda *a: called.append(1) or near(*a))
+    for a, b in (ties, far, gone):
+        q = pd.DataFrame({"qkey": np.arange(len(a)), "v": list(a)})
+        r = pd.DataFrame({"rkey": rng.permutation(len(b)), "v": list(b)})
+        for exclude in (False, True):
+            by_product = K._topk_fn(5, "euclidean", 2.0, exclude)(q, r)
+            with monkeypatch.context() as m:
+                m.setattr(K, "PRODUCT_DIMS", 99)
+                plain = K._topk_fn(5, "euclidean", 2.0, exclude)(q, r)
+            assert by_product.equals(plain)
+    assert called
