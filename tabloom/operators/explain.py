@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -64,6 +65,24 @@ def shap_values(fitted: Fitted, df: DataFrame, key_cols: list[str], background:
     return shap_kernel(fitted, df, key_cols, background, n_centres, class_index, seed=seed)
 
 
+CHAIN_FEATURES = 12   # features up to which the hybrid points of a row are columns (one run of the model each)
+
+
+def _chain_outputs(fitted: Fitted, base: DataFrame, key_cols: list[str], class_index: int | None) -> DataFrame:
+    """(keys, _perm, _f): the model's outputs of a row's hybrid points, from all background to all its own."""
+    feats = fitted.features
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)]
+    cur = base.select(*keys, "_perm", *[F.col(f).alias(f"_x{j}") for j, f in enumerate(feats)],
+                      *[F.col(f"_b_{f}").alias(f"_b{j}") for j, f in enumerate(feats)])
+    for t in range(len(feats) + 1):
+        points = cur.withColumns({f: F.when(F.array_position("_perm", F.lit(j)) <= t, F.col(f"_x{j}")).otherwise(F.col(f"_b{j}"))
+                                  for j, f in enumerate(feats)})
+        scored = fitted.transform(points)
+        cur = scored.select(*cur.columns, _output(fitted, scored, class_index).alias(f"_f{t}"))
+    return cur.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(key_cols)], "_perm",
+                      F.array(*[F.col(f"_f{t}") for t in range(len(feats) + 1)]).alias("_f"))
+
+
 def shap_sampled(fitted: Fitted, df: DataFrame, key_cols: list[str], background: DataFrame,
                  n_perm: int = 8, class_index: int | None = None, seed: int = 7) -> DataFrame:
     """Permutation-sampling Shapley values for any model (long form ``key, feature, shap``).
@@ -97,6 +116,17 @@ def shap_sampled(fitted: Fitted, df: DataFrame, key_cols: list[str], background:
     order = F.array_sort(F.array(*[F.struct(F.xxhash64(F.lit(seed + 1), key, F.col("_m"), F.lit(j)).alias("h"),
                                             F.lit(j).alias("j")) for j in range(p)]))
     base = base.withColumn("_perm", F.transform(order, lambda s: s["j"]))
+    names = F.array(*[F.lit(f) for f in feats])
+    if isinstance(fitted.model, PipelineModel) and p <= CHAIN_FEATURES:
+        # the points of a row and order stand side by side: nothing is exploded, sorted or looked back at
+        outputs = _chain_outputs(fitted, base, key_cols, class_index)
+        at = [F.array_position(F.col("_perm"), F.lit(j)).cast("int") for j in range(p)]   # the step that switches j
+        sums = outputs.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n"), *[
+            F.avg(F.get("_f", a) - F.get("_f", a - 1)).alias(f"_d{j}") for j, a in enumerate(at)])
+        # rows that share a key share its values
+        shap = F.array(*[F.col(f"_d{j}") * (F.lit(n_perm) / F.col("_n")) for j in range(p)])
+        return sums.select(*key_cols, F.explode(F.arrays_zip(names.alias("feature"), shap.alias("shap"))).alias("_s")) \
+            .select(*key_cols, "_s.feature", "_s.shap")
     chain = base.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(p))))
     hybrid = {}
     for j, f in enumerate(feats):
@@ -108,7 +138,6 @@ def shap_sampled(fitted: Fitted, df: DataFrame, key_cols: list[str], background:
     w = Window.partitionBy(*key_cols, "_m").orderBy("_t")
     steps = out.withColumn("_d", F.col("_f") - F.lag("_f").over(w)).where(F.col("_t") > 0)
     steps = steps.withColumn("_j", F.element_at(F.col("_perm"), F.col("_t")))
-    names = F.array(*[F.lit(f) for f in feats])
     return (steps.groupBy(*key_cols, "_j").agg(F.avg("_d").alias("shap"))
             .select(*key_cols, F.element_at(names, F.col("_j") + 1).alias("feature"), "shap"))
 
