@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.exprs import FLOAT_TYPES, clean_num, pearson, is_numeric, numeric_columns
 from tabloom.functions.quantile import quantile_table, quantiles
+from tabloom.session import compiled_methods
 
 DESCRIBE_SCHEMA = T.StructType([
     T.StructField("column", T.StringType()), T.StructField("dtype", T.StringType()),
@@ -356,7 +357,8 @@ def _pair_sums(cols: DataFrame, p: int, mean, dev) -> dict:
                               names=["i", "j", *names])
 
     parts = cols.mapInArrow(sums, "i int, j int, " + ", ".join(f"{c} double" for c in names))
-    got = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    with compiled_methods(cols.sparkSession):
+        got = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
     out = {c: np.zeros((p, p)) for c in names}
     for c in names:
         out[c][got["i"].to_numpy(), got["j"].to_numpy()] = got[c].to_numpy()

@@ -475,3 +475,41 @@ def test_near_cells_by_product_are_the_exact_ones(monkeypatch):
                 plain = K._topk_fn(5, "euclidean", 2.0, exclude)(q, r)
             assert by_product.equals(plain)
     assert called
+
+
+def test_sampled_shapley_needs_no_window(spark, monkeypatch):
+    """Side by side, a row's hybrid points give the values of the exploded chain, repeated and null keys included."""
+    from tabloom.operators import explain as X
+    from tabloom.operators.models import learners
+    rows = [(i, float(i % 7), float(i * 5 % 11), float(i % 2)) for i in range(80)]
+    d = spark.createDataFrame([*rows, rows[3], (None, 1.0, 2.0, 1.0)], "id long, a double, b double, y double")
+    fitted = learners("classification")["Logistic Regression"].fit(d, ["a", "b"], "y")
+
+    def values():
+        return X.shap_sampled(fitted, d, ["id"], d.where("id < 40"), 4, class_index=1)
+
+    assert "Window" not in values().select("shap")._jdf.queryExecution().optimizedPlan().toString().split("_bidx")[0]
+    got = {(r.id, r.feature): r.shap for r in values().collect()}
+    monkeypatch.setattr(X, "CHAIN_FEATURES", 0)
+    want = {(r.id, r.feature): r.shap for r in values().collect()}
+    assert len(got) == 162 and got == pytest.approx(want, abs=1e-12)
+
+
+def test_wide_rows_run_in_compiled_methods(spark, sf, monkeypatch):
+    """Wide sums are planned within the size of methods that the JVM compiles, and the setting is put back."""
+    from contextlib import contextmanager
+
+    from tabloom import session
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before, during = spark.conf.get(limit), []
+
+    @contextmanager
+    def seen(s):
+        with session.compiled_methods(s):
+            during.append(s.conf.get(limit))
+            yield
+
+    monkeypatch.setattr(P, "compiled_methods", seen)
+    d = spark.range(50).selectExpr(*[f"cast(id * {i + 3} % 17 as double) as w{i}" for i in range(P.CORR_PLAN + 1)])
+    assert P.corr_matrix(d).count() == (P.CORR_PLAN + 1) ** 2
+    assert set(during) == {"8000"} and spark.conf.get(limit) == before
