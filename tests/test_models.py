@@ -508,6 +508,26 @@ def test_keyed_permutations(spark):
         assert n < 17 or len({tuple(o[i] for i in range(n)) for o in orders.values()}) == 4
 
 
+def test_permutations_walk_only_where_outside(spark):
+    """The walk of 64 steps stands behind a condition; the values are those of walking every one."""
+    from tabloom.functions.exprs import keyed_permutation
+    rows = spark.range(97).select(keyed_permutation(F.col("id"), 97, F.lit(9), F.lit(3)).alias("p"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.index("CASE WHEN (lambda") < plan.index("sequence(1, 64")
+
+
+def test_shuffles_are_dealt_over_the_cores(spark, monkeypatch):
+    """The few rows of a fold are spread before each becomes many points."""
+    from tabloom.operators import explain as X
+    dealt = []
+    spread = X.spread
+    monkeypatch.setattr(X, "spread", lambda d: dealt.append(spread(d)) or dealt[-1])
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), float(i % 7 + i % 5)) for i in range(60)], "id long, a double, b double, y double")
+    from tabloom.operators.models import learners
+    X.permutation_importance(learners("regression")["Linear Regression"], df, ["a", "b"], "y", "regression", ["id"], folds=2, repeats=3)
+    assert [d.rdd.getNumPartitions() for d in dealt] == [spark.sparkContext.defaultParallelism] * 2
+
+
 def test_permutation_importance_of_a_known_model(spark):
     rng = np.random.default_rng(1)
     rows = [(i, float(a), float(b), float(3 * a + 0 * b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
