@@ -71,10 +71,19 @@ def fold_parts(folded: DataFrame, f: int) -> tuple[DataFrame, DataFrame]:
     return folded.where(F.col("fold") != f).drop("fold"), folded.where(F.col("fold") == f).drop("fold")
 
 
+def needed(df: DataFrame, features: list[str], label: str, used: list) -> list[str]:
+    """The columns of ``df`` that fits and scores read: all of them where a learner pairs rows by a key."""
+    if any(hasattr(learner, "key_cols") for learner in used):
+        return df.columns
+    return [c for c in df.columns if c in {*features, label}]
+
+
 def cross_validate(learner, df: DataFrame, features: list[str], label: str, problem: str, key_cols: list[str],
                    k: int = 5, kind: str = "kfold", seed: int = 7) -> list[dict]:
     """Per-fold scores (fold = test part, the rest = train); ``kind`` as in :func:`validation_folds`."""
-    folded = validation_folds(df, label, problem, key_cols, k, kind, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = validation_folds(df, label, problem, key_cols, k, kind, seed)
+    marks = [c for c in folded.columns if c not in df.columns or c in ("fold", "split", "is_test")]
+    folded = folded.select(*dict.fromkeys([*needed(df, features, label, [learner]), *marks])).persist(StorageLevel.MEMORY_AND_DISK)
     out = []
     try:
         for f in range(k):
@@ -109,7 +118,8 @@ def fit_and_rank(df: DataFrame, features: list[str], label: str, problem: str, k
         else:
             flagged = hash_split(df, key_cols, test_pct, seed)
         # the split is made once; both parts read it
-        flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
+        keep = df.columns if resample else needed(df, features, label, [registry[name] for name in names])
+        flagged = flagged.select(*dict.fromkeys([*keep, "is_test"])).persist(StorageLevel.MEMORY_AND_DISK)
         train = flagged.where(~F.col("is_test")).drop("is_test")
         test = flagged.where(F.col("is_test")).drop("is_test")
         if resample and problem == "classification":

@@ -145,3 +145,57 @@ def test_linear_fits_deal_their_rows_over_the_cores(spark, rows):
         assert learner.inner.iterates
         one, two = (learner.fit(d, FEATS, "y").last_stage.coefficients.toArray() for d in (rows, rows.repartition(40)))
         assert one == pytest.approx(two, abs=1e-3)
+
+
+def test_boosted_trees_of_cells_are_those_of_the_rows(spark):
+    import math
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+    from tabloom.operators.celltrees import BinnedTrees, CellTrees
+    from tabloom.operators.models import SparkMLLearner
+    from tabloom.operators.shapley import tree_base
+    rng = np.random.default_rng(8)
+    a, b, e = rng.integers(0, 23, 2000), rng.integers(0, 11, 2000), rng.normal(size=2000)
+    made = [(i, float(a[i]), float(b[i]), float(3 * a[i] + 2 * b[i] + 9 * e[i] > 45), float(a[i] + 3 * b[i] + e[i])) for i in range(2000)]
+    df = spark.createDataFrame(made, "id int, a double, b double, y double, z double")
+    for problem, label, make in (("classification", "y", lambda: GBTClassifier(maxIter=4, maxDepth=3, seed=7)),
+                                 ("regression", "z", lambda: GBTRegressor(maxIter=4, maxDepth=3, seed=7))):
+        cells = CellTrees("GB", problem, make).fit(df, ["a", "b"], label)
+        rows = SparkMLLearner("GB", problem, lambda d, l: make()).fit(df, ["a", "b"], label)
+        assert isinstance(cells.last_stage, BinnedTrees)
+        one, two = (f.transform(df).orderBy("id").collect() for f in (cells, rows))
+        assert one[0].asDict().keys() == two[0].asDict().keys()
+        assert [r.prediction for r in one] == pytest.approx([r.prediction for r in two])
+        if problem == "classification":
+            assert [r.probability[1] for r in one] == pytest.approx([r.probability[1] for r in two])
+        assert math.isclose(tree_base(cells, spark), tree_base(rows, spark), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_boosted_trees_of_many_cells_are_fitted_on_the_rows(spark, rows, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+    from tabloom.operators import celltrees
+    monkeypatch.setattr(celltrees, "MAX_CELLS", 1)
+    fitted = celltrees.CellTrees("GB", "classification", lambda: GBTClassifier(maxIter=2, maxDepth=2, seed=7)).fit(rows, FEATS, "y")
+    assert not isinstance(fitted.last_stage, celltrees.BinnedTrees)
+
+
+def test_stratified_split_ranks_only_the_last_part_of_a_class(spark, monkeypatch):
+    made = [(i % 700 if i % 9 else None, "k", i % 3 if i % 50 else None) for i in range(4000)]     # repeated and null keys, null class
+    df = spark.createDataFrame(made, "id int, t string, y int")
+    ranked = []
+    real = S.row_numbers
+    monkeypatch.setattr(S, "row_numbers", lambda d, *a, **k: ranked.append(d.count()) or real(d, *a, **k))
+    for key in (["id"], ["id", "t"]):
+        for pct in (0, 25, 100):
+            got = S.stratified_split(df, key, "y", pct, 7)
+            assert got.columns == ["id", "t", "y", "is_test"] and got.count() == 4000
+            n = {r.y: (r.n, r.t) for r in got.groupBy("y").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()}
+            assert all(t == int(k * pct / 100 + 0.5) for k, t in n.values())
+    assert max(ranked) < 1000
+
+
+def test_folds_and_parts_hold_only_what_is_read(spark, rows):
+    from tabloom.plans import leaderboard as L
+    learner = learners("classification")["Logistic Regression"]
+    assert L.needed(rows, FEATS, "y", [learner]) == [c for c in rows.columns if c in {*FEATS, "y"}]
+    assert "id" in L.needed(rows, FEATS, "y", [learners("classification")["KNN"]])
