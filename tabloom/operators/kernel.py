@@ -19,19 +19,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.vectorsum import task_count, vector_sum
+from tabloom.functions.vectorsum import block_sum
 from tabloom.operators.batchfit import SCORES, _matrix, feature_vector
-from tabloom.session import cut_lineage, spread
+from tabloom.session import checkpoint_dir, spread
 
 N_FEATURES = 256
 ROUND = 0.05
 MEMORY = 8
 # cells of a block's features and values: they stay in a core's cache
 BLOCK = 125_000
-ANGLES = 32_768
 
 
 def directions(p: int, n_features: int = N_FEATURES, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -40,23 +40,82 @@ def directions(p: int, n_features: int = N_FEATURES, seed: int = 0) -> tuple[np.
     return rng.normal(size=(p, n_features)), rng.uniform(0, 2 * math.pi, n_features)
 
 
-def fourier(x: np.ndarray, gamma: float, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """phi(x) with a last column of ones.
+def _wave() -> np.ndarray:
+    """Coefficients c with sin(2 pi s) = s (c[0] + c[1] s^2 + ...), right to 1e-8 for |s| <= 1/4."""
+    at = (np.cos((np.arange(200) + 0.5) * math.pi / 200) + 1) / 32
+    s = np.sqrt(at)
+    fit = np.polynomial.Chebyshev.fit(at, np.sin(2 * math.pi * s) / s, 4, domain=[0, 1 / 16])
+    return fit.convert(kind=np.polynomial.Polynomial).coef
+
+
+WAVE = _wave()
+# turns up to which an angle is taken in single precision
+NEAR = 4.0
+
+
+class Waves:
+    """phi(x) of blocks of rows, in buffers that stay in a core's cache: a result stands until the next call.
 
-    Angles are reduced to one turn in double precision; their cosines, taken in single precision, are right to
-    about 2e-7, far inside the error of the features themselves.
+    Angles are counted in turns and reduced to one turn, in double precision for rows far from the origin; the
+    cosine of what is left is a polynomial in single precision, right to about 1e-6, far inside the error of the
+    features themselves.  Products with phi are taken in double precision.
     """
-    out = np.ones((len(x), len(b) + 1))
-    scaled, factor = w * math.sqrt(2 * gamma), math.sqrt(2 / len(b))
-    step = max(16, ANGLES // len(b))
-    for a in range(0, len(x), step):
-        z = x[a:a + step] @ scaled
-        z += b
-        turns = z * (0.5 / math.pi)
-        np.rint(turns, out=turns)
-        turns *= 2 * math.pi
-        z -= turns
-        np.multiply(np.cos(z.astype(np.float32)), factor, out=out[a:a + step, :-1])
+
+    def __init__(self, gamma: float, w: np.ndarray, b: np.ndarray, rows: int, p: int):
+        self.w, self.b, self.rows = w * (math.sqrt(2 * gamma) / (2 * math.pi)), b / (2 * math.pi), rows
+        self.single = np.vstack((self.w, self.b)).astype(np.float32)
+        self.widest = np.abs(self.w).max(axis=1)
+        self.c = (WAVE * math.sqrt(2 / len(b))).astype(np.float32)
+        self.s, self.u, self.v = (np.empty((rows, len(b)), np.float32) for _ in range(3))
+        self.x = np.ones((rows, p + 1), np.float32)
+        self.phi = np.ones((rows, len(b) + 1))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        n = len(x)
+        s, u, v = self.s[:n], self.u[:n], self.v[:n]
+        reach = np.abs(x) @ self.widest
+        far = np.flatnonzero(~(reach <= NEAR))
+        near = x if not len(far) else np.where((reach <= NEAR)[:, None], x, 0.0)
+        self.x[:n, :-1] = near
+        np.matmul(self.x[:n], self.single, out=s)
+        np.rint(s, out=u)
+        s -= u
+        if len(far):
+            z = x[far] @ self.w + self.b
+            s[far] = z - np.rint(z)
+        # cos(2 pi t) = sin(2 pi (1/4 - |t|))
+        np.abs(s, out=s)
+        np.subtract(np.float32(0.25), s, out=s)
+        np.multiply(s, s, out=u)
+        np.multiply(u, self.c[4], out=v)
+        for k in (3, 2, 1):
+            v += self.c[k]
+            v *= u
+        v += self.c[0]
+        np.multiply(v, s, out=v)
+        self.phi[:n, :-1] = v
+        return self.phi[:n]
+
+    def products(self, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """phi(x) times each row of ``weights``."""
+        out = np.empty((len(x), len(weights)))
+        for a in range(0, len(x), self.rows):
+            out[a:a + self.rows] = self(x[a:a + self.rows]) @ weights.T
+        return out
+
+
+def block_rows(n_features: int, machines: int = 1) -> int:
+    """Rows of a block: its cells stay in a core's cache."""
+    return max(64, BLOCK // (n_features + 1 + machines))
+
+
+def fourier(x: np.ndarray, gamma: float, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """phi(x) with a last column of ones."""
+    step = block_rows(len(b))
+    waves = Waves(gamma, w, b, min(step, max(1, len(x))), x.shape[1])
+    out = np.empty((len(x), len(b) + 1))
+    for a in range(0, len(x), waves.rows):
+        out[a:a + waves.rows] = waves(x[a:a + waves.rows])
     return out
 
 
@@ -75,6 +134,26 @@ class Machine:
     positive: int | None = None
 
 
+# Rows are held as blocks of them: each column is the bytes of one array, so a pass reads no row by itself.
+ROWS = "x binary, y binary, fold binary"
+
+
+def row_blocks(rows: DataFrame):
+    """``rows`` (x array<double>, y, fold) as an RDD of blocks, held and checkpointed with the first job that reads it."""
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                parts = ((_matrix(batch.column("x")), np.float64), (batch.column("y").to_numpy(), np.float64),
+                         (batch.column("fold").to_numpy(), np.int32))
+                yield pa.record_batch([pa.array([np.ascontiguousarray(v, kind).tobytes()], pa.binary()) for v, kind in parts],
+                                      names=["x", "y", "fold"])
+
+    checkpoint_dir(rows.sparkSession)
+    blocks = rows.mapInArrow(run, ROWS).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks.checkpoint()
+    return blocks
+
+
 def _losses(z: np.ndarray, y: np.ndarray, positive: list[int | None], epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     """Losses and their slopes in z (rows x machines)."""
     if positive[0] is None:
@@ -94,35 +173,46 @@ def _loss(z: np.ndarray, y: np.ndarray, positive: int | None, epsilon: float) ->
 
 def fit_machines(rows: DataFrame, machines: list[Machine], p: int, epsilon: float = 0.1, n_features: int = N_FEATURES,
                  seed: int = 0, max_iter: int = 100, tol: float = 1e-5) -> np.ndarray:
-    """Weights (machines x n_features + 1) by L-BFGS.  ``rows``: x array<double>, y, fold; materialised."""
+    """Weights (machines x n_features + 1) by L-BFGS.  ``rows``: x array<double>, y, fold; read once."""
     w0, b0 = directions(p, n_features, seed)
-    tasks = task_count(rows)
+    blocks = row_blocks(rows)
+    try:
+        return _descend(blocks, machines, p, epsilon, w0, b0, max_iter, tol)
+    finally:
+        blocks.unpersist()
+
+
+def _descend(held, machines: list[Machine], p: int, epsilon: float, w0: np.ndarray, b0: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+    n_features = len(b0)
     m, d = len(machines), n_features + 1
 
     def evaluate(weights: np.ndarray, which: list[int]) -> tuple[np.ndarray, np.ndarray]:
         width = d + 2
-        step = max(64, BLOCK // (d + len(which)))
+        step = block_rows(n_features, len(which))
         groups = []
         for gamma, number in sorted({(machines[i].gamma, machines[i].positive is None) for i in which}):
             here = [k for k, i in enumerate(which) if (machines[i].gamma, machines[i].positive is None) == (gamma, number)]
-            groups.append((gamma, here, np.array([machines[which[k]].fold for k in here]), [machines[which[k]].positive for k in here]))
+            groups.append((gamma, here, np.array([machines[which[k]].fold for k in here]), [machines[which[k]].positive for k in here],
+                           np.ascontiguousarray(weights[[which[k] for k in here]].T)))
 
-        def add(batches):
+        def add(blocks):
             out = np.zeros((len(which), width))
-            for batch in batches:
-                x_all, y_all, f_all = _matrix(batch.column("x")), batch.column("y").to_numpy(), batch.column("fold").to_numpy()
+            waves = [Waves(gamma, w0, b0, step, p) for gamma, *_ in groups]
+            for x_all, y_all, f_all in blocks:
+                y_all, f_all = np.frombuffer(y_all, np.float64), np.frombuffer(f_all, np.int32)
+                x_all = np.frombuffer(x_all, np.float64).reshape(len(y_all), p)
                 for a in range(0, len(y_all), step):
                     x, y, f = x_all[a:a + step], y_all[a:a + step], f_all[a:a + step]
-                    for gamma, here, folds, positive in groups:
-                        phi = fourier(x, gamma, w0, b0)
+                    for wave, (_, here, folds, positive, own) in zip(waves, groups):
+                        phi = wave(x)
                         member = f[:, None] != folds
-                        v, s = _losses(phi @ weights[[which[k] for k in here]].T, y, positive, epsilon)
+                        v, s = _losses(phi @ own, y, positive, epsilon)
                         out[here, 0] += member.sum(axis=0)
                         out[here, 1] += (v * member).sum(axis=0)
                         out[here, 2:] += (s * member).T @ phi
             return out.ravel()
 
-        s = vector_sum(rows, add, len(which) * width, tasks).reshape(len(which), width)
+        s = block_sum(held, add, len(which) * width).reshape(len(which), width)
         value, slope = np.zeros(len(which)), np.zeros((len(which), d))
         for k, i in enumerate(which):
             n = max(s[k, 0], 1.0)
@@ -196,17 +286,20 @@ def score_machines(rows: DataFrame, machines: list[Machine], weights: np.ndarray
                 continue
             x, y, f = _matrix(batch.column("x")), batch.column("y").to_numpy(), batch.column("fold").to_numpy()
             for gamma in sorted({one.gamma for one in machines}):
-                phi = fourier(x, gamma, w0, b0)
-                for (c, fold), own in groups.items():
-                    if machines[own[0]].gamma != gamma:
-                        continue
+                wave = Waves(gamma, w0, b0, block_rows(n_features), p)
+                for fold in np.unique(f).tolist():
                     here = np.flatnonzero(f == fold)
-                    if not len(here):
+                    own = [i for i, one in enumerate(machines) if one.gamma == gamma and one.fold == fold]
+                    if not own:
                         continue
-                    pred, score = decide(phi[here] @ weights[own].T, [machines[i].positive for i in own])
-                    yield pa.record_batch([pa.array(np.full(len(here), c, np.int32)), pa.array(np.full(len(here), fold, np.int32)),
-                                           pa.array(y[here]), pa.array(pred), pa.array(score)],
-                                          names=["candidate", "fold", "y", "pred", "score"])
+                    z = dict(zip(own, wave.products(x[here], weights[own]).T))
+                    for (c, of), parts in groups.items():
+                        if of != fold or machines[parts[0]].gamma != gamma:
+                            continue
+                        pred, score = decide(np.column_stack([z[i] for i in parts]), [machines[i].positive for i in parts])
+                        yield pa.record_batch([pa.array(np.full(len(here), c, np.int32)), pa.array(np.full(len(here), fold, np.int32)),
+                                               pa.array(y[here]), pa.array(pred), pa.array(score)],
+                                              names=["candidate", "fold", "y", "pred", "score"])
 
     return rows.mapInArrow(run, SCORES)
 
@@ -242,7 +335,8 @@ class _KernelPayload:
         @F.pandas_udf("struct<pred:double,score:double>")
         def value(*cols: pd.Series) -> pd.DataFrame:
             x = np.column_stack([c.to_numpy(float) for c in cols])
-            pred, score = decide(fourier(x, gamma, w0, b0) @ weights.T, positive)
+            wave = Waves(gamma, w0, b0, block_rows(len(b0)), x.shape[1])
+            pred, score = decide(wave.products(x, weights), positive)
             return pd.DataFrame({"pred": pred, "score": score})
 
         out = df.withColumn("_svm", value(*[F.col(c).cast("double") for c in fitted.features]))
@@ -268,8 +362,8 @@ class KernelMachine:
             raise ValueError("a classifier needs two classes")
         gamma = self.gamma if self.gamma is not None else scale_gamma(df, features)
         y = F.array_position(F.array(*[F.lit(float(c)) for c in classes]), F.col(label).cast("double")) - 1 if classes else F.col(label)
-        rows = cut_lineage(spread(df.where(F.col(label).isNotNull()).select(
-            feature_vector(df, features).alias("x"), y.cast("double").alias("y"), F.lit(0).alias("fold"))))
+        rows = spread(df.where(F.col(label).isNotNull()).select(
+            feature_vector(df, features).alias("x"), y.cast("double").alias("y"), F.lit(0).alias("fold")))
         positive = [None] if not classes else [1] if len(classes) == 2 else list(range(len(classes)))
         machines = [Machine(self.c, gamma, -1, k) for k in positive]
         weights = fit_machines(rows, machines, len(features), self.epsilon, self.n_features, self.seed)

@@ -598,6 +598,32 @@ def test_kernel_machines_fit_what_no_line_does(spark):
     assert fitted.transform(df).where("prediction = ring").count() > 470
 
 
+def test_kernel_passes_read_blocks(spark, monkeypatch):
+    """An iteration reads blocks of rows, held once, and leaves nothing held behind."""
+    from tabloom.operators import kernel as K
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(v.tolist(), float(v[0] * v[1] > 0), 0) for v in rng.normal(size=(900, 2))],
+                                 "x array<double>, y double, fold int").coalesce(2)
+    seen, whole = [], K.block_sum
+    monkeypatch.setattr(K, "block_sum", lambda blocks, *a: (seen.append((blocks.id(), blocks.count(), blocks.is_cached)), whole(blocks, *a))[1])
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    K.fit_machines(rows, [K.Machine(1.0, 0.5, -1, 1)], 2, n_features=16, max_iter=3)
+    assert len(seen) > 2 and len({one[0] for one in seen}) == 1
+    assert all(n <= 2 and held for _, n, held in seen)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_a_row_has_the_same_waves_in_any_block():
+    from tabloom.operators import kernel as K
+    w, b = K.directions(3, 32, 1)
+    x = np.random.default_rng(2).normal(size=(300, 3))
+    x[::7] *= 1e4
+    whole, wave = K.fourier(x, 0.4, w, b), K.Waves(0.4, w, b, 300, 3)
+    assert all(np.allclose(wave(x[i:i + 1])[0], whole[i], atol=1e-6, rtol=0) for i in range(len(x)))
+    weights = np.random.default_rng(3).normal(size=(2, 33))
+    assert np.allclose(K.Waves(0.4, w, b, 37, 3).products(x, weights), whole @ weights.T, atol=1e-5)
+
+
 def test_machines_reach_the_optimum(spark):
     """Objective values against plain subgradient-free descent in NumPy on the same features."""
     from tabloom.operators import kernel as K
