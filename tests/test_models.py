@@ -274,6 +274,48 @@ def test_leaves_of_a_tree_row_by_row():
         assert t.leaves(bins, G.MAX_BINS, levels).tolist() == want
 
 
+def test_paths_of_a_tree_by_lookup():
+    """The same nodes as a walk, whether the table holds all levels, some or none; missing values included."""
+    rng = np.random.default_rng(11)
+    tree = G.Tree.empty(5)
+    for node in range(31):
+        if node == 0 or (tree.feature[(node - 1) // 2] >= 0 and rng.random() < 0.8):
+            tree.feature[node], tree.bin[node], tree.missing_left[node] = rng.integers(3), rng.integers(40), rng.random() < 0.5
+    bins = rng.integers(0, 42, (4000, 3)).astype(np.uint8)
+    bins[rng.random(bins.shape) < 0.1] = 255
+    values = rng.normal(size=63)
+    columns = [bins[:, j].astype(np.intp) for j in range(3)]
+    tops = set()
+    for size in (1, 30, 200, 10 ** 6):
+        for levels in (1, 3, 5):
+            paths = G.Paths(tree, levels, values, 255, size)
+            tops.add(levels - paths.rest)
+            assert (paths(columns) == values[tree.leaves(bins, 255, levels)]).all()
+    assert {0, 5} < tops
+
+
+def test_a_level_counts_one_of_two_siblings(spark, monkeypatch):
+    """No node's histograms are counted where its sibling's and its parent's are known; the trees are the same."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 30, (700, 2)).astype(float)
+    d = spark.createDataFrame([(*v.tolist(), float(v[0] > v[1] + 5 * e)) for v, e in zip(x, rng.normal(size=700))], "a double, b double, y double")
+    learner = G.Boosted("b", "classification", G.Boost(rounds=3, max_depth=4))
+    counted, count = [], G._histograms
+
+    def seen(state, specs, folds, trees, at, level, *rest):
+        counted.append((level, sum(len(v) for v in at.values())))
+        return count(state, specs, folds, trees, at, level, *rest)
+
+    monkeypatch.setattr(G, "_histograms", seen)
+    half = learner.fit(d, ["a", "b"], "y").model.forest
+    assert {n for level, n in counted if level == 1} == {1} and max(n for _, n in counted) <= 4
+    monkeypatch.setattr(G, "SAFE_L2", float("inf"))
+    whole = learner.fit(d, ["a", "b"], "y").model.forest
+    for one, two in zip(half.trees, whole.trees):
+        assert (one[0].feature == two[0].feature).all() and (one[0].cover == two[0].cover).all()
+        assert np.allclose(one[0].value, two[0].value, atol=1e-9)
+
+
 def test_store_keeps_boosted_models(spark, frame):
     from tabloom.session import scratch_path
     from tabloom.sources import store
