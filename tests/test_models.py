@@ -43,6 +43,24 @@ def test_logistic_search_agrees_with_the_plain_loop(frame, label, grid):
     assert fitted.transform(frame).count() == frame.count()
 
 
+def test_logistic_statistics_of_far_rows(spark):
+    """Sums against plain formulas, at margins where a probability is 1 to the last bit; blocks stay small."""
+    from tabloom.operators import batchfit as B
+    rng = np.random.default_rng(9)
+    x, y, fold = rng.normal(size=(400, 2)) * 20, rng.integers(0, 2, 400), np.arange(400) % 3
+    rows = spark.createDataFrame([(v.tolist(), float(t), int(f)) for v, t, f in zip(x, y, fold)], "x array<double>, y double, fold int").coalesce(1)
+    w = rng.normal(size=(4, 1, 3))
+    assert B.BLOCK // 4 < B.CELLS // 100
+    for (n, loss, g, h), v, out in zip(B._statistics(rows, w, np.array([0, 1, 2, -1]), 2), w[:, 0], (0, 1, 2, -1)):
+        own = fold != out
+        a = np.column_stack((x, np.ones(400)))[own]
+        z, t = a @ v, y[own]
+        p = np.where(z >= 0, 1 / (1 + np.exp(-z)), np.exp(z) / (1 + np.exp(z)))
+        least = 1 / (2 + np.exp(z) + np.exp(-z))
+        assert n == own.sum() and np.isclose(loss, (np.logaddexp(0, z) - t * z).mean(), rtol=1e-12)
+        assert np.allclose(g, a.T @ (p - t) / n, rtol=1e-10) and np.allclose(h, (a.T * least) @ a / n, rtol=1e-10)
+
+
 def test_logistic_fits_reach_the_optimum(spark):
     """Weights against a plain NumPy proximal gradient descent on the same objective."""
     rng = np.random.default_rng(0)
